@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from ledgerline.llm.mixing import mix
 from ledgerline.llm.ngram_join import ngram_join
 
 
@@ -11,9 +12,41 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op4_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mix(_table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
+
+
+#: The order by md5 keys, the water level and the cut are all plain SQL.
+OP4_SQL = r"""
+WITH d AS (
+  SELECT doc_id, coalesce('s' || source, 't') AS src,
+         coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size,
+         md5('17:' || coalesce(doc_id::VARCHAR, 'text:' || coalesce(md5(text), ''))) AS key
+  FROM documents),
+s AS (SELECT src, sum(size)::BIGINT AS source_size FROM d GROUP BY src),
+w AS (
+  SELECT *, [5.0::DOUBLE, 2.0::DOUBLE, 1.0::DOUBLE][((row_number() OVER (ORDER BY src) - 1) % 3 + 1)::INT] AS weight,
+         3 * source_size AS cap FROM s),
+r AS (SELECT *, cap / weight AS ratio, (sum(source_size) OVER ())::BIGINT AS total FROM w),
+l AS (
+  SELECT *, (total - coalesce((sum(cap) OVER (ORDER BY ratio, src ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING))::BIGINT, 0))
+            / sum(weight) OVER (ORDER BY ratio, src ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level FROM r),
+v AS (SELECT level FROM l WHERE level <= ratio ORDER BY ratio, src LIMIT 1),
+t AS (SELECT src, source_size, least(cap::DOUBLE, coalesce((SELECT level FROM v) * weight, 0.0)) AS target FROM l),
+p AS (
+  SELECT d.doc_id, d.size, t.source_size, t.target, floor(t.target)::BIGINT AS budget,
+         coalesce((sum(d.size) OVER (PARTITION BY d.src ORDER BY d.key, d.size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING))::BIGINT, 0) AS prior
+  FROM d JOIN t USING (src))
+SELECT doc_id, size, source_size, target,
+       (CASE WHEN source_size > 0 THEN (budget // source_size) * size
+             + greatest(0, least(size, budget % source_size - prior)) ELSE 0 END)::BIGINT AS taken
+FROM p
+"""
+
+
 def op7_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join(_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op7_ngram_jaccard_join,)}
-ORACLES: dict[str, str] = {}
+QUERIES = {f.__name__: f for f in (op4_mix_sources, op7_ngram_jaccard_join,)}
+ORACLES: dict[str, str] = {"op4_mix_sources": OP4_SQL}
