@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import os
+
 from pyspark.sql import DataFrame, SparkSession
 
+from ledgerline.llm.common import shared_path
 from ledgerline.llm.mixing import mix
 from ledgerline.llm.ngram_join import ngram_join
+from ledgerline.llm.token_files import read_token_files, write_token_files
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -44,9 +48,24 @@ FROM p
 """
 
 
+def vocabulary(name: str) -> str:
+    """Path of a public tokenizer's file: $TOKENIZER_DIR, else the installed set."""
+    if folder := os.environ.get("TOKENIZER_DIR"):
+        return f"{folder}/{name}"
+    import public_tokenizers
+
+    return str(public_tokenizers.path(name))
+
+
+def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = shared_path(spark, "token-files")
+    write_token_files(_table(spark, sf_dir, "documents"), path, vocabulary("word_bpe_49k.json"))
+    return read_token_files(spark, path)
+
+
 def op7_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join(_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op4_mix_sources, op7_ngram_jaccard_join,)}
+QUERIES = {f.__name__: f for f in (op4_mix_sources, op6_token_files, op7_ngram_jaccard_join,)}
 ORACLES: dict[str, str] = {"op4_mix_sources": OP4_SQL}
