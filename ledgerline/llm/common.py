@@ -149,25 +149,23 @@ def _edge_state(e: DataFrame) -> tuple:
     return row["n"], row["h"]
 
 
-def prefix_sums(df: DataFrame, group: list[str], bucket: str, order: list[str], amount: str, out: str) -> DataFrame:
-    """Sum of `amount` over the rows before each row of its group, in the order
-    of (bucket, order). No task holds more than one bucket or the list of the
-    bucket totals of one group: totals per bucket come from a partial
-    aggregation, their running sums from a window over the totals alone."""
-    totals = df.groupBy(*group, bucket).agg(F.sum(amount).alias("__sum"))
+def prefix_sums(df: DataFrame, group: list[str], bucket: str, order: list[str], sums: dict[str, str]) -> DataFrame:
+    """For each (out, amount) of sums, the sum of `amount` over the rows before
+    each row of its group, in the order of (bucket, order).
+
+    No task holds more than one bucket or the list of the bucket totals of one
+    group: totals per bucket come from a partial aggregation, their running sums
+    from a window over the totals alone."""
+    totals = df.groupBy(*group, bucket).agg(*[F.sum(a).alias(f"__sum_{o}") for o, a in sums.items()])
     over = Window.partitionBy(*group).orderBy(F.col(bucket).asc_nulls_first()).rowsBetween(Window.unboundedPreceding, -1)
     starts = totals.select(
         *[F.col(g).alias(f"__{g}") for g in group],
         F.col(bucket).alias("__bucket"),
-        F.coalesce(F.sum("__sum").over(over), F.lit(0)).alias("__start"),
+        *[F.coalesce(F.sum(f"__sum_{o}").over(over), F.lit(0)).alias(f"__start_{o}") for o in sums],
     )
-    match = F.col(bucket).eqNullSafe(F.col("__bucket"))
+    match = F.col(bucket) == F.col("__bucket")
     for g in group:
-        match = match & F.col(g).eqNullSafe(F.col(f"__{g}"))
+        match = match & (F.col(g) == F.col(f"__{g}"))
     inside = Window.partitionBy(*group, bucket).orderBy(*[F.col(c).asc_nulls_first() for c in order]).rowsBetween(Window.unboundedPreceding, -1)
-    return (
-        df.withColumn("__in", F.coalesce(F.sum(amount).over(inside), F.lit(0)))
-        .join(starts, match)
-        .withColumn(out, F.col("__start") + F.col("__in"))
-        .drop("__in", "__start", "__bucket", *[f"__{g}" for g in group])
-    )
+    placed = df.select("*", *[F.coalesce(F.sum(a).over(inside), F.lit(0)).alias(f"__in_{o}") for o, a in sums.items()]).join(starts, match)
+    return placed.select(*df.columns, *[(F.col(f"__start_{o}") + F.col(f"__in_{o}")).alias(o) for o in sums])

@@ -73,7 +73,7 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     base = base.withColumn("__range", F.substring("__key", 1, digits))
     totals = base.groupBy(F.col("__src").alias("src")).agg(F.sum("__size").alias("source_size"))
     targets = materialize(source_targets(totals, weights, max_epochs), "targets")
-    placed = prefix_sums(base, ["__src"], "__range", ["__key", "__size"], "__size", "prior")
+    placed = prefix_sums(base, ["__src"], "__range", ["__key", "__size"], {"prior": "__size"})
     budget = F.floor("target")
     rest = F.when(F.col("source_size") > 0, budget % F.col("source_size")).otherwise(0)
     epochs = F.when(F.col("source_size") > 0, F.floor(budget / F.col("source_size"))).otherwise(0)

@@ -6,16 +6,38 @@ import os
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ledgerline.llm.common import shared_path
+from ledgerline.llm.common import materialize, shared_path
+from ledgerline.llm.decontam import find_contamination
 from ledgerline.llm.mixing import mix
 from ledgerline.llm.ngram_join import ngram_join
+from ledgerline.llm.quality import quality_rules
+from ledgerline.llm.token_counts import length_histogram, suffix_sums
 from ledgerline.llm.token_files import read_token_files, write_token_files
+from ledgerline.llm.toxicity import fit_on_labels, score
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def vocabulary(name: str) -> str:
+    """Path of a public tokenizer's file: in $TOKENIZER_DIR, else in the installed set."""
+    if folder := os.environ.get("TOKENIZER_DIR"):
+        return f"{folder}/{name}"
+    import public_tokenizers
+
+    return str(public_tokenizers.path(name))
+
+
+def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    histogram = materialize(length_histogram(_table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.tiktoken")), "lengths")
+    return suffix_sums(histogram)
+
+
+def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return find_contamination(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 def op4_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(_table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
@@ -48,15 +70,6 @@ FROM p
 """
 
 
-def vocabulary(name: str) -> str:
-    """Path of a public tokenizer's file: $TOKENIZER_DIR, else the installed set."""
-    if folder := os.environ.get("TOKENIZER_DIR"):
-        return f"{folder}/{name}"
-    import public_tokenizers
-
-    return str(public_tokenizers.path(name))
-
-
 def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = shared_path(spark, "token-files")
     write_token_files(_table(spark, sf_dir, "documents"), path, vocabulary("word_bpe_49k.json"))
@@ -67,5 +80,15 @@ def op7_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join(_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op4_mix_sources, op6_token_files, op7_ngram_jaccard_join,)}
+def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rules = quality_rules(_table(spark, sf_dir, "documents"), vocabulary("piece_bpe_32k.model"))
+    return rules.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "chars_per_token", "byte_share", "evenness")
+
+
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    return score(docs, fit_on_labels(docs, _table(spark, sf_dir, "labels")))
+
+
+QUERIES = {f.__name__: f for f in (op1_token_counts, op2_decontamination, op4_mix_sources, op6_token_files, op7_ngram_jaccard_join, op9_quality_rules, op10_toxicity)}
 ORACLES: dict[str, str] = {"op4_mix_sources": OP4_SQL}
