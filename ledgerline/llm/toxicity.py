@@ -1,6 +1,6 @@
 """Toxicity by cumulative-link ordinal regression.
 
-Features are words and word beginnings (4 to 6 letters), weighted by the
+Features are words and word beginnings (3 to 9 letters), weighted by the
 logarithm of their count. One weight vector is shared by the ordered thresholds
 t1 < t2 < ... of the grades: P(grade >= k) = sigmoid(x.w - t_k), so the expected
 severity is the sum of these over k. The model is fitted on a bounded sample of
@@ -22,7 +22,7 @@ from ledgerline.llm.common import WORD, text_slices, word_codes
 
 def word_features(word: str) -> list[str]:
     """The word itself and its beginnings."""
-    return [word, *(f"^{word[:n]}" for n in (4, 5, 6) if len(word) >= n)]
+    return [word, *(f"^{word[:n]}" for n in range(3, 10) if len(word) >= n)]
 
 
 @dataclass
@@ -64,10 +64,10 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x, -40, 40)))
 
 
-def fit(texts: list[str], toxic: list[int], grades: int = 3, ridge: float = 1e-2, min_docs: int = 2, min_z: float = 2.5, steps: int = 400) -> OrdinalModel:
+def fit(texts: list[str], toxic: list[int], grades: int = 3, ridge: float = 0.1, min_docs: int = 2, min_z: float = 2.8, steps: int = 400) -> OrdinalModel:
     """Fit on labelled texts. The labels say only toxic or not, so the grades of
-    the toxic texts are made here: equal shares by the share of their words that
-    carry a feature typical of toxic texts (log-odds ratio, z >= min_z)."""
+    the toxic texts are made here: thirds by the number of their words that carry
+    a feature typical of toxic texts (log-odds ratio, z >= min_z)."""
     y = np.asarray(toxic, np.int64) > 0
     if not y.any() or y.all():
         return OrdinalModel()
@@ -85,7 +85,7 @@ def fit(texts: list[str], toxic: list[int], grades: int = 3, ridge: float = 1e-2
     if not typical:
         return OrdinalModel()
     rows: list[dict[int, int]] = []
-    share = np.zeros(len(texts))
+    amount = np.zeros(len(texts))
     for i, own in enumerate(words):
         counts: dict[int, int] = {}
         marked = 0
@@ -95,9 +95,9 @@ def fit(texts: list[str], toxic: list[int], grades: int = 3, ridge: float = 1e-2
             for j in ids:
                 counts[j] = counts.get(j, 0) + n
         rows.append(counts)
-        share[i] = marked / max(1, sum(own.values()))
-    edges = np.quantile(share[y], np.arange(1, grades) / grades)
-    grade = np.where(y, 1 + np.searchsorted(edges, share, "right"), 0)
+        amount[i] = marked
+    edges = np.quantile(amount[y], np.arange(1, grades) / grades)
+    grade = np.where(y, 1 + np.searchsorted(edges, amount, "right"), 0)
 
     indptr = np.concatenate([[0], np.cumsum([len(r) for r in rows])])
     columns = np.array([j for r in rows for j in r], np.int64)
