@@ -92,15 +92,17 @@ def encode(ids: np.ndarray, starts: np.ndarray, codes: np.ndarray, lengths: np.n
     within = ends - size - np.repeat(before[:-1], counts)
     at = within + np.repeat(at_byte[:-1] * 8, counts)
     checkpoints = [within[a:b:SEGMENT] for a, b in zip(starts[:-1].tolist(), starts[1:].tolist(), strict=True)]
-    byte, shift = at >> 3, at & 7
-    word = codes[ids].astype(np.uint64) << (np.uint64(40) - shift.astype(np.uint64) - size.astype(np.uint64))
-    total = int(at_byte[-1]) + 5
-    out = np.zeros(total, np.float64)
-    for lane in range(5):
-        part = (word >> np.uint64(32 - 8 * lane)) & np.uint64(255)
-        if part.any():
-            out += np.bincount(byte + lane, part.astype(np.float64), total)
-    return out[: int(at_byte[-1])].astype(np.uint8).tobytes(), at_byte, checkpoints
+    code = codes[ids].astype(np.uint64)
+    over = (at & 63) + size - 64
+    crossing = np.flatnonzero(over > 0)
+    own = code << np.maximum(-over, 0).astype(np.uint64)
+    own[crossing] = code[crossing] >> over[crossing].astype(np.uint64)
+    word = at >> 6
+    first = np.flatnonzero(np.diff(word, prepend=-1))
+    out = np.zeros((int(at_byte[-1]) >> 3) + 2, np.uint64)
+    out[word[first]] = np.bitwise_or.reduceat(own, first)
+    out[word[crossing] + 1] |= code[crossing] << (64 - over[crossing]).astype(np.uint64)
+    return out.byteswap().tobytes()[: int(at_byte[-1])], at_byte, checkpoints
 
 
 def decode(payload: bytes, offsets: np.ndarray, counts: np.ndarray, table: np.ndarray, bits: int) -> np.ndarray:

@@ -27,7 +27,7 @@ from ledgerline.llm.common import ASCII_WORD, materialize, shared_path, text_sli
 from ledgerline.llm.huffman import SEGMENT, canonical_codes, code_lengths, decode, decode_table, encode
 
 #: Words of which a worker remembers the ids.
-_KNOWN_WORDS = 400_000
+_KNOWN_WORDS = 300_000
 #: Ids of a block and of a shard, about.
 BLOCK_IDS, SHARD_IDS = 1 << 18, 1 << 22
 _BLOCKS = "shard long, block long, n_ids long, doc_ids array<long>, doc_tokens array<long>, doc_bytes array<long>, checkpoints array<long>, payload binary"
@@ -51,6 +51,8 @@ class WordTokenizer:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.code = "H" if self.tokenizer.get_vocab_size() <= 1 << 16 else "I"
+        self.width = array.array(self.code).itemsize
         self.known: dict[str, bytes] = {}
         self.runs: dict[str, bytes] = {"": b""}
 
@@ -61,57 +63,53 @@ class WordTokenizer:
         return cls._made[path]
 
     def _library(self, parts: list[str]) -> dict[str, bytes]:
-        return {w: array.array("I", e.ids).tobytes() for w, e in zip(parts, self.tokenizer.encode_batch(parts, add_special_tokens=False), strict=True)} if parts else {}
+        return {w: array.array(self.code, e.ids).tobytes() for w, e in zip(parts, self.tokenizer.encode_batch(parts, add_special_tokens=False), strict=True)} if parts else {}
 
     def _letters(self, parts: list[str]) -> dict[str, bytes]:
         """Runs of letters are one pre-token each, so one text holds many."""
         made: dict[str, bytes] = {}
         groups = [parts[i : i + self._together] for i in range(0, len(parts), self._together)]
         for group, e in zip(groups, self.tokenizer.encode_batch([" ".join(g) for g in groups], add_special_tokens=False), strict=True):
-            ids, sizes, at = array.array("I", e.ids).tobytes(), Counter(e.word_ids), 0
+            ids, sizes, at = array.array(self.code, e.ids).tobytes(), Counter(e.word_ids), 0
             for i, w in enumerate(group):
-                end = at + 4 * sizes[i]
+                end = at + self.width * sizes[i]
                 made[w] = ids[at:end]
                 at = end
         return made
 
-    def word_ids(self, words: list[str]) -> list[bytes]:
-        """Little-endian 32-bit ids of each of the distinct words."""
+    def _learn(self, words: list[str]) -> list[str]:
+        """Put the ids of new words into the table; returns those beyond its room."""
         known, runs, plain = self.known, self.runs, self._plain.fullmatch
         parted: dict[str, tuple[str, str]] = {}
         odd = []
         for w in words:
-            if w not in known:
-                if m := plain(w):
-                    parted[w] = (m[1].lower(), m[2])
-                else:
-                    odd.append(w)
-        fresh = self._letters(list({a for a, _ in parted.values() if a not in runs}))
-        fresh |= self._library(list({b for _, b in parted.values() if b not in runs}))
-        made = self._library(odd)
+            if m := plain(w):
+                a, b = m.groups()
+                parted[w] = (a.lower(), b)
+            else:
+                odd.append(w)
+        fresh = self._letters(list({a for a, _ in parted.values()}.difference(runs)))
+        fresh |= self._library(list({b for _, b in parted.values()}.difference(runs)))
+        known.update(self._library(odd))
         for w, (a, b) in parted.items():
-            made[w] = (runs[a] if a in runs else fresh[a]) + (runs[b] if b in runs else fresh[b])
-        for table, new in ((runs, fresh), (known, made)):
-            if (room := _KNOWN_WORDS - len(table)) > 0:
-                table.update(islice(new.items(), room))
-        return [made[w] if w in made else known[w] for w in words]
-
-    def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of all texts laid end to end, and where each starts (plus the end)."""
+            known[w] = (runs[a] if a in runs else fresh[a]) + (runs[b] if b in runs else fresh[b])
+        if (room := _KNOWN_WORDS - len(runs)) > 0:
+            runs.update(islice(fresh.items(), room))
+        over = len(known) - _KNOWN_WORDS
+        return words[-over:] if over > 0 else []
+
+    def encode(self, texts: list[str]) -> list[bytes]:
+        """The ids of each text, as little-endian integers of `width` bytes."""
         lists = [ASCII_WORD.findall(t) for t in texts]
-        flat = [w for x in lists for w in x]
-        counts = np.array([len(x) for x in lists], np.int64)
-        if not flat:
-            return np.zeros(0, np.uint32), np.zeros(len(texts) + 1, np.int64)
-        codes, distinct = word_codes(flat)
-        found = self.word_ids(distinct)
-        sizes = np.fromiter(map(len, found), np.int64, len(found)) >> 2
-        pool = np.frombuffer(b"".join(found), np.uint32)
-        begins = np.concatenate([[0], np.cumsum(sizes)])[:-1]
-        n = sizes[codes]
-        ends = np.cumsum(n)
-        ids = pool[np.repeat(begins[codes] - (ends - n), n) + np.arange(int(ends[-1]))]
-        return ids, np.concatenate([[0], ends])[np.concatenate([[0], np.cumsum(counts)])]
+        distinct: set[str] = set()
+        for words in lists:
+            distinct.update(words)
+        extra = self._learn(list(distinct.difference(self.known)))
+        look_up = self.known.__getitem__
+        out = [b"".join(map(look_up, words)) for words in lists]
+        for w in extra:
+            self.known.pop(w, None)
+        return out
 
 
 def _tokenise(path: str, end_id: int | None, wide: bool):
@@ -121,9 +119,10 @@ def _tokenise(path: str, end_id: int | None, wide: bool):
         coder = WordTokenizer.at(path)
         tail = b"" if end_id is None else np.array([end_id], kind).tobytes()
         for part, texts in text_slices(batches, "text"):
-            ids, starts = coder.encode(texts)
-            ids = ids.astype(kind)
-            rows = [ids[a:b].tobytes() + tail for a, b in zip(starts[:-1].tolist(), starts[1:].tolist(), strict=True)]
+            rows = coder.encode(texts)
+            if coder.width != kind().itemsize:
+                rows = [np.frombuffer(r, coder.code).astype(kind).tobytes() for r in rows]
+            rows = [r + tail for r in rows]
             yield pa.RecordBatch.from_arrays([part.column(0), pa.array([len(r) // kind().itemsize for r in rows], pa.int64()), pa.array(rows, pa.binary())], ["id", "n", "ids"])
 
     return run
