@@ -34,15 +34,21 @@ _BLOCKS = "shard long, block long, n_ids long, doc_ids array<long>, doc_tokens a
 
 
 class WordTokenizer:
-    """A tokenizer of the tokenizers library whose pre-tokenizer drops white
-    space and parts letters from signs: the ids of a text are those of its words
-    in turn, and the ids of a plain word are those of its letters, then those of
-    the signs after them. So each distinct run is encoded by the library once
-    and remembered, in bounded tables. tests/llm compare with whole texts."""
+    """A tokenizer of the tokenizers library that drops white space and parts
+    letters from signs before it merges: the ids of a text are those of its
+    words in turn. Each distinct word is encoded by the library once and
+    remembered, in a bounded table; tests/llm compare with whole texts.
+
+    A text of plain characters only (ASCII and Latin-1 letters, no apostrophe,
+    no mark of a special token) is cut into lower-cased runs of letters, digits
+    and runs of signs, which are the library's own units; any other text is cut
+    at ASCII white space only."""
 
     _made: dict[str, WordTokenizer] = {}
-    #: Letters of which NFC and lower-casing depend on no neighbour, then signs.
-    _plain = re.compile("([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,:;!?*$%&#|=+-]*)")
+    #: Anything for which lower-casing, composition or cutting may need more context.
+    _odd = re.compile(r"[^\t-\r -&(-~À-ÖØ-öø-ÿ]|<\|")
+    _units = re.compile(r"[a-zß-öø-ÿ]+|[0-9]|[!-/:-@\[-`{-~]+")
+    _letters = re.compile(r"[a-zß-öø-ÿ]+")
     #: Runs of letters that one call encodes together.
     _together = 32
 
@@ -54,7 +60,6 @@ class WordTokenizer:
         self.code = "H" if self.tokenizer.get_vocab_size() <= 1 << 16 else "I"
         self.width = array.array(self.code).itemsize
         self.known: dict[str, bytes] = {}
-        self.runs: dict[str, bytes] = {"": b""}
 
     @classmethod
     def at(cls, path: str) -> WordTokenizer:
@@ -62,14 +67,16 @@ class WordTokenizer:
             cls._made[path] = cls(path)
         return cls._made[path]
 
-    def _library(self, parts: list[str]) -> dict[str, bytes]:
-        return {w: array.array(self.code, e.ids).tobytes() for w, e in zip(parts, self.tokenizer.encode_batch(parts, add_special_tokens=False), strict=True)} if parts else {}
-
-    def _letters(self, parts: list[str]) -> dict[str, bytes]:
-        """Runs of letters are one pre-token each, so one text holds many."""
+    def _encode_words(self, words: list[str]) -> dict[str, bytes]:
+        """By the library; runs of letters are one unit each, so one text holds many."""
+        plain = [w for w in words if self._letters.fullmatch(w)]
+        other = [w for w in words if not self._letters.fullmatch(w)]
         made: dict[str, bytes] = {}
-        groups = [parts[i : i + self._together] for i in range(0, len(parts), self._together)]
-        for group, e in zip(groups, self.tokenizer.encode_batch([" ".join(g) for g in groups], add_special_tokens=False), strict=True):
+        if other:
+            for w, e in zip(other, self.tokenizer.encode_batch(other, add_special_tokens=False), strict=True):
+                made[w] = array.array(self.code, e.ids).tobytes()
+        groups = [plain[i : i + self._together] for i in range(0, len(plain), self._together)]
+        for group, e in zip(groups, self.tokenizer.encode_batch([" ".join(g) for g in groups], add_special_tokens=False) if groups else [], strict=True):
             ids, sizes, at = array.array(self.code, e.ids).tobytes(), Counter(e.word_ids), 0
             for i, w in enumerate(group):
                 end = at + self.width * sizes[i]
@@ -77,39 +84,28 @@ class WordTokenizer:
                 at = end
         return made
 
-    def _learn(self, words: list[str]) -> list[str]:
-        """Put the ids of new words into the table; returns those beyond its room."""
-        known, runs, plain = self.known, self.runs, self._plain.fullmatch
-        parted: dict[str, tuple[str, str]] = {}
-        odd = []
-        for w in words:
-            if m := plain(w):
-                a, b = m.groups()
-                parted[w] = (a.lower(), b)
-            else:
-                odd.append(w)
-        fresh = self._letters(list({a for a, _ in parted.values()}.difference(runs)))
-        fresh |= self._library(list({b for _, b in parted.values()}.difference(runs)))
-        known.update(self._library(odd))
-        for w, (a, b) in parted.items():
-            known[w] = (runs[a] if a in runs else fresh[a]) + (runs[b] if b in runs else fresh[b])
-        if (room := _KNOWN_WORDS - len(runs)) > 0:
-            runs.update(islice(fresh.items(), room))
-        over = len(known) - _KNOWN_WORDS
-        return words[-over:] if over > 0 else []
-
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text, as little-endian integers of `width` bytes."""
-        lists = [ASCII_WORD.findall(t) for t in texts]
-        distinct: set[str] = set()
-        for words in lists:
-            distinct.update(words)
-        extra = self._learn(list(distinct.difference(self.known)))
-        look_up = self.known.__getitem__
-        out = [b"".join(map(look_up, words)) for words in lists]
-        for w in extra:
-            self.known.pop(w, None)
-        return out
+        look_up = self.known.get
+        found: list[list[bytes | None]] = []
+        gaps: list[tuple[list, int, str]] = []
+        for t in texts:
+            words = ASCII_WORD.findall(t) if self._odd.search(t) else self._units.findall(t.lower())
+            ids = list(map(look_up, words))
+            found.append(ids)
+            at = -1
+            try:
+                while True:
+                    at = ids.index(None, at + 1)
+                    gaps.append((ids, at, words[at]))
+            except ValueError:
+                pass
+        fresh = self._encode_words(list({w for _, _, w in gaps}))
+        for ids, at, w in gaps:
+            ids[at] = fresh[w]
+        if (room := _KNOWN_WORDS - len(self.known)) > 0:
+            self.known.update(islice(fresh.items(), room))
+        return [b"".join(ids) for ids in found]
 
 
 def _tokenise(path: str, end_id: int | None, wide: bool):
