@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from ledgerline.llm.common import materialize, shared_path
 from ledgerline.llm.decontam import find_contamination
+from ledgerline.llm.line_dedup import dedup_lines
 from ledgerline.llm.mixing import mix
 from ledgerline.llm.ngram_join import ngram_join
 from ledgerline.llm.quality import quality_rules
@@ -38,6 +39,10 @@ def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find_contamination(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
+def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dedup_lines(_table(spark, sf_dir, "documents"), with_text=False).select("doc_id", "n_lines", "n_dropped", "dropped")
+
+
 def op4_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(_table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
@@ -90,5 +95,5 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score(docs, fit_on_labels(docs, _table(spark, sf_dir, "labels")))
 
 
-QUERIES = {f.__name__: f for f in (op1_token_counts, op2_decontamination, op4_mix_sources, op6_token_files, op7_ngram_jaccard_join, op9_quality_rules, op10_toxicity)}
+QUERIES = {f.__name__: f for f in (op1_token_counts, op2_decontamination, op3_line_dedup, op4_mix_sources, op6_token_files, op7_ngram_jaccard_join, op9_quality_rules, op10_toxicity)}
 ORACLES: dict[str, str] = {"op4_mix_sources": OP4_SQL}
