@@ -15,6 +15,7 @@ from ledgerline.llm.quality import quality_rules
 from ledgerline.llm.token_counts import length_histogram, suffix_sums
 from ledgerline.llm.token_files import read_token_files, write_token_files
 from ledgerline.llm.toxicity import fit_on_labels, score
+from ledgerline.llm.url_filter import filter_urls
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -75,6 +76,10 @@ FROM p
 """
 
 
+def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_urls(_table(spark, sf_dir, "pages"))
+
+
 def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = shared_path(spark, "token-files")
     write_token_files(_table(spark, sf_dir, "documents"), path, vocabulary("word_bpe_49k.json"))
@@ -95,5 +100,5 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score(docs, fit_on_labels(docs, _table(spark, sf_dir, "labels")))
 
 
-QUERIES = {f.__name__: f for f in (op1_token_counts, op2_decontamination, op3_line_dedup, op4_mix_sources, op6_token_files, op7_ngram_jaccard_join, op9_quality_rules, op10_toxicity)}
+QUERIES = {f.__name__: f for f in (op1_token_counts, op2_decontamination, op3_line_dedup, op4_mix_sources, op5_url_filter, op6_token_files, op7_ngram_jaccard_join, op9_quality_rules, op10_toxicity)}
 ORACLES: dict[str, str] = {"op4_mix_sources": OP4_SQL}
