@@ -6,6 +6,7 @@ import os
 
 from pyspark.sql import DataFrame, SparkSession
 
+from ledgerline.llm.chat_tools import exchanges, link_tool_calls, schema_table
 from ledgerline.llm.common import materialize, shared_path
 from ledgerline.llm.decontam import find_contamination
 from ledgerline.llm.line_dedup import dedup_lines
@@ -90,6 +91,36 @@ def op7_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join(_table(spark, sf_dir, "documents"))
 
 
+def op8_chat_tools(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return link_tool_calls(*exchanges(_table(spark, sf_dir, "conversations")), schema_table(spark))
+
+
+#: Plain exchanges have no repeated identifiers and no dependency on a later
+#: turn, so plain joins give the records and the turn their order.
+OP8_SQL = """
+WITH u AS (SELECT * FROM conversations WHERE role = 'user'),
+a AS (SELECT conv_id, turn, conv_id || ':' || (turn - 1) AS call_id, text FROM conversations WHERE role = 'assistant'),
+c AS (SELECT conv_id, turn, conv_id || ':' || turn AS call_id, text FROM u),
+r AS (
+  SELECT c.conv_id, c.turn, 'call' AS kind, c.call_id, 'reply' AS name, a.turn IS NOT NULL AS linked,
+         '{"arguments":{"text":' || to_json(c.text)::VARCHAR || ',"turn":' || c.turn || '},"call_id":"' || c.call_id || '","name":"reply"'
+         || CASE WHEN a.turn IS NOT NULL THEN ',"result":' || to_json(a.text)::VARCHAR || ',"result_turn":' || a.turn ELSE '' END
+         || ',"turn":' || c.turn || '}' AS json
+  FROM c LEFT JOIN a USING (conv_id, call_id)
+  UNION ALL
+  SELECT a.conv_id, a.turn, 'orphan_result', a.call_id, NULL, FALSE,
+         '{"call_id":"' || a.call_id || '","content":' || to_json(a.text)::VARCHAR || ',"turn":' || a.turn || '}'
+  FROM a WHERE call_id NOT IN (SELECT call_id FROM c)
+  UNION ALL
+  SELECT conv_id, turn, 'message', NULL, NULL, FALSE,
+         '{"content":' || to_json(text)::VARCHAR || ',"role":' || to_json(role)::VARCHAR || ',"turn":' || turn || '}'
+  FROM conversations WHERE role NOT IN ('user', 'assistant'))
+SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn, kind, call_id) - 1 AS seq, turn, kind, call_id, name,
+       linked, TRUE AS valid, '' AS errors, json
+FROM r
+"""
+
+
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     rules = quality_rules(_table(spark, sf_dir, "documents"), vocabulary("piece_bpe_32k.model"))
     return rules.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "chars_per_token", "byte_share", "evenness")
@@ -100,5 +131,5 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score(docs, fit_on_labels(docs, _table(spark, sf_dir, "labels")))
 
 
-QUERIES = {f.__name__: f for f in (op1_token_counts, op2_decontamination, op3_line_dedup, op4_mix_sources, op5_url_filter, op6_token_files, op7_ngram_jaccard_join, op9_quality_rules, op10_toxicity)}
-ORACLES: dict[str, str] = {"op4_mix_sources": OP4_SQL}
+QUERIES = {f.__name__: f for f in (op1_token_counts, op2_decontamination, op3_line_dedup, op4_mix_sources, op5_url_filter, op6_token_files, op7_ngram_jaccard_join, op8_chat_tools, op9_quality_rules, op10_toxicity)}
+ORACLES: dict[str, str] = {"op4_mix_sources": OP4_SQL, "op8_chat_tools": OP8_SQL}
