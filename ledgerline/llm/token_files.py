@@ -27,7 +27,7 @@ from ledgerline.llm.common import ASCII_WORD, materialize, shared_path, text_sli
 from ledgerline.llm.huffman import SEGMENT, canonical_codes, code_lengths, decode, decode_table, encode
 
 #: Words of which a worker remembers the ids.
-_KNOWN_WORDS = 300_000
+_KNOWN_WORDS = 700_000
 #: Ids of a block and of a shard, about.
 BLOCK_IDS, SHARD_IDS = 1 << 18, 1 << 22
 _BLOCKS = "shard long, block long, n_ids long, doc_ids array<long>, doc_tokens array<long>, doc_bytes array<long>, checkpoints array<long>, payload binary"
@@ -69,8 +69,9 @@ class WordTokenizer:
 
     def _encode_words(self, words: list[str]) -> dict[str, bytes]:
         """By the library; runs of letters are one unit each, so one text holds many."""
-        plain = [w for w in words if self._letters.fullmatch(w)]
-        other = [w for w in words if not self._letters.fullmatch(w)]
+        plain, other = [], []
+        for w in words:
+            (plain if self._letters.fullmatch(w) else other).append(w)
         made: dict[str, bytes] = {}
         if other:
             for w, e in zip(other, self.tokenizer.encode_batch(other, add_special_tokens=False), strict=True):
