@@ -27,7 +27,7 @@ from ledgerline.llm.common import ASCII_WORD, materialize, shared_path, text_sli
 from ledgerline.llm.huffman import SEGMENT, canonical_codes, code_lengths, decode, decode_table, encode
 
 #: Words of which a worker remembers the ids.
-_KNOWN_WORDS = 700_000
+_KNOWN_WORDS = 450_000
 #: Ids of a block and of a shard, about.
 BLOCK_IDS, SHARD_IDS = 1 << 18, 1 << 22
 _BLOCKS = "shard long, block long, n_ids long, doc_ids array<long>, doc_tokens array<long>, doc_bytes array<long>, checkpoints array<long>, payload binary"
@@ -67,6 +67,11 @@ class WordTokenizer:
             cls._made[path] = cls(path)
         return cls._made[path]
 
+    @classmethod
+    def forget(cls) -> None:
+        """Free the tables of a worker that goes on to other work."""
+        cls._made.clear()
+
     def _encode_words(self, words: list[str]) -> dict[str, bytes]:
         """By the library; runs of letters are one unit each, so one text holds many."""
         plain, other = [], []
@@ -142,6 +147,7 @@ def _count(wide: bool, size: int):
 
 def _packed(lengths: np.ndarray, wide: bool):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        WordTokenizer.forget()
         codes = canonical_codes(lengths)
         kind = np.uint32 if wide else np.uint16
         for batch in batches:
