@@ -67,7 +67,7 @@ def remove_phrase(text: Column, phrase: Column | str) -> Column:
     """Text without the first whole-word occurrence of the phrase."""
     phrase = F.lit(phrase) if isinstance(phrase, str) else phrase
     padded = F.concat(F.lit(" "), text, F.lit(" "))
-    at = F.locate(F.lit(" "), F.lit(" ")) * 0 + F.instr(padded, F.concat(F.lit(" "), phrase, F.lit(" ")))
+    at = F.position(F.concat(F.lit(" "), phrase, F.lit(" ")), padded)
     cut = F.concat(F.substring(padded, F.lit(1), at), F.substring(padded, at + F.length(phrase) + 1, F.length(padded)))
     return F.when((phrase != "") & (at > 0), F.trim(F.regexp_replace(cut, " +", " "))).otherwise(text)
 
@@ -92,7 +92,7 @@ def extract_clean_trim(make: Column, model: Column, year: Column, title: Column)
     else its first two words that are neither identity nor stop words, at most
     40 characters; '' without any."""
     text = squeeze(F.coalesce(title, F.lit("")))
-    known = F.element_at(F.filter(F.array(*map(F.lit, KNOWN_TRIMS)), lambda t: has_phrase(text, t)), 1)
+    known = F.get(F.filter(F.array(*map(F.lit, KNOWN_TRIMS)), lambda t: has_phrase(text, t)), F.lit(0))
     own = F.split(F.concat_ws(" ", squeeze(make), squeeze(model), year.cast("string")), " ")
     words = F.filter(F.split(text, " "), lambda w: (w != "") & ~F.array_contains(own, w) & ~w.isin(*TITLE_STOPWORDS) & ~w.rlike("^[0-9]{4,}$"))
     return F.coalesce(known, F.substring(F.array_join(F.slice(words, 1, 2), " "), 1, 40))

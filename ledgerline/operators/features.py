@@ -17,7 +17,7 @@ def current_price_features(df: DataFrame, as_of_year: int, price: str = "price",
     reruns agree. Recency needs the last day of the table, one aggregated row."""
     last = df.agg(F.max(day).alias("__last"))
     age = F.greatest(F.lit(as_of_year) - F.col(year), F.lit(0)).cast("double")
-    miles = F.greatest(F.col(mileage).cast("double"), F.lit(0.0))
+    miles = F.when(F.col(mileage) < 0, 0.0).otherwise(F.col(mileage).cast("double"))
     d = df.crossJoin(F.broadcast(last)).withColumns({"vehicle_age": age, "log_mileage": F.log1p(miles)})
     return d.withColumns(
         {

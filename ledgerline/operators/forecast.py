@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from ledgerline.operators.history import latest
 from ledgerline.operators.models import preprocessor
+from ledgerline.session import cut_lineage
 
 #: Families whose libraries may be missing; they are reported as skipped.
 OPTIONAL_FAMILIES = ("sarimax", "prophet", "timesfm")
@@ -56,7 +57,7 @@ def recursive_forecast(model: PipelineModel, panel: DataFrame, keys: list[str],
         state = moved.withColumns(feedback | {"month_start": F.add_months("month_start", 1)})
         state = state.withColumns({c: f for c, f in {"month": F.month("month_start"), "quarter": F.quarter("month_start"), "cohort_month_number": F.col("cohort_month_number") + 1, "cohort_age_months": F.col("cohort_age_months") + 1}.items() if c in base}).select(*base)
         if step % checkpoint_every == 0:
-            state = state.checkpoint()
+            state = cut_lineage(state)
         rows = state.select(*keys, F.lit(step).alias("step"), F.col("month_start").alias("forecast_month"), F.col("median_price").alias("predicted_price"), (F.col("median_price") / F.nullif(F.col("observed_price"), F.lit(0.0)) - 1).alias("change_from_observed"))
         out = rows if out is None else out.unionByName(rows)
     return out
@@ -78,7 +79,7 @@ def global_backtest(panel: DataFrame, keys: list[str], numeric: list[str], horiz
             scored = fit_change_model(train, numeric, target).transform(test)
             rows = scored.select(*keys, F.lit(origin).cast("date").alias("origin_month"), F.col(month).alias("forecast_month"), F.col("median_price").alias("naive"), F.col(price).alias("actual"), F.greatest(F.col("median_price") * (1 + F.col("change")), F.lit(0.0)).alias("predicted"), F.lit("global").alias("model_family"))
             out = rows if out is None else out.unionByName(rows)
-        return out.checkpoint() if out is not None else p.limit(0).select(*keys)
+        return cut_lineage(out) if out is not None else p.limit(0).select(*keys)
     finally:
         p.unpersist()
 

@@ -77,7 +77,7 @@ def best_phrase(t: Column, phrases: Column) -> Column:
     """Of an array of phrases the one in the text with most words, then longest."""
     hits = F.filter(phrases, lambda p: text.has_phrase(t, p))
     ranked = F.transform(hits, lambda p: F.struct((-F.size(F.split(p, " "))).alias("w"), (-F.length(p)).alias("l"), p.alias("p")))
-    return F.element_at(F.array_sort(ranked), 1)["p"]
+    return F.get(F.array_sort(ranked), F.lit(0))["p"]
 
 
 def catalog_index(catalog: DataFrame) -> DataFrame:
@@ -112,8 +112,11 @@ def parse_titles(contexts: DataFrame, catalog: DataFrame | None = None, title: s
     catalog_model = best_phrase(F.col("__t"), names)
     d = d.withColumn("canonical_model", F.coalesce(F.nullif(F.col("__rmodel"), F.lit("")), catalog_model))
     d = d.withColumn("__amodel", F.when(text.has_phrase(F.col("__t"), F.coalesce("canonical_model", F.lit(""))), F.col("canonical_model")).otherwise(""))
-    rest = text.remove_phrase(text.remove_phrase(text.remove_phrase(F.col("__t"), F.coalesce(F.col("canonical_year").cast("string"), F.lit(""))), F.col("__amake")), F.col("__amodel"))
-    d = d.withColumn("__rest", text.clean_trim_remainder(rest))
+    # one column per step: a nested expression would repeat each step's text many times
+    d = d.withColumn("__rest", text.remove_phrase(F.col("__t"), F.coalesce(F.col("canonical_year").cast("string"), F.lit(""))))
+    d = d.withColumn("__rest", text.remove_phrase(F.col("__rest"), F.col("__amake")))
+    d = d.withColumn("__rest", text.remove_phrase(F.col("__rest"), F.col("__amodel")))
+    d = d.withColumn("__rest", text.clean_trim_remainder(F.col("__rest")))
 
     scoped = [
         F.when((F.col("canonical_make") == mk) & (F.col("canonical_model") == md) & F.col("canonical_year").between(a, b) & text.has_phrase(F.col("__t"), alias), name)
@@ -125,6 +128,8 @@ def parse_titles(contexts: DataFrame, catalog: DataFrame | None = None, title: s
     epa_trim = F.replace(best_phrase(F.col("__t"), suffixes), F.lit(" "), F.lit("_"))
     token = F.replace(F.nullif(F.col("__rest"), F.lit("")), F.lit(" "), F.lit("_"))
     left_over = F.when(F.col("canonical_model").isin("M3", "M4", "M5") & token.startswith("COMPETITION"), F.concat_ws("_", "canonical_model", token)).otherwise(token)
+    d = d.withColumns({"__alias": alias_trim, "__epa": epa_trim, "__left": left_over})
+    alias_trim, epa_trim, left_over = F.col("__alias"), F.col("__epa"), F.col("__left")
     d = d.withColumn("canonical_trim", F.coalesce(alias_trim, epa_trim, left_over, F.lit(UNKNOWN)))
     d = d.withColumn("canonical_trim_source", F.when(alias_trim.isNotNull(), "title_alias").when(epa_trim.isNotNull(), "title_epa").when(left_over.isNotNull(), "title_remainder").otherwise("unresolved"))
 
@@ -156,7 +161,7 @@ def parse_titles(contexts: DataFrame, catalog: DataFrame | None = None, title: s
             "normalization_version": F.lit(VERSION),
         }
     )
-    return d.drop("__t", "__rmake", "__rmodel", "__tyear", "__year", "__make", "__models", "__amake", "__amodel", "__rest", "__kind")
+    return d.drop("__t", "__rmake", "__rmodel", "__tyear", "__year", "__make", "__models", "__amake", "__amodel", "__rest", "__kind", "__alias", "__epa", "__left")
 
 
 def normalize_listings(listings: DataFrame, catalog: DataFrame | None = None, **columns: str) -> DataFrame:

@@ -50,8 +50,8 @@ def vehicle_entity(title: Column) -> Column:
     is one fold: it ends at a separator, a stop word or a lower-case word
     without digit or hyphen, and passes over years and empty words."""
     year = F.nullif(F.regexp_extract(title, r"\b(19[89]\d|20[0-2]\d)\b", 1), F.lit(""))
-    make = F.element_at(F.filter(F.array(*map(F.lit, MAKES)), lambda m: F.rlike(title, F.concat(F.lit(r"(?i)\b"), m, F.lit(r"\b")))), 1)
-    rest = F.regexp_replace(title, F.concat(F.lit(r"(?is)^.*?\b"), make, F.lit(r"\b")), F.lit(""))
+    found = F.coalesce(*[F.when(title.rlike(rf"(?i)\b{m}\b"), F.struct(F.lit(m).alias("make"), F.regexp_extract(title, rf"(?is)\b{m}\b(.*)$", 1).alias("rest"))) for m in MAKES])
+    make, rest = found["make"], found["rest"]
     state = F.struct(F.array().cast("array<string>").alias("words"), F.lit(False).alias("done"))
 
     def step(acc: Column, raw: Column) -> Column:
@@ -108,10 +108,10 @@ def lexicon_scores(c: Column) -> dict[str, Column]:
     words among those found, as (positive, negative). Any columns of that shape
     can replace it."""
     words = F.split(F.lower(c), r"[^a-z-]+")
+    hits = lambda listed: F.size(F.filter(words, lambda w: w.isin(*listed.split())))
     out = {}
     for aspect, (good, bad) in LEXICON.items():
-        g = F.size(F.filter(words, lambda w, good=good: w.isin(*good.split())))
-        b = F.size(F.filter(words, lambda w, bad=bad: w.isin(*bad.split())))
+        g, b = hits(good), hits(bad)
         total = F.greatest(g + b, F.lit(1))
         out[f"{aspect}_positive"], out[f"{aspect}_negative"] = g / total, b / total
     return out

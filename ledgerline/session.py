@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import SparkSession
+import tempfile
+
+from pyspark.sql import DataFrame, SparkSession
 
 
 def session(app: str = "ledgerline", master: str | None = None, shuffle_partitions: int | None = None, **conf: str) -> SparkSession:
@@ -25,3 +27,12 @@ def session(app: str = "ledgerline", master: str | None = None, shuffle_partitio
     for k, v in (fixed | conf).items():
         b = b.config(k, v)
     return b.getOrCreate()
+
+
+def cut_lineage(df: DataFrame) -> DataFrame:
+    """df.checkpoint() into the folder of spark.checkpoint.dir; a local session
+    without one gets a new folder."""
+    sc = df.sparkSession.sparkContext
+    if sc.getCheckpointDir() is None:
+        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir") or f"file://{tempfile.mkdtemp(prefix='ledgerline-')}")
+    return df.checkpoint()
