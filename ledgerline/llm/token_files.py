@@ -28,6 +28,8 @@ from ledgerline.llm.huffman import SEGMENT, canonical_codes, code_lengths, decod
 
 #: Words of which a worker remembers the ids.
 _KNOWN_WORDS = 450_000
+#: Characters tokenised and bytes of ids coded at a time: what stays in a core's cache.
+_SLICE_CHARS, _SLICE_BYTES = 1 << 16, 1 << 17
 #: Ids of a block and of a shard, about.
 BLOCK_IDS, SHARD_IDS = 1 << 18, 1 << 22
 _BLOCKS = "shard long, block long, n_ids long, doc_ids array<long>, doc_tokens array<long>, doc_bytes array<long>, checkpoints array<long>, payload binary"
@@ -120,7 +122,7 @@ def _tokenise(path: str, end_id: int | None, wide: bool):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = WordTokenizer.at(path)
         tail = b"" if end_id is None else np.array([end_id], kind).tobytes()
-        for part, texts in text_slices(batches, "text"):
+        for part, texts in text_slices(batches, "text", _SLICE_CHARS):
             rows = coder.encode(texts)
             if coder.width != kind().itemsize:
                 rows = [np.frombuffer(r, coder.code).astype(kind).tobytes() for r in rows]
@@ -155,7 +157,7 @@ def _packed(lengths: np.ndarray, wide: bool):
             payloads, points, at = [], [], 0
             while at < len(rows):
                 held, end = 0, at
-                while end < len(rows) and (end == at or held + len(rows[end]) <= 1 << 21):
+                while end < len(rows) and (end == at or held + len(rows[end]) <= _SLICE_BYTES):
                     held += len(rows[end])
                     end += 1
                 ids = np.frombuffer(b"".join(rows[at:end]), kind)
