@@ -85,7 +85,8 @@ def validate(calls: DataFrame, schemas: DataFrame) -> DataFrame:
     wrong = F.transform(F.filter("__params", lambda p: F.map_contains_key(F.col("__m"), p["param"]) & ~_fits(F.element_at("__m", p["param"]), p["type"])), lambda p: F.concat(F.lit("wrong type "), p["param"]))
     unknown = F.transform(F.filter(F.map_keys("__m"), lambda k: ~F.exists("__params", lambda p: p["param"] == k)), lambda k: F.concat(F.lit("unknown parameter "), k))
     errors = F.when(F.col("__params").isNull(), F.array(F.lit("unknown tool"))).when(F.col("__m").isNull(), F.array(F.lit("arguments are no object"))).otherwise(F.concat(missing, wrong, F.array_sort(unknown)))
-    canonical = F.coalesce(F.to_json("__v"), F.to_json(F.struct(F.coalesce("arguments", F.lit("")).alias("x"))).substr(F.lit(5), F.length(F.to_json(F.struct(F.coalesce("arguments", F.lit("")).alias("x")))) - 5))
+    quoted = F.to_json(F.struct(F.coalesce("arguments", F.lit("")).alias("x")))  # {"x":"..."}
+    canonical = F.coalesce(F.to_json("__v"), quoted.substr(F.lit(6), F.length(quoted) - 6))
     return c.withColumn("errors", errors).withColumn("canonical", canonical).drop("__tool", "__params", "__v", "__m")
 
 
@@ -96,7 +97,8 @@ def order_levels(calls: DataFrame, max_depth: int = 64) -> DataFrame:
     An edge to a later call raises the level above it, any other edge keeps it
     as high; levels spread along the edges until they rest. Each round is a join
     with those that rose last. Calls that still rise after max_depth rounds
-    depend on themselves, or on a longer chain: their level is null."""
+    depend on themselves, or on a longer chain: their level is null, and so is
+    that of the calls that wait for them."""
     at = calls.select("key", "call_id", F.col("turn").alias("own"))
     needs = calls.select("key", "call_id", "turn", F.explode("after").alias("need"))
     edges = needs.join(at.select("key", F.col("call_id").alias("need"), "own"), ["key", "need"]).select("key", "call_id", "need", (F.col("own") >= F.col("turn")).cast("int").alias("up"))
@@ -111,8 +113,17 @@ def order_levels(calls: DataFrame, max_depth: int = 64) -> DataFrame:
         new = merged.select("key", "call_id", F.greatest("level", "pushed").alias("level"), (F.col("pushed") > F.coalesce("level", F.lit(0))).alias("up"))
         new = materialize(new, "levels")
         levels, rose = new.drop("up"), new.where("up").drop("up")
-    still = rose.select("key", "call_id", F.lit(True).alias("cyclic"))
-    return levels.join(still, ["key", "call_id"], "left").select("key", "call_id", F.when(F.col("cyclic").isNull(), F.col("level")).alias("level"))
+    still = rose.select("key", "call_id")
+    front = still
+    for _ in range(max_depth):  # and whatever waits for one of them
+        waiting = edges.join(front.select("key", F.col("call_id").alias("need")), ["key", "need"]).select("key", "call_id").distinct()
+        front = materialize(waiting.join(still, ["key", "call_id"], "left_anti"), "waiting")
+        if front.isEmpty():
+            break
+        still = still.unionByName(front)
+    still = materialize(still, "cyclic").withColumn("cyclic", F.lit(True))
+    whole = levels.join(still, ["key", "call_id"], "full")
+    return whole.select("key", "call_id", F.when(F.col("cyclic").isNull(), F.col("level")).alias("level"))
 
 
 def link_tool_calls(calls: DataFrame, results: DataFrame, messages: DataFrame, schemas: DataFrame, max_depth: int = 64) -> DataFrame:
