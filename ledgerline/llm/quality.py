@@ -35,6 +35,9 @@ SCRIPTS = (
     ("hangul", ((0xAC00, 0xD7AF),)),
 )
 _MEASURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_tokens", "n_bytes_tokens", "n_chars_total")
+_BLANK_BYTES = tuple(f"<0x{b:02X}>" for b in (0x09, 0x0A, 0x0B, 0x0C, 0x0D, 0x20))
+#: Byte tokens that any text may hold, so that one odd letter fails no short text.
+FREE_BYTES = 3
 _models: dict[str, object] = {}
 
 
@@ -101,7 +104,8 @@ def token_evenness(ids: list[list[int]]) -> np.ndarray:
 def _measure(model_path: str):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = piece_model(model_path)
-        byte_ids = np.array([model.is_byte(i) for i in range(model.get_piece_size())])
+        # line ends and tabs are byte tokens in any text; they say nothing of its fit
+        byte_ids = np.array([model.is_byte(i) and model.id_to_piece(i) not in _BLANK_BYTES for i in range(model.get_piece_size())])
         for part, texts in text_slices(batches, "text"):
             lists = [ASCII_WORD.findall(t) for t in texts]
             flat = [w for x in lists for w in x]
@@ -141,7 +145,7 @@ def measure(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col:
     kind = source.schema["id"].dataType.simpleString()
     got = source.mapInArrow(_measure(model_path), f"id {kind}, band string, " + ", ".join(f"{m} long" for m in _MEASURES) + ", evenness double")
     per = F.when(F.col("n_tokens") > 0, F.col("n_chars_total") / F.col("n_tokens")).otherwise(0.0)
-    share = F.when(F.col("n_tokens") > 0, F.col("n_bytes_tokens") / F.col("n_tokens")).otherwise(0.0)
+    share = F.when(F.col("n_tokens") > 0, F.greatest(F.col("n_bytes_tokens") - FREE_BYTES, F.lit(0)) / F.col("n_tokens")).otherwise(0.0)
     return got.withColumn("chars_per_token", per).withColumn("byte_share", share).withColumnRenamed("id", id_col)
 
 
