@@ -11,10 +11,10 @@ holds whole documents; any block decodes with the code table alone."""
 from __future__ import annotations
 
 import array
+import gc
 import os
 import re
 import zlib
-from collections import Counter
 from collections.abc import Iterable, Iterator
 from itertools import islice
 
@@ -27,11 +27,11 @@ from ledgerline.llm.common import ASCII_WORD, materialize, shared_path, text_sli
 from ledgerline.llm.huffman import SEGMENT, canonical_codes, code_lengths, decode, decode_table, encode
 
 #: Words of which a worker remembers the ids.
-_KNOWN_WORDS = 450_000
+_KNOWN_WORDS = 700_000
 #: Characters tokenised and bytes of ids coded at a time: what stays in a core's cache.
 _SLICE_CHARS, _SLICE_BYTES = 1 << 16, 1 << 17
 #: Ids of a block and of a shard, about.
-BLOCK_IDS, SHARD_IDS = 1 << 18, 1 << 22
+BLOCK_IDS, SHARD_IDS = 1 << 16, 1 << 22
 _BLOCKS = "shard long, block long, n_ids long, doc_ids array<long>, doc_tokens array<long>, doc_bytes array<long>, checkpoints array<long>, payload binary"
 
 
@@ -62,6 +62,10 @@ class WordTokenizer:
         self.code = "H" if self.tokenizer.get_vocab_size() <= 1 << 16 else "I"
         self.width = array.array(self.code).itemsize
         self.known: dict[str, bytes] = {}
+        #: Whether an id ends a unit.
+        self.last = np.zeros(self.tokenizer.get_vocab_size(), bool)
+        for piece, i in self.tokenizer.get_vocab().items():
+            self.last[i] = piece.endswith("</w>")
 
     @classmethod
     def at(cls, path: str) -> WordTokenizer:
@@ -83,12 +87,13 @@ class WordTokenizer:
         if other:
             for w, e in zip(other, self.tokenizer.encode_batch(other, add_special_tokens=False), strict=True):
                 made[w] = array.array(self.code, e.ids).tobytes()
-        groups = [plain[i : i + self._together] for i in range(0, len(plain), self._together)]
-        for group, e in zip(groups, self.tokenizer.encode_batch([" ".join(g) for g in groups], add_special_tokens=False) if groups else [], strict=True):
-            ids, sizes, at = array.array(self.code, e.ids).tobytes(), Counter(e.word_ids), 0
-            for i, w in enumerate(group):
-                end = at + self.width * sizes[i]
-                made[w] = ids[at:end]
+        if plain:
+            groups = [" ".join(plain[i : i + self._together]) for i in range(0, len(plain), self._together)]
+            data = b"".join(array.array(self.code, e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(groups, add_special_tokens=False))
+            ends = ((np.flatnonzero(self.last[np.frombuffer(data, self.code)]) + 1) * self.width).tolist()
+            at = 0
+            for w, end in zip(plain, ends, strict=True):
+                made[w] = data[at:end]
                 at = end
         return made
 
@@ -121,6 +126,7 @@ def _tokenise(path: str, end_id: int | None, wide: bool):
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = WordTokenizer.at(path)
+        gc.disable()  # lists of bytes hold no cycles; looking for some costs a lot
         tail = b"" if end_id is None else np.array([end_id], kind).tobytes()
         for part, texts in text_slices(batches, "text", _SLICE_CHARS):
             rows = coder.encode(texts)
@@ -128,6 +134,7 @@ def _tokenise(path: str, end_id: int | None, wide: bool):
                 rows = [np.frombuffer(r, coder.code).astype(kind).tobytes() for r in rows]
             rows = [r + tail for r in rows]
             yield pa.RecordBatch.from_arrays([part.column(0), pa.array([len(r) // kind().itemsize for r in rows], pa.int64()), pa.array(rows, pa.binary())], ["id", "n", "ids"])
+        gc.enable()
 
     return run
 
