@@ -11,7 +11,7 @@ from __future__ import annotations
 import numpy as np
 
 #: Ids between two checkpoints of a document.
-SEGMENT = 512
+SEGMENT = 128
 
 
 def code_lengths(counts: np.ndarray, limit: int = 18) -> np.ndarray:
