@@ -184,27 +184,36 @@ def _packed(lengths: np.ndarray, wide: bool):
 
 
 def _blocks(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows in the order of (shard, id) to blocks of whole documents."""
     shard, block, held = None, 0, 0
-    rows: list[tuple] = []
+    some: list[pa.RecordBatch] = []
 
     def flush() -> pa.RecordBatch:
-        sizes = np.concatenate([[0], np.cumsum([len(r[3]) for r in rows])])[:-1]
-        return pa.RecordBatch.from_pylist(
-            [{"shard": shard, "block": block, "n_ids": sum(r[1] for r in rows), "doc_ids": [r[0] for r in rows], "doc_tokens": [r[1] for r in rows], "doc_bytes": sizes.tolist(), "checkpoints": [p for r in rows for p in r[2]], "payload": b"".join(r[3] for r in rows)}],
-            schema=_arrow_blocks,
-        )
+        rows = pa.Table.from_batches(some).combine_chunks()
+        payloads = rows.column("payload").to_pylist()
+        sizes = np.fromiter(map(len, payloads), np.int64, len(payloads))
+        points = pa.concat_arrays([c.flatten() for c in rows.column("points").chunks])
+        lists = [rows.column("id"), rows.column("n"), pa.chunked_array([pa.array(np.cumsum(sizes) - sizes)]), pa.chunked_array([points])]
+        whole = [pa.ListArray.from_arrays(pa.array([0, len(c)], pa.int32()), pa.concat_arrays(c.chunks).cast(pa.int64())) for c in lists]
+        numbers = [pa.array([int(x)], pa.int64()) for x in (shard, block, held)]
+        return pa.RecordBatch.from_arrays([*numbers, *whole, pa.array([b"".join(payloads)], pa.binary())], schema=_arrow_blocks)
 
     for batch in batches:
-        columns = [batch.column(batch.schema.get_field_index(c)).to_pylist() for c in ("shard", "id", "n", "points", "payload")]
-        for s, *row in zip(*columns, strict=True):
-            if rows and (s != shard or held >= BLOCK_IDS):
+        shards, sizes = (batch.column(batch.schema.get_field_index(c)).to_numpy() for c in ("shard", "n"))
+        at = 0
+        while at < len(shards):
+            if some and (shards[at] != shard or held >= BLOCK_IDS):
                 yield flush()
-                rows, held, block = [], 0, block + 1
-            if s != shard:
-                shard, block = s, 0
-            rows.append(tuple(row))
-            held += row[1]
-    if rows:
+                some, held, block = [], 0, block + 1
+            if shards[at] != shard:
+                shard, block = shards[at], 0
+            same = at + int(np.searchsorted(shards[at:], shard, "right"))
+            sums = np.cumsum(sizes[at:same])
+            end = min(same, at + int(np.searchsorted(sums, BLOCK_IDS - held)) + 1)
+            some.append(batch.slice(at, end - at))
+            held += int(sums[end - at - 1])
+            at = end
+    if some:
         yield flush()
 
 
