@@ -149,23 +149,23 @@ def measure(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col:
     return got.withColumn("chars_per_token", per).withColumn("byte_share", share).withColumnRenamed("id", id_col)
 
 
-def judge(measures: DataFrame, spread: float = 4.0, least_width: float = 0.1, max_repeat_percent: int = 30, min_words: int = 20) -> DataFrame:
+def judge(measures: DataFrame, spread: float = 4.0, least_width: float = 0.01, max_repeat_percent: int = 30, min_words: int = 20) -> DataFrame:
     """Adds base_failed, the fences of the row's band and kept.
 
     base_failed: fewer than min_words words, or more than max_repeat_percent of
     the words in repeated windows. The fences are `spread` interquartile ranges
-    (at least least_width of the median, as a small group may have none) beyond
-    the quartiles: chars_per_token on both sides, byte_share above, evenness
-    below. A group in which nothing passes the base rules rejects nothing more.
+    (of least_width, only where the quartiles are equal) beyond the quartiles of
+    the documents that pass the base rules: chars_per_token on both sides,
+    byte_share above, evenness below. A group in which nothing passes the base rules rejects nothing more.
     """
     failed = (F.col("n_words") < min_words) | (100 * F.col("n_repeat_words") > max_repeat_percent * F.col("n_words"))
     m = measures.withColumn("base_failed", failed)
-    quartiles = m.where(~F.col("base_failed")).groupBy("band").agg(*[F.percentile_approx(c, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)), 10_000).alias(f"q_{c}") for c in ("chars_per_token", "byte_share", "evenness")])
+    quartiles = m.where(~F.col("base_failed")).groupBy("band").agg(*[F.percentile_approx(c, F.array(F.lit(0.25), F.lit(0.75)), 10_000).alias(f"q_{c}") for c in ("chars_per_token", "byte_share", "evenness")])
 
     def fence(c: str, side: int):
         q = F.col(f"q_{c}")
-        width = F.greatest(q[2] - q[0], F.abs(q[1]) * least_width, F.lit(0.01))
-        return (q[2] + spread * width) if side > 0 else (q[0] - spread * width)
+        width = F.when(q[1] > q[0], q[1] - q[0]).otherwise(F.lit(least_width))
+        return (q[1] + spread * width) if side > 0 else (q[0] - spread * width)
 
     bands = quartiles.select(
         F.col("band").alias("__band"), fence("chars_per_token", -1).alias("min_chars_per_token"), fence("chars_per_token", 1).alias("max_chars_per_token"), fence("byte_share", 1).alias("max_byte_share"), fence("evenness", -1).alias("min_evenness")

@@ -1,10 +1,12 @@
 from __future__ import annotations
 
 import json
+import os
 import random
 import re
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from ledgerline.llm.chat_tools import exchanges, link_tool_calls, schema_table, tool_messages
@@ -148,6 +150,30 @@ def test_quality_bands(spark, empty):
     assert quality_rules(empty, MODEL).count() == 0
 
 
+def test_quality_method_rejects_labelled_junk(spark):
+    """Of the labelled documents that pass the base rules, the fences take junk
+    and leave clean text: a floor under the width must not swallow them."""
+    folder = "/root/testdata/sf0.1"
+    if not os.path.isdir(folder):
+        pytest.skip("no tables here")
+    labels = spark.read.parquet(f"{folder}/labels.parquet").where("quality is not null").select("doc_id", "quality")
+    rules = quality_rules(spark.read.parquet(f"{folder}/documents.parquet").repartition(8), MODEL).where("not base_failed")
+    by = {(x.quality, x.kept): x["count"] for x in rules.join(labels, "doc_id").groupBy("quality", "kept").count().collect()}
+    assert by.get((0, False), 0) >= 0.3 * (by.get((0, False), 0) + by[0, True])
+    assert by[1, True] >= 0.99 * (by[1, True] + by.get((1, False), 0))
+
+
+def test_quality_fences_are_as_wide_as_the_quartiles(spark):
+    """Prose of one language is tight: words with signs glued on are outside,
+    and a group whose quartiles are equal still keeps itself."""
+    prose = [(i, words(i, 300), "en") for i in range(60)]
+    glued = [(1000 + i, " ".join(w + s for w in words(500 + i, 100).split()), "en") for i, s in enumerate(("$$$", "%%%", "###"))]
+    same = [(2000 + i, words(7, 80), "de") for i in range(5)]
+    got = {x.doc_id: x for x in quality_rules(spark.createDataFrame(prose + glued + same, "doc_id long, text string, lang string"), MODEL).collect()}
+    assert all(got[i].kept for i, _, _ in prose + same)
+    assert not any(got[i].base_failed or got[i].kept for i, _, _ in glued)
+
+
 def toxic_sample(n, seed):
     r = random.Random(seed)
     out = []
