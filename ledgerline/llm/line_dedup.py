@@ -1,7 +1,7 @@
 """Fuzzy line deduplication by MinHash, in DataFrame operations only.
 
-1. A line's shingles are the runs of `width` characters from each word's start.
-   Minima of their hashes under XOR permutations give the bands.
+1. A line's shingles are the runs of `width` characters, from every character
+   or from each word's start. Minima of their hashes under XOR permutations give the bands.
 2. Lines are aggregated by their hash together with their minima, count and
    first place: a very common line is one row per task, and no text is shuffled.
 3. Lines that share a band form stars around the bucket's smallest line;
@@ -43,6 +43,17 @@ def shingles(line: Column, width: int = 12) -> Column:
     return F.regexp_extract_all(F.lower(line), F.lit(rf"(?<![^ ])(?=([^ ].{{0,{width - 1}}}))"), F.lit(1))
 
 
+def character_shingles(line: Column, width: int = 5) -> Column:
+    """Runs of `width` characters of the lower-cased line, one from every
+    character (blanks too); a shorter line is one shingle. A match never starts
+    inside a surrogate pair."""
+    return F.regexp_extract_all(F.lower(line), F.lit(rf"(?s)(?=([^\x{{DC00}}-\x{{DFFF}}].{{{width - 1}}}|\A.{{1,{width - 1}}}\z))"), F.lit(1))
+
+
+#: Ways to cut a line into shingles.
+KINDS = {"words": shingles, "characters": character_shingles}
+
+
 def _lines(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(place, line) of every line that holds more than white space."""
     ident = F.coalesce(F.col(id_col).cast("long"), F.lit((1 << 63) - 1)).cast("decimal(20,0)")
@@ -83,12 +94,14 @@ def _reached(others: Column, label: Callable, near: Callable) -> Column:
     return F.aggregate(others, F.array().cast("array<bigint>"), lambda acc, y: F.when(F.array_contains(acc, label(y)), acc).when(near(y), F.array_append(acc, label(y))).otherwise(acc))
 
 
-def line_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 12, threshold: float = 0.8, bands: int = 8, rows: int = 3) -> DataFrame:
+def line_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 12, threshold: float = 0.8, bands: int = 8, rows: int = 3, kind: str = "words") -> DataFrame:
     """The lines that occur more than once or have a near copy: (k1, k2: hashes
     of the trimmed line, n: its occurrences, keep: the place whose line its
-    class keeps, links: whether the class holds different lines)."""
+    class keeps, links: whether the class holds different lines). kind: see KINDS;
+    by words a change past a word's first characters, or past those of a line
+    without blanks, is not seen."""
     lines = _lines(docs, id_col, text_col).select(F.xxhash64("line").alias("k1"), F.xxhash64("line", F.lit(1)).alias("k2"), "place", "line")
-    grams = lines.select("k1", "k2", "place", F.posexplode_outer(shingles(F.col("line"), width)).alias("at", "gram")).select("k1", "k2", "place", "at", F.xxhash64("gram").alias("h"))
+    grams = lines.select("k1", "k2", "place", F.posexplode_outer(KINDS[kind](F.col("line"), width)).alias("at", "gram")).select("k1", "k2", "place", "at", F.xxhash64("gram").alias("h"))
     minima = [F.min(F.col("h").bitwiseXOR(F.lit(_permutation(i)))).alias(f"m{i}") for i in range(bands * rows)]
     signed = grams.groupBy("k1", "k2").agg(F.count_if(F.col("at") == 0).alias("n"), F.min("place").alias("place"), *minima)
     band = [F.xxhash64(F.lit(b), *[f"m{b * rows + r}" for r in range(rows)]) for b in range(bands)]
@@ -106,7 +119,7 @@ def line_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     slots = member.select(F.pmod("k1", F.lit(_SLOTS)).alias("slot")).distinct()
     texts = lines.select("k1", "line").join(F.broadcast(slots), F.pmod("k1", F.lit(_SLOTS)) == F.col("slot"), "left_semi").groupBy("k1").agg(F.min("line").alias("line"))
     sets = materialize(
-        texts.join(member, "k1").select("comp", "k1", "blocks", F.pmod(F.xxhash64("k1"), F.col("blocks")).alias("block"), F.array_distinct(F.transform(shingles(F.col("line"), width), lambda g: F.xxhash64(g))).alias("grams")),
+        texts.join(member, "k1").select("comp", "k1", "blocks", F.pmod(F.xxhash64("k1"), F.col("blocks")).alias("block"), F.array_distinct(F.transform(KINDS[kind](F.col("line"), width), lambda g: F.xxhash64(g))).alias("grams")),
         "candidates",
     )
     blocks = sets.groupBy("comp", "block").agg(F.array_sort(F.collect_list(F.struct("k1", "grams"))).alias("members"))

@@ -10,6 +10,7 @@ import ledgerline.llm.line_dedup as line_dedup
 from ledgerline.llm.common import connected_components
 from ledgerline.llm.line_dedup import dedup_lines
 from ledgerline.llm.ngram_join import banding, keep_representatives, ngram_join
+from ledgerline.llm.queries import op3_line_dedup
 from tests.llm.conftest import EDGE_ROWS, words
 
 
@@ -137,3 +138,27 @@ def test_lines_edges(edge, empty):
     assert dedup_lines(empty).count() == 0
     small = dedup_lines(edge, with_text=False)
     assert small.agg(F.sum("n_dropped")).first()[0] == sum(r.n_dropped for r in rows)
+
+
+def test_lines_by_every_character(spark, tmp_path):
+    """The query sees the whole of each line: with blanks or without, what
+    differs past a first word or past twelve characters counts."""
+    r = random.Random(11)
+    letters = "".join(map(chr, range(0x4E00, 0x4F00)))
+    word = lambda: "".join(r.choices("abcdefghij", k=r.randint(4, 6)))
+    apart = [f"https://example.org/{''.join(r.choices('abcdefghij', k=40))}" for _ in range(4)]
+    apart += ["2024-01-01\t1" + "".join(r.choices("0123456789\t", k=30)) + "7" for _ in range(4)]
+    apart += ["同じ始まりの十二文字の文章は" + "".join(r.choices(letters, k=40)) for _ in range(4)]
+    apart += ["a", "ab", "abcd", "\U0001f600" * 3, "\U0001f600" * 4 + "x"]
+    near = []
+    for n in (15, 17, 20, 22, 25):
+        w = [word() for _ in range(n)]
+        near.append((" ".join(w), " ".join(w[: n // 2] + ["xyzw"] + w[n // 2 + 1 :])))
+    base = "".join(r.choices(letters, k=120))
+    near.append((base, base[:3] + "変" + base[4:]))
+    lines = apart + [x for pair in near for x in pair]
+    spark.createDataFrame([(1, "\n".join(lines), "en", "a")], "doc_id long, text string, lang string, source string").write.parquet(str(tmp_path / "documents.parquet"))
+    row = op3_line_dedup(spark, str(tmp_path)).first()
+    sets = [{x[i : i + 5] for i in range(max(len(x) - 4, 1))} for x in lines]
+    want = [b for a, b in itertools.combinations(range(len(lines)), 2) if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])]
+    assert row.dropped == want == [len(apart) + 2 * i + 1 for i in range(len(near))]
