@@ -46,7 +46,7 @@ def m02(m):
 def t08(m):
     """Expanding rolling origins over the cohort panel, and their metrics."""
     panel = _panel(m)
-    origins = [r[0] for r in cohort.eligible_origins(panel, COHORT, "target_price_1m", 12).orderBy(F.desc("month_start")).limit(2).collect()]
+    origins = [r[0] for r in cohort.eligible_origins(panel, COHORT, "target_price_1m", 6).collect()]
     rows = forecast.global_backtest(panel, COHORT, NUMERIC, 1, sorted(origins))
     return kpi.kpi_scopes(rows, ["model_family"], COHORT)
 

@@ -284,3 +284,22 @@ def test_forecast_families():
     assert forecast.parse_families("Drift, drift,GLOBAL") == ["drift", "global"]
     with pytest.raises(ValueError):
         forecast.parse_families("nope")
+
+
+def test_backtest_query_takes_every_origin(spark, monkeypatch):
+    """t08 passes all origins of six months of history, not the latest ones."""
+    from ledgerline.operators import forecast
+    from ledgerline.plans import QUERIES, learning
+
+    seen = {}
+
+    def spy(panel, keys, numeric, horizon, origins, *more):
+        seen.update(origins=origins, want=[r[0] for r in cohort.eligible_origins(panel, keys, "target_price_1m", 6).collect()])
+        return panel.limit(0)
+
+    monkeypatch.setattr(forecast, "global_backtest", spy)
+    try:
+        QUERIES["t08_global_backtest"](spark, "/root/testdata/sf0.001")
+    except Exception:  # noqa: BLE001  the query goes on with columns that only the real rows have
+        assert seen
+    assert seen["origins"] == sorted(seen["want"]) and len(seen["origins"]) > 2
