@@ -15,6 +15,8 @@ from ledgerline.llm.common import materialize, prefix_sums
 REPLY_SCHEMA = (("reply", "text", "string", True), ("reply", "turn", "integer", True))
 #: Turns that share a range when the records of a conversation are numbered.
 _TURNS = 1 << 10
+#: Edges that the driver takes to peel the last of long chains.
+_REST = 1 << 16
 _CALLS = "conv_id long, turn long, call_id string, name string, arguments string, after array<string>"
 
 
@@ -59,6 +61,14 @@ def tool_messages(conversations: DataFrame) -> tuple[DataFrame, DataFrame, DataF
     return calls, results, plain
 
 
+def tool_calls_and_exchanges(conversations: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(calls, results, messages): turns in the tool protocol as tool_messages()
+    reads them, all other turns as exchanges()."""
+    calls, results, plain = tool_messages(conversations)
+    more, answers, messages = exchanges(plain.withColumnRenamed("content", "text"))
+    return calls.unionByName(more), results.unionByName(answers), messages
+
+
 def _fits(value: Column, kind: Column) -> Column:
     shape = F.schema_of_variant(value)
     whole = (shape == "BIGINT") | shape.rlike(r"^DECIMAL\(\d+,0\)$")
@@ -91,41 +101,63 @@ def validate(calls: DataFrame, schemas: DataFrame) -> DataFrame:
 
 
 def order_levels(calls: DataFrame, max_depth: int = 64) -> DataFrame:
-    """(key, call_id, level) of the calls that can't stay where the transcript has
-    them. Sorting by (level, turn) puts each call after those it depends on.
+    """(key, call_id, level) of the calls of conversations in which some call
+    can't stay where the transcript has it. Sorting by (level, turn) puts each
+    call after those it depends on.
 
     An edge to a later call raises the level above it, any other edge keeps it
-    as high; levels spread along the edges until they rest. Each round is a join
-    with those that rose last. Calls that still rise after max_depth rounds
-    depend on themselves, or on a longer chain: their level is null, and so is
-    that of the calls that wait for them."""
+    as high. Calls are peeled: a round settles the edges to calls that wait for
+    nothing, until none is left or none can be settled. What is left then
+    depends on itself or waits for a call that does: its level is null. After
+    max_depth rounds a rest of at most _REST edges is peeled on the driver; a
+    larger one goes on in rounds, however long its chains are."""
     at = calls.select("key", "call_id", F.col("turn").alias("own"))
     needs = calls.select("key", "call_id", "turn", F.explode("after").alias("need"))
     edges = needs.join(at.select("key", F.col("call_id").alias("need"), "own"), ["key", "need"]).select("key", "call_id", "need", (F.col("own") >= F.col("turn")).cast("int").alias("up"))
     edges = materialize(edges, "edges")
-    levels = materialize(edges.where("up = 1").select("key", "call_id").distinct().withColumn("level", F.lit(1)), "levels")
-    rose = levels
-    for _ in range(max_depth):
-        if rose.isEmpty():
-            return levels
-        pushed = edges.join(rose.select("key", F.col("call_id").alias("need"), "level"), ["key", "need"]).groupBy("key", "call_id").agg(F.max(F.col("level") + F.col("up")).alias("pushed"))
-        merged = levels.join(pushed, ["key", "call_id"], "full")
-        new = merged.select("key", "call_id", F.greatest("level", "pushed").alias("level"), (F.col("pushed") > F.coalesce("level", F.lit(0))).alias("up"))
-        new = materialize(new, "levels")
-        levels, rose = new.drop("up"), new.where("up").drop("up")
-    still = rose.select("key", "call_id")
-    front = still
-    for _ in range(max_depth):  # and whatever waits for one of them
-        waiting = edges.join(front.select("key", F.col("call_id").alias("need")), ["key", "need"]).select("key", "call_id").distinct()
-        front = materialize(waiting.join(still, ["key", "call_id"], "left_anti"), "waiting")
-        if front.isEmpty():
+    unmet = materialize(edges.join(edges.where("up = 1").select("key").distinct(), "key", "left_semi"), "unmet")
+    levels = unmet.select("key", "call_id", F.lit(0).alias("level")).limit(0)
+    rounds = 0
+    while not unmet.isEmpty():
+        if rounds >= max_depth and unmet.count() <= _REST:
+            return _with_rest(unmet, levels)
+        waits = unmet.select("key", F.col("call_id").alias("need")).distinct().withColumn("waits", F.lit(True))
+        marked = materialize(unmet.join(waits, ["key", "need"], "left"), "marked")
+        met = marked.where("waits is null")
+        if met.isEmpty():
             break
-        still = still.unionByName(front)
-    still = materialize(still, "cyclic").withColumn("cyclic", F.lit(True))
+        known = levels.select("key", F.col("call_id").alias("need"), "level")
+        raised = met.join(known, ["key", "need"], "left").select("key", "call_id", (F.coalesce("level", F.lit(0)) + F.col("up")).alias("level"))
+        levels = materialize(levels.unionByName(raised).groupBy("key", "call_id").agg(F.max("level").alias("level")), "levels")
+        unmet = marked.where("waits").drop("waits")
+        rounds += 1
+    still = unmet.select("key", "call_id").distinct().withColumn("cyclic", F.lit(True))
     whole = levels.join(still, ["key", "call_id"], "full")
     return whole.select("key", "call_id", F.when(F.col("cyclic").isNull(), F.col("level")).alias("level"))
 
 
+def _with_rest(unmet: DataFrame, levels: DataFrame) -> DataFrame:
+    """The levels with those of the rest, peeled on the driver."""
+    ends = unmet.select("key", "call_id").union(unmet.select("key", "need")).distinct()
+    level = {(r.key, r.call_id): r.level for r in levels.join(ends, ["key", "call_id"], "left_semi").collect()}
+    left, users = {}, {}
+    for r in unmet.collect():
+        own = (r.key, r.call_id)
+        left[own] = left.get(own, 0) + 1
+        users.setdefault((r.key, r.need), []).append((own, r.up))
+    ready = [x for x in users if x not in left]
+    while ready:
+        met = ready.pop()
+        for own, up in users.get(met, ()):
+            level[own] = max(level.get(own, 0), level.get(met, 0) + up)
+            left[own] -= 1
+            if not left[own]:
+                ready.append(own)
+    rows = [(*own, None if n else level[own]) for own, n in left.items()]
+    rest = unmet.sparkSession.createDataFrame(rows, "key string, call_id string, level int")
+    return levels.join(rest, ["key", "call_id"], "left_anti").unionByName(rest)
+
+
 def link_tool_calls(calls: DataFrame, results: DataFrame, messages: DataFrame, schemas: DataFrame, max_depth: int = 64) -> DataFrame:
     """One record per call (with its result), orphan result and message:
     (conv_id, seq, turn, kind, call_id, name, linked, valid, errors, json).

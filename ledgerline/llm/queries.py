@@ -6,7 +6,7 @@ import os
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ledgerline.llm.chat_tools import exchanges, link_tool_calls, schema_table
+from ledgerline.llm.chat_tools import link_tool_calls, schema_table, tool_calls_and_exchanges
 from ledgerline.llm.common import materialize, shared_path
 from ledgerline.llm.decontam import find_contamination
 from ledgerline.llm.line_dedup import dedup_lines
@@ -92,7 +92,7 @@ def op7_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_chat_tools(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return link_tool_calls(*exchanges(_table(spark, sf_dir, "conversations")), schema_table(spark))
+    return link_tool_calls(*tool_calls_and_exchanges(_table(spark, sf_dir, "conversations")), schema_table(spark))
 
 
 #: Plain exchanges have no repeated identifiers and no dependency on a later

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from ledgerline.llm.chat_tools import exchanges, link_tool_calls, schema_table, tool_messages
 from ledgerline.llm.decontam import alphabet_masks, decontaminate, find_contamination, myers, normalise, pieces
 from ledgerline.llm.quality import quality_rules, repeated_words
-from ledgerline.llm.queries import vocabulary
+from ledgerline.llm.queries import op8_chat_tools, vocabulary
 from ledgerline.llm.toxicity import OrdinalModel, drop_toxic, fit, fit_on_labels, score
 from ledgerline.llm.url_filter import RULES, AddressModel, RuleSet, filter_urls, fit_addresses, split_url
 from tests.llm.conftest import EDGE_ROWS, words
@@ -260,3 +260,32 @@ def test_exchanges_and_protocol(spark):
     assert call.linked and call.valid and len(out) == 2
     empty = conv.limit(0)
     assert link_tool_calls(*exchanges(empty), schema_table(spark)).count() == 0
+
+
+def test_long_chains_are_ordered_exactly(spark):
+    """One forward reference at the head of a chain of 200 calls moves all of
+    them, whatever max_depth is; only what depends on itself is cyclic."""
+    chain = [(1, i, f"c{i}", "t", "{}", [f"c{i - 1}"] if i else ["z"]) for i in range(200)] + [(1, 200, "z", "t", "{}", [])]
+    ring = [(2, i, f"r{i}", "t", "{}", [f"r{(i + 1) % 3}"]) for i in range(3)] + [(2, 3, "w", "t", "{}", ["r0"]), (2, 4, "free", "t", "{}", [])]
+    calls = spark.createDataFrame(chain + ring, CALLS)
+    none = spark.createDataFrame([], "conv_id long, turn long, call_id string, content string")
+    messages = spark.createDataFrame([], "conv_id long, turn long, role string, content string")
+    for depth in (0, 3):
+        rows = {r.call_id: r for r in link_tool_calls(calls, none, messages, schema_table(spark, (("t", "x", "string", False),)), max_depth=depth).collect()}
+        assert all(rows[c[2]].valid and not rows[c[2]].errors for c in chain) and rows["free"].valid
+        assert [rows[c].seq for c in ("z", *(f"c{i}" for i in range(200)))] == list(range(201))
+        assert {c for c, r in rows.items() if r.errors == "cyclic dependency"} == {"r0", "r1", "r2", "w"}
+
+
+def test_query_reads_tool_calls(spark, tmp_path):
+    rows = [
+        (1, 0, "user", "add"),
+        (1, 1, "assistant", '{"tool_calls": [{"id": "k", "name": "add", "arguments": {"x": 1}}]}'),
+        (1, 2, "tool", '{"tool_call_id": "k", "content": "3"}'),
+        (1, 3, "user", "thanks"),
+        (1, 4, "assistant", "welcome"),
+    ]
+    spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").write.parquet(str(tmp_path / "conversations.parquet"))
+    got = {r.call_id: r for r in op8_chat_tools(spark, str(tmp_path)).collect()}
+    assert got["k"].linked and got["k"].name == "add" and json.loads(got["k"].json)["result"] == "3"
+    assert got["1:3"].linked and not got["1:0"].linked and len(got) == 3
