@@ -4,10 +4,12 @@ slicing by text volume, word hashing, distributed union-find and prefix sums."""
 from __future__ import annotations
 
 import atexit
+import ctypes
 import re
 import tempfile
 import uuid
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -23,50 +25,110 @@ WORD = re.compile(r"\w+")
 #: Characters of text that a Python worker turns into words at a time.
 SLICE_CHARS = 1 << 20
 
+#: Bytes of an Arrow batch that goes to a Python worker, about.
+ARROW_BYTES = 4 << 20
+
 _own_tables: list[tuple[SparkSession, str]] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or for
-    local sessions without one a new folder that is then set as such."""
+    """The folder that driver and executors share: spark.checkpoint.dir. A local
+    session without one gets a new folder that is then set as such; on a cluster
+    its absence is an error, as executors would not see each other's files."""
     conf = spark.sparkContext.getConf()
-    base = spark.conf.get("spark.checkpoint.dir", None) or conf.get("spark.checkpoint.dir")
+    base = spark.conf.get("spark.checkpoint.dir", None) or conf.get("spark.checkpoint.dir") or spark.sparkContext.getCheckpointDir()
     if not base:
-        known = spark.sparkContext.getCheckpointDir()
-        base = known or f"file://{tempfile.mkdtemp(prefix='ledgerline-')}"
-        if not known:
-            spark.sparkContext.setCheckpointDir(base)
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        base = f"file://{tempfile.mkdtemp(prefix='ledgerline-')}"
+        spark.sparkContext.setCheckpointDir(base)
         spark.conf.set("spark.checkpoint.dir", base)
     return base.rstrip("/")
 
 
 def shared_path(spark: SparkSession, name: str) -> str:
-    """A new path in the shared folder, removed when the driver's Python ends."""
+    """A new path in the shared folder, removed by the scratch() around it, else
+    when the driver's Python ends."""
     path = f"{shared_dir(spark)}/ledgerline/{name}-{uuid.uuid4().hex[:12]}"
     _own_tables.append((spark, path))
     return path
 
 
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Write df as a table in the shared folder and read it back: this cuts the
-    lineage and survives the loss of any executor."""
+def materialize(df: DataFrame, name: str, path: str | None = None) -> DataFrame:
+    """Write df as a table in the shared folder (at path, if given) and read it
+    back: this cuts the lineage and survives the loss of any executor."""
     spark = df.sparkSession
-    path = shared_path(spark, name)
-    df.write.parquet(path)
+    path = path or shared_path(spark, name)
+    with shuffles_dropped(spark):
+        df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+@contextmanager
+def shuffles_dropped(spark: SparkSession) -> Iterator[None]:
+    """Shuffle files of what is written inside go when the write has ended."""
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, "true")
+    try:
+        yield
+    finally:
+        spark.conf.unset(name) if before is None else spark.conf.set(name, before)
+
+
+@contextmanager
+def scratch() -> Iterator[None]:
+    """Tables that are made inside are deleted at the end; what is returned from
+    inside must not read them any more."""
+    start = len(_own_tables)
+    try:
+        yield
+    finally:
+        _delete(start)
+
+
 @atexit.register
 def release_tables() -> None:
     """Delete the tables that materialize() and shared_path() made."""
-    while _own_tables:
-        spark, path = _own_tables.pop()
+    _delete(0)
+
+
+def _delete(start: int) -> None:
+    for spark, path in reversed(_own_tables[start:]):
         try:
-            jvm = spark.sparkContext._jvm
-            at = jvm.org.apache.hadoop.fs.Path(path)
+            at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
             at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
-        except Exception:  # the session may be gone already; the folder belongs to it
-            return
+        except Exception:  # that session may be gone already; its folder goes with it
+            continue
+    del _own_tables[start:]
+
+
+def bound_arrow(spark: SparkSession) -> None:
+    """Bound the bytes of the session's Arrow batches: with the default count of
+    rows a batch of long texts would take hundreds of megabytes on both sides."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if int(spark.conf.get(name, str(1 << 31)).rstrip("b") or 0) > ARROW_BYTES:
+        spark.conf.set(name, str(ARROW_BYTES))
+
+
+def trimmed(run: Callable[[Iterable[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterable[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """run, after which the worker hands its free memory back: Spark keeps
+    workers for the next stage."""
+
+    def whole(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(batches)
+        give_back()
+
+    return whole
+
+
+def give_back() -> None:
+    """Return freed memory to the system, where the C library can."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # not the GNU library
+        pass
 
 
 def text_slices(batches: Iterable[pa.RecordBatch], column: str, budget: int = SLICE_CHARS) -> Iterator[tuple[pa.RecordBatch, list[str]]]:

@@ -1,157 +1,229 @@
 """Fuzzy line deduplication by MinHash, in DataFrame operations only.
 
-1. A line's shingles are the runs of `width` characters, from every character
-   or from each word's start. Minima of their hashes under XOR permutations give the bands.
-2. Lines are aggregated by their hash together with their minima, count and
-   first place: a very common line is one row per task, and no text is shuffled.
-3. Lines that share a band form stars around the bucket's smallest line;
-   components of the stars are the candidates.
-4. Candidates are compared exactly, by the Jaccard similarity of their shingle
-   sets, within and then between blocks of bounded size; a comparison returns
-   the roots it reaches, never all its pairs.
-5. Union-find over the links; each component keeps the line that comes first."""
+1. Lines are aggregated by their hash (a very common line is one row per task)
+   and written once, bucketed by the hash, so that no later step moves texts
+   which it does not compare.
+2. A line's shingles are the runs of `width` characters from every character of
+   the lower-cased line. Their hashes are made 16 at a time as columns of one
+   row, minima of them under XOR permutations give the bands.
+3. Lines that share a band are compared exactly, by the Jaccard similarity of
+   their full shingle sets: first each with its bucket's smallest line, then in
+   what is left apart each with the largest, then, in buckets that still hold
+   lines of different components, all lines of different components, in blocks
+   of bounded size. A comparison returns the components it joins, never pairs.
+4. Union-find over the links; each component keeps the line that comes first."""
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
+from fractions import Fraction
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerline.llm.common import connected_components, materialize
+from ledgerline.llm.common import connected_components, materialize, scratch, shared_path, shuffles_dropped
 
 #: Lines of a block in the exact comparison, on average.
-BLOCK = 128
-#: Slots of the candidates' hashes that are broadcast to thin out the lines.
-_SLOTS = 1 << 20
-#: Place of an occurrence as one number: document id times this, plus the line's position.
-_PLACE = 1 << 32
-
-
-def _permutation(i: int) -> int:
-    """The i-th XOR constant: a multiplicative sequence, as a signed integer."""
+BLOCK = 64
+#: Shingles whose hashes are columns of one row, and shingles of a segment that is cut into such rows.
+_ROW, _SEGMENT = 16, 256
+#: Bands that are shuffled together.
+_BANDS = 4
+#: White space that does not count at a line's ends.
+_BLANK = " \t\r\x0b\x0c"
+
+
+def _permutation(i: int, of: int) -> int:
+    """The i-th of `of` XOR constants, as a signed integer: a multiplicative
+    sequence under leading bits that are all different, since minima under
+    constants that begin alike are often those of one shingle."""
     x = (i + 1) * 0x9E3779B97F4A7C15 & (1 << 64) - 1
     x = (x ^ x >> 30) * 0xBF58476D1CE4E5B9 & (1 << 64) - 1
     x = (x ^ x >> 27) * 0x94D049BB133111EB & (1 << 64) - 1
-    x ^= x >> 31
+    bits = max(1, (of - 1).bit_length())
+    x = (x ^ x >> 31) >> bits | int(f"{i:0{bits}b}"[::-1], 2) << 64 - bits
     return x - (1 << 64) if x >> 63 else x
 
 
-def shingles(line: Column, width: int = 12) -> Column:
-    """Runs of up to `width` characters of the lower-cased line, one from the
-    start of each word: each character after a blank or at the line's start."""
-    return F.regexp_extract_all(F.lower(line), F.lit(rf"(?<![^ ])(?=([^ ].{{0,{width - 1}}}))"), F.lit(1))
-
-
-def character_shingles(line: Column, width: int = 5) -> Column:
-    """Runs of `width` characters of the lower-cased line, one from every
-    character (blanks too); a shorter line is one shingle. A match never starts
-    inside a surrogate pair."""
-    return F.regexp_extract_all(F.lower(line), F.lit(rf"(?s)(?=([^\x{{DC00}}-\x{{DFFF}}].{{{width - 1}}}|\A.{{1,{width - 1}}}\z))"), F.lit(1))
+def band_rows(minima: int, rows: int, bands: int) -> list[list[int]]:
+    """The minima of each band: first disjoint runs, then strides across them,
+    which share one minimum with a run at most."""
+    runs = minima // rows
+    if bands > 2 * runs or rows > runs and bands > runs:
+        raise ValueError(f"{minima} minima make no {bands} bands of {rows}")
+    return [[r * rows + i for i in range(rows)] for r in range(runs)][:bands] + [[(i * rows + (i + s) % rows + s // rows * rows) % minima for i in range(rows)] for s in range(max(0, bands - runs))]
 
 
-#: Ways to cut a line into shingles.
-KINDS = {"words": shingles, "characters": character_shingles}
+def _once(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value), with value computed once."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
 
 
-def _lines(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(place, line) of every line that holds more than white space."""
-    ident = F.coalesce(F.col(id_col).cast("long"), F.lit((1 << 63) - 1)).cast("decimal(20,0)")
-    # the outer form: for the inner one Spark filters by the array's size first, and so splits each text twice
-    rows = docs.select(ident.alias("id"), F.posexplode_outer(F.split(F.col(text_col).cast("string"), "\n")).alias("pos", "line"))
-    rows = rows.select("id", "pos", F.btrim("line", F.lit(" \t\r\x0b\x0c")).alias("line")).where("line != ''")
-    return rows.select((F.col("id") * F.lit(_PLACE).cast("decimal(10,0)") + F.col("pos")).alias("place"), "line")
+def _points(line: Column) -> Column:
+    """The lower-cased line as four bytes a character."""
+    return F.encode(F.lower(line), "UTF-32")
 
 
-def _near(own: Column, other: Column, threshold: float) -> Column:
-    a, b = F.size(own), F.size(other)
-    both = F.size(F.array_intersect(own, other))
-    return (a >= F.lit(threshold) * b) & (b >= F.lit(threshold) * a) & (both >= F.lit(threshold) * (a + b - both))
+def _shingles(points: Column, width: int) -> Column:
+    """How many shingles a line has: a shorter line is one."""
+    return F.greatest(F.lit(1), (F.length(points) / 4).cast("int") - (width - 1))
 
 
-def _block_edges(members: Column, threshold: float) -> Column:
-    """Edges (src, dst) within a block, members being structs (k1, grams): one
-    fold gives each member the label of its first near predecessor and an edge
-    to each different label among them. A label that is reached needs no further
-    comparison, so a dense class costs about one per member, and every link's
-    connection is kept."""
-    start = F.struct(F.array().cast("array<bigint>").alias("labels"), F.array().cast("array<struct<src: bigint, dst: bigint>>").alias("edges"))
+def shingle_hashes(line: Column, width: int = 5) -> Column:
+    """Distinct hashes of the line's shingles: `width` characters from every one."""
+    return _once(_points(line), lambda p: F.array_distinct(F.transform(F.sequence(F.lit(0), _shingles(p, width) - 1), lambda i: F.xxhash64(F.substring(p, 4 * i + 1, F.lit(4 * width))))))
 
-    def step(acc: Column, i: Column) -> Column:
-        own = F.get(members, i)
-        before = F.zip_with(acc["labels"], F.slice(members, F.lit(1), i), lambda a, b: F.struct(a.alias("labels"), b.alias("m")))
-        labels = _reached(before, lambda y: y["labels"], lambda y: _near(own["grams"], y["m"]["grams"], threshold))
-        return F.struct(
-            F.array_append(acc["labels"], F.coalesce(F.get(labels, F.lit(0)), own["k1"])).alias("labels"),
-            F.concat(acc["edges"], F.transform(labels, lambda x: F.struct(own["k1"].alias("src"), x.alias("dst")))).alias("edges"),
-        )
 
-    return F.aggregate(F.sequence(F.lit(0), F.size(members) - 1), start, step, lambda acc: acc["edges"])
+def _signed(lines: DataFrame, key: str, minima: int, width: int) -> DataFrame:
+    """(key, m0, m1, ...): minima of the shingles' hashes under each permutation."""
+    rows = lines.select(key, _points(F.col("line")).alias("p")).withColumn("n", _shingles(F.col("p"), width))
+    for step in (_SEGMENT, _ROW):  # two cuts, so that a very long line is not copied for each row of it
+        at = F.explode(F.sequence(F.lit(0), ((F.col("n") - 1) / step).cast("int"))).alias("at")
+        rows = rows.select(key, "p", "n", at).select(key, F.substring("p", F.col("at") * (4 * step) + 1, F.lit(4 * (step + width - 1))).alias("p")).withColumn("n", _shingles(F.col("p"), width))
+    hashed = rows.select(key, "p", "n", F.xxhash64(F.substring("p", 1, 4 * width)).alias("h0"))
+    more = [F.when(F.col("n") > j, F.xxhash64(F.substring("p", 4 * j + 1, 4 * width))).otherwise(F.col("h0")).alias(f"h{j}") for j in range(1, _ROW)]
+    hashed = hashed.select(key, "h0", *more)
+    least = lambda i: F.least(*[F.col(f"h{j}").bitwiseXOR(F.lit(_permutation(i, minima))) for j in range(_ROW)])
+    return hashed.groupBy(key).agg(*[F.min(least(i)).alias(f"m{i}") for i in range(minima)])
 
 
-def _reached(others: Column, label: Callable, near: Callable) -> Column:
-    """Distinct labels of those that are near; a label found is not tried again."""
-    return F.aggregate(others, F.array().cast("array<bigint>"), lambda acc, y: F.when(F.array_contains(acc, label(y)), acc).when(near(y), F.array_append(acc, label(y))).otherwise(acc))
+def _document(id_col: str, text_col: str) -> list[Column]:
+    """What tells documents apart, in their order: id (null last), then text."""
+    ident = F.col(id_col).cast("long")
+    return [ident.isNull().alias("none"), F.coalesce(ident, F.lit(0)).alias("id"), F.xxhash64(F.col(text_col).cast("string")).alias("words")]
 
 
-def line_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 12, threshold: float = 0.8, bands: int = 8, rows: int = 3, kind: str = "words") -> DataFrame:
+def _lines(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(k1, k2, place, line) of every line that holds more than white space."""
+    # the outer form: for the inner one Spark filters by the array's size first, and so splits each text twice
+    rows = docs.select(*_document(id_col, text_col), F.posexplode_outer(F.split(F.col(text_col).cast("string"), "\n")).alias("pos", "line"))
+    rows = rows.withColumn("line", F.btrim("line", F.lit(_BLANK))).where("line != ''")
+    return rows.select(F.xxhash64("line").alias("k1"), F.xxhash64("line", F.lit(1)).alias("k2"), F.struct("none", "id", "words", "pos").alias("place"), "line")
+
+
+@contextmanager
+def _bucketed(df: DataFrame, key: str, name: str) -> Iterator[DataFrame]:
+    """df as a table in the shared folder, bucketed by key; joins and aggregations
+    by key then leave it where it is."""
+    spark: SparkSession = df.sparkSession
+    path = shared_path(spark, name)
+    table = "ledgerline_" + path.rsplit("/", 1)[1].replace("-", "_")
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    with shuffles_dropped(spark):
+        df.write.bucketBy(n, key).option("path", path).format("parquet").saveAsTable(table)
+    try:
+        yield spark.table(table)
+    finally:
+        spark.sql(f"DROP TABLE IF EXISTS {table}")
+
+
+def _near(a: Column, b: Column, threshold: Fraction) -> Column:
+    """Whether |a and b| / |a or b| reaches the threshold, in whole numbers."""
+    n, d = threshold.numerator, threshold.denominator
+    return (d * F.size(a) >= n * F.size(b)) & (d * F.size(b) >= n * F.size(a)) & ((n + d) * F.size(F.array_intersect(a, b)) >= n * (F.size(a) + F.size(b)))
+
+
+def _reached(own: Column, others: Column, threshold: Fraction) -> Column:
+    """Distinct roots, other than its own, of the others that a member is near
+    to; a root that is reached needs no further comparison. Members are structs
+    (k1, root, grams)."""
+    start = F.array().cast("array<bigint>")
+    return F.aggregate(others, start, lambda acc, y: F.when((y["root"] == own["root"]) | F.array_contains(acc, y["root"]), acc).when(_near(own["grams"], y["grams"], threshold), F.array_append(acc, y["root"])).otherwise(acc))
+
+
+def _with_grams(members: Column, width: int) -> Column:
+    return F.transform(members, lambda m: F.struct(m["k1"].alias("k1"), m["root"].alias("root"), shingle_hashes(m["line"], width).alias("grams")))
+
+
+def _edges(members: Column, others: Column) -> Column:
+    """(src, dst) of what the members reach in the others."""
+    return F.flatten(F.transform(members, lambda m: F.transform(others(m), lambda r: F.struct(m["root"].alias("src"), r.alias("dst")))))
+
+
+def _star(pairs: DataFrame, lines: DataFrame, threshold: Fraction, width: int) -> DataFrame:
+    """The pairs (src, hub) that are near: a hub's text goes once to each block of
+    about BLOCK lines that are compared with it, and is cut up once there."""
+    blocks = pairs.groupBy("hub").agg(F.ceil(F.count("*") / BLOCK).alias("blocks"))
+    dealt = pairs.join(blocks, "hub").select("src", "hub", F.pmod(F.xxhash64("src"), F.col("blocks")).alias("block"))
+    hubs = blocks.select(F.col("hub").alias("src"), "hub", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("block"))
+    texts = dealt.unionByName(hubs).join(lines.select(F.col("k1").alias("src"), "line"), "src")
+    sets = texts.groupBy("hub", "block").agg(F.max(F.when(F.col("src") == F.col("hub"), F.col("line"))).alias("own"), F.collect_list(F.when(F.col("src") != F.col("hub"), F.struct("src", "line"))).alias("members"))
+    near = _once(shingle_hashes(F.col("own"), width), lambda g: F.transform(F.filter("members", lambda m: _once(shingle_hashes(m["line"], width), lambda own: _near(own, g, threshold))), lambda m: m["src"]))
+    return sets.select(F.explode(near).alias("src"), F.col("hub").alias("dst"))
+
+
+def _apart(keyed: DataFrame, links: DataFrame, least: int) -> tuple[DataFrame, DataFrame]:
+    """Of the buckets with at least `least` lines, of more than one component: the
+    lines (band, k1, root, top: the bucket's largest component, n: its lines) and
+    all components (node, root)."""
+    classes = materialize(connected_components(links), "components")
+    rooted = keyed.join(classes.withColumnRenamed("node", "k1"), "k1", "left").withColumn("root", F.coalesce("root", "k1"))
+    counted = rooted.groupBy("band", "root").agg(F.count("*").alias("n")).groupBy("band").agg(F.max(F.struct("n", "root"))["root"].alias("top"), F.sum("n").alias("n"), F.count("*").alias("roots"))
+    open_ = counted.where((F.col("roots") > 1) & (F.col("n") >= least)).drop("roots")
+    return materialize(rooted.join(open_, "band"), "apart"), classes
+
+
+def _blocks(apart: DataFrame, lines: DataFrame, threshold: Fraction, width: int) -> DataFrame:
+    """Links between components of one bucket: lines are dealt to blocks, all of a
+    block compared, and then the lines outside the bucket's largest component
+    with every other block."""
+    dealt = apart.withColumn("blocks", F.ceil(F.col("n") / BLOCK)).withColumn("block", F.pmod(F.xxhash64("k1"), F.col("blocks"))).join(lines.select("k1", "line"), "k1")
+    member = F.struct("k1", "root", "line")
+    whole = materialize(dealt.groupBy("band", "block", "blocks").agg(F.collect_list(member).alias("members"), F.collect_list(F.when(F.col("root") != F.col("top"), member)).alias("strays")), "blocks")
+    inner = whole.select(_once(_with_grams(F.col("members"), width), lambda m: _edges(m, lambda own: _reached(own, m, threshold))).alias("edges"))
+    right = whole.select("band", F.col("block").alias("other"), F.col("members").alias("others"))
+    left = whole.where((F.col("blocks") > 1) & (F.size("strays") > 0)).select("band", "block", "strays", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("other")).where("other != block")
+    across = left.join(right, ["band", "other"]).select(_once(_with_grams(F.col("strays"), width), lambda s: _once(_with_grams(F.col("others"), width), lambda o: _edges(s, lambda own: _reached(own, o, threshold)))).alias("edges"))
+    return inner.unionByName(across).select(F.inline("edges"))
+
+
+def line_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, threshold: float = 0.8, minima: int = 60, rows: int = 6, bands: int = 16) -> DataFrame:
     """The lines that occur more than once or have a near copy: (k1, k2: hashes
-    of the trimmed line, n: its occurrences, keep: the place whose line its
-    class keeps, links: whether the class holds different lines). kind: see KINDS;
-    by words a change past a word's first characters, or past those of a line
-    without blanks, is not seen."""
-    lines = _lines(docs, id_col, text_col).select(F.xxhash64("line").alias("k1"), F.xxhash64("line", F.lit(1)).alias("k2"), "place", "line")
-    grams = lines.select("k1", "k2", "place", F.posexplode_outer(KINDS[kind](F.col("line"), width)).alias("at", "gram")).select("k1", "k2", "place", "at", F.xxhash64("gram").alias("h"))
-    minima = [F.min(F.col("h").bitwiseXOR(F.lit(_permutation(i)))).alias(f"m{i}") for i in range(bands * rows)]
-    signed = grams.groupBy("k1", "k2").agg(F.count_if(F.col("at") == 0).alias("n"), F.min("place").alias("place"), *minima)
-    band = [F.xxhash64(F.lit(b), *[f"m{b * rows + r}" for r in range(rows)]) for b in range(bands)]
-    table = materialize(signed.select("k1", "k2", "n", "place", F.array(*band).alias("bands")), "lines")
-
-    keyed = table.select("k1", F.explode("bands").alias("band"))
-    hubs = keyed.groupBy("band").agg(F.min("k1").alias("hub"), F.max("k1").alias("far")).where("hub != far").select("band", "hub")
-    stars = keyed.join(hubs, "band").where("k1 != hub").select(F.col("k1").alias("src"), F.col("hub").alias("dst"))
-    comps = connected_components(stars)
-
-    sizes = comps.groupBy("root").agg(F.ceil(F.count("*") / BLOCK).alias("blocks"))
-    member = comps.join(sizes, "root").select(F.col("node").alias("k1"), F.col("root").alias("comp"), "blocks")
-    member = materialize(member, "members")
-    # at most _SLOTS rows are broadcast, whatever the table: most other lines stop here
-    slots = member.select(F.pmod("k1", F.lit(_SLOTS)).alias("slot")).distinct()
-    texts = lines.select("k1", "line").join(F.broadcast(slots), F.pmod("k1", F.lit(_SLOTS)) == F.col("slot"), "left_semi").groupBy("k1").agg(F.min("line").alias("line"))
-    sets = materialize(
-        texts.join(member, "k1").select("comp", "k1", "blocks", F.pmod(F.xxhash64("k1"), F.col("blocks")).alias("block"), F.array_distinct(F.transform(KINDS[kind](F.col("line"), width), lambda g: F.xxhash64(g))).alias("grams")),
-        "candidates",
-    )
-    blocks = sets.groupBy("comp", "block").agg(F.array_sort(F.collect_list(F.struct("k1", "grams"))).alias("members"))
-    near = connected_components(blocks.select(F.inline_outer(_block_edges(F.col("members"), threshold))).where("src is not null"))
-
-    wide = sets.where("blocks > 1").join(near.select(F.col("node").alias("k1"), "root"), "k1", "left").withColumn("root", F.coalesce("root", "k1"))
-    wide = materialize(wide, "wide")
-    wide_blocks = wide.groupBy("comp", "block").agg(F.collect_list(F.struct("root", "grams")).alias("others")).withColumnRenamed("block", "other")
-    across = (
-        wide.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("block"))))
-        .where("other < block")
-        .join(wide_blocks, ["comp", "other"])
-        .select(F.col("root").alias("src"), F.explode_outer(_reached(F.filter("others", lambda y: y["root"] != F.col("root")), lambda y: y["root"], lambda y: _near(F.col("grams"), y["grams"], threshold))).alias("dst"))
-        .where("dst is not null")
-    )
-    first = near.select(F.col("node").alias("src"), F.col("root").alias("dst"))
-    classes = connected_components(first.unionByName(across)).select(F.col("node").alias("k1"), "root")
-
-    joined = table.select("k1", "k2", "n", "place").join(classes, "k1", "left").where("n > 1 or root is not null")
-    joined = joined.withColumn("root", F.coalesce("root", "k1"))
-    kept = joined.groupBy("root").agg(F.min("place").alias("keep"), F.count("*").alias("texts"))
-    return materialize(joined.join(kept, "root").select("k1", "k2", "n", "keep", (F.col("texts") > 1).alias("links")), "line-classes")
+    of the trimmed line, n: its occurrences, keep: the place whose line its class
+    keeps, links: whether the class holds different lines). With the defaults a
+    pair at the threshold shares a band with a probability of 0.98, one at 0.85
+    of 0.998 (README has what was measured). Bands are shuffled a few at a time,
+    so that shuffle files stay smaller than the texts."""
+    limit = Fraction(threshold).limit_denominator(1000)
+    lines = _lines(docs, id_col, text_col)
+    one = lines.groupBy("k1").agg(F.min(F.struct("k2", "place", "line")).alias("one"), F.count("*").alias("n")).select("k1", "one.k2", "n", "one.place", "one.line")
+    at = shared_path(docs.sparkSession, "line-classes")
+    with scratch():
+        with _bucketed(one, "k1", "lines") as table:
+            design = band_rows(minima, rows, bands)
+            signed = _signed(table, "k1", minima, width)
+            signed = materialize(signed.select("k1", F.array(*[F.xxhash64(F.lit(b), *[f"m{i}" for i in own]) for b, own in enumerate(design)]).alias("bands")), "bands")
+            keyed = None
+            for at_band in range(0, bands, _BANDS):
+                some = signed.select("k1", F.explode(F.slice("bands", at_band + 1, _BANDS)).alias("band"))
+                hubs = some.groupBy("band").agg(F.min("k1").alias("hub"), F.max("k1").alias("far")).where("hub != far")
+                found = materialize(some.join(hubs, "band"), "buckets")
+                keyed = found if keyed is None else keyed.unionByName(found)
+            pairs = keyed.where("k1 != hub").select(F.col("k1").alias("src"), "hub").distinct()
+            links = materialize(_star(pairs, table, limit, width), "links")
+            apart, classes = _apart(keyed.select("k1", "band", "far"), links, 3)
+            if not apart.isEmpty():
+                roots = apart.select(F.col("k1").alias("hub"), F.col("root").alias("far_root")).distinct()
+                pairs = apart.where("k1 != far").select(F.col("k1").alias("src"), F.col("far").alias("hub"), "root").join(roots, "hub").where("root != far_root").select("src", "hub").distinct()
+                links = materialize(links.unionByName(_star(pairs, table, limit, width)), "links")
+                apart, classes = _apart(apart.select("k1", "band", "far"), links, 4)
+            if not apart.isEmpty():
+                tops = classes.select(F.col("node").alias("src"), F.col("root").alias("dst"))
+                classes = connected_components(tops.unionByName(_blocks(apart, table, limit, width)))
+            joined = table.select("k1", "k2", "n", "place").join(classes.withColumnRenamed("node", "k1"), "k1", "left").where("n > 1 or root is not null")
+            joined = materialize(joined.withColumn("root", F.coalesce("root", "k1")), "classes")
+        kept = joined.groupBy("root").agg(F.min("place").alias("keep"), F.count("*").alias("texts"))
+        found = joined.join(kept, "root").select("k1", "k2", "n", "keep", (F.col("texts") > 1).alias("links"))
+        return materialize(found, "line-classes", at)
 
 
 def dropped_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
-    """(id, dropped): positions of the lines that go, of the documents that lose
-    any. id is the document's, the largest long for a null one."""
+    """(none, id, words, dropped): positions of the lines that go, of the
+    documents that lose any, told apart as dedup_lines() does."""
     classes = line_classes(docs, id_col, text_col, **how)
-    places = _lines(docs, id_col, text_col).select("place", F.xxhash64("line").alias("k1"), F.xxhash64("line", F.lit(1)).alias("k2"))
-    gone = places.join(classes, ["k1", "k2"]).where("place != keep")
-    at = F.floor(F.col("place") / F.lit(_PLACE).cast("decimal(10,0)"))
-    return gone.select(at.cast("long").alias("id"), (F.col("place") - at * F.lit(_PLACE)).cast("int").alias("pos")).groupBy("id").agg(F.array_sort(F.collect_set("pos")).alias("dropped"))
+    gone = _lines(docs, id_col, text_col).select("k1", "k2", "place").join(classes.select("k1", "k2", "keep"), ["k1", "k2"]).where("place != keep")
+    return gone.groupBy("place.none", "place.id", "place.words").agg(F.array_sort(F.collect_set("place.pos")).alias("dropped"))
 
 
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", with_text: bool = True, **how) -> DataFrame:
@@ -159,21 +231,25 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     table taken out: all columns of docs, the text without the dropped lines
     (unless with_text is off), n_lines, n_dropped and dropped (positions).
 
-    Of each class of lines the first by (id, position) stays. Lines are compared
-    without white space at their ends; blank lines are never dropped; each
-    holds a shingle, the start of its first word. Two lines are near if the Jaccard similarity of their shingle sets
-    is at least `threshold`. A null text has no lines and stays null. Rows with
-    one id are one document: what goes from one goes from all; null ids come
-    last and count as one document. Lines are told apart by 128-bit hashes,
-    candidates by 64 bits of them. An empty table gives no rows."""
-    gone = dropped_lines(docs, id_col, text_col, **how).withColumnRenamed("id", "__id")
-    split = F.split(F.col(text_col).cast("string"), "\n")
-    key = F.coalesce(F.col(id_col).cast("long"), F.lit((1 << 63) - 1))
-    base = (docs if with_text else docs.select(id_col, text_col)).withColumn("__lines", F.coalesce(F.size(split), F.lit(0)) if not with_text else split).withColumn("__key", key)
-    if not with_text:
-        base = base.drop(text_col)
-    out = base.join(gone, F.col("__key") == F.col("__id"), "left").withColumn("dropped", F.coalesce("dropped", F.array().cast("array<int>")))
+    Of each class of lines the first by (id, text's hash, position) stays, null
+    ids last. Lines are compared without white space at their ends; blank lines
+    are never dropped; a line of fewer than `width` characters is one shingle.
+    Two lines are near if the Jaccard similarity of their shingle sets is at
+    least `threshold`; case does not count. A null text has no lines and stays
+    null. Documents are told apart by id and text: rows with one id (or none)
+    and different texts are different documents, rows alike in both are one and
+    lose the same lines. Lines are told apart by 128-bit hashes: of two lines
+    with one 64-bit hash the second stays wherever it is. Extra columns pass
+    through, but for those with the names of results, which are replaced. An
+    empty table gives no rows."""
+    key = ["__none", "__id", "__words"]
+    gone = dropped_lines(docs, id_col, text_col, **how).toDF(*key, "__dropped")
+    text = F.col(text_col).cast("string")
+    n_lines = F.greatest(F.coalesce(F.size(F.split(text, "\n")), F.lit(0)), F.lit(0)).cast("long")
+    base = docs.select(*(docs.columns if with_text else [id_col]), *[c.alias(k) for c, k in zip(_document(id_col, text_col), key, strict=True)], n_lines.alias("__n_lines"))
+    out = base.join(gone, key, "left").withColumn("__dropped", F.coalesce("__dropped", F.array().cast("array<int>")))
     if with_text:
-        stay = F.filter(F.col("__lines"), lambda x, i: ~F.array_contains(F.col("dropped"), i))
-        out = out.withColumn(text_col, F.when(F.size("dropped") == 0, F.col(text_col)).otherwise(F.array_join(stay, "\n"))).withColumn("__lines", F.greatest(F.size("__lines"), F.lit(0)))
-    return out.withColumn("n_lines", F.when(F.col("__lines") < 0, 0).otherwise(F.col("__lines")).cast("long")).withColumn("n_dropped", F.size("dropped").cast("long")).drop("__lines", "__key", "__id")
+        stay = F.filter(F.split(text, "\n"), lambda x, i: ~F.array_contains(F.col("__dropped"), i))
+        out = out.withColumn(text_col, F.when(F.size("__dropped") == 0, F.col(text_col)).otherwise(F.array_join(stay, "\n")))
+    made = {"n_lines": F.col("__n_lines"), "n_dropped": F.size("__dropped").cast("long"), "dropped": F.col("__dropped")}
+    return out.select(*[c for c in (docs.columns if with_text else [id_col]) if c not in made], *[c.alias(n) for n, c in made.items()])

@@ -42,7 +42,7 @@ def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return dedup_lines(_table(spark, sf_dir, "documents"), with_text=False, kind="characters", width=5).select("doc_id", "n_lines", "n_dropped", "dropped")
+    return dedup_lines(_table(spark, sf_dir, "documents"), with_text=False)
 
 
 def op4_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -4,11 +4,13 @@ import itertools
 import random
 import re
 
+import numpy as np
+import xxhash
 from pyspark.sql import functions as F
 
 import ledgerline.llm.line_dedup as line_dedup
 from ledgerline.llm.common import connected_components
-from ledgerline.llm.line_dedup import dedup_lines
+from ledgerline.llm.line_dedup import band_rows, dedup_lines
 from ledgerline.llm.ngram_join import banding, keep_representatives, ngram_join
 from ledgerline.llm.queries import op3_line_dedup
 from tests.llm.conftest import EDGE_ROWS, words
@@ -89,26 +91,40 @@ def test_join_edges(edge, empty):
     assert kept.count(None) == 2
 
 
-def shingle_set(line, width=12):
+def shingle_set(line, width=5):
     low = line.lower()
-    return {m.group(1) for m in re.finditer(rf"(?<![^ ])(?=([^ ].{{0,{width - 1}}}))", low)}
+    return {low[i : i + width] for i in range(max(1, len(low) - width + 1))}
 
 
 def brute_lines(docs):
-    places = [(d, p, line.strip(" \t\r\v\f")) for d, t in docs for p, line in enumerate((t or "").split("\n"))]
-    places = [x for x in places if x[2]]
-    lines = list(dict.fromkeys(x[2] for x in sorted(places)))
+    """{(id, text): dropped positions} of documents (id, text), by all pairs."""
+    key = lambda d, t: (d is None, d or 0, (xxhash.xxh64_intdigest((t or "").encode(), 42) + (1 << 63)) % (1 << 64))
+    places = sorted({(key(d, t), p, line.strip(" \t\r\v\f"), d, t) for d, t in docs for p, line in enumerate((t or "").split("\n")) if line.strip(" \t\r\v\f")}, key=lambda x: x[:2])
+    lines = list(dict.fromkeys(x[2] for x in places))
     sets = [shingle_set(x) for x in lines]
-    links = [(a, b) for a, b in itertools.combinations(range(len(lines)), 2) if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])]
+    links = [(a, b) for a, b in itertools.combinations(range(len(lines)), 2) if 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b])]
     classes = dict(zip(lines, find_classes(len(lines), links), strict=True))
     first = {}
-    for d, p, line in sorted(places):
-        first.setdefault(classes[line], (d, p))
+    for k, p, line, _, _ in places:
+        first.setdefault(classes[line], (k, p))
     gone = {}
-    for d, p, line in places:
-        if first[classes[line]] != (d, p):
-            gone.setdefault(d, set()).add(p)
-    return {d: sorted(v) for d, v in gone.items()}
+    for k, p, line, d, t in places:
+        if first[classes[line]] != (k, p):
+            gone.setdefault((d, t), []).append(p)
+    return gone
+
+
+#: Banding that finds any pair at the threshold, to test what follows it.
+SURE = {"minima": 60, "rows": 2, "bands": 30}
+
+
+def test_bands():
+    for minima, rows, bands in ((60, 6, 16), (60, 2, 30), (60, 6, 10)):
+        design = band_rows(minima, rows, bands)
+        assert len(design) == bands and all(len(set(x)) == rows and max(x) < minima for x in design)
+        assert all(len(set(a) & set(b)) <= 1 for a, b in itertools.combinations(design, 2))
+    hits = np.random.default_rng(1).random((20_000, 60)) < 0.8
+    assert np.any([hits[:, x].all(1) for x in band_rows(60, 6, 16)], 0).mean() > 0.975
 
 
 def test_lines_match_brute_force(spark, monkeypatch):
@@ -121,12 +137,38 @@ def test_lines_match_brute_force(spark, monkeypatch):
     docs = [(i, "\n".join(r.choice(pool) + ("  " if k % 2 else "") for k in range(r.randint(1, 6))) + "\n\n") for i in range(60)]
     df = spark.createDataFrame(docs, "doc_id long, text string")
     want = brute_lines(docs)
-    for block in (128, 2):
+    for block in (64, 2):
         monkeypatch.setattr(line_dedup, "BLOCK", block)
-        got = {x.doc_id: x for x in dedup_lines(df).collect()}
-        assert {d: x.dropped for d, x in got.items() if x.dropped} == want
-        for d, t in docs:
-            assert got[d].text == "\n".join(x for p, x in enumerate(t.split("\n")) if p not in want.get(d, ()))
+        got = {(x.doc_id, x.text): x for x in dedup_lines(df.withColumn("dropped", F.lit(1)), **SURE).collect()}
+        wanted = {(d, "\n".join(x for p, x in enumerate(t.split("\n")) if p not in want.get((d, t), ()))): want.get((d, t), []) for d, t in docs}
+        assert {k: x.dropped for k, x in got.items()} == wanted
+
+
+def test_chains_within_a_bucket(spark, monkeypatch):
+    """Lines that drift apart one change at a time: ends are far from the
+    bucket's hubs, so all three comparisons are needed."""
+    monkeypatch.setattr(line_dedup, "BLOCK", 4)
+    r = random.Random(3)
+    chain = [list(words(50, 40))]
+    for _ in range(40):
+        t = list(chain[-1])
+        t[r.randrange(len(t))] = r.choice("xyzq")
+        chain.append(t)
+    lines = ["".join(t) for t in chain]
+    docs = [(i, x) for i, x in enumerate(lines)]
+    got = {x.doc_id: x.dropped for x in dedup_lines(spark.createDataFrame(docs, "doc_id long, text string"), with_text=False, **SURE).collect()}
+    want = brute_lines(docs)
+    assert {(d, lines[d]): x for d, x in got.items() if x} == want and len(want) == 40
+
+
+def test_documents_are_told_apart_by_id_and_text(spark):
+    """No line without a near copy goes, whatever the ids are."""
+    shared = words(70, 12)
+    docs = [(None, words(71, 9) + "\n" + shared), (None, words(72, 9) + "\n" + shared), (5, words(73, 9)), (5, words(74, 9) + "\n" + shared), (6, shared), (6, shared), (None, None), (7, "")]
+    got = dedup_lines(spark.createDataFrame(docs, "doc_id long, text string"), with_text=False).collect()
+    assert len(got) == len(docs)
+    want = sorted([sorted(brute_lines(docs).get(d, [])) for d in docs])
+    assert sorted(x.dropped for x in got) == want == [[], [], [], [], [0], [0], [1], [1]]
 
 
 def test_lines_edges(edge, empty):
