@@ -107,7 +107,8 @@ def bound_arrow(spark: SparkSession) -> None:
     """Bound the bytes of the session's Arrow batches: with the default count of
     rows a batch of long texts would take hundreds of megabytes on both sides."""
     name = "spark.sql.execution.arrow.maxBytesPerBatch"
-    if int(spark.conf.get(name, str(1 << 31)).rstrip("b") or 0) > ARROW_BYTES:
+    bound = str(spark.conf.get(name)).lower().rstrip("b")
+    if not bound.isdigit() or int(bound) > ARROW_BYTES:
         spark.conf.set(name, str(ARROW_BYTES))
 
 

@@ -3,7 +3,8 @@
 An item of m characters may occur with at most k = floor(rate * m) edits. Cut
 into k + 1 pieces, at least one piece must occur unchanged, so exact piece hits
 (one Aho-Corasick pass over each whole text) find every candidate place, and
-Myers' bit-parallel algorithm gives the distance there."""
+Myers' bit-parallel algorithm gives the distance there. An item too short for
+edits to mean anything must occur as it is, in whole words."""
 
 from __future__ import annotations
 
@@ -14,11 +15,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerline.llm.common import WORD, text_slices
+from ledgerline.llm.common import WORD, bound_arrow, materialize, text_slices, trimmed
 
 #: Characters of benchmark text that one pass searches for; more text is
 #: searched for in further passes, so what is sent to executors is bounded.
 BLOCK_CHARS = 4_000_000
+#: Budget of an item that must occur as it is.
+_WHOLE = -1
 
 
 def normalise(text: str) -> str:
@@ -76,10 +79,10 @@ class Searcher:
         found: dict[str, list[tuple[int, int]]] = defaultdict(list)
         for item_id, text in items:
             clean = normalise(text or "")
-            if len(clean) < min_chars:
+            if not clean:
                 continue
-            k = int(rate * len(clean))
-            for offset, piece in pieces(clean, k):
+            k = int(rate * len(clean)) if len(clean) >= min_chars else _WHOLE
+            for offset, piece in pieces(clean, max(k, 0)):
                 found[piece].append((len(self.items), offset))
             self.items.append((item_id, clean, k, alphabet_masks(clean)))
         self.automaton = ahocorasick.Automaton()
@@ -110,6 +113,10 @@ class Searcher:
         out = []
         for item, at in starts.items():
             item_id, own, k, _ = self.items[item]
+            if k == _WHOLE:
+                if any(clean[s - 1 : s] in ("", " ") and clean[s + len(own) : s + len(own) + 1] in ("", " ") for s in at):
+                    out.append((item_id, 0))
+                continue
             windows: list[list[int]] = []
             for s in sorted(at):
                 a, b = max(0, s - k), min(len(clean), s + len(own) + k)
@@ -127,52 +134,81 @@ class Searcher:
         return sorted(out)
 
 
-def _item_blocks(benchmark: DataFrame, id_col: str, text_col: str) -> Iterator[list[tuple[int, str]]]:
+_searchers: dict[int, Searcher] = {}
+
+
+def _searcher(items: list[tuple[int, str]], rate: float, min_chars: int) -> Searcher:
+    """The searcher of a block, made once per worker; only the last is kept."""
+    key = hash((tuple(items), rate, min_chars))
+    if key not in _searchers:
+        _searchers.clear()
+        _searchers[key] = Searcher(items, rate, min_chars)
+    found = _searchers[key]
+    found.known.clear()
+    return found
+
+
+def _item_blocks(benchmark: DataFrame, id_col: str, text_col: str) -> Iterator[tuple[list[tuple[int, str]], bool]]:
+    """The items in blocks of about BLOCK_CHARS, each with whether it is the only
+    one; the driver holds two at a time."""
     some: list[tuple[int, str]] = []
-    held = 0
+    before: list[tuple[int, str]] | None = None
+    held, several = 0, False
     for row in benchmark.select(F.col(id_col).cast("long"), F.col(text_col).cast("string")).toLocalIterator():
+        if held >= BLOCK_CHARS:
+            if before is not None:
+                several = True
+                yield before, False
+            before, some, held = some, [], 0
         some.append((row[0], row[1] or ""))
         held += len(some[-1][1])
-        if held >= BLOCK_CHARS:
-            yield some
-            some, held = [], 0
+    if before is not None:
+        yield before, False
     if some:
-        yield some
+        yield some, not several and before is None
 
 
 def find_contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", rate: float = 0.08, min_chars: int = 20) -> DataFrame:
     """Rows (id_col, item_col, distance) for every document in which a benchmark
     item occurs with at most floor(rate * length) edits, over lower-cased words.
 
-    Each whole text is read once per block of benchmark text. Null and empty
-    texts match nothing; items of fewer than `min_chars` characters after
-    normalisation (null ones too) are not evidence and match nothing. Repeated
-    rows give repeated results; an empty table on either side gives none."""
+    Each whole text is read once per block of benchmark text; with several
+    blocks the hits of each are written before the next is fetched. An item of
+    fewer than `min_chars` characters after normalisation must occur unchanged
+    and as whole words. Null and empty texts and items match nothing. Repeated
+    rows give repeated results, null ids are reported as null; extra columns are
+    ignored; an empty table on either side gives none."""
     spark = docs.sparkSession
+    bound_arrow(spark)
     schema = f"{id_col} long, {item_col} long, distance long"
     source = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    out = spark.createDataFrame([], schema)
-    for items in _item_blocks(benchmark, item_col, item_text_col):
+    out = None
+    for items, only in _item_blocks(benchmark, item_col, item_text_col):
 
         def run(batches: Iterable[pa.RecordBatch], items: list[tuple[int, str]] = items) -> Iterator[pa.RecordBatch]:
-            searcher = Searcher(items, rate, min_chars)
+            searcher = _searcher(items, rate, min_chars)
             for part, texts in text_slices(batches, "text"):
                 rows = [(i.as_py(), *hit) for i, t in zip(part.column(0), texts, strict=True) for hit in searcher.search(t)]
                 yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], pa.int64()) for k in range(3)], [id_col, item_col, "distance"])
 
-        out = out.unionByName(source.mapInArrow(run, schema))
-    return out
+        hits = source.mapInArrow(trimmed(run), schema)
+        hits = hits if only else materialize(hits, "hits")
+        out = hits if out is None else out.unionByName(hits)
+    return spark.createDataFrame([], schema) if out is None else out
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", rate: float = 0.08, min_chars: int = 20) -> DataFrame:
-    """The documents in which no benchmark item occurs, all columns as they
-    were: a narrow filter, so nothing is shuffled."""
-    for items in _item_blocks(benchmark, item_col, item_text_col):
+    """The documents in which no benchmark item occurs (see find_contamination),
+    all columns as they were: a narrow filter, so nothing is shuffled. With
+    several blocks of items what each leaves is written before the next."""
+    bound_arrow(docs.sparkSession)
+    for items, only in _item_blocks(benchmark, item_col, item_text_col):
 
         def run(batches: Iterable[pa.RecordBatch], items: list[tuple[int, str]] = items) -> Iterator[pa.RecordBatch]:
-            searcher = Searcher(items, rate, min_chars)
+            searcher = _searcher(items, rate, min_chars)
             for part, texts in text_slices(batches, text_col):
                 yield part.filter(pa.array([not searcher.search(t) for t in texts], pa.bool_()))
 
-        docs = docs.mapInArrow(run, docs.schema)
+        docs = docs.mapInArrow(trimmed(run), docs.schema)
+        docs = docs if only else materialize(docs, "clean")
     return docs

@@ -22,15 +22,22 @@ from collections.abc import Iterable, Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ledgerline.llm.common import WORD, connected_components, materialize, mix64, text_slices, word_hashes
+from ledgerline.llm.common import WORD, bound_arrow, connected_components, materialize, mix64, scratch, shared_path, text_slices, trimmed, word_hashes
 
 #: Shingle hashes whose permutations are computed at once (keeps them in cache).
 _CHUNK = 1 << 15
 #: Columns of an incidence matrix in the verification.
 _COLUMNS = 4096
+#: What tells documents apart, in their order: null ids last, then the text's hash.
+_KEY = ("none", "id", "words")
+
+
+def _key(id_col: str, text_col: str) -> list[Column]:
+    ident = F.col(id_col).cast("long")
+    return [ident.isNull().alias("none"), F.coalesce(ident, F.lit(0)).alias("id"), F.xxhash64(F.col(text_col).cast("string")).alias("words")]
 
 
 def banding(threshold: float, recall: float, rows: int = 8) -> tuple[int, int]:
@@ -97,9 +104,9 @@ def _word_lists(texts: list[str]) -> tuple[list[list[str]], list[np.ndarray]]:
     return lists, np.split(flat, cuts)
 
 
-def _signer(id_col: str, text_col: str, n: int, bands: int, rows: int):
+def _signer(n: int, bands: int, rows: int):
     def sign(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part, texts in text_slices(batches, text_col):
+        for part, texts in text_slices(batches, "text"):
             lists, hashes = _word_lists(texts)
             sets = [shingles(w, n, h) for w, h in zip(lists, hashes, strict=True)]
             full = [i for i, s in enumerate(sets) if len(s)]
@@ -110,15 +117,15 @@ def _signer(id_col: str, text_col: str, n: int, bands: int, rows: int):
             values = band_hashes([sets[i] for i in full], bands, rows).reshape(-1) if full else np.zeros(0, np.int64)
             yield pa.RecordBatch.from_arrays(
                 [
-                    part.column(part.schema.get_field_index(id_col)),
+                    *[part.column(part.schema.get_field_index(c)) for c in _KEY],
                     pa.array(pairs[:, 0]),
                     pa.array(pairs[:, 1]),
                     pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(counts)]), pa.int32()), pa.array(values)),
                 ],
-                ["id", "fp1", "fp2", "bands"],
+                [*_KEY, "fp1", "fp2", "bands"],
             )
 
-    return sign
+    return trimmed(sign)
 
 
 def _set_maker(n: int):
@@ -129,7 +136,7 @@ def _set_maker(n: int):
             keep = [part.column(part.schema.get_field_index(c)) for c in ("node", "comp", "blocks", "copies")]
             yield pa.RecordBatch.from_arrays([*keep, pa.array(sets, pa.binary())], ["node", "comp", "blocks", "copies", "grams"])
 
-    return make
+    return trimmed(make)
 
 
 def overlaps(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
@@ -202,59 +209,72 @@ def ngram_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     n_link_docs, n_copies).
 
     class_id is the smallest id of the documents joined by chains of links or
-    copies; n_links counts the different texts linked to the document's text,
-    n_link_docs the documents that have them, n_copies the documents with its
-    text. Words are lower-cased runs of letters and digits.
+    copies (null if none of them has one); n_links counts the different texts
+    linked to the document's text, n_link_docs the documents that have them,
+    n_copies the documents with its text. Words are lower-cased runs of letters
+    and digits.
 
     Null or wordless texts have no n-grams: they form classes of their own,
     without links. Texts under n words have one n-gram, the whole text. Rows
-    with a null id link to nothing (class_id null, n_copies 1). Rows that share
-    an id are one document and so one class. Extra columns are ignored."""
+    that share an id, or have none, are told apart by their texts: each belongs
+    to the class of its own text. Extra columns are ignored; an empty table
+    gives no rows. Word sequences are told apart by 128-bit hashes, of which 64
+    bits name them in candidate pairs."""
+    told = _classified(docs, id_col, text_col, n, threshold, recall, block)
+    ident = F.when(~F.col("none"), F.col("id"))
+    first = F.when(~F.col("first.none"), F.col("first.id"))
+    return told.select(ident.alias(id_col), first.alias("class_id"), "n_links", "n_link_docs", "n_copies")
+
+
+def _classified(docs: DataFrame, id_col: str, text_col: str, n: int = 5, threshold: float = 0.8, recall: float = 0.997, block: int = 256) -> DataFrame:
+    """Per input row its key (none, id, words), the key `first` of its class's
+    first document and the counts of ngram_join()."""
+    spark = docs.sparkSession
+    bound_arrow(spark)
     bands, rows = banding(threshold, recall)
-    source = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    signed = materialize(source.mapInArrow(_signer("id", "text", n, bands, rows), "id long, fp1 long, fp2 long, bands array<long>"), "signed")
-    real = signed.where(F.col("id").isNotNull() & (F.size("bands") > 0))
-    nodes = materialize(real.groupBy("fp1", "fp2").agg(F.min("id").alias("node"), F.count("*").alias("copies"), F.first("bands").alias("bands")), "nodes")
-
-    keyed = nodes.select("node", F.explode("bands").alias("band"))
-    hubs = keyed.groupBy("band").agg(F.min("node").alias("hub"), F.max("node").alias("far")).where("hub != far").select("band", "hub")
-    stars = keyed.join(hubs, "band").where("node != hub").select(F.col("node").alias("src"), F.col("hub").alias("dst"))
-    comps = materialize(connected_components(stars), "candidates")
-
-    sizes = comps.groupBy("root").agg(F.ceil(F.count("*") / block).alias("blocks"))
-    wanted = comps.join(sizes, "root").select("node", F.col("root").alias("comp"), "blocks")
-    wanted = wanted.join(nodes.groupBy("node").agg(F.sum("copies").alias("copies")), "node")
-    texts = source.withColumnRenamed("id", "node").join(wanted, "node").dropDuplicates(["node"])
-    grams = texts.select("node", "comp", "blocks", "copies", "text").mapInArrow(_set_maker(n), "node long, comp long, blocks long, copies long, grams binary")
-    dealt = (
-        grams.withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")))
-        .withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
-        .select("comp", F.least("block", "other").alias("x"), F.greatest("block", "other").alias("y"), "block", "node", "copies", "grams")
-    )
-    found = materialize(dealt.groupBy("comp", "x", "y").applyInArrow(_verifier(threshold), "node long, links long, others long, top long"), "links")
-    counts = found.groupBy("node").agg(F.sum("links").alias("links"), F.sum("others").alias("others"))
-    same = real.join(nodes.select("fp1", "fp2", F.col("node").alias("rep")), ["fp1", "fp2"]).where("id != rep")
-    shared_ids = same.groupBy("id").agg(F.min("rep").alias("rep"), F.max("rep").alias("rep2")).where("rep != rep2")
-    edges = found.where("links > 0").select(F.col("node").alias("src"), F.col("top").alias("dst"))
-    edges = edges.unionByName(shared_ids.select(F.col("rep").alias("src"), F.col("rep2").alias("dst")))
-    classes = connected_components(edges)
-
-    told = (
-        nodes.join(counts, "node", "left")
-        .join(classes.select("node", "root"), "node", "left")
-        .select("fp1", "fp2", "node", "copies", F.coalesce("root", "node").alias("class_id"), F.coalesce("links", F.lit(0)).alias("links"), F.coalesce("others", F.lit(0)).alias("others"))
-    )
-    real_row = F.col("id").isNotNull() & (F.size("bands") > 0)
-    rest = signed.where(~real_row).select(F.col("id").alias(id_col), F.col("id").alias("class_id"), F.lit(0).cast("long").alias("n_links"), F.lit(0).cast("long").alias("n_link_docs"), F.lit(1).cast("long").alias("n_copies"))
-    linked = real.select("id", "fp1", "fp2").join(told, ["fp1", "fp2"]).select(F.col("id").alias(id_col), "class_id", F.col("links").alias("n_links"), F.col("others").alias("n_link_docs"), F.col("copies").alias("n_copies"))
-    return linked.unionByName(rest)
+    text = F.col(text_col).cast("string")
+    source = docs.select(*_key(id_col, text_col), text.alias("text"))
+    key = "none boolean, id long, words long"
+    signed_at, told_at = (shared_path(spark, name) for name in ("signed", "told"))
+    signed = materialize(source.mapInArrow(_signer(n, bands, rows), f"{key}, fp1 long, fp2 long, bands array<long>"), "signed", signed_at)
+    real = signed.where(F.size("bands") > 0)
+    with scratch():
+        nodes = real.groupBy("fp1", "fp2").agg(F.min(F.struct(*_KEY)).alias("one"), F.count("*").alias("copies"), F.first("bands").alias("bands"))
+        nodes = materialize(nodes.withColumn("node", F.col("fp1")), "nodes")
+        keyed = nodes.select("node", F.explode("bands").alias("band"))
+        hubs = keyed.groupBy("band").agg(F.min("node").alias("hub"), F.max("node").alias("far")).where("hub != far").select("band", "hub")
+        stars = keyed.join(hubs, "band").where("node != hub").select(F.col("node").alias("src"), F.col("hub").alias("dst"))
+        comps = materialize(connected_components(stars), "candidates")
+
+        sizes = comps.groupBy("root").agg(F.ceil(F.count("*") / block).alias("blocks"))
+        wanted = comps.join(sizes, "root").select("node", F.col("root").alias("comp"), "blocks")
+        wanted = wanted.join(nodes.select("node", "one.*", "copies"), "node")
+        texts = source.join(wanted, list(_KEY)).dropDuplicates(["node"])
+        grams = texts.select("node", "comp", "blocks", "copies", "text").mapInArrow(_set_maker(n), "node long, comp long, blocks long, copies long, grams binary")
+        dealt = (
+            grams.withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")))
+            .withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+            .select("comp", F.least("block", "other").alias("x"), F.greatest("block", "other").alias("y"), "block", "node", "copies", "grams")
+        )
+        found = materialize(dealt.groupBy("comp", "x", "y").applyInArrow(_verifier(threshold), "node long, links long, others long, top long"), "links")
+        counts = found.groupBy("node").agg(F.sum("links").alias("links"), F.sum("others").alias("others"))
+        classes = connected_components(found.where("links > 0").select(F.col("node").alias("src"), F.col("top").alias("dst")))
+        none = F.lit(0).cast("long")
+        linked = nodes.select("node", "fp1", "fp2", "one", "copies").join(counts, "node", "left").join(classes, "node", "left").withColumn("root", F.coalesce("root", "node"))
+        firsts = linked.groupBy("root").agg(F.min("one").alias("first"))
+        told = materialize(linked.join(firsts, "root").select("fp1", "fp2", "first", F.coalesce("links", none).alias("n_links"), F.coalesce("others", none).alias("n_link_docs"), F.col("copies").alias("n_copies")), "told", told_at)
+    rest = signed.where(F.size("bands") == 0).select(*_KEY, F.struct(*_KEY).alias("first"), none.alias("n_links"), none.alias("n_link_docs"), (none + 1).alias("n_copies"))
+    return real.select(*_KEY, "fp1", "fp2").join(told, ["fp1", "fp2"]).select(*_KEY, "first", "n_links", "n_link_docs", "n_copies").unionByName(rest)
 
 
 def keep_representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
     """The documents with one row per near-duplicate class left, the one with
-    the smallest id (of repeated ids, one row). Rows with a null id and texts
-    without words stay as they are, repeated rows excepted."""
-    classes = ngram_join(docs, id_col, text_col, **how)
-    drop = classes.where((F.col(id_col) != F.col("class_id"))).select(F.col(id_col).alias("__drop")).distinct()
-    kept = docs.join(drop, F.col(id_col) == F.col("__drop"), "left_anti")
-    return kept.where(F.col(id_col).isNull()).dropDuplicates([text_col]).unionByName(kept.where(F.col(id_col).isNotNull()).dropDuplicates([id_col]))
+    the smallest id (null ids last, then the least hash of the text). Texts
+    without words stay, repeated rows excepted: of rows alike in id and text one
+    stays. All columns come through; an empty table gives no rows. The rows to
+    drop are found without their texts, which are shuffled once."""
+    names = [f"__{k}" for k in _KEY]
+    told = _classified(docs, id_col, text_col, **how)
+    drop = told.where(F.struct(*_KEY) != F.col("first")).select(*[F.col(k).alias(x) for k, x in zip(_KEY, names, strict=True)]).distinct()
+    keyed = docs.select("*", *[c.alias(x) for c, x in zip(_key(id_col, text_col), names, strict=True)])
+    return keyed.join(drop, names, "left_anti").dropDuplicates(names).select(*docs.columns)

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerline.llm.common import ASCII_WORD, materialize, mix64, text_slices, word_codes
+from ledgerline.llm.common import ASCII_WORD, bound_arrow, materialize, mix64, text_slices, trimmed, word_codes
 
 #: Characters that count as symbols (fixed value).
 SYMBOLS = "#*$%&|<>"
@@ -36,8 +36,11 @@ SCRIPTS = (
 )
 _MEASURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_tokens", "n_bytes_tokens", "n_chars_total")
 _BLANK_BYTES = tuple(f"<0x{b:02X}>" for b in (0x09, 0x0A, 0x0B, 0x0C, 0x0D, 0x20))
-#: Byte tokens that any text may hold, so that one odd letter fails no short text.
-FREE_BYTES = 3
+#: Tokens without a byte that every text is taken to hold besides its own: the
+#: share of a short text says little, and one odd letter is three byte tokens.
+PRIOR_TOKENS = 300
+#: Rows of fences that are broadcast at most; more are joined in a shuffle.
+FENCES = 10_000
 _models: dict[str, object] = {}
 
 
@@ -134,18 +137,19 @@ def _measure(model_path: str):
                 ["id", "band", *_MEASURES, "evenness"],
             )
 
-    return run
+    return trimmed(run)
 
 
 def measure(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
     """Measures of every whole text: (id_col, band, the counts, evenness,
-    chars_per_token, byte_share). Null and empty texts count nothing; their
-    ratios are 0."""
+    chars_per_token, byte_share). byte_share is drawn towards 0 by PRIOR_TOKENS,
+    at every length. Null and empty texts count nothing; their ratios are 0."""
     source = docs.select(F.col(id_col).alias("id"), F.col(lang_col).cast("string").alias("lang"), F.col(text_col).cast("string").alias("text"))
     kind = source.schema["id"].dataType.simpleString()
+    bound_arrow(docs.sparkSession)
     got = source.mapInArrow(_measure(model_path), f"id {kind}, band string, " + ", ".join(f"{m} long" for m in _MEASURES) + ", evenness double")
     per = F.when(F.col("n_tokens") > 0, F.col("n_chars_total") / F.col("n_tokens")).otherwise(0.0)
-    share = F.when(F.col("n_tokens") > 0, F.greatest(F.col("n_bytes_tokens") - FREE_BYTES, F.lit(0)) / F.col("n_tokens")).otherwise(0.0)
+    share = F.when(F.col("n_tokens") > 0, F.col("n_bytes_tokens") / (F.col("n_tokens") + PRIOR_TOKENS)).otherwise(0.0)
     return got.withColumn("chars_per_token", per).withColumn("byte_share", share).withColumnRenamed("id", id_col)
 
 
@@ -156,21 +160,24 @@ def judge(measures: DataFrame, spread: float = 4.0, least_width: float = 0.01, m
     the words in repeated windows. The fences are `spread` interquartile ranges
     (of least_width, only where the quartiles are equal) beyond the quartiles of
     the documents that pass the base rules: chars_per_token on both sides,
-    byte_share above, evenness below. A group in which nothing passes the base rules rejects nothing more.
+    byte_share above, evenness below. Quartiles are exact over measures of four
+    decimals, so that reruns agree. A group in which nothing passes the base rules rejects nothing more.
     """
     failed = (F.col("n_words") < min_words) | (100 * F.col("n_repeat_words") > max_repeat_percent * F.col("n_words"))
     m = measures.withColumn("base_failed", failed)
-    quartiles = m.where(~F.col("base_failed")).groupBy("band").agg(*[F.percentile_approx(c, F.array(F.lit(0.25), F.lit(0.75)), 10_000).alias(f"q_{c}") for c in ("chars_per_token", "byte_share", "evenness")])
+    quartiles = m.where(~F.col("base_failed")).groupBy("band").agg(*[F.percentile(F.round(c, 4), F.array(F.lit(0.25), F.lit(0.75))).alias(f"q_{c}") for c in ("chars_per_token", "byte_share", "evenness")])
 
     def fence(c: str, side: int):
         q = F.col(f"q_{c}")
         width = F.when(q[1] > q[0], q[1] - q[0]).otherwise(F.lit(least_width))
         return (q[1] + spread * width) if side > 0 else (q[0] - spread * width)
 
-    bands = quartiles.select(
+    bands = materialize(quartiles, "quartiles").select(
         F.col("band").alias("__band"), fence("chars_per_token", -1).alias("min_chars_per_token"), fence("chars_per_token", 1).alias("max_chars_per_token"), fence("byte_share", 1).alias("max_byte_share"), fence("evenness", -1).alias("min_evenness")
     )
     inside = F.col("chars_per_token").between(F.col("min_chars_per_token"), F.col("max_chars_per_token")) & (F.col("byte_share") <= F.col("max_byte_share")) & (F.col("evenness") >= F.col("min_evenness"))
+    if bands.count() <= FENCES:
+        bands = F.broadcast(bands)
     return m.join(bands, F.col("band") == F.col("__band"), "left").drop("__band").withColumn("kept", ~F.col("base_failed") & F.coalesce(inside, F.lit(True)))
 
 

@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerline.llm.common import prefix_sums, text_slices
+from ledgerline.llm.common import bound_arrow, prefix_sums, text_slices, trimmed
 
 #: Pre-tokenisation pattern of the 50k byte-level vocabularies (fixed value).
 PATTERN = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -39,6 +39,7 @@ def with_lengths(docs: DataFrame, vocabulary: str, text_col: str = "text", keep:
     (null or empty: 0)."""
     source = docs.select(*keep, F.col(text_col).cast("string").alias("__text"))
     names = [*keep, "length"]
+    bound_arrow(docs.sparkSession)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoding = byte_bpe(vocabulary)
@@ -47,7 +48,7 @@ def with_lengths(docs: DataFrame, vocabulary: str, text_col: str = "text", keep:
             yield pa.RecordBatch.from_arrays([*[part.column(i) for i in range(len(keep))], sizes], names)
 
     fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in source.schema.fields[:-1]]
-    return source.mapInArrow(run, ", ".join([*fields, "length long"]))
+    return source.mapInArrow(trimmed(run), ", ".join([*fields, "length long"]))
 
 
 def length_histogram(docs: DataFrame, vocabulary: str, text_col: str = "text") -> DataFrame:

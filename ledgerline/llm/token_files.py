@@ -20,14 +20,15 @@ from itertools import islice
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ledgerline.llm.common import ASCII_WORD, materialize, shared_path, text_slices, word_codes
+from ledgerline.llm.common import ASCII_WORD, bound_arrow, scratch, shared_path, shuffles_dropped, text_slices, trimmed
 from ledgerline.llm.huffman import SEGMENT, canonical_codes, code_lengths, decode, decode_table, encode
 
 #: Words of which a worker remembers the ids.
-_KNOWN_WORDS = 700_000
+_KNOWN_WORDS = 500_000
 #: Characters tokenised and bytes of ids coded at a time: what stays in a core's cache.
 _SLICE_CHARS, _SLICE_BYTES = 1 << 16, 1 << 17
 #: Ids of a block and of a shard, about.
@@ -133,10 +134,10 @@ def _tokenise(path: str, end_id: int | None, wide: bool):
             if coder.width != kind().itemsize:
                 rows = [np.frombuffer(r, coder.code).astype(kind).tobytes() for r in rows]
             rows = [r + tail for r in rows]
-            yield pa.RecordBatch.from_arrays([part.column(0), pa.array([len(r) // kind().itemsize for r in rows], pa.int64()), pa.array(rows, pa.binary())], ["id", "n", "ids"])
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array([len(r) // kind().itemsize for r in rows], pa.int64()), pa.array([xxhash.xxh3_64_intdigest(r) - (1 << 63) for r in rows], pa.int64()), pa.array(rows, pa.binary())], ["id", "n", "h", "ids"])
         gc.enable()
 
-    return run
+    return trimmed(run)
 
 
 def _count(wide: bool, size: int):
@@ -151,16 +152,17 @@ def _count(wide: bool, size: int):
         used = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(used, pa.int64()), pa.array(total[used])], ["id", "count"])
 
-    return run
+    return trimmed(run)
 
 
 def _packed(lengths: np.ndarray, wide: bool):
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        WordTokenizer.forget()
+    """Rows (shard, id, n, ids) in the order of the file set to its blocks."""
+
+    def coded(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codes = canonical_codes(lengths)
         kind = np.uint32 if wide else np.uint16
         for batch in batches:
-            rows = [r.as_buffer() for r in batch.column(2)]
+            rows = [r.as_buffer() for r in batch.column(3)]
             payloads, points, at = [], [], 0
             while at < len(rows):
                 held, end = 0, at
@@ -176,11 +178,15 @@ def _packed(lengths: np.ndarray, wide: bool):
             cuts = np.concatenate([[0], np.cumsum([len(p) for p in points])])
             flat = np.concatenate([np.zeros(0, np.int64), *points])
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), pa.array(flat)), pa.array(payloads, pa.binary())],
-                ["id", "n", "points", "payload"],
+                [batch.column(0), batch.column(1), batch.column(2), pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), pa.array(flat)), pa.array(payloads, pa.binary())],
+                ["shard", "id", "n", "points", "payload"],
             )
 
-    return run
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        WordTokenizer.forget()
+        yield from _blocks(coded(batches))
+
+    return trimmed(run)
 
 
 def _blocks(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -223,44 +229,37 @@ _arrow_blocks = pa.schema([("shard", pa.int64()), ("block", pa.int64()), ("n_ids
 
 def write_token_files(docs: DataFrame, path: str, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text", end_id: int | None = 1, max_bits: int = 18) -> None:
     """Encode every whole text and write the ids as a file set at `path`, in
-    ascending order of id_col (null ids first, rows that share an id by the
-    order of their ids' coded bytes).
+    ascending order of id_col (null ids first, rows that share an id by a hash
+    of their ids).
 
     Null and empty texts have only the end id. Texts are read once; the ids are
-    counted over all documents, coded, dealt to shards by ranges of id_col and
-    sorted there. An empty table gives an empty file set."""
+    counted over all documents, dealt to shards by sampled ranges of (id, hash),
+    sorted there and coded. Extra columns are ignored. An empty table gives an
+    empty file set."""
     from tokenizers import Tokenizer
 
     spark = docs.sparkSession
+    bound_arrow(spark)
     size = max(Tokenizer.from_file(tokenizer_path).get_vocab_size(), (end_id or 0) + 1)
     wide = size > 1 << 16
-    ids = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).mapInArrow(_tokenise(tokenizer_path, end_id, wide), "id long, n long, ids binary")
-    table_path = shared_path(spark, "ids")
-    ids.write.option("compression", "zstd").parquet(table_path)
-    table = spark.read.schema("id long, n long, ids binary").parquet(table_path)
-    counted = table.select("ids").mapInArrow(_count(wide, size), "id long, count long").groupBy("id").agg(F.sum("count").alias("count")).toArrow()
-    counts = np.zeros(size, np.int64)
-    counts[counted.column("id").to_numpy()] = counted.column("count").to_numpy()
-    lengths = code_lengths(counts, max_bits)
-    used = np.flatnonzero(lengths)
-    codes = spark.createDataFrame(pa.table({"id": used.astype(np.int64), "length": lengths[used].astype(np.int32)}))
-    codes.coalesce(1).write.parquet(f"{path}/codes")
-    shards = max(1, int(counts.sum()) // SHARD_IDS)
-    bounds = table.agg(F.percentile_approx("id", F.array(*[F.lit(i / shards) for i in range(1, shards)]), F.lit(100 * shards)) if shards > 1 else F.lit(None)).first()[0] or []
-    coded = table.mapInArrow(_packed(lengths, wide), "id long, n long, points array<long>, payload binary").withColumn("shard", _range_of("id", sorted(set(bounds))))
-    dealt = coded.repartition(max(shards, int(spark.conf.get("spark.sql.shuffle.partitions"))), "shard").sortWithinPartitions("shard", F.col("id").asc_nulls_first(), "payload")
-    dealt.select("shard", "id", "n", "points", "payload").mapInArrow(_blocks, _BLOCKS).write.parquet(f"{path}/blocks")
-
-
-def _range_of(column: str, bounds: list[int]):
-    """Number of the bounds that are below the column (null: 0), by bisection."""
-    if not bounds:
-        return F.lit(0).cast("long")
-    mid = len(bounds) // 2
-    if len(bounds) == 1:
-        return F.when(F.col(column) > bounds[0], F.lit(1)).otherwise(F.lit(0)).cast("long")
-    right = _range_of(column, bounds[mid + 1 :]) + mid + 1
-    return F.when(F.col(column) > bounds[mid], right).otherwise(_range_of(column, bounds[:mid])).cast("long")
+    schema = "id long, n long, h long, ids binary"
+    ids = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).mapInArrow(_tokenise(tokenizer_path, end_id, wide), schema)
+    with scratch():
+        table_path = shared_path(spark, "ids")
+        ids.write.option("compression", "zstd").parquet(table_path)
+        table = spark.read.schema(schema).parquet(table_path)
+        counted = table.select("ids").mapInArrow(_count(wide, size), "id long, count long").groupBy("id").agg(F.sum("count").alias("count")).toArrow()
+        counts = np.zeros(size, np.int64)
+        counts[counted.column("id").to_numpy()] = counted.column("count").to_numpy()
+        lengths = code_lengths(counts, max_bits)
+        used = np.flatnonzero(lengths)
+        codes = spark.createDataFrame(pa.table({"id": used.astype(np.int64), "length": lengths[used].astype(np.int32)}))
+        codes.coalesce(1).write.parquet(f"{path}/codes")
+        order = [F.col("id").asc_nulls_first(), F.col("h").asc()]
+        shards = max(int(counts.sum()) // SHARD_IDS, int(spark.conf.get("spark.sql.shuffle.partitions")))
+        dealt = table.repartitionByRange(shards, *order).sortWithinPartitions(*order)
+        with shuffles_dropped(spark):
+            dealt.select(F.spark_partition_id().cast("long").alias("shard"), "id", "n", "ids").mapInArrow(_packed(lengths, wide), _BLOCKS).write.parquet(f"{path}/blocks")
 
 
 def block_starts(blocks: DataFrame) -> DataFrame:

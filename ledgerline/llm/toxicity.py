@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerline.llm.common import WORD, text_slices, word_codes
+from ledgerline.llm.common import WORD, bound_arrow, text_slices, trimmed, word_codes
 
 
 def word_features(word: str) -> list[str]:
@@ -146,21 +146,23 @@ def score(docs: DataFrame, model: OrdinalModel, id_col: str = "doc_id", text_col
     texts have no features and get the severity of the thresholds alone."""
     source = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
     kind = source.schema["id"].dataType.simpleString()
+    bound_arrow(docs.sparkSession)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, texts in text_slices(batches, "text"):
             p = model.exceed(model.scores(texts))
             yield pa.RecordBatch.from_arrays([part.column(0), pa.array(p.sum(1)), pa.array(p[:, 0]), pa.array((p >= 0.5).sum(1).astype(np.int64)), pa.array(p[:, 0] >= reject_at)], ["id", "expected_severity", "p_toxic", "grade", "rejected"])
 
-    return source.mapInArrow(run, f"id {kind}, expected_severity double, p_toxic double, grade long, rejected boolean").withColumnRenamed("id", id_col)
+    return source.mapInArrow(trimmed(run), f"id {kind}, expected_severity double, p_toxic double, grade long, rejected boolean").withColumnRenamed("id", id_col)
 
 
 def drop_toxic(docs: DataFrame, model: OrdinalModel, text_col: str = "text", reject_at: float = 0.5) -> DataFrame:
     """The documents that score() does not reject, all columns as they were: a
     narrow filter, so nothing is shuffled."""
+    bound_arrow(docs.sparkSession)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, texts in text_slices(batches, text_col):
             yield part.filter(pa.array(model.exceed(model.scores(texts))[:, 0] < reject_at))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(trimmed(run), docs.schema)

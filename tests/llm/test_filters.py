@@ -73,6 +73,21 @@ def test_contamination_edges(spark, edge, empty):
     assert find_contamination(edge, bench.limit(0)).count() == 0 and decontaminate(edge, bench.limit(0)).count() == len(EDGE_ROWS)
 
 
+def test_short_items_and_blocks(spark, monkeypatch):
+    """Items under 20 characters count as whole words, unchanged; many blocks of
+    items give what one gives."""
+    import ledgerline.llm.decontam as d
+
+    items = [(1, "Nineteen chars, aha"), (2, "owl"), (3, "..."), (4, words(3, 20)), (5, words(4, 20))]
+    docs = [(1, "so: nineteen CHARS aha!"), (2, "nineteen chars ahab"), (3, "an owl"), (4, "owls howl"), (5, words(3, 20) + " owl"), (6, "x " + words(4, 20)), (7, None)]
+    df, bench = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    want = {(1, 1, 0), (3, 2, 0), (5, 2, 0), (5, 4, 0), (6, 5, 0)}
+    for size in (4_000_000, 10):
+        monkeypatch.setattr(d, "BLOCK_CHARS", size)
+        assert {tuple(x) for x in find_contamination(df, bench).collect()} == want
+        assert sorted(x.doc_id for x in decontaminate(df, bench).collect()) == [2, 4, 7]
+
+
 def test_url_parts_and_rules():
     assert split_url("HTTP://WWW.Ex.com/A?b#c") == ("www.ex.com", "/A")
     assert split_url("http://Éa.com?x") == ("Éa.com", "") and split_url(None) == split_url("no url") == ("", "")
