@@ -78,7 +78,7 @@ FROM p
 
 
 def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return filter_urls(_table(spark, sf_dir, "pages"))
+    return filter_urls(_table(spark, sf_dir, "pages"), _table(spark, sf_dir, "documents"))
 
 
 def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerline.llm.common import WORD, bound_arrow, text_slices, trimmed, word_codes
+from ledgerline.llm.common import WORD, bound_arrow, give_back, text_slices, trimmed, word_codes
 
 
 def word_features(word: str) -> list[str]:
@@ -71,31 +71,43 @@ def fit(texts: list[str], toxic: list[int], grades: int = 3, ridge: float = 0.1,
     y = np.asarray(toxic, np.int64) > 0
     if not y.any() or y.all():
         return OrdinalModel()
-    words = [Counter(WORD.findall(t.lower())) for t in texts]
-    presence = {True: Counter(), False: Counter()}
-    for own, is_toxic in zip(words, y.tolist(), strict=True):
-        presence[is_toxic].update({f for w in own for f in word_features(w)})
+    # words and features as integers: of the sample only distinct words are held as text
+    code: dict[str, int] = {}
+    held = [Counter(code.setdefault(w, len(code)) for w in WORD.findall(t.lower())) for t in texts]
+    codes, times = [np.fromiter(c, np.int32, len(c)) for c in held], [np.fromiter(c.values(), np.int32, len(c)) for c in held]
+    del held
+    feature: dict[str, int] = {}
+    lists = [[feature.setdefault(f, len(feature)) for f in word_features(w)] for w in code]
+    ends = np.cumsum([0, *map(len, lists)])
+    flat = np.array([f for own in lists for f in own], np.int64)
+    names = list(feature)
+    del code, feature, lists
+
+    def spread(words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Features of words laid end to end, and the word's index of each."""
+        sizes = ends[words + 1] - ends[words]
+        of = np.repeat(np.arange(len(words)), sizes)
+        return flat[ends[words][of] + np.arange(len(of)) - (np.cumsum(sizes) - sizes)[of]], of
+
+    presence = np.zeros((2, len(names)), np.int64)
+    for own, is_toxic in zip(codes, y.tolist(), strict=True):
+        presence[int(is_toxic), np.unique(spread(own)[0])] += 1
     n1, n0 = int(y.sum()), int((~y).sum())
-    typical = {}
-    for f, a in presence[True].items():
-        b = presence[False][f]
-        ratio = np.log((a + 0.5) / (n1 + 1)) - np.log((b + 0.5) / (n0 + 1))
-        if a >= min_docs and ratio / np.sqrt(1 / (a + 0.5) + 1 / (b + 0.5)) >= min_z:
-            typical[f] = len(typical)
-    if not typical:
+    ratio = np.log((presence[1] + 0.5) / (n1 + 1)) - np.log((presence[0] + 0.5) / (n0 + 1))
+    chosen = np.flatnonzero((presence[1] >= min_docs) & (ratio / np.sqrt(1 / (presence[1] + 0.5) + 1 / (presence[0] + 0.5)) >= min_z))
+    if not len(chosen):
         return OrdinalModel()
+    typical = {names[i]: j for j, i in enumerate(chosen.tolist())}
+    number = np.full(len(names), -1)
+    number[chosen] = np.arange(len(chosen))
     rows: list[dict[int, int]] = []
     amount = np.zeros(len(texts))
-    for i, own in enumerate(words):
-        counts: dict[int, int] = {}
-        marked = 0
-        for w, n in own.items():
-            ids = [typical[f] for f in word_features(w) if f in typical]
-            marked += n * bool(ids)
-            for j in ids:
-                counts[j] = counts.get(j, 0) + n
-        rows.append(counts)
-        amount[i] = marked
+    for i, (own, n) in enumerate(zip(codes, times, strict=True)):
+        features, of = spread(own)
+        known = number[features] >= 0
+        amount[i] = n[np.unique(of[known])].sum()
+        total = np.bincount(number[features[known]], n[of[known]]) if known.any() else np.zeros(0)
+        rows.append({j: int(total[j]) for j in np.flatnonzero(total).tolist()})
     edges = np.quantile(amount[y], np.arange(1, grades) / grades)
     grade = np.where(y, 1 + np.searchsorted(edges, amount, "right"), 0)
 
@@ -137,7 +149,12 @@ def fit_on_labels(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", te
     sample = sample.orderBy(F.xxhash64("__id", F.lit(seed)), "__id", "__y").limit(max_rows)
     rows = docs.select(F.col(id_col).alias("__doc"), F.col(text_col).cast("string").alias("__text")).where(F.length("__text") <= max_chars)
     got = rows.join(F.broadcast(sample), F.col("__doc") == F.col("__id")).select("__id", "__text", "__y").orderBy("__id", "__text", "__y").limit(max_rows).toArrow()
-    return fit(got.column("__text").to_pylist(), got.column("__y").to_pylist())
+    texts, toxic = got.column("__text").to_pylist(), got.column("__y").to_pylist()
+    del got
+    model = fit(texts, toxic)
+    del texts
+    give_back()
+    return model
 
 
 def score(docs: DataFrame, model: OrdinalModel, id_col: str = "doc_id", text_col: str = "text", reject_at: float = 0.5) -> DataFrame:

@@ -1,24 +1,27 @@
 """URL filters: rules by host and path prefix, else a verdict by the words of the
 address.
 
-Host names run words together, so each run of letters is segmented by Viterbi
-under a unigram model of words; multinomial naive Bayes then scores the words of
-host and path. The model is fitted on labelled names and holds a bounded
-vocabulary; segmentations are remembered per worker, so a host that a third of
-all addresses share is segmented once."""
+1. Host, path and the rule that decides are column functions.
+2. Each distinct run of letters of host and path is segmented by Viterbi under a
+   unigram model: the word counts of all documents. A run meets the counts of
+   its own substrings in a hash join, so the whole vocabulary counts and none of
+   it is broadcast.
+3. Multinomial naive Bayes scores the words of each distinct address. It is
+   fitted on a bounded sample of labelled addresses: those that a rule decides,
+   without the words that rules name, unless others are given."""
 
 from __future__ import annotations
 
 import math
-import re
-from collections import Counter, defaultdict
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ledgerline.llm.common import bound_arrow, materialize, scratch, shared_path, trimmed
+
 #: (verdict, host, path prefix) of the standing rules (fixed values).
 RULES = (
     ("allow", "com", "/"),
@@ -27,168 +30,158 @@ RULES = (
     ("block", "net", "/es/"),
     ("block", "net", "/fr/"),
 )
+#: Letters of the longest word of the unigram model; a longer run is unknown or is cut.
+LONGEST = 24
+#: Cost of a letter that no word explains; a run of them is one word.
+LETTER = math.log(26) + 1.0
+#: Rows of log-odds that are broadcast at most; more are joined in a shuffle.
+_BROADCAST = 200_000
+_UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+
 
-#: Labelled names to fit on (fixed values): their parts are already words.
-BLOCKED_NAMES = """
-spam farm; link farm; content farm; click farm; casino win; casino bonus; casino royal bets; online casino; slots jackpot;
-win slots; poker cash; poker bonus; free bets; sports bets; bets bonus; betting win; adult x; adult video; adult dating;
-xxx video; xxx cams; sex chat; live sex cams; porn hub; free porn; porn tube; escort girls; hot girls dating; cheap pills;
-buy pills; diet pills; pills shop cheap; cheap meds; viagra shop; cialis cheap; pharma cheap pills; replica watches;
-cheap replica; fake watches; payday loans; fast cash loans; quick loans; loans cash; get rich quick; easy money;
-make money fast; crypto doubler; free crypto; miracle cure; weight loss miracle; ads track; ad tracker; ads click;
-click track; popup ads; ad server; track pixel; banner ads; free download crack; warez crack; keygen crack; torrent warez;
-free gift win; win prize; prize lottery; lottery win; hack accounts; phishing login; fake login verify; spam mail;
-bulk spam; seo spam links; cheap links; nude cams; milf dating; gambling casino; roulette casino bets; casino blog;
-spam blog; pills blog; dating blog; win casino
-"""
-ALLOWED_NAMES = """
-city news; daily news; world news today; local weather; weather report; school district; public school; state university;
-college library; public library; science journal; medical journal; health center; city hospital; family doctor; open source;
-source code; software guide; developer docs; programming tutorial; python tutorial; data science; machine learning blog;
-travel guide; travel blog; hotel review; food blog; cooking recipes; recipe book; garden club; book club; book review;
-film review; music store; music school; art museum; history museum; national park; hiking trail; sports club; football news;
-soccer league; running club; bike shop; car repair; auto parts; home garden; house plans; real estate; city council;
-government office; tax office; law office; legal aid; bank online; credit union; insurance company; job board; career center;
-company profile; contact page; about us; product catalog; online shop; web store; photo gallery; video lesson;
-language course; english grammar; math help; physics forum; question answer; discussion forum; support forum; help desk;
-wiki page; encyclopedia article; article archive; blog post; news archive; press release; annual report; research paper;
-conference program; event calendar; community center; church parish; charity fund; water company; energy report; farm produce;
-dairy farm; family farm; free library; track field club; win loss record; chat support; mail service; free software
-"""
-_RUN = re.compile(r"[a-z]+")
-
-
-def split_url(url: str | None) -> tuple[str, str]:
+def url_parts(url: Column) -> tuple[Column, Column]:
     """(host, path): the host after the first :// up to /, ?, # or the end, A-Z
     lower-cased; the path from there up to ?, # or the end. Both empty for null
     or without ://."""
-    at = url.find("://") if url else -1
-    if at < 0:
-        return "", ""
-    rest = url[at + 3 :]
-    cut = next((i for i, c in enumerate(rest) if c in "/?#"), len(rest))
-    path = rest[cut:]
-    end = next((i for i, c in enumerate(path) if c in "?#"), len(path))
-    return rest[:cut].translate(_LOWER), path[:end]
-
-
-_LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    at = F.instr(url, "://")
+    rest = F.when(at > 0, F.substring(url, at + 3, F.length(url))).otherwise(F.lit(""))
+    host = F.regexp_extract(rest, r"(?s)^[^/?#]*", 0)
+    path = F.regexp_extract(rest, r"(?s)^[^/?#]*([^?#]*)", 1)
+    return F.translate(host, _UPPER, _LOWER), path
+
+
+def deciding_rule(host: Column, path: Column, rules: Iterable[tuple[str, str, str]]) -> Column:
+    """Struct (rule, verdict) of the longest rule, the first listed of equal ones,
+    or null. A rule fits its host and all subdomains if the path starts with the
+    rule's. Rules are literals of the plan: some hundreds at most."""
+    out = F.lit(None).cast("struct<rule: string, verdict: string>")
+    for verdict, name, prefix in sorted(rules, key=lambda r: -len(r[1] + r[2]))[::-1]:
+        fits = ((host == name) | host.endswith("." + name)) & path.startswith(prefix)
+        out = F.when(fits, F.struct(F.lit(name + prefix).alias("rule"), F.lit(verdict).alias("verdict"))).otherwise(out)
+    return out
+
+
+def _runs(text: Column) -> Column:
+    return F.regexp_extract_all(F.lower(text), F.lit("([a-z]+)"), F.lit(1))
+
+
+def word_counts(docs: DataFrame, text_col: str = "text") -> DataFrame:
+    """(word, n) of all runs of letters a-z of the lower-cased texts, of at most
+    LONGEST letters."""
+    words = docs.select(F.explode(F.split(F.lower(F.col(text_col).cast("string")), "[^a-z]+")).alias("word"))
+    return words.where(f"word != '' and length(word) <= {LONGEST}").groupBy("word").agg(F.count("*").alias("n"))
+
+
+def segment(run: str, known: dict[tuple[int, int], float], start: float) -> list[str]:
+    """Cheapest words of a run of letters: each step takes a known word, (first,
+    end) with its cost, or lengthens a run of unknown letters, which costs
+    `start` and LETTER for each. Of equal ways the one with the longest last
+    unknown run, then the longest last word, counts."""
+    n = len(run)
+    ends: dict[int, list[tuple[int, float]]] = {}
+    for (a, b), cost in sorted(known.items()):
+        ends.setdefault(b, []).append((a, cost))
+    best = [(0.0, 0)] + [(math.inf, 0)] * n
+    loose = [(math.inf, 0)] * (n + 1)
+    for j in range(1, n + 1):
+        fresh, longer = best[j - 1][0] + start + LETTER, loose[j - 1][0] + LETTER
+        loose[j] = (longer, loose[j - 1][1]) if longer <= fresh else (fresh, j - 1)
+        best[j] = loose[j]
+        for a, cost in ends.get(j, ()):
+            if best[a][0] + cost < best[j][0]:
+                best[j] = (best[a][0] + cost, a)
+    words = []
+    while n:
+        words.append(run[best[n][1] : n])
+        n = best[n][1]
+    return words[::-1]
+
+
+def segmented(runs: DataFrame, counts: DataFrame) -> DataFrame:
+    """(run, words) of distinct runs of letters under the word counts."""
+    bound_arrow(runs.sparkSession)
+    total = counts.agg(F.sum("n")).first()[0] or 0
+    bits = F.col("run").cast("binary")  # a-z only: substrings of bytes need no search for their start
+    starts = runs.select(F.md5("run").alias("key"), bits.alias("bits"), F.explode(F.sequence(F.lit(1), F.length("run"))).alias("at"))
+    spans = starts.select("key", "bits", "at", F.explode(F.sequence(F.lit(1), F.least(F.lit(LONGEST), F.length("bits") - F.col("at") + 1))).alias("size"))
+    spans = spans.select("key", "at", "size", F.substring("bits", F.col("at"), F.col("size")).cast("string").alias("word"))
+    found = spans.join(counts, "word").groupBy("key").agg(F.collect_list(F.struct("at", "size", "n")).alias("found"))
+    start = math.log(total + 1)
+
+    def cut(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts, lists = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+            words = [segment(t, {(x["at"] - 1, x["at"] - 1 + x["size"]): math.log(total / x["n"]) for x in own or ()}, start) for t, own in zip(texts, lists, strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(words, pa.list_(pa.string()))], ["run", "words"])
 
+    whole = runs.withColumn("key", F.md5("run")).join(found, "key", "left").select("run", "found")
+    return whole.mapInArrow(trimmed(cut), "run string, words array<string>")
 
-class RuleSet:
-    """A rule fits its host and all subdomains of it if the path starts with the
-    rule's; the longest rule wins, the first listed of equal ones."""
 
-    def __init__(self, rules: Iterable[tuple[str, str, str]]) -> None:
-        self.by_host: dict[str, list[tuple[str, str, str]]] = defaultdict(list)
-        for verdict, host, path in rules:
-            self.by_host[host].append((path, host + path, verdict))
+@dataclass
+class AddressModel:
+    """Log-odds of blocking per word, and of any address."""
 
-    def find(self, host: str, path: str) -> tuple[str, str] | None:
-        """(rule, verdict) or None."""
-        best = None
-        at = 0
-        while host and at >= 0:
-            for prefix, name, verdict in self.by_host.get(host[at:], ()):
-                if path.startswith(prefix) and (best is None or len(name) > len(best[0])):
-                    best = (name, verdict)
-            at = host.find(".", at) + 1 or -1
-        return best
+    odds: dict[str, float] = field(default_factory=dict)
+    prior: float | None = None
 
 
-def _names(listing: str) -> list[list[str]]:
-    return [name.split() for name in listing.replace("\n", " ").split(";") if name.strip()]
+def fit_words(counted: Iterable[tuple[str, int, int]], n_block: int, n_allow: int, smoothing: float = 0.5) -> AddressModel:
+    """Multinomial naive Bayes from rows (word, occurrences in blocked and in
+    allowed addresses) and the numbers of addresses. Without addresses of both
+    kinds there is no prior, and nothing is blocked."""
+    if not n_block or not n_allow:
+        return AddressModel()
+    rows = list(counted)
+    bad, good = sum(r[1] for r in rows) + smoothing * len(rows), sum(r[2] for r in rows) + smoothing * len(rows)
+    return AddressModel({w: math.log((b + smoothing) / bad) - math.log((g + smoothing) / good) for w, b, g in rows}, math.log(n_block / n_allow))
 
 
-@dataclass
-class AddressModel:
-    """Unigram costs for the segmentation, log-odds of blocking per word."""
-
-    cost: dict[str, float]
-    odds: dict[str, float]
-    prior: float
-    longest: int
-    known: dict[str, tuple[str, ...]] = field(default_factory=dict)
-    #: Cost of a letter that no word explains; a run of them is one word.
-    letter: float = math.log(26) + 1.0
-    start: float = 6.0
-
-    def segment(self, run: str) -> tuple[str, ...]:
-        """Most likely words of a run of letters: each step takes a word of the
-        vocabulary or lengthens a run of unknown letters."""
-        if run in self.known:
-            return self.known[run]
-        n = len(run)
-        best = [(0.0, 0, True)] + [(math.inf, 0, False)] * n
-        loose = [(math.inf, 0)] * (n + 1)
-        for j in range(1, n + 1):
-            fresh = best[j - 1][0] + self.start + self.letter
-            longer = loose[j - 1][0] + self.letter
-            loose[j] = (fresh, j - 1) if fresh <= longer else (longer, loose[j - 1][1])
-            best[j] = (loose[j][0], loose[j][1], False)
-            for i in range(max(0, j - self.longest), j):
-                c = self.cost.get(run[i:j])
-                if c is not None and best[i][0] + c < best[j][0]:
-                    best[j] = (best[i][0] + c, i, True)
-        words, j = [], n
-        while j:
-            i = best[j][1]
-            words.append(run[i:j])
-            j = i
-        out = tuple(reversed(words))
-        if len(self.known) < 200_000:
-            self.known[run] = out
-        return out
-
-    def words(self, host: str, path: str) -> list[str]:
-        return [w for part in (host, path) for run in _RUN.findall(part.lower()) for w in self.segment(run)]
-
-    def log_odds(self, host: str, path: str) -> float:
-        """Log-odds that the address is to be blocked; words that were in no
-        labelled name say nothing."""
-        return self.prior + sum(self.odds.get(w, 0.0) for w in self.words(host, path))
-
-
-def fit_addresses(blocked: list[list[str]], allowed: list[list[str]], prior: float = 0.1, smoothing: float = 0.5) -> AddressModel:
-    """Fit on names given as lists of words: word frequencies for the
-    segmentation, class-wise ones (Laplace smoothing) for naive Bayes."""
-    bad, good = Counter(w for n in blocked for w in n), Counter(w for n in allowed for w in n)
-    both = bad + good
-    total, size = sum(both.values()), len(both)
-    n_bad, n_good = sum(bad.values()), sum(good.values())
-    odds = {w: math.log((bad[w] + smoothing) / (n_bad + smoothing * size)) - math.log((good[w] + smoothing) / (n_good + smoothing * size)) for w in both}
-    cost = {w: -math.log((n + 1) / (total + size)) for w, n in both.items()}
-    return AddressModel(cost, odds, math.log(prior / (1 - prior)), max(map(len, both)))
-
-
-def filter_urls(pages: DataFrame, rules: Iterable[tuple[str, str, str]] = RULES, model: AddressModel | None = None, id_col: str = "page_id", url_col: str = "url") -> DataFrame:
+def filter_urls(pages: DataFrame, docs: DataFrame, rules: Iterable[tuple[str, str, str]] = RULES, labelled: DataFrame | None = None, id_col: str = "page_id", url_col: str = "url", text_col: str = "text", max_rows: int = 20_000, named: bool = False) -> DataFrame:
     """(id_col, host, path, rule, verdict, log_odds) of every row.
 
     rule is the rule that decides (host and path run together), else null;
     verdict is the rule's, else block if the model's log-odds are above 0, else
-    allow. A null address and one without :// have empty parts, no words, and
-    are allowed. Repeated rows and null ids are judged like any other."""
-    model = model or fit_addresses(_names(BLOCKED_NAMES), _names(ALLOWED_NAMES))
+    allow. The model is fitted on at most max_rows distinct labelled addresses,
+    chosen by a hash: rows (host, path, verdict) if given, else those of pages
+    that a rule decides; of these words that a rule names count only if `named`.
+    Words of no labelled address say nothing.
+
+    A null address and one without :// have empty parts and no words. Repeated
+    rows and null ids are judged like any other; addresses of any length count
+    whole; extra columns are ignored. Without labels of both kinds log_odds is
+    null and only rules block. Empty pages give no rows; without documents every
+    run of letters is one word."""
+    spark = pages.sparkSession
     rules = list(rules)
-    source = pages.select(F.col(id_col).alias("id"), F.col(url_col).cast("string").alias("url"))
-    kind = source.schema["id"].dataType.simpleString()
-
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        listed = RuleSet(rules)
-        for batch in batches:
-            parts = [split_url(u) for u in batch.column(1).to_pylist()]
-            hits = [listed.find(*p) for p in parts]
-            odds = [model.log_odds(*p) for p in parts]
-            yield pa.RecordBatch.from_arrays(
-                [
-                    batch.column(0),
-                    pa.array([p[0] for p in parts], pa.string()),
-                    pa.array([p[1] for p in parts], pa.string()),
-                    pa.array([h and h[0] for h in hits], pa.string()),
-                    pa.array([h[1] if h else ("block" if o > 0 else "allow") for h, o in zip(hits, odds, strict=True)], pa.string()),
-                    pa.array(odds, pa.float64()),
-                ],
-                ["id", "host", "path", "rule", "verdict", "log_odds"],
-            )
-
-    return source.mapInArrow(run, f"id {kind}, host string, path string, rule string, verdict string, log_odds double").withColumnRenamed("id", id_col)
+    url = F.col(url_col).cast("string")
+    host, path = url_parts(url)
+    judged = pages.select(F.col(id_col), host.alias("host"), path.alias("path"))
+    key = F.struct(F.xxhash64("host", "path").alias("a"), F.xxhash64("path", "host").alias("b"))
+    odds_at = shared_path(spark, "odds")
+    with scratch():
+        addresses = materialize(judged.select("host", "path").distinct().select(key.alias("key"), "host", "path", deciding_rule(F.col("host"), F.col("path"), rules)["verdict"].alias("verdict")), "addresses")
+        spread = addresses.select("key", F.explode(F.concat(_runs(F.col("host")), _runs(F.col("path")))).alias("run"))
+        runs = materialize(spread.select("run").distinct(), "runs")
+        counts = materialize(word_counts(docs, text_col), "words")
+        cuts = materialize(segmented(runs, counts), "segments")
+        words = materialize(spread.join(cuts, "run").select("key", F.explode("words").alias("word")), "address-words")
+        own = addresses.where("verdict is not null") if labelled is None else labelled.select(key.alias("key"), "verdict")
+        sample = own.select("key", "verdict").orderBy(F.xxhash64("key"), "key", "verdict").limit(max_rows)
+        sample = materialize(sample.select("key", (F.col("verdict") == "block").cast("int").alias("bad")), "sample")
+        used = words
+        if labelled is None and not named:
+            said = sorted({w for _, h, p in rules for w in f"{h}{p}".replace("/", " ").replace(".", " ").replace("-", " ").split()})
+            used = words.where(~F.col("word").isin(said)) if said else words
+        counted = used.join(sample, "key").groupBy("word").agg(F.sum("bad").cast("long").alias("bad"), F.sum(1 - F.col("bad")).cast("long").alias("good"))
+        n = sample.agg(F.coalesce(F.sum("bad"), F.lit(0)), F.count("*")).first()
+        model = fit_words([tuple(r) for r in counted.collect()], int(n[0]), int(n[1] - n[0]))
+        odds = spark.createDataFrame(sorted(model.odds.items()), "word string, odds double")
+        if len(model.odds) <= _BROADCAST:
+            odds = F.broadcast(odds)
+        scored = materialize(words.join(odds, "word").groupBy("key").agg(F.sum("odds").alias("odds")), "odds", odds_at)
+    prior = F.lit(model.prior).cast("double")
+    rule = deciding_rule(F.col("host"), F.col("path"), rules)
+    out = judged.withColumn("key", key).join(scored, "key", "left").withColumn("log_odds", prior + F.coalesce("odds", F.lit(0.0))).withColumn("rule", rule)
+    verdict = F.coalesce(F.col("rule.verdict"), F.when(F.col("log_odds") > 0, "block").otherwise("allow"))
+    return out.select(id_col, "host", "path", F.col("rule.rule").alias("rule"), verdict.alias("verdict"), "log_odds")

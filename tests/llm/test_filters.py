@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import json
+import math
 import os
 import random
 import re
@@ -14,7 +15,7 @@ from ledgerline.llm.decontam import alphabet_masks, decontaminate, find_contamin
 from ledgerline.llm.quality import quality_rules, repeated_words
 from ledgerline.llm.queries import op8_chat_tools, vocabulary
 from ledgerline.llm.toxicity import OrdinalModel, drop_toxic, fit, fit_on_labels, score
-from ledgerline.llm.url_filter import RULES, AddressModel, RuleSet, filter_urls, fit_addresses, split_url
+from ledgerline.llm.url_filter import LETTER, RULES, filter_urls, segmented, word_counts
 from tests.llm.conftest import EDGE_ROWS, words
 
 MODEL = vocabulary("piece_bpe_32k.model")
@@ -88,43 +89,91 @@ def test_short_items_and_blocks(spark, monkeypatch):
         assert sorted(x.doc_id for x in decontaminate(df, bench).collect()) == [2, 4, 7]
 
 
-def test_url_parts_and_rules():
-    assert split_url("HTTP://WWW.Ex.com/A?b#c") == ("www.ex.com", "/A")
-    assert split_url("http://Éa.com?x") == ("Éa.com", "") and split_url(None) == split_url("no url") == ("", "")
-    rules = RuleSet(RULES)
-    assert rules.find("a.com", "/x") == ("com/", "allow") and rules.find("m.example.com", "/en/1") == ("example.com/en/", "block")
-    assert rules.find("www.example.com", "/en/1") == ("www.example.com/en/", "allow") and rules.find("x.net", "/de/") is None
-    assert rules.find("com", "") is None and rules.find("xcom", "/") is None and rules.find("", "/") is None
+def brute_parts(url):
+    at = url.find("://") if url else -1
+    if at < 0:
+        return "", ""
+    host, path = re.match(r"([^/?#]*)([^?#]*)", url[at + 3 :], re.S).groups()
+    return "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in host), path
 
 
-def brute_segment(m: AddressModel, run: str):
-    def cost(w):
-        return m.cost[w] if w in m.cost else m.start + m.letter * len(w)
+def brute_rule(host, path):
+    fits = [(h + p, v) for v, h, p in RULES if (host == h or host.endswith("." + h)) and path.startswith(p)]
+    return max(fits, key=lambda x: len(x[0])) if fits else (None, None)
 
-    best = None
-    for mask in range(1 << (len(run) - 1)):
-        cuts = [0, *(i + 1 for i in range(len(run) - 1) if mask >> i & 1), len(run)]
-        parts = [run[a:b] for a, b in zip(cuts, cuts[1:], strict=False)]
-        total = sum(map(cost, parts))
-        if best is None or total < best[0] - 1e-9:
-            best = (total, parts)
-    return best[0], cost
 
+URLS = [None, "", "no url", "HTTP://WWW.Ex.com/A?b#c", "http://Éa.com?x", "http://a.com/x", "https://m.example.com/en/1", "https://www.example.com/en/1", "http://x.net/de/", "http://x.net/es/1"]
+URLS += ["com://com", "a://xcom/", "a://", "http://net/fr/", "http://a.net/fr#/", "http://a.b://c/d", "http://x.org/a\nb/c?d", "http://WWW.EXAMPLE.COM/en/", "http://a.wwwexample.com/en/"]
 
-def test_segmentation_is_the_cheapest():
-    m = fit_addresses([["spam", "farm"], ["free", "bets"], ["bet", "s"]], [["city", "news"], ["farm"], ["new"]])
-    for run in ("spamfarm", "freebets", "citynews", "xqfarmzz", "newsbets", "aaaa"):
-        total, cost = brute_segment(m, run)
-        assert abs(sum(map(cost, m.segment(run))) - total) < 1e-9 and "".join(m.segment(run)) == run
-    assert m.segment("spamfarm") == ("spam", "farm")
+
+def test_url_parts_and_rules(spark):
+    rows = filter_urls(spark.createDataFrame([(i, u, 0) for i, u in enumerate(URLS)], "page_id long, url string, host int"), spark.createDataFrame([], "text string")).collect()
+    for r in rows:
+        host, path = brute_parts(URLS[r.page_id])
+        assert (r.host, r.path) == (host, path)
+        rule, verdict = brute_rule(host, path)
+        assert r.rule == rule and (verdict is None or r.verdict == verdict)
+
+
+def brute_cost(run, counts):
+    """Least cost over all ways to cut a run."""
+    total = sum(counts.values())
+    cost = lambda w: math.log(total / counts[w]) if w in counts else math.log(total + 1) + LETTER * len(w)
+    cuts = [[0, *(i + 1 for i in range(len(run) - 1) if mask >> i & 1), len(run)] for mask in range(1 << (len(run) - 1))]
+    return min(sum(cost(run[a:b]) for a, b in zip(c, c[1:], strict=False)) for c in cuts), cost
+
+
+def test_segmentation_is_the_cheapest(spark):
+    docs = [("spam farm free bets city news", ), ("Farm, farm; the bets x the news spam's",), (None,), ("a" * 30,)]
+    counts = {r.word: r.n for r in word_counts(spark.createDataFrame(docs, "text string")).collect()}
+    assert counts == {"spam": 2, "farm": 3, "free": 1, "bets": 2, "city": 1, "news": 2, "the": 2, "x": 1, "s": 1}
+    table = spark.createDataFrame(list(counts.items()), "word string, n long")
+    runs = ["spamfarm", "freebets", "citynews", "xqfarmzz", "newsbets", "aaaa", "qq", "x"]
+    got = {r.run: r.words for r in segmented(spark.createDataFrame([(x,) for x in runs], "run string"), table).collect()}
+    for run in runs:
+        least, cost = brute_cost(run, counts)
+        assert abs(sum(map(cost, got[run])) - least) < 1e-9 and "".join(got[run]) == run
+    assert got["spamfarm"] == ["spam", "farm"] and got["qq"] == ["qq"]
+
+
+def test_naive_bayes_matches_brute_force(spark):
+    """Scores of the query's operator against a plain count, the model fitted on
+    what rules decide; then on given labels."""
+    docs = spark.createDataFrame([("spam farm news city daily the",)] * 3, "text string")
+    urls = [f"https://{h}.example.{t}/{p}/{i}" for i, (h, t, p) in enumerate([("spamfarm", "net", "es"), ("spamfarm", "net", "fr"), ("citynews", "com", "de"), ("dailynews", "com", "fr"), ("spamnews", "net", "es"), ("spamfarm", "org", "en"), ("dailycity", "org", "en"), ("zzz", "org", "x")])]
+    pages = spark.createDataFrame(list(enumerate(urls)) + [(7, urls[0]), (None, None)], "page_id long, url string")
+    said = {"com", "net", "example", "www", "en", "es", "fr"}
+    cut = {"spamfarm": ["spam", "farm"], "citynews": ["city", "news"], "dailynews": ["daily", "news"], "spamnews": ["spam", "news"], "dailycity": ["daily", "city"]}
+    bag = lambda u: [w for r in re.findall("[a-z]+", " ".join(brute_parts(u))) for w in cut.get(r, [r])]
+    labels = {u: v for u in urls if (v := brute_rule(*brute_parts(u))[1])}
+
+    def brute(labels, drop):
+        bad = [w for u, v in labels.items() if v == "block" for w in bag(u) if w not in drop]
+        good = [w for u, v in labels.items() if v == "allow" for w in bag(u) if w not in drop]
+        size = len(set(bad) | set(good))
+        odds = {w: math.log((bad.count(w) + 0.5) / (len(bad) + 0.5 * size)) - math.log((good.count(w) + 0.5) / (len(good) + 0.5 * size)) for w in set(bad) | set(good)}
+        prior = math.log(sum(v == "block" for v in labels.values()) / sum(v == "allow" for v in labels.values()))
+        return lambda u: prior + sum(odds.get(w, 0) for w in bag(u))
+
+    score = brute(labels, said)
+    for r in filter_urls(pages, docs).collect():
+        url = None if r.page_id is None else urls[0] if r.host.startswith("spamfarm.example.net") and r.page_id == 7 else urls[r.page_id]
+        assert abs(r.log_odds - score(url)) < 1e-9
+        assert r.verdict == (brute_rule(*brute_parts(url))[1] or ("block" if r.log_odds > 0 else "allow"))
+    assert {r.host: r.verdict for r in filter_urls(pages, docs).collect()}["spamfarm.example.org"] == "block"
+    given = {u: "block" if "daily" in u else "allow" for u in urls}
+    table = spark.createDataFrame([(*brute_parts(u), v) for u, v in given.items()], "host string, path string, verdict string")
+    score = brute(given, ())
+    rows = filter_urls(pages, docs, labelled=table).where("page_id is not null").collect()
+    assert all(abs(r.log_odds - score(urls[0] if r.host == "spamfarm.example.net" and r.path.endswith("/0") else urls[r.page_id])) < 1e-9 for r in rows)
 
 
 def test_url_filter_edges(spark):
-    rows = [(1, "https://spamfarm.example.org/en/1", 0), (2, None, 0), (3, "x", 0), (None, "http://a.com/", 0), (4, "https://daily-news.example.org/" + "a" * 50_000, 0), (4, "http://x.net/es/1", 0)]
-    got = filter_urls(spark.createDataFrame(rows, "page_id long, url string, host int")).collect()
-    assert [(r.page_id, r.rule, r.verdict) for r in got] == [(1, None, "block"), (2, None, "allow"), (3, None, "allow"), (None, "com/", "allow"), (4, None, "allow"), (4, "net/es/", "block")]
-    assert got[1].host == got[1].path == ""
-    assert filter_urls(spark.createDataFrame([], "page_id long, url string")).count() == 0
+    rows = [(1, "https://spamfarm.example.org/en/1", 0), (2, None, 0), (None, "http://a.com/", 0), (4, "https://daily-news.example.org/" + "a" * 50_000, 0), (4, "http://x.net/es/1", 0), (4, "http://x.net/es/1", 0)]
+    docs = spark.createDataFrame([("a daily",), (None,)], "text string")
+    got = filter_urls(spark.createDataFrame(rows, "page_id long, url string, host int"), docs).collect()
+    assert sorted((r.page_id or 0, r.rule or "", r.verdict) for r in got) == [(0, "com/", "allow"), (1, "", "allow"), (2, "", "allow"), (4, "", "allow"), (4, "net/es/", "block"), (4, "net/es/", "block")]
+    assert filter_urls(spark.createDataFrame([], "page_id long, url string"), docs).count() == 0
 
 
 def brute_base(text):
@@ -304,3 +353,38 @@ def test_query_reads_tool_calls(spark, tmp_path):
     got = {r.call_id: r for r in op8_chat_tools(spark, str(tmp_path)).collect()}
     assert got["k"].linked and got["k"].name == "add" and json.loads(got["k"].json)["result"] == "3"
     assert got["1:3"].linked and not got["1:0"].linked and len(got) == 3
+
+
+def test_ordinal_model_fits_the_likelihood():
+    """Weights and thresholds against the plain penalised likelihood of the
+    cumulative-link model: no nearby point is better; severity is its mean."""
+    r = random.Random(4)
+    bad, fine = ["vile", "grim", "awful", "nasty"], [words(i, 1) for i in range(40)]
+    texts, toxic = [], []
+    for i in range(300):
+        n = r.choice([0, 0, 1, 2, 4])
+        texts.append(" ".join(r.choices(fine, k=25) + r.choices(bad, k=n)))
+        toxic.append(int(n > 0))
+    model = fit(texts, toxic, steps=3000)
+    names = sorted(model.weights)
+    x = np.array([[np.log1p(sum(f in feats(w) for w in t.split())) for f in names] for t in texts])
+    typical = np.array([sum(any(f in model.weights for f in feats(w)) for w in t.split()) for t in texts])
+    y = np.array(toxic) > 0
+    grade = np.where(y, 1 + np.searchsorted(np.quantile(typical[y], [1 / 3, 2 / 3]), typical, "right"), 0)
+
+    def loss(w, t):
+        reach = np.column_stack([np.ones(len(x)), 1 / (1 + np.exp(-(x @ w)[:, None] + t)), np.zeros(len(x))])
+        p = reach[np.arange(len(x)), grade] - reach[np.arange(len(x)), grade + 1]
+        return -np.log(np.maximum(p, 1e-12)).mean() + 0.05 * (w @ w) / len(x)
+
+    w, t = np.array([model.weights[f] for f in names]), np.array(model.thresholds)
+    assert (np.diff(t) > 0).all()
+    best, rng = loss(w, t), np.random.default_rng(1)
+    for _ in range(200):
+        assert loss(w + rng.normal(0, 0.05, len(w)), np.sort(t + rng.normal(0, 0.05, len(t)))) > best - 1e-4
+    p = model.exceed(model.scores(texts))
+    assert np.allclose(model.scores(texts), x @ w) and np.allclose(p.sum(1), (1 / (1 + np.exp(-(x @ w)[:, None] + t))).sum(1))
+
+
+def feats(w):
+    return {w} | {"^" + w[:n] for n in range(3, 10) if len(w) >= n}
