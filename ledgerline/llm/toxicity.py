@@ -8,6 +8,7 @@ labelled rows and applied to every whole text."""
 
 from __future__ import annotations
 
+from array import array
 from collections import Counter
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
@@ -73,15 +74,21 @@ def fit(texts: list[str], toxic: list[int], grades: int = 3, ridge: float = 0.1,
         return OrdinalModel()
     # words and features as integers: of the sample only distinct words are held as text
     code: dict[str, int] = {}
-    held = [Counter(code.setdefault(w, len(code)) for w in WORD.findall(t.lower())) for t in texts]
-    codes, times = [np.fromiter(c, np.int32, len(c)) for c in held], [np.fromiter(c.values(), np.int32, len(c)) for c in held]
-    del held
+    codes, times = [], []
+    for t in texts:
+        own = Counter(code.setdefault(w, len(code)) for w in WORD.findall(t.lower()))
+        codes.append(np.fromiter(own, np.int32, len(own)))
+        times.append(np.fromiter(own.values(), np.int32, len(own)))
     feature: dict[str, int] = {}
-    lists = [[feature.setdefault(f, len(feature)) for f in word_features(w)] for w in code]
-    ends = np.cumsum([0, *map(len, lists)])
-    flat = np.array([f for own in lists for f in own], np.int64)
+    listed, sizes = array("q"), array("q")
+    for w in code:
+        own = word_features(w)
+        listed.extend(feature.setdefault(f, len(feature)) for f in own)
+        sizes.append(len(own))
+    ends = np.cumsum([0, *sizes])
+    flat = np.array(listed, np.int64)
     names = list(feature)
-    del code, feature, lists
+    del code, feature, listed
 
     def spread(words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Features of words laid end to end, and the word's index of each."""
