@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 #: Values that stand for "not known" (fixed values).
 UNKNOWN_TRIM_VALUES = ("N A", "NA", "NONE", "NULL", "UNKNOWN", "NOT APPLICABLE")
-UNKNOWN_VEHICLE_VALUES = (*UNKNOWN_TRIM_VALUES, "OTHER", "N/A")
+UNKNOWN_VEHICLE_VALUES = ("", "N A", "NA", "NONE", "NULL", "UNKNOWN", "NOT APPLICABLE", "OTHER")
 #: Trims by precedence (fixed values).
 KNOWN_TRIMS = (
     "TRD OFF ROAD", "TRD SPORT", "HIGH COUNTRY", "KING RANCH", "BIG HORN",
@@ -31,7 +31,15 @@ TITLE_STOPWORDS = (
 )
 #: Phrases and words that sellers add to titles (fixed values).
 MARKETING_PHRASES = ("FOR SALE", "LOW MILES", "ONE OWNER", "CLEAN CARFAX", "CLEAN TITLE", "NO ACCIDENTS", "SEE VIDEO", "FULLY LOADED", "WELL MAINTAINED", "GREAT CONDITION")
-NON_TRIM_TOKENS = tuple(w for w in TITLE_STOPWORDS if w != "LOW") + ("CABRIOLET", "ROADSTER", "LOADED", "MILE", "PACKAGE", "PKG")
+#: Words of a title that are no part of a trim's remainder (fixed values).
+NON_TRIM_TOKENS = (
+    "NEW", "USED", "CERTIFIED", "CPO", "SEDAN", "COUPE", "SUV", "TRUCK",
+    "VAN", "WAGON", "HATCHBACK", "CONVERTIBLE", "CABRIOLET", "ROADSTER",
+    "AWD", "FWD", "RWD", "4WD", "4X4", "AUTO", "AUTOMATIC", "MANUAL",
+    "GAS", "GASOLINE", "HYBRID", "ELECTRIC", "DIESEL", "TURBO", "LOCAL",
+    "CARFAX", "CLEAN", "TITLE", "NAVIGATION", "SUNROOF", "LEATHER",
+    "BACKUP", "CAMERA", "LOADED", "MILE", "MILES", "PACKAGE", "PKG",
+)
 
 
 def squeeze(c: Column) -> Column:
@@ -89,18 +97,21 @@ def title_year(c: Column, last: str = "3") -> Column:
 
 def extract_clean_trim(make: Column, model: Column, year: Column, title: Column) -> Column:
     """First known trim, in list order, that the title holds as whole words;
-    else its first two words that are neither identity nor stop words, at most
-    40 characters; '' without any."""
-    text = squeeze(F.coalesce(title, F.lit("")))
+    else its first two words that are neither identity nor stop words, numbers
+    or single characters, at most 40 characters; '' without any. Words are
+    joined by underscores."""
+    text = normalize_trim(title)
     known = F.get(F.filter(F.array(*map(F.lit, KNOWN_TRIMS)), lambda t: has_phrase(text, t)), F.lit(0))
     own = F.split(F.concat_ws(" ", squeeze(make), squeeze(model), year.cast("string")), " ")
-    words = F.filter(F.split(text, " "), lambda w: (w != "") & ~F.array_contains(own, w) & ~w.isin(*TITLE_STOPWORDS) & ~w.rlike("^[0-9]{4,}$"))
-    return F.coalesce(known, F.substring(F.array_join(F.slice(words, 1, 2), " "), 1, 40))
+    words = F.filter(F.split(text, " "), lambda w: (w != "") & ~F.array_contains(own, w) & ~w.isin(*TITLE_STOPWORDS) & ~w.rlike("^[0-9]+$") & (F.length(w) > 1))
+    return F.coalesce(F.replace(known, F.lit(" "), F.lit("_")), F.substring(F.array_join(F.slice(words, 1, 2), "_"), 1, 40))
 
 
 def combine_trims(*cs: Column) -> Column:
-    """Distinct normalised values in order, joined by blanks; UNKNOWN_TRIM without any."""
-    values = F.array_distinct(F.filter(F.array(*[normalize_trim(c) for c in cs]), lambda v: v != ""))
+    """Distinct normalised values in order, each with underscores for its blanks,
+    joined by blanks; UNKNOWN_TRIM without any, which counts as no value."""
+    tokens = [F.replace(normalize_trim(c), F.lit(" "), F.lit("_")) for c in cs]
+    values = F.array_distinct(F.filter(F.array(*tokens), lambda v: ~v.isin("", "UNKNOWN_TRIM")))
     return F.when(F.size(values) > 0, F.array_join(values, " ")).otherwise("UNKNOWN_TRIM")
 
 

@@ -14,11 +14,9 @@ def mode_or_unknown(c: str):
 
 def monthly(history: DataFrame, keys: list[str], day: str = "history_date", price: str = "price", mileage: str = "mileage", ident: str = "vin", modes: tuple[str, ...] = (), means: tuple[str, ...] = ()) -> DataFrame:
     """One row per cohort and month: price statistics, volume, distinct keys."""
-    return history.groupBy(*keys, F.trunc(day, "month").alias("month_start")).agg(
-        F.percentile(price, 0.5).alias("median_price"),
+    found = history.groupBy(*keys, F.trunc(day, "month").alias("month_start")).agg(
+        F.percentile(price, F.array(F.lit(0.5), F.lit(0.25), F.lit(0.75))).alias("__price"),
         F.avg(price).alias("avg_price"),
-        F.percentile(price, 0.25).alias("p25_price"),
-        F.percentile(price, 0.75).alias("p75_price"),
         F.avg(mileage).alias("avg_mileage"),
         F.percentile(mileage, 0.5).alias("median_mileage"),
         F.count("*").alias("volume"),
@@ -26,6 +24,8 @@ def monthly(history: DataFrame, keys: list[str], day: str = "history_date", pric
         *[mode_or_unknown(m).alias(f"mode_{m}") for m in modes],
         *[F.avg(m).alias(f"avg_{m}") for m in means],
     )
+    at = {f"{name}_price": F.col("__price")[i] for i, name in enumerate(("median", "p25", "p75"))}
+    return found.select(*keys, "month_start", at["median_price"].alias("median_price"), "avg_price", at["p25_price"].alias("p25_price"), at["p75_price"].alias("p75_price"), *found.columns[len(keys) + 3 :])
 
 
 def supported(panel: DataFrame, keys: list[str], least_vins: int, least_months: int) -> DataFrame:

@@ -36,7 +36,7 @@ def current_price_features(df: DataFrame, as_of_year: int, price: str = "price",
             "title_words": text.word_count(F.col(title)),
             "title_certified": text.flag(F.col(title), "certified|cpo"),
             "title_awd": text.flag(F.col(title), "awd|4wd|4x4|all wheel"),
-            "title_luxury": text.flag(F.col(title), "premium|platinum|limited|reserve|s|amg|m sport|rs|performance|gt350|gt500"),
+            "title_luxury": text.flag(F.col(title), r"\b(premium|platinum|limited|reserve|s|amg|m sport|rs|performance|gt350|gt500)\b"),
             "source_is_marketplace": text.flag(F.col(source), "cars.com|truecar|cargurus|autotempest"),
             "make_model_year": F.concat_ws("_", *[F.coalesce(F.col(c).cast("string"), F.lit("UNKNOWN")) for c in ("canonical_make", "canonical_model", year)]),
         }

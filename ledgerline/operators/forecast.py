@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import importlib.util
 from collections.abc import Callable
 
 import numpy as np
@@ -15,8 +16,8 @@ from ledgerline.operators.history import latest
 from ledgerline.operators.models import preprocessor
 from ledgerline.session import cut_lineage
 
-#: Families whose libraries may be missing; they are reported as skipped.
-OPTIONAL_FAMILIES = ("sarimax", "prophet", "timesfm")
+#: Families of other libraries, by module; they are reported as skipped.
+OPTIONAL_FAMILIES = {"sarimax": "statsmodels", "prophet": "prophet", "timesfm": "timesfm"}
 
 
 def parse_families(value: str, known: tuple[str, ...] = ("global", "drift", "seasonal_naive", *OPTIONAL_FAMILIES)) -> list[str]:
@@ -42,8 +43,10 @@ def direct_forecast(model: PipelineModel, panel: DataFrame, keys: list[str], hor
 
 
 def recursive_forecast(model: PipelineModel, panel: DataFrame, keys: list[str], steps: int, checkpoint_every: int = 6) -> DataFrame:
-    """Month by month: each price is fed back as price, lag and rolling median;
-    other features stay. The lineage is cut every few steps by checkpoint()."""
+    """Month by month: each predicted price is fed back as price, quartiles, lag
+    and rolling median, and into the index and change since the cohort's first
+    price; other features stay. The lineage is cut every few steps by
+    checkpoint()."""
     panel = panel.withColumn("__key", F.struct(*keys))
     state = latest(panel, "__key", F.desc("month_start")).drop("__key").withColumn("observed_price", F.col("median_price"))
     base = state.columns
@@ -51,9 +54,10 @@ def recursive_forecast(model: PipelineModel, panel: DataFrame, keys: list[str],
     for step in range(1, steps + 1):
         price = F.greatest(F.col("median_price") * (1 + F.col("change")), F.lit(0.0))
         moved = model.transform(state).withColumn("__p", price)
-        feedback = {c: F.col("__p") for c in ("median_price", "avg_price", "p25_price", "p75_price", "rolling_median_3") if c in base}
-        if "price_lag_1" in base:
-            feedback["price_lag_1"] = F.col("median_price")
+        feedback = {c: F.col("__p") for c in ("median_price", "avg_price", "p25_price", "p75_price", "price_lag_1", "rolling_median_3") if c in base}
+        index = F.try_divide("__p", F.try_divide("median_price", F.nullif(F.col("price_index"), F.lit(0.0)))) if "price_index" in base else None
+        if index is not None:
+            feedback |= {"price_index": index, **({"cumulative_change": index - 1} if "cumulative_change" in base else {})}
         state = moved.withColumns(feedback | {"month_start": F.add_months("month_start", 1)})
         state = state.withColumns({c: f for c, f in {"month": F.month("month_start"), "quarter": F.quarter("month_start"), "cohort_month_number": F.col("cohort_month_number") + 1, "cohort_age_months": F.col("cohort_age_months") + 1}.items() if c in base}).select(*base)
         if step % checkpoint_every == 0:
@@ -126,6 +130,6 @@ def run_families(series: DataFrame, keys: list[str], families: list[str], horizo
             part = local_backtest(series, keys, f, horizon)
             rows = part if rows is None else rows.unionByName(part)
         elif f in OPTIONAL_FAMILIES:
-            skipped[f] = "its library is not installed"
+            skipped[f] = "its library is not installed" if importlib.util.find_spec(OPTIONAL_FAMILIES[f]) is None else "no adapter is written for it"
     return rows, skipped
 

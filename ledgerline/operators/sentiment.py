@@ -32,8 +32,9 @@ SPAM = (
     r"\bclick here\b", r"\btelegram\b", r"\bwhatsapp\b", r"\bcontact me\b",
     r"\bpromo\b", r"\bdiscount\b", r"\bgiveaway\b",
 )
-OTHER_JUNK = (r"(.)\1{5,}", r"\+\d{1,3}[-.\s]?\d{3,4}[-.\s]?\d{4}", r"\b0x[a-fA-F0-9]{40}\b", r"\b[13][a-km-zA-HJ-NP-Z1-9]{25,34}\b")
-FILLERS = ("first", "first!", "first comment", "1st", "nice", "cool")
+OTHER_JUNK = (r"([^\n])\1{5,}", r"\+\d{1,3}[-.\s]?\d{3,4}[-.\s]?\d{4}", r"\b0x[a-fA-F0-9]{40}\b", r"\b[13][a-km-zA-HJ-NP-Z1-9]{25,34}\b")
+#: Comments that are no opinion as a whole (fixed values).
+FILLERS = ("first", "first!", "first!!", "first comment", "subscribe", "sub")
 ASPECTS = ("reliability", "value", "performance", "comfort")
 #: Words of the stand-in scorer, as no language model is at hand.
 LEXICON = {
@@ -47,18 +48,19 @@ LEXICON = {
 def vehicle_entity(title: Column) -> Column:
     """`year Make Model words` of a video title: the first year, the first make
     in list order, then up to three words of the model. The walk over the words
-    is one fold: it ends at a separator, a stop word or a lower-case word
-    without digit or hyphen, and passes over years and empty words."""
+    is one fold: it ends before a word that begins with a separator, a stop word
+    or a lower-case word without digit or hyphen, after a taken word that ends
+    with a mark, and passes over years and words of marks only."""
     year = F.nullif(F.regexp_extract(title, r"\b(19[89]\d|20[0-2]\d)\b", 1), F.lit(""))
     found = F.coalesce(*[F.when(title.rlike(rf"(?i)\b{m}\b"), F.struct(F.lit(m).alias("make"), F.regexp_extract(title, rf"(?is)\b{m}\b(.*)$", 1).alias("rest"))) for m in MAKES])
     make, rest = found["make"], found["rest"]
     state = F.struct(F.array().cast("array<string>").alias("words"), F.lit(False).alias("done"))
 
     def step(acc: Column, raw: Column) -> Column:
-        word = F.regexp_replace(raw, r"^[^A-Za-z0-9]+|[^A-Za-z0-9]+$", "")
+        word = F.regexp_replace(raw, r"""^[.,;:!?|()\-–—"'\[\]{}]+|[.,;:!?|()\-–—"'\[\]{}]+$""", "")
         skip = (word == "") | word.rlike(r"^(\d{4})$")
-        starts, ends = raw.rlike(r"^[-:|,(/–—]"), raw.rlike(r"[:|,)/!?.–—]$")
-        plain = word.rlike("^[a-z]+$") & ~word.rlike("[0-9-]")
+        starts, ends = raw.rlike(r"^[-|:/\\–—]"), raw.rlike(r"[-:|.?!–—]$")
+        plain = (word == F.lower(word)) & (word != F.upper(word)) & ~word.rlike("[0-9-]")
         stop = starts | (~skip & (F.lower(word).isin(*STOP_WORDS) | plain))
         take = ~acc["done"] & ~stop & ~skip
         return F.struct(F.when(take, F.array_append(acc["words"], word)).otherwise(acc["words"]).alias("words"), (acc["done"] | stop | (take & ends)).alias("done"))
@@ -74,7 +76,7 @@ def vehicle_entity(title: Column) -> Column:
 def clean_comment(c: Column) -> Column:
     """The comment without addresses and tags, marks squeezed; null for filler,
     advertising, repeated characters, contacts and fewer than three words."""
-    t = F.trim(F.regexp_replace(F.regexp_replace(c, r"https?://\S+|www\.\S+", ""), "<.*?>", ""))
+    t = F.trim(F.regexp_replace(F.regexp_replace(c, r"https?://\S+|www\.\S+", ""), "<[^\n]*?>", ""))
     junk = F.lower(t).isin(*FILLERS)
     for p in SPAM:
         junk = junk | t.rlike(f"(?i){p}")
@@ -86,21 +88,28 @@ def clean_comment(c: Column) -> Column:
 
 def chunks(c: Column, most: int = 45) -> Column:
     """Sentences packed greedily into chunks of at most `most` words; a longer
-    sentence is cut after every `most` words. One fold over the pieces."""
+    sentence is cut after every `most` words, and its pieces stay apart from
+    their neighbours. One fold over the pieces. A blank text is one empty chunk,
+    a null or empty one has none."""
     sentences = F.filter(F.split(c, r"(?<=[.!?])\s+|\n+"), lambda s: F.trim(s) != "")
-    pieces = F.flatten(F.transform(sentences, lambda s: F.transform(F.sequence(F.lit(0), F.floor((F.size(F.split(F.trim(s), r"\s+")) - 1) / most).cast("int")), lambda i: F.array_join(F.slice(F.split(F.trim(s), r"\s+"), i * most + 1, F.lit(most)), " "))))
-    state = F.struct(F.array().cast("array<string>").alias("done"), F.lit("").alias("open"), F.lit(0).alias("n"))
+
+    def cut(s: Column) -> Column:
+        words = F.split(F.regexp_replace(s, r"^\s+|\s+$", ""), r"\s+")
+        many = F.ceil(F.size(words) / most).cast("int")
+        return F.transform(F.sequence(F.lit(0), many - 1), lambda i: F.struct(F.slice(words, i * most + 1, F.lit(most)).alias("words"), (many > 1).alias("whole")))
+
+    state = F.struct(F.array().cast("array<string>").alias("done"), F.array().cast("array<string>").alias("open"))
+    shut = lambda acc: F.when(F.size(acc["open"]) > 0, F.array_append(acc["done"], F.array_join(acc["open"], " "))).otherwise(acc["done"])
 
     def step(acc: Column, p: Column) -> Column:
-        n = F.size(F.split(p, " "))
-        fits = (acc["n"] + n <= most) & (acc["n"] > 0)
-        return F.struct(
-            F.when(fits | (acc["n"] == 0), acc["done"]).otherwise(F.array_append(acc["done"], acc["open"])).alias("done"),
-            F.when(fits, F.concat_ws(" ", acc["open"], p)).otherwise(p).alias("open"),
-            F.when(fits, acc["n"] + n).otherwise(n).alias("n"),
-        )
-
-    return F.aggregate(pieces, state, step, lambda acc: F.when(acc["n"] > 0, F.array_append(acc["done"], acc["open"])).otherwise(acc["done"]))
+        none = F.array().cast("array<string>")
+        fits = F.size(acc["open"]) + F.size(p["words"]) <= most
+        done = F.when(p["whole"], F.array_append(shut(acc), F.array_join(p["words"], " "))).when(fits, acc["done"]).otherwise(shut(acc))
+        return F.struct(done.alias("done"), F.when(p["whole"], none).when(fits, F.concat(acc["open"], p["words"])).otherwise(p["words"]).alias("open"))
+
+    found = F.aggregate(F.flatten(F.transform(sentences, cut)), state, step, shut)
+    blank = F.when(F.coalesce(c, F.lit("")) == "", F.array().cast("array<string>")).otherwise(F.array(F.lit("")))
+    return F.when(F.regexp_replace(F.coalesce(c, F.lit("")), r"\s+", "") == "", blank).otherwise(found)
 
 
 def lexicon_scores(c: Column) -> dict[str, Column]:

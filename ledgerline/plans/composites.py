@@ -41,9 +41,9 @@ def f52(m):
     return outliers.flag_outliers(_priced(m), "price").select("vin", "seq", "price", F.col("ctx_level").alias("level"), "outlier")
 
 
-@query("f51_base_price_cascade", "WITH a AS (SELECT vin, price FROM (SELECT *, row_number() OVER (PARTITION BY vin ORDER BY history_date, price) AS rn FROM {price_history} WHERE price > 0 AND seq % 2 = 0) WHERE rn = 1), b AS (SELECT vin, price FROM (SELECT *, row_number() OVER (PARTITION BY vin ORDER BY history_date, price) AS rn FROM {listing_history} WHERE price > 0) WHERE rn = 1) SELECT i.vin, CASE WHEN i.base_price > 0 THEN i.base_price ELSE coalesce(a.price, b.price)::DOUBLE END AS base_price, CASE WHEN i.base_price > 0 THEN 'nhtsa' WHEN a.price IS NOT NULL THEN 'price_history' WHEN b.price IS NOT NULL THEN 'listing_history' ELSE 'missing' END AS base_price_source FROM {identity} i LEFT JOIN a ON i.vin = a.vin LEFT JOIN b ON i.vin = b.vin")
+@query("f51_base_price_cascade", "WITH a AS (SELECT vin, price FROM (SELECT *, row_number() OVER (PARTITION BY vin ORDER BY history_date, price) AS rn FROM {price_history} WHERE price > 0) WHERE rn = 1), b AS (SELECT vin, price FROM (SELECT *, row_number() OVER (PARTITION BY vin ORDER BY history_date, price) AS rn FROM {listing_history} WHERE price > 0) WHERE rn = 1) SELECT i.vin, CASE WHEN i.base_price > 0 THEN i.base_price ELSE coalesce(a.price, b.price)::DOUBLE END AS base_price, CASE WHEN i.base_price > 0 THEN 'nhtsa' WHEN a.price IS NOT NULL THEN 'price_history' WHEN b.price IS NOT NULL THEN 'listing_history' ELSE 'missing' END AS base_price_source FROM {identity} i LEFT JOIN a ON i.vin = a.vin LEFT JOIN b ON i.vin = b.vin")
 def f51(m):
-    return history.fill_base_price(m.identity.select("vin", "base_price"), m.price_history.where("seq % 2 = 0"), m.listing_history)
+    return history.fill_base_price(m.identity.select("vin", "base_price"), m.price_history, m.listing_history)
 
 
 @query("i01_catalog_ids", "SELECT canonical_year AS year, canonical_make AS make, canonical_model AS model, min(p_partkey)::BIGINT AS id, count(*) AS n FROM (SELECT *, CAST(substr(vin, 4) AS BIGINT) AS p_partkey FROM {identity}) GROUP BY 1, 2, 3")
@@ -76,10 +76,22 @@ def p12(m):
     return f.select("vin", "seq", F.col("listed_price").alias("price"), "vehicle_age", F.round("log_mileage", 6).alias("log_mileage"), "days_since_listed", "title_length", "make_model_year")
 
 
-@query("f13_clean_comments", "WITH c AS (SELECT doc_id, trim(text) AS t FROM documents WHERE NOT regexp_matches(text, 'https?://|www\\.|<') AND NOT regexp_matches(text, '[!?]{2}|[.]{4}')), k AS (SELECT *, lower(t) IN ('first', 'first!', 'first comment', '1st', 'nice', 'cool') OR regexp_matches(t, '(?i)\\bsubscribe\\b|\\bmy channel\\b|\\bcheck out my\\b|\\bclick the link\\b|\\bclick here\\b|\\btelegram\\b|\\bwhatsapp\\b|\\bcontact me\\b|\\bpromo\\b|\\bdiscount\\b|\\bgiveaway\\b') OR regexp_matches(t, '\\+\\d{1,3}[-.\\s]?\\d{3,4}[-.\\s]?\\d{4}|\\b0x[a-fA-F0-9]{40}\\b|\\b[13][a-km-zA-HJ-NP-Z1-9]{25,34}\\b') AS junk FROM c) SELECT doc_id, CASE WHEN NOT junk AND len(regexp_split_to_array(t, '\\s+')) >= 3 THEN t END AS clean FROM k")
+#: Any character six times in a row, spelt out: the engine of the oracle has no back references.
+_SIX = "|".join(f"\\x{{{c:x}}}{{6}}" for c in (9, *range(0x20, 0x250)))
+_F13 = r"""
+WITH c AS (SELECT doc_id, trim(regexp_replace(regexp_replace(text, 'https?://\S+|www\.\S+', '', 'g'), '<[^\n]*?>', '', 'g')) AS t FROM documents),
+k AS (SELECT *, lower(t) IN ('first', 'first!', 'first!!', 'first comment', 'subscribe', 'sub')
+  OR regexp_matches(t, '(?i)\bsubscribe\b|\bmy channel\b|\bcheck out my\b|\bclick the link\b|\bclick here\b|\btelegram\b|\bwhatsapp\b|\bcontact me\b|\bpromo\b|\bdiscount\b|\bgiveaway\b')
+  OR regexp_matches(t, '\+\d{1,3}[-.\s]?\d{3,4}[-.\s]?\d{4}|\b0x[a-fA-F0-9]{40}\b|\b[13][a-km-zA-HJ-NP-Z1-9]{25,34}\b')
+  OR regexp_matches(t, '_SIX_') AS junk FROM c),
+o AS (SELECT doc_id, junk, trim(regexp_replace(regexp_replace(regexp_replace(t, '!{2,}', '!', 'g'), '\?{2,}', '?', 'g'), '\.{4,}', '...', 'g')) AS t FROM k)
+SELECT doc_id, CASE WHEN NOT junk AND t <> '' AND len(regexp_split_to_array(t, '\s+')) >= 3 THEN t END AS clean FROM o
+"""
+
+
+@query("f13_clean_comments", _F13.replace("_SIX_", _SIX))
 def f13(m):
-    d = m.documents.where(r"NOT text RLIKE 'https?://|www\\.|<' AND NOT text RLIKE '[!?]{2}|[.]{4}'")
-    return d.select("doc_id", sentiment.clean_comment(F.col("text")).alias("clean"))
+    return m.documents.select("doc_id", sentiment.clean_comment(F.col("text")).alias("clean"))
 
 
 @query("f14_chunks")
@@ -87,7 +99,14 @@ def f14(m):
     return m.comments.select("comment_id", F.posexplode(sentiment.chunks(F.col("text"))).alias("chunk", "text"))
 
 
-@query("x06_lexicon_aspects")
+_LEXICON_SQL = "WITH w AS (SELECT doc_id AS comment_id, regexp_split_to_array(lower(text), '[^a-z-]+') AS w FROM documents) SELECT comment_id, " + ", ".join(
+    f"len(list_filter(w, lambda x: x IN ({', '.join(repr(x) for x in own.split())}))) / greatest(len(list_filter(w, lambda x: x IN ({', '.join(repr(x) for x in ' '.join(both).split())}))), 1) AS {aspect}_{side}"
+    for aspect, both in sentiment.LEXICON.items()
+    for side, own in zip(("positive", "negative"), both, strict=True)
+) + " FROM w"
+
+
+@query("x06_lexicon_aspects", _LEXICON_SQL)
 def x06(m):
     return m.comments.select("comment_id", *[c.alias(n) for n, c in sentiment.lexicon_scores(F.col("text")).items()])
 
@@ -148,7 +167,15 @@ def t04(m):
     return workqueue.unscored(m.comments, m.labels.select(F.col("doc_id").alias("comment_id")), order="like_count", n=100).select("comment_id", "like_count")
 
 
-@query("t05_stratified_sample")
+_T05 = """
+WITH d AS (SELECT o_orderkey, o_orderstatus, md5('42:' || o_orderkey) AS h FROM orders),
+q AS (SELECT o_orderstatus, least(count(*), greatest(1, round_even(count(*) * 1000 / (SELECT count(*) FROM d), 0)))::BIGINT AS quota FROM d GROUP BY 1),
+r AS (SELECT *, row_number() OVER (PARTITION BY o_orderstatus ORDER BY h, o_orderkey) AS rn FROM d JOIN q USING (o_orderstatus))
+SELECT o_orderkey, o_orderstatus FROM r ORDER BY (rn > quota)::INT, (rn > 1)::INT, h, o_orderkey LIMIT 1000
+"""
+
+
+@query("t05_stratified_sample", _T05)
 def t05(m):
     return samples.stratified(m.orders, "o_orderstatus", "o_orderkey", 1000).select("o_orderkey", "o_orderstatus")
 

@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import functions as F
 
 from ledgerline.operators import cohort, forecast, kpi, models
 from ledgerline.plans.registry import query
+from ledgerline.session import shared_folder
 from ledgerline.sources import samples
 from ledgerline.streaming import changes
 
@@ -28,9 +28,9 @@ def _panel(m):
 
 @query("m01_m08_price_champion")
 def m08(m):
-    """Searches two families on time-split listings; scored test rows of the best."""
+    """Searches four families on time-split listings; scored test rows of the best."""
     rows = _rows(m).withColumn("part", F.when(F.pmod(F.xxhash64("vin"), F.lit(5)) == 0, "test").otherwise("train"))
-    _, _, scored = models.train_price_models(rows, ["mileage", "canonical_year"], ["seller_type"], ["canonical_model"], "price", "vin", ("ridge", "elastic_net"))
+    _, _, scored = models.train_price_models(rows, ["mileage", "canonical_year"], ["seller_type"], ["canonical_model"], "price", "vin", ("ridge", "elastic_net", "gbt", "random_forest"))
     return scored.select("vin", "seq", "price", F.round("prediction", 2).alias("prediction"))
 
 
@@ -61,9 +61,9 @@ def t09(m):
 
 @query("t10_recursive_forecast")
 def t10(m):
-    """Three months ahead, each step fed back into the next."""
+    """Sixty months ahead, each step fed back into the next."""
     panel = _panel(m)
-    return forecast.recursive_forecast(forecast.fit_change_model(panel, NUMERIC, "target_change_1m"), panel, COHORT, 3)
+    return forecast.recursive_forecast(forecast.fit_change_model(panel, NUMERIC, "target_change_1m"), panel, COHORT, 60)
 
 
 @query("t11_direct_forecast")
@@ -77,22 +77,30 @@ def windowed(m):
     """Event-time windows over the events as a stream, run to its end."""
     stream = m.spark.readStream.schema(m.events.schema).option("pathGlobFilter", "events.parquet").parquet(m.folder)
     counts = changes.windowed_counts(stream.withColumn("at", F.col("ts").cast("timestamp")), "at", "event_type", "value")
-    name = "ext_windowed_stream"
-    counts.writeStream.outputMode("complete").format("memory").queryName(name).trigger(availableNow=True).start().awaitTermination()
-    return m.spark.table(name).select(F.col("window.start").cast("timestamp_ntz").alias("start"), "event_type", "n", F.round("total", 4).alias("total"))
+    path = _folder(m.spark)
+    write = lambda batch, _: batch.write.mode("overwrite").parquet(f"{path}/out")
+    counts.writeStream.outputMode("complete").foreachBatch(write).option("checkpointLocation", f"{path}/state").trigger(availableNow=True).start().awaitTermination()
+    return m.spark.read.parquet(f"{path}/out").select(F.col("window.start").cast("timestamp_ntz").alias("start"), "event_type", "n", F.round("total", 4).alias("total"))
 
 
-@query("t02_change_stream")
+_T02 = """
+WITH e AS (SELECT user_id, event_id, floor(value)::DOUBLE AS price, length(event_type)::DOUBLE AS mileage FROM events),
+l AS (SELECT *, lag(price) OVER w AS p, lag(mileage) OVER w AS q, row_number() OVER w AS rn FROM e WINDOW w AS (PARTITION BY user_id ORDER BY event_id))
+SELECT user_id, event_id, price, mileage FROM l WHERE rn = 1 OR price IS DISTINCT FROM p OR mileage IS DISTINCT FROM q
+"""
+
+
+@query("t02_change_stream", _T02)
 def t02(m):
     """Change detection with keyed state over micro-batches."""
     stream = m.spark.readStream.schema(m.events.schema).option("pathGlobFilter", "events.parquet").parquet(m.folder)
     rows = stream.select("user_id", "event_id", F.floor("value").cast("double").alias("price"), F.length("event_type").cast("double").alias("mileage"))
     changed = changes.emit_changes_stream(rows, "user_id", "event_id", ("price", "mileage"))
-    changed.writeStream.format("memory").queryName("t02_change_stream").outputMode("append").option("checkpointLocation", f"{_folder(m.spark)}/t02").trigger(availableNow=True).start().awaitTermination()
-    return m.spark.table("t02_change_stream")
+    path = _folder(m.spark)
+    changed.writeStream.format("parquet").outputMode("append").option("path", f"{path}/out").option("checkpointLocation", f"{path}/state").trigger(availableNow=True).start().awaitTermination()
+    return m.spark.read.schema(changed.schema).parquet(f"{path}/out")
 
 
 def _folder(spark) -> str:
     """A new folder that driver and executors share."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir") or f"file://{tempfile.mkdtemp(prefix='ledgerline-')}"
-    return f"{base.rstrip('/')}/stream-{uuid.uuid4().hex[:12]}"
+    return f"{shared_folder(spark)}/stream-{uuid.uuid4().hex[:12]}"

@@ -179,9 +179,9 @@ def o05(m):
     return m.customer.select("c_custkey", "c_acctbal").orderBy(F.desc(F.abs("c_acctbal")), "c_custkey").limit(20)
 
 
-@query("o10_hashed_subsample")
+@query("o10_hashed_subsample", "SELECT o_orderkey, o_totalprice FROM orders ORDER BY md5('42:' || o_orderkey), o_orderkey LIMIT 3000")
 def o10(m):
-    return m.orders.select("o_orderkey", "o_totalprice").orderBy(F.xxhash64("o_orderkey", F.lit(42)), "o_orderkey").limit(3000)
+    return m.orders.select("o_orderkey", "o_totalprice").orderBy(F.md5(F.concat(F.lit("42:"), F.col("o_orderkey").cast("string"))), "o_orderkey").limit(3000)
 
 
 @query("u02_concat_missing_columns", "SELECT c_custkey AS key, c_name AS name, NULL AS size FROM customer UNION ALL SELECT p_partkey, p_name, p_size FROM part")
@@ -211,10 +211,24 @@ def f05(m):
     return m.part.select("p_partkey", text.clean_trim_remainder(F.concat_ws(" ", F.lit("used"), "p_name", F.lit("for sale 12345 low-miles"))).alias("rest"))
 
 
-@query("f07_known_trims", "SELECT p_partkey, CASE p_partkey % 3 WHEN 0 THEN 'LARIAT' WHEN 1 THEN 'TRD OFF ROAD' ELSE 'WILDTRAK EDITION' END AS trim FROM part")
+_TRIMS_SQL = ", ".join(f"'{t}'" for t in text.KNOWN_TRIMS)
+_STOPS_SQL = ", ".join(f"'{t}'" for t in text.TITLE_STOPWORDS)
+_F07 = f"""
+WITH t AS (SELECT seq, vin, price, trim(regexp_replace(upper(title || CASE seq % 5 WHEN 0 THEN ' Trd Off-Road' WHEN 1 THEN ' 12 x Sport' ELSE '' END), '[^A-Z0-9]+', ' ', 'g')) AS s,
+  string_split(trim(regexp_replace(upper(split_part(title, ' ', 2)), '[^A-Z0-9]+', ' ', 'g')) || ' STANDARD ' || split_part(title, ' ', 1), ' ') AS own FROM {{listings}}),
+k AS (SELECT *, list_filter([{_TRIMS_SQL}], lambda x: contains(' ' || s || ' ', ' ' || x || ' ')) AS known,
+  list_filter(string_split(s, ' '), lambda w: w <> '' AND NOT list_contains(own, w) AND w NOT IN ({_STOPS_SQL}) AND NOT regexp_full_match(w, '[0-9]+') AND length(w) > 1) AS words FROM t)
+SELECT seq, vin, price, CASE WHEN len(known) > 0 THEN replace(known[1], ' ', '_') ELSE left(array_to_string(words[1:2], '_'), 40) END AS trim FROM k
+"""
+
+
+@query("f07_known_trims", _F07)
 def f07(m):
-    title = F.when(F.col("p_partkey") % 3 == 0, "2020 Ford F-150 Lariat").when(F.col("p_partkey") % 3 == 1, "2020 Ford F-150 TRD Off-Road Sport").otherwise("2020 Ford F-150 Wildtrak Edition used")
-    return m.part.select("p_partkey", text.extract_clean_trim(F.lit("Ford"), F.lit("F-150"), F.lit(2020), title).alias("trim"))
+    """Titles of all listings, some with a known trim at their end; make and year
+    of the title and one word of the model are known."""
+    more = F.when(F.col("seq") % 5 == 0, " Trd Off-Road").when(F.col("seq") % 5 == 1, " 12 x Sport").otherwise("")
+    words = F.split("title", " ")
+    return m.listings.select("seq", "vin", "price", text.extract_clean_trim(words[1], F.lit("Standard"), words[0].cast("int"), F.concat("title", more)).alias("trim"))
 
 
 @query("f20_entity_labels", "SELECT vin, canonical_year || ' ' || canonical_make || ' ' || canonical_model AS entity FROM {identity} WHERE lower(canonical_make) = lower('Brand#12') AND starts_with(lower(canonical_model), 'lar')")
@@ -303,9 +317,9 @@ def d14(m):
     return top.agg(F.round((F.avg(F.col("quality") - 0.5) + 1) * 50, 4).alias("score"))
 
 
-@query("x02_weighted_comments", "SELECT doc_id, round((1 + log10(n_chars + 1)) * CASE WHEN len(regexp_split_to_array(trim(text), '\\s+')) >= 20 THEN 1.2 ELSE 1.0 END, 6) AS weight FROM documents WHERE trim(text) <> ''")
+@query("x02_weighted_comments", "SELECT doc_id, round((1 + log10(n_chars + 1)) * CASE WHEN len(regexp_split_to_array(trim(text), '\\s+')) >= 20 THEN 1.2 ELSE 1.0 END, 6) AS weight FROM documents")
 def x02(m):
-    w = sentiment.apply_weights(m.documents.where("trim(text) <> ''").withColumnRenamed("n_chars", "like_count"))
+    w = sentiment.apply_weights(m.documents.withColumnRenamed("n_chars", "like_count"))
     return w.select("doc_id", F.round("weight", 6).alias("weight"))
 
 

@@ -14,10 +14,14 @@ def _squeeze(c):
     return _SQUEEZE.replace("{0}", c)
 
 
-@query("f01_normalize_trim", f"SELECT doc_id, CASE WHEN doc_id % 9 = 0 THEN 'NONE_GIVEN' WHEN {_squeeze('left(text, 30)')} IN ('', 'N A', 'NA', 'NONE', 'NULL', 'UNKNOWN', 'NOT APPLICABLE') THEN 'NONE_GIVEN' ELSE {_squeeze('left(text, 30)')} END AS trim FROM documents WHERE lang = 'en'")
+# the oracle's upper() leaves the one letter whose capital form has two
+_F01 = _squeeze("replace(text, 'ß', 'SS')")
+
+
+@query("f01_normalize_trim", f"SELECT doc_id, CASE WHEN doc_id % 9 = 0 THEN 'NONE_GIVEN' WHEN {_F01} IN ('', 'N A', 'NA', 'NONE', 'NULL', 'UNKNOWN', 'NOT APPLICABLE') THEN 'NONE_GIVEN' ELSE {_F01} END AS trim FROM documents")
 def f01(m):
-    c = F.when(F.col("doc_id") % 9 == 0, F.lit(None)).otherwise(F.substring("text", 1, 30))
-    return m.documents.where("lang = 'en'").select("doc_id", text.normalize_trim(c, "NONE_GIVEN").alias("trim"))
+    c = F.when(F.col("doc_id") % 9 == 0, F.lit(None)).otherwise(F.col("text"))
+    return m.documents.select("doc_id", text.normalize_trim(c, "NONE_GIVEN").alias("trim"))
 
 
 @query("f03_canonical_token", f"SELECT p_partkey, replace({_squeeze('p_brand || p_name')}, ' ', '_') AS token FROM part")
@@ -35,9 +39,16 @@ def f06(m):
     return m.listings.select("seq", "price", text.title_year(F.col("title")).alias("year"))
 
 
-@query("f09_combine_trims", "SELECT vin, CASE WHEN canonical_trim IS NULL THEN body_class WHEN canonical_trim = body_class THEN body_class ELSE canonical_trim || ' ' || body_class END AS trims FROM {identity}")
+_F09 = f"""
+WITH p AS (SELECT p_partkey, replace({_squeeze("p_name")}, ' ', '_') AS a, CASE WHEN p_partkey % 4 = 0 THEN 'UNKNOWN_TRIM' WHEN p_partkey % 4 = 1 THEN replace({_squeeze("p_type")}, ' ', '_') WHEN p_partkey % 4 = 2 THEN replace({_squeeze("p_name")}, ' ', '_') ELSE '' END AS b FROM part)
+SELECT p_partkey, CASE WHEN b IN ('', 'UNKNOWN_TRIM', a) THEN a ELSE a || ' ' || b END AS trims FROM p
+"""
+
+
+@query("f09_combine_trims", _F09)
 def f09(m):
-    return m.identity.select("vin", text.combine_trims(F.col("canonical_trim"), F.col("body_class")).alias("trims"))
+    other = F.when(F.col("p_partkey") % 4 == 0, F.lit("unknown trim")).when(F.col("p_partkey") % 4 == 1, F.col("p_type")).when(F.col("p_partkey") % 4 == 2, F.upper("p_name"))
+    return m.part.select("p_partkey", text.combine_trims(F.col("p_name"), other).alias("trims"))
 
 
 @query("f10_normalize_label", "SELECT vin, seq, price, coalesce(upper(trim(regexp_replace(source_name, '\\s+', ' ', 'g'))), 'UNKNOWN') AS source FROM {listings}")

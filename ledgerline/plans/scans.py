@@ -100,14 +100,14 @@ def p22(m):
     return cleaning.conform(m.events, {"event_id": "string", "like_count": "int", "value": "double"})
 
 
-@query("o01_mixed_sort", "SELECT o_orderkey, o_orderstatus, o_totalprice FROM orders ORDER BY o_orderstatus, o_totalprice DESC, o_orderkey LIMIT 300")
+@query("o01_mixed_sort", "SELECT o_orderkey, o_orderstatus, o_totalprice FROM orders ORDER BY o_orderstatus, o_totalprice DESC, o_orderkey")
 def o01(m):
-    return m.orders.select("o_orderkey", "o_orderstatus", "o_totalprice").orderBy("o_orderstatus", F.desc("o_totalprice"), "o_orderkey").limit(300)
+    return m.orders.select("o_orderkey", "o_orderstatus", "o_totalprice").orderBy("o_orderstatus", F.desc("o_totalprice"), "o_orderkey")
 
 
-@query("o07_nulls_last_sort", "SELECT vin, mileage, seq, price FROM {price_history} ORDER BY mileage NULLS LAST, seq, vin, price LIMIT 200")
+@query("o07_nulls_last_sort", "SELECT vin, mileage, seq, price FROM {price_history} ORDER BY mileage NULLS LAST, seq, vin, price")
 def o07(m):
-    return m.price_history.select("vin", "mileage", "seq", "price").orderBy(F.asc_nulls_last("mileage"), "seq", "vin", "price").limit(200)
+    return m.price_history.select("vin", "mileage", "seq", "price").orderBy(F.asc_nulls_last("mileage"), "seq", "vin", "price")
 
 
 @query("u01_union_sources", "SELECT vin, history_date, price, 'price_history' AS origin, trend FROM {price_history} UNION ALL SELECT vin, history_date, price, 'listing_history', NULL FROM {listing_history}")

@@ -29,10 +29,23 @@ def session(app: str = "ledgerline", master: str | None = None, shuffle_partitio
     return b.getOrCreate()
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that driver and executors share: spark.checkpoint.dir; a local
+    session without one gets a new folder, a cluster an error."""
+    sc = spark.sparkContext
+    found = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
+    if not found:
+        if not sc.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        found = f"file://{tempfile.mkdtemp(prefix='ledgerline-')}"
+        sc.setCheckpointDir(found)
+    return found.rstrip("/")
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """df.checkpoint() into the folder of spark.checkpoint.dir; a local session
-    without one gets a new folder."""
-    sc = df.sparkSession.sparkContext
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir") or f"file://{tempfile.mkdtemp(prefix='ledgerline-')}")
+    """df.checkpoint() into the shared folder."""
+    spark = df.sparkSession
+    folder = shared_folder(spark)
+    if spark.sparkContext.getCheckpointDir() is None:
+        spark.sparkContext.setCheckpointDir(folder)
     return df.checkpoint()

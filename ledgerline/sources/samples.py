@@ -36,7 +36,7 @@ def stratified(df: DataFrame, stratum: str, ident: str, most: int, seed: int = 4
     """Exactly `most` rows (all, if fewer): each stratum gives its share, rounded
     half to even and at least one; what is over goes and what is under is filled
     in the order of a hash of the row's identity."""
-    order = F.xxhash64(ident, F.lit(seed))
+    order = F.md5(F.concat(F.lit(f"{seed}:"), F.col(ident).cast("string")))
     sizes = df.groupBy(F.col(stratum).alias("__s")).agg(F.count("*").alias("__size"))
     total = sizes.agg(F.sum("__size").alias("__n"))
     quota = sizes.crossJoin(F.broadcast(total)).select("__s", "__n", F.least("__size", F.greatest(F.lit(1), F.bround(F.col("__size") * most / F.col("__n"), 0))).cast("long").alias("__quota"))
