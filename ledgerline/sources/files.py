@@ -56,6 +56,17 @@ def catalog_metadata(catalog: DataFrame, version: str) -> DataFrame:
     return catalog.agg(F.count("*").alias("record_count"), F.min("year").alias("min_year"), F.max("year").alias("max_year")).withColumn("normalization_version", F.lit(version))
 
 
+def latest_file(spark: SparkSession, pattern: str) -> str:
+    """The newest path of those that fit a pattern, of equally new ones the last
+    by name; raises if there is none."""
+    jvm = spark.sparkContext._jvm
+    at = jvm.org.apache.hadoop.fs.Path(pattern)
+    found = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).globStatus(at)
+    if not found:
+        raise FileNotFoundError(pattern)
+    return max((f.getModificationTime(), f.getPath().toString()) for f in found)[1]
+
+
 def read_listing_csv(spark: SparkSession, path: str, columns: list[str]) -> DataFrame:
     """Scraped listings (CSV); loaddate from a name like CAR_DATA_2026-01-03.csv
     where the column is missing, columns it lacks as null."""

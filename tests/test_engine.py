@@ -219,7 +219,15 @@ def test_text_functions(spark):
     assert one(spark, text.normalize_trim(F.lit(" n/a "), "U")) == "U" and one(spark, text.normalize_trim(F.lit("TRD off-road"))) == "TRD OFF ROAD"
     assert one(spark, text.normalize_trim(F.lit(None).cast("string"), keep_null=True)) is None
     assert one(spark, text.extract_clean_trim(F.lit("Ford"), F.lit("F-150"), F.lit(2020), F.lit("2020 Ford F-150 Lariat 4x4"))) == "LARIAT"
-    assert one(spark, text.extract_clean_trim(F.lit("Ford"), F.lit("Bronco"), F.lit(2020), F.lit("2020 Ford Bronco Wildtrak Edition low miles"))) == "WILDTRAK EDITION"
+    assert one(spark, text.extract_clean_trim(F.lit("Ford"), F.lit("Bronco"), F.lit(2020), F.lit("2020 Ford Bronco Wildtrak Edition low miles"))) == "WILDTRAK_EDITION"
+    assert one(spark, text.extract_clean_trim(F.lit("Toyota"), F.lit("Tacoma"), F.lit(2020), F.lit("2020 Toyota Tacoma TRD Off-Road"))) == "TRD_OFF_ROAD"
+    assert one(spark, text.extract_clean_trim(F.lit("Ford"), F.lit("Bronco"), F.lit(2020), F.lit("2020 Ford Bronco 12 x Wildtrak"))) == "WILDTRAK"
+    assert one(spark, text.combine_trims(F.lit("TRD Off-Road"), F.lit("unknown trim"), F.lit("le"))) == "TRD_OFF_ROAD LE"
+    assert one(spark, sentiment.vehicle_entity(F.lit("2020 Honda Civic, Type R"))) == "2020 Honda Civic Type R"
+    assert one(spark, sentiment.vehicle_entity(F.lit("2020 Honda Civic - Type R"))) == "2020 Honda Civic"
+    long = " ".join(f"w{i}" for i in range(50))
+    assert one(spark, sentiment.chunks(F.lit(f"Before. {long}. Short one here. Another."))) == ["Before.", " ".join(f"w{i}" for i in range(45)), " ".join(f"w{i}" for i in range(45, 50)) + ".", "Short one here. Another."]
+    assert one(spark, sentiment.chunks(F.lit("  "))) == [""] and one(spark, sentiment.chunks(F.lit(""))) == []
     assert one(spark, text.combine_trims(F.lit("le"), F.lit("LE"), F.lit("none"))) == "LE" and one(spark, text.combine_trims(F.lit(None).cast("string"))) == "UNKNOWN_TRIM"
     assert one(spark, text.api_error_kind(F.lit(403), F.lit("quotaExceeded"))) == "quota"
     assert one(spark, text.zero_fill(F.lit("123456"), 5)) == "123456" and one(spark, text.word_count(F.lit("  "))) == 0
