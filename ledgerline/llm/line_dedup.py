@@ -182,8 +182,8 @@ def line_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """The lines that occur more than once or have a near copy: (k1, k2: hashes
     of the trimmed line, n: its occurrences, keep: the place whose line its class
     keeps, links: whether the class holds different lines). With the defaults a
-    pair at the threshold shares a band with a probability of 0.98, one at 0.85
-    of 0.998 (README has what was measured). Bands are shuffled a few at a time,
+    pair at the threshold shares a band with a probability of about 0.98, a
+    nearer one with a higher one. Bands are shuffled a few at a time,
     so that shuffle files stay smaller than the texts."""
     limit = Fraction(threshold).limit_denominator(1000)
     lines = _lines(docs, id_col, text_col)
