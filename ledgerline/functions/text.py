@@ -29,6 +29,21 @@ TITLE_STOPWORDS = (
     "ELECTRIC", "DIESEL", "TURBO", "LOCAL", "CARFAX", "CLEAN", "TITLE",
     "NAVIGATION", "SUNROOF", "LEATHER", "BACKUP", "CAMERA", "LOW", "MILES",
 )
+#: Trims by precedence, and words that are none, of the older title rule (fixed values).
+PROXY_TRIMS = (
+    "PLATINUM", "LIMITED", "PREMIUM", "SEL", "SE", "LE", "XLE", "XSE", "SR5",
+    "TRD PRO", "TRD OFF ROAD", "TRD SPORT", "SPORT", "TOURING", "EX L", "EX",
+    "LX", "SI", "RTL E", "RTL", "LTZ", "LT", "LS", "RST", "Z71",
+    "HIGH COUNTRY", "DENALI", "SLT", "SLE", "LARIAT", "KING RANCH", "RAPTOR",
+    "XL", "XLT", "BIG HORN", "LARAMIE", "LONGHORN", "REBEL", "WILLYS",
+    "SAHARA", "RUBICON", "OVERLAND", "ALTITUDE", "SXT", "GT", "R T", "SRT",
+    "SV", "SR", "SL", "PRO 4X", "2LT", "1LT", "3LT", "2SS", "1SS", "BASE",
+)
+PROXY_STOPWORDS = (
+    "NEW", "USED", "CERTIFIED", "CPO", "SEDAN", "COUPE", "SUV", "TRUCK",
+    "VAN", "WAGON", "AWD", "FWD", "RWD", "4WD", "AUTO", "AUTOMATIC",
+    "MANUAL", "GAS", "HYBRID", "ELECTRIC", "DIESEL",
+)
 #: Phrases and words that sellers add to titles (fixed values).
 MARKETING_PHRASES = ("FOR SALE", "LOW MILES", "ONE OWNER", "CLEAN CARFAX", "CLEAN TITLE", "NO ACCIDENTS", "SEE VIDEO", "FULLY LOADED", "WELL MAINTAINED", "GREAT CONDITION")
 #: Words of a title that are no part of a trim's remainder (fixed values).
@@ -95,18 +110,24 @@ def title_year(c: Column, last: str = "3") -> Column:
     return F.try_to_number(F.nullif(F.regexp_extract(c, rf"\b(19[89]\d|20[0-{last}]\d)\b", 1), F.lit("")), F.lit("9999")).cast("int")
 
 
-def extract_clean_trim(make: Column, model: Column, year: Column, title: Column) -> Column:
+def extract_clean_trim(make: Column, model: Column, year: Column, title: Column, trims: tuple[str, ...] = KNOWN_TRIMS, stopwords: tuple[str, ...] = TITLE_STOPWORDS) -> Column:
     """First known trim, in list order, that the title holds as whole words;
     else its first two words that are neither identity nor stop words, numbers
     or single characters, at most 40 characters; '' without any. Words are
     joined by underscores."""
     text = normalize_trim(title)
-    known = F.get(F.filter(F.array(*map(F.lit, KNOWN_TRIMS)), lambda t: has_phrase(text, t)), F.lit(0))
+    known = F.get(F.filter(F.array(*map(F.lit, trims)), lambda t: has_phrase(text, t)), F.lit(0))
     own = F.split(F.concat_ws(" ", squeeze(make), squeeze(model), year.cast("string")), " ")
-    words = F.filter(F.split(text, " "), lambda w: (w != "") & ~F.array_contains(own, w) & ~w.isin(*TITLE_STOPWORDS) & ~w.rlike("^[0-9]+$") & (F.length(w) > 1))
+    words = F.filter(F.split(text, " "), lambda w: (w != "") & ~F.array_contains(own, w) & ~w.isin(*stopwords) & ~w.rlike("^[0-9]+$") & (F.length(w) > 1))
     return F.coalesce(F.replace(known, F.lit(" "), F.lit("_")), F.substring(F.array_join(F.slice(words, 1, 2), "_"), 1, 40))
 
 
+def title_trim_proxy(title: Column, make: Column, model: Column, year: Column) -> Column:
+    """extract_clean_trim() by the older lists; UNKNOWN_TRIM without a trim."""
+    found = extract_clean_trim(make, model, year, title, PROXY_TRIMS, PROXY_STOPWORDS)
+    return F.coalesce(F.nullif(found, F.lit("")), F.lit("UNKNOWN_TRIM"))
+
+
 def combine_trims(*cs: Column) -> Column:
     """Distinct normalised values in order, each with underscores for its blanks,
     joined by blanks; UNKNOWN_TRIM without any, which counts as no value."""

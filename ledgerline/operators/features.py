@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+from pyspark.ml import Pipeline
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.functions import unwrap_udt
 
 from ledgerline.functions import numbers, text
 
@@ -59,3 +61,22 @@ def column_kinds(df: DataFrame, most: int = 50, forced: tuple[str, ...] = FORCED
     counts = df.agg(*[F.count_distinct(c).alias(c) for c in texts]).first().asDict() if texts else {}
     high = [c for c in texts if counts[c] > most or any(f in c.split("_") for f in forced)]
     return {"numeric": numeric, "low": [c for c in texts if c not in high], "high": high}
+
+
+def feature_space(train: DataFrame, stages: list, most_rows: int = 10_000, top: int = 25) -> dict:
+    """Size of the vectors that the stages make of a training frame: fitted and
+    measured on at most most_rows rows in a hash order, projected to all rows.
+    A dense vector takes eight bytes a slot, a sparse one twelve an entry. Counts
+    of distinct texts are of the whole frame."""
+    rows = train.count()
+    texts = [c for c, t in train.dtypes if t == "string"]
+    sample = train if rows <= most_rows else train.orderBy(F.xxhash64(*train.columns)).limit(most_rows)
+    made = Pipeline(stages=stages).fit(sample).transform(sample).select(unwrap_udt("features").alias("v"))
+    sparse = F.col("v.type") == 0
+    slots = F.when(sparse, F.col("v.size")).otherwise(F.size("v.values"))
+    held = F.when(sparse, 12 * F.size("v.values")).otherwise(8 * F.size("v.values"))
+    seen = made.agg(F.count("*").alias("n"), F.max(slots).alias("width"), F.sum(held).alias("bytes"), F.sum(F.size(F.filter("v.values", lambda x: x != 0.0))).alias("nonzero"), F.count_if(sparse).alias("sparse")).first()
+    counts = train.agg(*[F.count_distinct(c).alias(c) for c in texts]).first().asDict() if texts else {}
+    ranked = sorted(counts.items(), key=lambda kv: (-kv[1], kv[0]))[:top]
+    sampled_mb = (seen["bytes"] or 0) / 1024**2
+    return {"profile_rows": seen["n"], "training_rows": rows, "width": seen["width"] or 0, "nonzero_entries": seen["nonzero"] or 0, "sparse_rows": seen["sparse"], "sample_mb": sampled_mb, "projected_mb": sampled_mb * rows / max(1, seen["n"]), "top_cardinality": ranked}

@@ -3,11 +3,14 @@
 from __future__ import annotations
 
 import importlib.util
+import itertools
+import random
 from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
 from pyspark.ml import Pipeline, PipelineModel
+from pyspark.ml.feature import SQLTransformer
 from pyspark.ml.regression import GBTRegressor
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -15,6 +18,7 @@ from pyspark.sql import functions as F
 from ledgerline.operators.history import latest
 from ledgerline.operators.models import preprocessor
 from ledgerline.session import cut_lineage
+from ledgerline.sources import samples
 
 #: Families of other libraries, by module; they are reported as skipped.
 OPTIONAL_FAMILIES = {"sarimax": "statsmodels", "prophet": "prophet", "timesfm": "timesfm"}
@@ -28,10 +32,53 @@ def parse_families(value: str, known: tuple[str, ...] = ("global", "drift", "sea
     return names
 
 
-def fit_change_model(train: DataFrame, numeric: list[str], target: str, max_iter: int = 10) -> PipelineModel:
-    """A tree ensemble for the change of price over the horizon."""
+#: Values that the temporal search draws from, and how many sets it draws.
+CHANGE_GRID = {"maxIter": (10, 20, 30), "stepSize": (0.05, 0.1, 0.2), "maxDepth": (3, 5), "minInstancesPerNode": (1, 5, 20), "subsamplingRate": (0.75, 0.85, 1.0)}
+CANDIDATES = 8
+
+
+def fit_change_model(train: DataFrame, numeric: list[str], target: str, max_iter: int = 10, params: dict | None = None, least_rows: int = 2) -> PipelineModel:
+    """A tree ensemble for the change of price over the horizon; with fewer rows
+    than least_rows, or one value of the target, its mean (0 without rows)."""
     data = train.dropna(subset=[target]).withColumn("label", F.col(target).cast("double"))
-    return Pipeline(stages=[*preprocessor(numeric), GBTRegressor(featuresCol="features", labelCol="label", predictionCol="change", maxIter=max_iter, maxDepth=3, seed=42)]).fit(data)
+    seen = data.agg(F.count("*").alias("rows"), F.min("label").alias("least"), F.max("label").alias("most"), F.avg("label").alias("mean")).first()
+    if seen["rows"] < least_rows or seen["least"] == seen["most"]:
+        return PipelineModel([SQLTransformer(statement=f"SELECT *, CAST('{seen['mean'] or 0.0!r}' AS DOUBLE) AS change FROM __THIS__")])
+    regressor = GBTRegressor(featuresCol="features", labelCol="label", predictionCol="change", seed=42).setParams(**{"maxIter": max_iter, "maxDepth": 3, **(params or {})})
+    return Pipeline(stages=[*preprocessor(numeric), regressor]).fit(data)
+
+
+def change_candidates(n: int = CANDIDATES, grid: dict[str, tuple] = CHANGE_GRID, seed: int = 42) -> list[dict]:
+    """n different sets of parameters, drawn from the grid (all, if it has fewer)."""
+    sets = [dict(zip(grid, values, strict=True)) for values in itertools.product(*grid.values())]
+    return random.Random(seed).sample(sets, min(n, len(sets)))
+
+
+def tune_change_model(train: DataFrame, numeric: list[str], horizon: int, strata: list[str], candidates: list[dict] | None = None, most_rows: int = 200_000) -> tuple[dict, dict]:
+    """(best parameters, report): the candidates are fitted on the earlier part
+    of the training rows and measured by mean absolute error on the later part,
+    targets of the first lying before the second begins. The search reads a
+    stratified sample of at most most_rows rows; the final fit reads all. With
+    no leakage-safe split the parameters are empty and the report says why."""
+    target, month = f"target_change_{horizon}m", f"target_month_{horizon}m"
+    sets = change_candidates() if candidates is None else candidates
+    rows = train.where(F.col(target).isNotNull()).select(*dict.fromkeys([*strata, *numeric, "month_start", month, target]))
+    rows = rows.withColumn("__stratum", F.concat_ws("|", *[F.coalesce(F.col(c).cast("string"), F.lit("UNKNOWN")) for c in strata], F.quarter("month_start").cast("string")))
+    rows = rows.withColumn("__row", F.concat_ws("|", "__stratum", F.col("month_start").cast("string")))
+    if rows.count() > most_rows:
+        rows = samples.stratified(rows, "__stratum", "__row", most_rows)
+    rows = cut_lineage(rows)
+    cutoff = samples.choose_cutoff(rows, "month_start", month, target)
+    if cutoff is None:
+        return {}, {"enabled": False, "reason": "no split in time with two rows on both sides"}
+    early, late = (part.persist() for part in samples.split_for_horizon(rows, cutoff, "month_start", month))
+    try:
+        errors = [fit_change_model(early, numeric, target, params=p).transform(late).agg(F.avg(F.abs(F.col("change") - F.col(target)))).first()[0] for p in sets]
+        best = min(range(len(sets)), key=lambda i: (errors[i], i))
+        return sets[best], {"enabled": True, "candidates": len(sets), "cutoff": cutoff, "train_rows": early.count(), "validation_rows": late.count(), "errors": errors, "best": sets[best]}
+    finally:
+        early.unpersist()
+        late.unpersist()
 
 
 def direct_forecast(model: PipelineModel, panel: DataFrame, keys: list[str], horizon: int) -> DataFrame:
@@ -67,7 +114,7 @@ def recursive_forecast(model: PipelineModel, panel: DataFrame, keys: list[str],
     return out
 
 
-def global_backtest(panel: DataFrame, keys: list[str], numeric: list[str], horizon: int, origins: list, least_months: int = 6) -> DataFrame:
+def global_backtest(panel: DataFrame, keys: list[str], numeric: list[str], horizon: int, origins: list, least_months: int = 6, params: dict | None = None) -> DataFrame:
     """Expanding rolling origins: train on rows whose target month is at or
     before the origin, test at the origin on cohorts with enough history."""
     seen = F.row_number().over(Window.partitionBy(*keys).orderBy("month_start"))
@@ -80,7 +127,7 @@ def global_backtest(panel: DataFrame, keys: list[str], numeric: list[str], horiz
             test = p.where((F.col("month_start") == F.lit(origin)) & (F.col("__seen") >= least_months) & F.col(target).isNotNull())
             if train.limit(2).count() < 2:
                 continue
-            scored = fit_change_model(train, numeric, target).transform(test)
+            scored = fit_change_model(train, numeric, target, params=params).transform(test)
             rows = scored.select(*keys, F.lit(origin).cast("date").alias("origin_month"), F.col(month).alias("forecast_month"), F.col("median_price").alias("naive"), F.col(price).alias("actual"), F.greatest(F.col("median_price") * (1 + F.col("change")), F.lit(0.0)).alias("predicted"), F.lit("global").alias("model_family"))
             out = rows if out is None else out.unionByName(rows)
         return cut_lineage(out) if out is not None else p.limit(0).select(*keys)

@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+import time
+from collections.abc import Callable
+from typing import TypeVar
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ledgerline.functions.dates import next_eligible
 from ledgerline.sources.upserts import merge_rows
 
+T = TypeVar("T")
 RETRY = ("quota_exhausted", "api_error")
 DONE = ("complete", "zero_comments", "comments_disabled")
 
@@ -49,3 +54,23 @@ def completion(state: DataFrame, by: str | None = None) -> DataFrame:
     """Counts of pending, completed and retryable entries."""
     g = state.groupBy(by) if by else state.groupBy()
     return g.agg(F.count("*").alias("total"), F.count_if(F.col("status").isNull() | (F.col("status") == "pending")).alias("pending"), F.count_if(F.col("status").isin(*DONE)).alias("completed"), F.count_if(F.col("status").isin(*RETRY)).alias("retryable"))
+
+
+class QuotaExhausted(Exception):
+    """A service refused every attempt for its quota."""
+
+
+def with_backoff(call: Callable[[], T], is_quota: Callable[[Exception], bool], attempts: int = 5, base_delay: float = 1.0, sleep: Callable[[float], None] = time.sleep) -> T:
+    """The call's result. After an error for the quota it waits base_delay, twice
+    that, and so on, and tries again; any other error goes through at once, and
+    QuotaExhausted follows the last attempt. For readers of services on the driver."""
+    last = None
+    for attempt in range(attempts):
+        try:
+            return call()
+        except Exception as error:
+            if not is_quota(error):
+                raise
+            last = error
+            sleep(base_delay * 2**attempt)
+    raise QuotaExhausted(f"no quota after {attempts} attempts") from last

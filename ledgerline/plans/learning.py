@@ -6,7 +6,7 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from ledgerline.operators import cohort, forecast, kpi, models
+from ledgerline.operators import cohort, features, forecast, kpi, models
 from ledgerline.plans.registry import query
 from ledgerline.session import shared_folder
 from ledgerline.sources import samples
@@ -42,6 +42,23 @@ def m02(m):
     return fitted.predict(rows.where("seq % 5 = 0")).select("vin", "seq", "price", F.round("prediction", 2).alias("prediction"))
 
 
+@query("m05_tuned_forecast")
+def m05(m):
+    """Parameters of the change model by a holdout in time, then the next month of every cohort."""
+    panel = _panel(m)
+    best, _ = forecast.tune_change_model(panel, NUMERIC, 1, COHORT)
+    return forecast.direct_forecast(forecast.fit_change_model(panel, NUMERIC, "target_change_1m", params=best), panel, COHORT, 1)
+
+
+@query("m09_feature_space")
+def m09(m):
+    """Counts of the vectors that the price model's stages make of all listings."""
+    rows = _rows(m).select("mileage", "canonical_year", "seller_type", "canonical_model", F.col("price").cast("double").alias("label"))
+    found = features.feature_space(rows, models.preprocessor(["mileage", "canonical_year"], ["seller_type"], ["canonical_model"]))
+    counts = [(k, float(v)) for k, v in found.items() if k != "top_cardinality"] + [(f"distinct_{c}", float(n)) for c, n in found["top_cardinality"]]
+    return m.spark.createDataFrame(counts, "measure string, value double")
+
+
 @query("t08_global_backtest")
 def t08(m):
     """Expanding rolling origins over the cohort panel, and their metrics."""

@@ -231,6 +231,27 @@ def f07(m):
     return m.listings.select("seq", "vin", "price", text.extract_clean_trim(words[1], F.lit("Standard"), words[0].cast("int"), F.concat("title", more)).alias("trim"))
 
 
+def _quoted(values) -> str:
+    return ", ".join(f"'{v}'" for v in values)
+
+
+_F08 = f"""
+WITH t AS (SELECT seq, vin, trim(regexp_replace(upper(title || CASE seq % 5 WHEN 0 THEN ' SE 4WD Pro-4x' WHEN 1 THEN ' 12 x Gas' WHEN 2 THEN ' High Country' ELSE '' END), '[^A-Z0-9]+', ' ', 'g')) AS s,
+  string_split(trim(regexp_replace(upper(split_part(title, ' ', 2)), '[^A-Z0-9]+', ' ', 'g')) || ' STANDARD ' || split_part(title, ' ', 1), ' ') AS own FROM {{listings}}),
+k AS (SELECT *, list_filter([{_quoted(text.PROXY_TRIMS)}], lambda x: contains(' ' || s || ' ', ' ' || x || ' ')) AS known,
+  list_filter(string_split(s, ' '), lambda w: w <> '' AND NOT list_contains(own, w) AND w NOT IN ({_quoted(text.PROXY_STOPWORDS)}) AND NOT regexp_full_match(w, '[0-9]+') AND length(w) > 1) AS words FROM t)
+SELECT seq, vin, CASE WHEN len(known) > 0 THEN replace(known[1], ' ', '_') WHEN len(words) > 0 THEN left(array_to_string(words[1:2], '_'), 40) ELSE 'UNKNOWN_TRIM' END AS trim_proxy FROM k
+"""
+
+
+@query("f08_trim_proxy", _F08)
+def f08(m):
+    """The older title rule over all listings, some with words that its lists tell apart."""
+    more = F.when(F.col("seq") % 5 == 0, " SE 4WD Pro-4x").when(F.col("seq") % 5 == 1, " 12 x Gas").when(F.col("seq") % 5 == 2, " High Country").otherwise("")
+    words = F.split("title", " ")
+    return m.listings.select("seq", "vin", text.title_trim_proxy(F.concat("title", more), words[1], F.lit("Standard"), words[0].cast("int")).alias("trim_proxy"))
+
+
 @query("f20_entity_labels", "SELECT vin, canonical_year || ' ' || canonical_make || ' ' || canonical_model AS entity FROM {identity} WHERE lower(canonical_make) = lower('Brand#12') AND starts_with(lower(canonical_model), 'lar')")
 def f20(m):
     i = m.identity.where((F.lower("canonical_make") == "brand#12") & F.lower("canonical_model").startswith("lar"))

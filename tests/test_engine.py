@@ -311,3 +311,68 @@ def test_backtest_query_takes_every_origin(spark, monkeypatch):
     except Exception:  # noqa: BLE001  the query goes on with columns that only the real rows have
         assert seen
     assert seen["origins"] == sorted(seen["want"]) and len(seen["origins"]) > 2
+
+
+def test_older_title_rule(spark):
+    want = {
+        ("2020 Ford F-150 XLT SE", "Ford", "F-150", 2020): "SE",
+        ("2019 Chevrolet Silverado High Country", "Chevrolet", "Silverado", 2019): "HIGH_COUNTRY",
+        ("2021 BMW M340i Turbo xDrive", "BMW", "X", 2021): "M340I_TURBO",
+        ("2021 Kia Soul AWD", "Kia", "Soul", 2021): "UNKNOWN_TRIM",
+        (None, "Kia", "Soul", None): "UNKNOWN_TRIM",
+    }
+    rows = spark.createDataFrame([(*k, v) for k, v in want.items()], "t string, make string, model string, y int, want string")
+    got = rows.select("t", "want", text.title_trim_proxy(F.col("t"), F.col("make"), F.col("model"), F.col("y")).alias("got")).collect()
+    assert [(r.t, r.got) for r in got] == [(r.t, r.want) for r in got]
+
+
+def test_backoff_waits_for_quota_only():
+    waits, tries = [], iter([ValueError("quota"), ValueError("quota"), "done"])
+
+    def call():
+        x = next(tries)
+        if isinstance(x, Exception):
+            raise x
+        return x
+
+    assert workqueue.with_backoff(call, lambda e: "quota" in str(e), sleep=waits.append) == "done" and waits == [1.0, 2.0]
+    with pytest.raises(KeyError):
+        workqueue.with_backoff(lambda: {}["x"], lambda e: isinstance(e, ValueError), sleep=waits.append)
+
+    def refused():
+        raise ValueError("quota")
+
+    with pytest.raises(workqueue.QuotaExhausted):
+        workqueue.with_backoff(refused, lambda e: True, attempts=3, sleep=waits.append)
+    assert waits == [1.0, 2.0, 1.0, 2.0, 4.0]
+
+
+def _months(spark, n, change):
+    rows = spark.range(n).select(F.lit("a").alias("k"), F.col("id").cast("double").alias("x"), F.add_months(F.lit(D(2020, 1, 1)), F.col("id").cast("int")).alias("month_start"), change.cast("double").alias("target_change_1m"))
+    return rows.withColumn("target_month_1m", F.add_months("month_start", 1))
+
+
+def test_change_model_of_few_or_equal_targets_is_their_mean(spark):
+    flat = _months(spark, 12, F.lit(0.25))
+    got = forecast.fit_change_model(flat, ["x"], "target_change_1m").transform(flat).select("change").distinct().collect()
+    assert [r.change for r in got] == [0.25]
+    none = _months(spark, 3, F.lit(None))
+    assert [r.change for r in forecast.fit_change_model(none, ["x"], "target_change_1m").transform(none).collect()] == [0.0] * 3
+
+
+def test_change_model_is_tuned_on_a_later_part(spark):
+    panel = _months(spark, 40, F.when(F.col("id") % 2 == 0, 0.2).otherwise(-0.1) + F.col("id") / 1000)
+    panel = panel.withColumn("odd", (F.col("x") % 2))
+    sets = [{"maxIter": 1, "maxDepth": 1, "stepSize": 0.01}, {"maxIter": 10, "maxDepth": 3}]
+    best, report = forecast.tune_change_model(panel, ["x", "odd"], 1, ["k"], sets)
+    assert report["enabled"] and best == sets[report["errors"].index(min(report["errors"]))]
+    assert report["train_rows"] + report["validation_rows"] in (39, 40) and report["train_rows"] >= 30
+    assert forecast.tune_change_model(panel.limit(1), ["x", "odd"], 1, ["k"], sets) == ({}, {"enabled": False, "reason": "no split in time with two rows on both sides"})
+    assert len(forecast.change_candidates()) == 8 and forecast.change_candidates() == forecast.change_candidates()
+
+
+def test_feature_space_counts_slots(spark):
+    df = spark.range(50).select(F.col("id").cast("double").alias("x"), F.when(F.col("id") % 2 == 0, "a").otherwise("b").alias("c"))
+    found = features.feature_space(df, models.preprocessor(["x"], ["c"]), most_rows=25)
+    assert found["profile_rows"] == 25 and found["training_rows"] == 50 and found["top_cardinality"] == [("c", 2)]
+    assert found["width"] >= 3 and found["projected_mb"] == pytest.approx(2 * found["sample_mb"])
