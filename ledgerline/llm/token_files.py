@@ -10,13 +10,9 @@ holds whole documents; any block decodes with the code table alone."""
 
 from __future__ import annotations
 
-import array
 import gc
-import os
-import re
 import zlib
 from collections.abc import Iterable, Iterator
-from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -24,104 +20,17 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ledgerline.llm.common import ASCII_WORD, bound_arrow, scratch, shared_path, shuffles_dropped, text_slices, trimmed
+from ledgerline.llm.common import bound_arrow, scratch, shared_path, shuffles_dropped, trimmed
 from ledgerline.llm.huffman import SEGMENT, canonical_codes, code_lengths, decode, decode_table, encode
+from ledgerline.llm.word_tokens import WordTokenizer
 
-#: Words of which a worker remembers the ids.
-_KNOWN_WORDS = 500_000
-#: Characters tokenised and bytes of ids coded at a time: what stays in a core's cache.
-_SLICE_CHARS, _SLICE_BYTES = 1 << 16, 1 << 17
+#: Bytes of ids coded at a time: what stays in a core's cache.
+_SLICE_BYTES = 1 << 17
 #: Ids of a block and of a shard, about.
 BLOCK_IDS, SHARD_IDS = 1 << 18, 1 << 22
 _BLOCKS = "shard long, block long, n_ids long, doc_ids array<long>, doc_tokens array<long>, doc_bytes array<long>, checkpoints array<long>, payload binary"
 
 
-class WordTokenizer:
-    """A tokenizer of the tokenizers library that drops white space and parts
-    letters from signs before it merges: the ids of a text are those of its
-    words in turn. Each distinct word is encoded by the library once and
-    remembered, in a bounded table; tests/llm compare with whole texts.
-
-    A text of plain characters only (ASCII and Latin-1 letters, no apostrophe,
-    no mark of a special token) is cut into lower-cased runs of letters, digits
-    and runs of signs, which are the library's own units; any other text is cut
-    at ASCII white space only."""
-
-    _made: dict[str, WordTokenizer] = {}
-    #: Anything for which lower-casing, composition or cutting may need more context.
-    _odd = re.compile(r"[^\t-\r -&(-~À-ÖØ-öø-ÿ]|<\|")
-    _units = re.compile(r"[a-zß-öø-ÿ]+|[0-9]|[!-/:-@\[-`{-~]+")
-    _letters = re.compile(r"[a-zß-öø-ÿ]+")
-    #: Runs of letters that one call encodes together.
-    _together = 32
-
-    def __init__(self, path: str) -> None:
-        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-        from tokenizers import Tokenizer
-
-        self.tokenizer = Tokenizer.from_file(path)
-        self.code = "H" if self.tokenizer.get_vocab_size() <= 1 << 16 else "I"
-        self.width = array.array(self.code).itemsize
-        self.known: dict[str, bytes] = {}
-        #: Whether an id ends a unit.
-        self.last = np.zeros(self.tokenizer.get_vocab_size(), bool)
-        for piece, i in self.tokenizer.get_vocab().items():
-            self.last[i] = piece.endswith("</w>")
-
-    @classmethod
-    def at(cls, path: str) -> WordTokenizer:
-        if path not in cls._made:
-            cls._made[path] = cls(path)
-        return cls._made[path]
-
-    @classmethod
-    def forget(cls) -> None:
-        """Free the tables of a worker that goes on to other work."""
-        cls._made.clear()
-
-    def _encode_words(self, words: list[str]) -> dict[str, bytes]:
-        """By the library; runs of letters are one unit each, so one text holds many."""
-        plain, other = [], []
-        for w in words:
-            (plain if self._letters.fullmatch(w) else other).append(w)
-        made: dict[str, bytes] = {}
-        if other:
-            for w, e in zip(other, self.tokenizer.encode_batch(other, add_special_tokens=False), strict=True):
-                made[w] = array.array(self.code, e.ids).tobytes()
-        if plain:
-            groups = [" ".join(plain[i : i + self._together]) for i in range(0, len(plain), self._together)]
-            data = b"".join(array.array(self.code, e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(groups, add_special_tokens=False))
-            ends = ((np.flatnonzero(self.last[np.frombuffer(data, self.code)]) + 1) * self.width).tolist()
-            at = 0
-            for w, end in zip(plain, ends, strict=True):
-                made[w] = data[at:end]
-                at = end
-        return made
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """The ids of each text, as little-endian integers of `width` bytes."""
-        look_up = self.known.get
-        found: list[list[bytes | None]] = []
-        gaps: list[tuple[list, int, str]] = []
-        for t in texts:
-            words = ASCII_WORD.findall(t) if self._odd.search(t) else self._units.findall(t.lower())
-            ids = list(map(look_up, words))
-            found.append(ids)
-            at = -1
-            try:
-                while True:
-                    at = ids.index(None, at + 1)
-                    gaps.append((ids, at, words[at]))
-            except ValueError:
-                pass
-        fresh = self._encode_words(list({w for _, _, w in gaps}))
-        for ids, at, w in gaps:
-            ids[at] = fresh[w]
-        if (room := _KNOWN_WORDS - len(self.known)) > 0:
-            self.known.update(islice(fresh.items(), room))
-        return [b"".join(ids) for ids in found]
-
-
 def _tokenise(path: str, end_id: int | None, wide: bool):
     kind = np.uint32 if wide else np.uint16
 
@@ -129,8 +38,8 @@ def _tokenise(path: str, end_id: int | None, wide: bool):
         coder = WordTokenizer.at(path)
         gc.disable()  # lists of bytes hold no cycles; looking for some costs a lot
         tail = b"" if end_id is None else np.array([end_id], kind).tobytes()
-        for part, texts in text_slices(batches, "text", _SLICE_CHARS):
-            rows = coder.encode(texts)
+        for part in batches:
+            rows = coder.encode(part.column(1))
             if coder.width != kind().itemsize:
                 rows = [np.frombuffer(r, coder.code).astype(kind).tobytes() for r in rows]
             rows = [r + tail for r in rows]

@@ -3,11 +3,13 @@ from __future__ import annotations
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
+from ledgerline.llm import word_tokens
 from ledgerline.llm.common import shared_path
 from ledgerline.llm.huffman import canonical_codes, code_lengths, decode_table, encode
 from ledgerline.llm.queries import vocabulary
@@ -26,6 +28,48 @@ def test_word_table_equals_whole_texts(texts):
     assert got == [whole.encode(t, add_special_tokens=False).ids for t in texts]
 
 
+#: Every white space of Unicode, marks that combine with what is before them,
+#: signs that mean something to the tokenizer, and letters of several kinds.
+WHITE = "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+HARD = WHITE + "\u0300\u0301\u0308\u0327\u200d\ufe0f" + "'<|>/_w.,-09" + "aZéÉßÀ×÷ÿñΣςΑ中の한\u0130\u212a\ufb01"
+
+
+def _special_tokens() -> list[str]:
+    return [t.content for t in Tokenizer.from_file(PATH).get_added_tokens_decoder().values()]
+
+
+@settings(max_examples=3000, deadline=None)
+@given(st.lists(st.text(HARD, max_size=12) | st.sampled_from([*_special_tokens(), "<|", "|>", "'s", "'ll", " \u0301", "\n\u0308a"]), max_size=10), st.sampled_from(["", " ", "\n", "\u0301"]))
+def test_hard_characters_equal_whole_texts(parts, between):
+    text = between.join(parts)
+    coder, whole = WordTokenizer.at(PATH), Tokenizer.from_file(PATH) if not _whole else _whole[0]
+    _whole[:] = [whole]
+    assert np.frombuffer(coder.encode([text, "plain", text])[2], np.uint16).tolist() == whole.encode(text, add_special_tokens=False).ids
+
+
+_whole: list[Tokenizer] = []
+
+
+def test_small_tables_and_pieces_change_nothing(monkeypatch):
+    """Full tables, equal slots, long units and texts cut into pieces."""
+    rng = np.random.default_rng(3)
+    letters = np.array(list("abcdeéüß"))
+    words = ["".join(rng.choice(letters, n)) for n in rng.integers(1, 40, 3000)]
+    texts = [" ".join(rng.choice(words, n)) + mark for n, mark in ((0, ""), (1, "!"), (4000, "..."), (700, " it's 2024"), (3000, "\u3000x"), (500, ""))]
+    texts += [None, "", "x" * 5000, "a" * 16 + " " + "a" * 17, "A\tB" * 900, "é" * 3000]
+    whole = Tokenizer.from_file(PATH)
+    want = [whole.encode(t or "", add_special_tokens=False).ids for t in texts]
+    for slots, room, slice_bytes in ((1 << 21, 1 << 20, 1 << 18), (256, 200, 1000), (1 << 12, 0, 64)):
+        monkeypatch.setattr(word_tokens.UnitTable, "SLOTS", slots)
+        monkeypatch.setattr(word_tokens.UnitTable, "ROOM", room)
+        monkeypatch.setattr(word_tokens, "SLICE_BYTES", slice_bytes)
+        coder = WordTokenizer(PATH)
+        for _ in range(2):
+            assert [np.frombuffer(b, np.uint16).tolist() for b in coder.encode(texts)] == want
+        sliced = pa.array([*texts, *texts], pa.string()).slice(len(texts) - 2, 5)
+        assert [np.frombuffer(b, np.uint16).tolist() for b in coder.encode(sliced)] == [*want[-2:], *want[:3]]
+
+
 @settings(max_examples=60, deadline=None)
 @given(st.lists(st.lists(st.integers(0, 40) | st.integers(0, 3000), max_size=1500), max_size=5), st.integers(12, 18))
 def test_codec_round_trip(docs, limit):
