@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerline.functions.numbers import repeated_digits
@@ -15,25 +15,50 @@ LEVELS = (
 )
 
 
-def price_stats(df: DataFrame, price: str, keys: tuple[str, ...]) -> DataFrame:
-    """n, median (linear) and quartiles (nearest value) of each group.
+#: Ranges of a price that grows e-fold; doubles make at most about 91,000 in all.
+RANGES = 64
 
-    The quartiles come from a histogram per group (one row per price), so no
-    group's prices are gathered: running counts find the value at the rank."""
-    grouped = df.where(F.col(price).isNotNull()).groupBy(*keys, F.col(price).alias("__p")).agg(F.count("*").alias("__c"))
-    w = Window.partitionBy(*keys)
-    h = grouped.withColumn("__n", F.sum("__c").over(w)).withColumn("__to", F.sum("__c").over(w.orderBy("__p").rowsBetween(Window.unboundedPreceding, 0)))
+
+def _ranked() -> list[Column]:
+    """n, median and quartiles of histogram rows (__p, __to: how many prices are
+    up to it, __n: all); null without any."""
 
     def at(rank):
         return F.min(F.when(F.col("__to") > rank, F.col("__p")))
 
     n1 = F.col("__n") - 1
-    return h.groupBy(*keys).agg(
+    return [
         F.max("__n").alias("n"),
         ((at(F.floor(n1 / 2)) + at(F.ceil(n1 / 2))) / 2.0).alias("med"),
         at(F.round(n1 * 0.25)).cast("double").alias("q1"),
         at(F.round(n1 * 0.75)).cast("double").alias("q3"),
-    )
+    ]
+
+
+def price_stats(df: DataFrame, price: str, keys: tuple[str, ...]) -> DataFrame:
+    """n, median (linear) and quartiles (nearest value) of each group.
+
+    The quartiles come from a histogram per group (one row per price), so no
+    group's prices are gathered: running counts find the value at the rank."""
+    grouped = df.where(F.col(price).isNotNull()).groupBy(*keys, F.col(price).alias("__p")).agg(F.count("*").alias("__c"))
+    w = Window.partitionBy(*keys)
+    h = grouped.withColumn("__n", F.sum("__c").over(w)).withColumn("__to", F.sum("__c").over(w.orderBy("__p").rowsBetween(Window.unboundedPreceding, 0)))
+
+    return h.groupBy(*keys).agg(*_ranked())
+
+
+def whole_stats(df: DataFrame, price: str) -> DataFrame:
+    """price_stats() of all rows as one group, without one task for all prices:
+    the histogram is cut into ranges of the price's logarithm, whose totals are
+    one small table; running counts go over a range at a time."""
+    h = df.where(F.col(price).isNotNull()).groupBy(F.col(price).alias("__p")).agg(F.count("*").alias("__c"))
+    h = h.withColumn("__b", F.signum("__p") * F.floor(F.log1p(F.abs(F.col("__p").cast("double"))) * RANGES))
+    totals = h.groupBy("__b").agg(F.sum("__c").alias("__t"))
+    before = Window.orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)
+    starts = totals.select("__b", F.coalesce(F.sum("__t").over(before), F.lit(0)).alias("__start"), F.sum("__t").over(Window.partitionBy()).alias("__n"))
+    inside = Window.partitionBy("__b").orderBy("__p").rowsBetween(Window.unboundedPreceding, 0)
+    placed = h.withColumn("__in", F.sum("__c").over(inside)).join(F.broadcast(starts), "__b").withColumn("__to", F.col("__start") + F.col("__in"))
+    return placed.agg(*_ranked())
 
 
 def contextual_stats(df: DataFrame, price: str, levels: tuple = LEVELS) -> DataFrame:
@@ -46,7 +71,7 @@ def contextual_stats(df: DataFrame, price: str, levels: tuple = LEVELS) -> DataF
         s = price_stats(df.dropna(subset=list(keys)), price, keys)
         df = df.join(s.select(*keys, F.when(F.col("n") >= least, F.struct("n", "med", "q1", "q3", F.lit(i + 1).alias("level"))).alias(f"__ctx{i}")), list(keys), "left")
         found.append(f"__ctx{i}")
-    whole = price_stats(df.withColumn("__all", F.lit(1)), price, ("__all",)).select(F.struct("n", "med", "q1", "q3", F.lit(0).alias("level")).alias("__whole"))
+    whole = whole_stats(df, price).select(F.struct("n", "med", "q1", "q3", F.lit(0).alias("level")).alias("__whole"))
     df = df.crossJoin(F.broadcast(whole)).withColumn("__ctx", F.coalesce(*found, F.col("__whole")))
     return df.withColumns({f"ctx_{f}": F.col(f"__ctx.{f}") for f in ("n", "med", "q1", "q3", "level")}).drop("__ctx", "__whole", *found)
 

@@ -40,7 +40,8 @@ def stratified(df: DataFrame, stratum: str, ident: str, most: int, seed: int = 4
     sizes = df.groupBy(F.col(stratum).alias("__s")).agg(F.count("*").alias("__size"))
     total = sizes.agg(F.sum("__size").alias("__n"))
     quota = sizes.crossJoin(F.broadcast(total)).select("__s", "__n", F.least("__size", F.greatest(F.lit(1), F.bround(F.col("__size") * most / F.col("__n"), 0))).cast("long").alias("__quota"))
-    ranked = df.withColumn("__h", order).withColumn("__rank", F.row_number().over(Window.partitionBy(stratum).orderBy("__h", ident)))
+    # a row behind `most` others of its stratum is never taken; with this bound Spark drops such rows before the shuffle
+    ranked = df.withColumn("__h", order).withColumn("__rank", F.row_number().over(Window.partitionBy(stratum).orderBy("__h", ident))).where(F.col("__rank") <= most)
     ranked = ranked.join(quota, F.col(stratum).eqNullSafe(F.col("__s")))
     inside = (F.col("__rank") > F.col("__quota")).cast("int")
     return ranked.withColumn("__late", inside).orderBy("__late", (F.col("__rank") > 1).cast("int"), "__h", ident).limit(most).drop("__h", "__rank", "__s", "__n", "__quota", "__late")
@@ -65,13 +66,16 @@ def split_by_time(df: DataFrame, key: str, day: str, share: float = 0.8, least_t
 def choose_cutoff(panel: DataFrame, month: str = "month_start", target_month: str = "target_month", target: str = "target", least: int = 2) -> object | None:
     """First candidate month with at least `least` rows on both sides: train rows
     have their target month before it, test rows their month from it on.
-    Candidates are the quantiles .8 to .15, then every month; their counts come
-    from one pass over month pairs."""
+    Candidates are the quantiles .8 to .15, then every month; their counts are
+    running sums over one row per month."""
     days = panel.where(F.col(target).isNotNull())
-    pairs = days.groupBy(month, target_month).agg(F.count("*").alias("n"))
     marks = days.agg(F.percentile(F.unix_date(month).cast("double"), [0.8, 0.85, 0.75, 0.65, 0.55, 0.45, 0.35, 0.25, 0.15]).alias("q")).select(F.posexplode("q").alias("rank", "day")).select("rank", F.date_from_unix_date(F.col("day").cast("int")).alias("cutoff"))
     every = days.select(F.lit(100).alias("rank"), F.col(month).alias("cutoff")).distinct()
-    counted = marks.unionByName(every).join(pairs).groupBy("rank", "cutoff").agg(F.sum(F.when(F.col(target_month) < F.col("cutoff"), F.col("n"))).alias("train"), F.sum(F.when(F.col(month) >= F.col("cutoff"), F.col("n"))).alias("test"))
+    counts = lambda c, name: days.where(F.col(c).isNotNull()).groupBy(F.col(c).alias("cutoff")).agg(F.count("*").alias(name))
+    dated = marks.unionByName(every).unionByName(counts(target_month, "targets"), True).unionByName(counts(month, "months"), True)
+    before = Window.orderBy(F.unix_date("cutoff")).rangeBetween(Window.unboundedPreceding, -1)
+    later = Window.orderBy(F.unix_date("cutoff")).rangeBetween(0, Window.unboundedFollowing)
+    counted = dated.where(F.col("cutoff").isNotNull()).select("rank", "cutoff", F.sum("targets").over(before).alias("train"), F.sum("months").over(later).alias("test")).where(F.col("rank").isNotNull())
     row = counted.where((F.col("train") >= least) & (F.col("test") >= least)).orderBy("rank", "cutoff").first()
     return row["cutoff"] if row else None
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import datetime as dt
+import random
 import zipfile
 
 import pytest
@@ -98,6 +99,17 @@ def test_outliers_drop_placeholders_and_keep_trims(spark):
     assert kept == {v for v, _, _ in rows} - {"REPEAT4", "REPEAT1"}
 
 
+def test_whole_statistics_equal_those_of_one_group(spark):
+    rng = random.Random(5)
+    prices = [None, 0, -3, -3, *(rng.choice([1_000, 1_001, 25_000, rng.randint(-50, 900_000)]) for _ in range(500))]
+    df = spark.createDataFrame([(p, 1) for p in prices], "price long, g int")
+    for part in (df, df.limit(2), df.where("price = 1000")):
+        assert outliers.whole_stats(part, "price").first() == outliers.price_stats(part, "price", ("g",)).drop("g").first()
+    none = spark.createDataFrame([(None, 1)], "price long, g int")
+    assert outliers.whole_stats(none, "price").first().n is None
+    assert outliers.flag_outliers(none, "price").count() == 1
+
+
 def test_base_price_cascade(spark):
     base = spark.createDataFrame([("A", 10.0), ("B", None), ("C", 0.0), ("D", None)], "vin string, base_price double")
     ph = spark.createDataFrame([("B", D(2020, 1, 2), 65_000), ("B", D(2020, 1, 1), 0)], "vin string, history_date date, price long")
@@ -206,6 +218,17 @@ def test_cutoff_leaves_no_leak(spark):
     assert train.agg(F.max("target_month")).first()[0] < cut <= test.agg(F.min("month_start")).first()[0]
 
 
+def test_cutoff_counts_match_brute_force(spark):
+    rng = random.Random(2)
+    rows = [(D(2024, rng.randint(1, 12), 1), rng.choice([None, D(2025, rng.randint(1, 6), 1), D(2024, rng.randint(6, 12), 1)]), rng.choice([None, 1.0])) for _ in range(40)]
+    p = spark.createDataFrame(rows, "month_start date, target_month date, target double")
+    for least in (2, 6, 9, 12, 30):
+        kept = [(m, t) for m, t, y in rows if y is not None]
+        fits = lambda c: sum(t is not None and t < c for _, t in kept) >= least and sum(m >= c for m, _ in kept) >= least  # noqa: E731,B023
+        cut = samples.choose_cutoff(p, least=least)
+        assert fits(cut) if cut else not any(fits(m) for m, _ in kept)
+
+
 def test_features_know_no_answer(spark):
     df = spark.createDataFrame([("V", 25_000, 30_000, 2021, D(2026, 1, 3), "2021 Toyota Camry LE AWD certified", "Cars.com", "FORD", "MUSTANG")], "vin string, price long, mileage long, canonical_year int, loaddate date, title string, source_name string, canonical_make string, canonical_model string")
     f = features.current_price_features(df, 2026).first()
