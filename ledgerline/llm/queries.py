@@ -5,10 +5,12 @@ from __future__ import annotations
 import os
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ledgerline.llm.chat_tools import link_tool_calls, schema_table, tool_calls_and_exchanges
 from ledgerline.llm.common import materialize, shared_path
 from ledgerline.llm.decontam import find_contamination
+from ledgerline.llm.fim import fill_in_middle, restore
 from ledgerline.llm.line_dedup import dedup_lines
 from ledgerline.llm.mixing import mix
 from ledgerline.llm.ngram_join import ngram_join
@@ -131,5 +133,35 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score(docs, fit_on_labels(docs, _table(spark, sf_dir, "labels")))
 
 
-QUERIES = {f.__name__: f for f in (op1_token_counts, op2_decontamination, op3_line_dedup, op4_mix_sources, op5_url_filter, op6_token_files, op7_ngram_jaccard_join, op8_chat_tools, op9_quality_rules, op10_toxicity)}
-ORACLES: dict[str, str] = {"op4_mix_sources": OP4_SQL, "op8_chat_tools": OP8_SQL}
+def op11_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Digests of the code point form of every document and of the text restored
+    from it; a null text is empty, repeated rows stay, no documents give no rows."""
+    cut = fill_in_middle(_table(spark, sf_dir, "documents"))
+    back = restore(F.col("output"), F.col("form"))
+    return cut.select(
+        "doc_id", "n", "form", F.length("prefix").cast("long").alias("prefix_chars"), F.length("middle").cast("long").alias("middle_chars"),
+        F.sha2(F.col("output").cast("binary"), 256).alias("output_sha256"), F.sha2(back.cast("binary"), 256).alias("restored_sha256"),
+    )
+
+
+OP11_SQL = """
+WITH d AS (
+  SELECT doc_id, coalesce(text, '') AS t, length(coalesce(text, '')) AS n, sha256('1:' || coalesce(doc_id::VARCHAR, '')) AS h FROM documents),
+g AS (
+  SELECT doc_id, t, n, ('0x' || substring(h, 1, 8))::BIGINT % (n + 1) AS x, ('0x' || substring(h, 9, 8))::BIGINT % (n + 1) AS y,
+         CASE WHEN n = 0 OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') OR ('0x' || substring(h, 17, 8))::BIGINT % 100 >= 90 THEN 'plain'
+              WHEN ('0x' || substring(h, 25, 8))::BIGINT % 100 < 20 THEN 'spm' ELSE 'psm' END AS form
+  FROM d),
+c AS (SELECT *, least(x, y) AS a, greatest(x, y) AS b FROM g),
+p AS (SELECT *, substring(t, 1, a) AS prefix, substring(t, a + 1, b - a) AS middle, substring(t, b + 1) AS suffix FROM c)
+SELECT doc_id, n::BIGINT AS n, form,
+       CASE WHEN form <> 'plain' THEN a END AS prefix_chars, CASE WHEN form <> 'plain' THEN b - a END AS middle_chars,
+       sha256(CASE form WHEN 'plain' THEN t WHEN 'psm' THEN '<P>' || prefix || '<S>' || suffix || '<M>' || middle
+                        ELSE '<S>' || suffix || '<P>' || prefix || '<M>' || middle END) AS output_sha256,
+       sha256(t) AS restored_sha256
+FROM p
+"""
+
+
+QUERIES = {f.__name__: f for f in (op1_token_counts, op2_decontamination, op3_line_dedup, op4_mix_sources, op5_url_filter, op6_token_files, op7_ngram_jaccard_join, op8_chat_tools, op9_quality_rules, op10_toxicity, op11_fill_in_middle)}
+ORACLES: dict[str, str] = {"op4_mix_sources": OP4_SQL, "op8_chat_tools": OP8_SQL, "op11_fill_in_middle": OP11_SQL}
