@@ -18,6 +18,7 @@ from ledgerline.llm.quality import quality_rules
 from ledgerline.llm.token_counts import length_histogram, suffix_sums
 from ledgerline.llm.token_files import read_token_files, write_token_files
 from ledgerline.llm.toxicity import fit_on_labels, score
+from ledgerline.llm.turn_repair import damaged, joined_text, repair_conversations
 from ledgerline.llm.url_filter import filter_urls
 
 
@@ -163,5 +164,19 @@ FROM p
 """
 
 
-QUERIES = {f.__name__: f for f in (op1_token_counts, op2_decontamination, op3_line_dedup, op4_mix_sources, op5_url_filter, op6_token_files, op7_ngram_jaccard_join, op8_chat_tools, op9_quality_rules, op10_toxicity, op11_fill_in_middle)}
+def op12_turn_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Faults, cheapest edits and digest of the repaired text of every
+    conversation, after the planted damage; zeros, an empty audit and the digest
+    of nothing where no row is left."""
+    turns = _table(spark, sf_dir, "conversations")
+    report, repaired = repair_conversations(damaged(turns), copies_col="copies")
+    key = F.coalesce(F.concat(F.lit("s"), F.col("conv_id").cast("string")), F.lit("t"))
+    every = turns.groupBy("conv_id").agg(F.lit(1)).select("conv_id", key.alias("conv"))
+    counts = [F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in ("gaps", "blank", "duplicate", "truncated", "illegal", "cost")]
+    found = every.join(report.drop("conv_id"), "conv", "left").join(joined_text(repaired), "conv", "left")
+    digest = F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256)
+    return found.select("conv_id", *counts, F.coalesce("audit", F.lit("")).alias("audit"), digest.alias("repaired_sha256"))
+
+
+QUERIES = {f.__name__: f for f in (op1_token_counts, op2_decontamination, op3_line_dedup, op4_mix_sources, op5_url_filter, op6_token_files, op7_ngram_jaccard_join, op8_chat_tools, op9_quality_rules, op10_toxicity, op11_fill_in_middle, op12_turn_repair)}
 ORACLES: dict[str, str] = {"op4_mix_sources": OP4_SQL, "op8_chat_tools": OP8_SQL, "op11_fill_in_middle": OP11_SQL}
