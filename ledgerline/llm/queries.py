@@ -11,6 +11,7 @@ from ledgerline.llm.chat_tools import link_tool_calls, schema_table, tool_calls_
 from ledgerline.llm.common import materialize, shared_path
 from ledgerline.llm.decontam import find_contamination
 from ledgerline.llm.fim import fill_in_middle, restore
+from ledgerline.llm.html_text import extract_main_text
 from ledgerline.llm.line_dedup import dedup_lines
 from ledgerline.llm.mixing import mix
 from ledgerline.llm.ngram_join import ngram_join
@@ -178,5 +179,11 @@ def op12_turn_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("conv_id", *counts, F.coalesce("audit", F.lit("")).alias("audit"), digest.alias("repaired_sha256"))
 
 
-QUERIES = {f.__name__: f for f in (op1_token_counts, op2_decontamination, op3_line_dedup, op4_mix_sources, op5_url_filter, op6_token_files, op7_ngram_jaccard_join, op8_chat_tools, op9_quality_rules, op10_toxicity, op11_fill_in_middle, op12_turn_repair)}
+def op13_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Article text of every page; nulls, empty pages, repeats and long pages as
+    extract_main_text() says."""
+    return extract_main_text(_table(spark, sf_dir, "pages"))
+
+
+QUERIES = {f.__name__: f for f in (op1_token_counts, op2_decontamination, op3_line_dedup, op4_mix_sources, op5_url_filter, op6_token_files, op7_ngram_jaccard_join, op8_chat_tools, op9_quality_rules, op10_toxicity, op11_fill_in_middle, op12_turn_repair, op13_html_text)}
 ORACLES: dict[str, str] = {"op4_mix_sources": OP4_SQL, "op8_chat_tools": OP8_SQL, "op11_fill_in_middle": OP11_SQL}
