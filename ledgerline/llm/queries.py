@@ -20,7 +20,7 @@ from ledgerline.llm.token_counts import length_histogram, suffix_sums
 from ledgerline.llm.token_files import read_token_files, write_token_files
 from ledgerline.llm.toxicity import fit_on_labels, score
 from ledgerline.llm.turn_repair import damaged, joined_text, repair_conversations
-from ledgerline.llm.url_filter import filter_urls
+from ledgerline.llm.url_filter import addresses_of_labelled, filter_urls
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -82,7 +82,9 @@ FROM p
 
 
 def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return filter_urls(_table(spark, sf_dir, "pages"), _table(spark, sf_dir, "documents"))
+    """Verdicts of all addresses; those of labelled documents' pages teach the model."""
+    pages = _table(spark, sf_dir, "pages")
+    return filter_urls(pages, _table(spark, sf_dir, "documents"), labelled=addresses_of_labelled(pages, _table(spark, sf_dir, "labels")))
 
 
 def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:

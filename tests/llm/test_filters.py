@@ -15,7 +15,7 @@ from ledgerline.llm.decontam import alphabet_masks, decontaminate, find_contamin
 from ledgerline.llm.quality import quality_rules, repeated_words
 from ledgerline.llm.queries import op8_chat_tools, vocabulary
 from ledgerline.llm.toxicity import OrdinalModel, drop_toxic, fit, fit_on_labels, score
-from ledgerline.llm.url_filter import LETTER, RULES, filter_urls, segmented, word_counts
+from ledgerline.llm.url_filter import LETTER, RULES, addresses_of_labelled, filter_urls, segmented, word_counts
 from tests.llm.conftest import EDGE_ROWS, words
 
 MODEL = vocabulary("piece_bpe_32k.model")
@@ -126,10 +126,11 @@ def brute_cost(run, counts):
 def test_segmentation_is_the_cheapest(spark):
     docs = [("spam farm free bets city news", ), ("Farm, farm; the bets x the news spam's",), (None,), ("a" * 30,)]
     counts = {r.word: r.n for r in word_counts(spark.createDataFrame(docs, "text string")).collect()}
-    assert counts == {"spam": 2, "farm": 3, "free": 1, "bets": 2, "city": 1, "news": 2, "the": 2, "x": 1, "s": 1}
+    assert counts == {"spam": 2, "farm": 3, "free": 1, "bets": 2, "city": 1, "news": 2, "the": 2, "x": 1, "s": 1, "a" * 30: 1}
     table = spark.createDataFrame(list(counts.items()), "word string, n long")
-    runs = ["spamfarm", "freebets", "citynews", "xqfarmzz", "newsbets", "aaaa", "qq", "x"]
+    runs = ["spamfarm", "freebets", "citynews", "xqfarmzz", "newsbets", "aaaa", "qq", "x", "spam" + "a" * 30 + "xfarm"]
     got = {r.run: r.words for r in segmented(spark.createDataFrame([(x,) for x in runs], "run string"), table).collect()}
+    assert got.pop(runs.pop()) == ["spam", "a" * 30, "x", "farm"]
     for run in runs:
         least, cost = brute_cost(run, counts)
         assert abs(sum(map(cost, got[run])) - least) < 1e-9 and "".join(got[run]) == run
@@ -152,15 +153,13 @@ def test_naive_bayes_matches_brute_force(spark):
         good = [w for u, v in labels.items() if v == "allow" for w in bag(u) if w not in drop]
         size = len(set(bad) | set(good))
         odds = {w: math.log((bad.count(w) + 0.5) / (len(bad) + 0.5 * size)) - math.log((good.count(w) + 0.5) / (len(good) + 0.5 * size)) for w in set(bad) | set(good)}
-        prior = math.log(sum(v == "block" for v in labels.values()) / sum(v == "allow" for v in labels.values()))
-        return lambda u: prior + sum(odds.get(w, 0) for w in bag(u))
+        return lambda u: sum(odds.get(w, 0) for w in bag(u))
 
     score = brute(labels, said)
     for r in filter_urls(pages, docs).collect():
         url = None if r.page_id is None else urls[0] if r.host.startswith("spamfarm.example.net") and r.page_id == 7 else urls[r.page_id]
         assert abs(r.log_odds - score(url)) < 1e-9
-        assert r.verdict == (brute_rule(*brute_parts(url))[1] or ("block" if r.log_odds > 0 else "allow"))
-    assert {r.host: r.verdict for r in filter_urls(pages, docs).collect()}["spamfarm.example.org"] == "block"
+        assert r.verdict == (brute_rule(*brute_parts(url))[1] or "allow")  # too few held-out addresses to block anything
     given = {u: "block" if "daily" in u else "allow" for u in urls}
     table = spark.createDataFrame([(*brute_parts(u), v) for u, v in given.items()], "host string, path string, verdict string")
     score = brute(given, ())
@@ -168,6 +167,56 @@ def test_naive_bayes_matches_brute_force(spark):
     assert all(abs(r.log_odds - score(urls[0] if r.host == "spamfarm.example.net" and r.path.endswith("/0") else urls[r.page_id])) < 1e-9 for r in rows)
 
 
+def brute_held_out(labels, bag, fold):
+    """Scores of labelled addresses by counts of the hosts of other folds."""
+    out = []
+    for u, v in labels.items():
+        rest = {x: y for x, y in labels.items() if fold[brute_parts(x)[0]] != fold[brute_parts(u)[0]]}
+        bad = [w for x, y in rest.items() if y == "block" for w in bag(x)]
+        good = [w for x, y in rest.items() if y == "allow" for w in bag(x)]
+        kinds = set(bad) | set(good)
+        own = [w for w in bag(u) if w in kinds]
+        odds = [math.log((bad.count(w) + 0.5) / (len(bad) + 0.5 * len(kinds))) - math.log((good.count(w) + 0.5) / (len(good) + 0.5 * len(kinds))) for w in own]
+        if own:
+            out.append((sum(odds), v == "block"))
+    return out
+
+
+@pytest.mark.parametrize("learnable", [True, False])
+def test_held_out_hosts_decide_what_is_blocked(spark, learnable):
+    r = random.Random(4)
+    docs = spark.createDataFrame([("spam farm city news daily bets",)], "text string")
+    labels = {}
+    for i in range(60):
+        bad = i % 2 == 0
+        name = ("spamfarm" if bad else "citynews") if learnable else r.choice(["spamfarm", "citynews"])
+        labels[f"http://{name}.h{'abcdefghij'[i % 10]}{'klmnop'[i // 10]}.org/p/{i}"] = "block" if bad else "allow"
+    asked = ["http://spamfarm.other.org/", "http://citynews.other.org/", "http://zzqq.nowhere.test/", "http://spamfarm.citynews.net/de/"]
+    pages = spark.createDataFrame(list(enumerate([*labels, *asked])), "page_id long, url string")
+    table = spark.createDataFrame([(*brute_parts(u), v) for u, v in labels.items()], "host string, path string, verdict string")
+    report = {}
+    got = {x.page_id: x for x in filter_urls(pages, docs, labelled=table, report=report).collect()}
+    verdicts = [got[60 + i].verdict for i in range(4)]
+    assert got[62].log_odds == 0.0 and verdicts[2] == "allow"  # no word of it is known
+    assert verdicts[:2] == (["block", "allow"] if learnable else ["allow", "allow"])
+    hosts = spark.createDataFrame([(brute_parts(u)[0],) for u in labels], "host string")
+    fold = {x[0]: x[1] for x in hosts.select("host", F.pmod(F.xxhash64("host"), F.lit(5))).collect()}
+    cut = {"spamfarm": ["spam", "farm"], "citynews": ["city", "news"]}
+    bag = lambda u: [w for x in re.findall("[a-z]+", " ".join(brute_parts(u))) for w in cut.get(x, [x])]
+    scores = [(math.floor(x / 0.1), bad) for x, bad in brute_held_out(labels, bag, fold)]
+    pairs = [(b, g) for b, x in scores if x for g, y in scores if not y]
+    area = sum((b > g) + (b == g) / 2 for b, g in pairs) / len(pairs)
+    assert report["held_out"] == len(scores) and abs(report["area"] - area) < 1e-9 and report["labelled"] == 60
+    assert (report["threshold"] is not None) == learnable and (not learnable or report["precision"] >= 0.9)
+
+
+def test_addresses_of_labelled_documents(spark):
+    pages = spark.createDataFrame([(i, u) for i, u in enumerate(["http://a.org/en/1", "http://a.org/en/2.html?x", "http://a.org/3/", "http://a.org/en/x", "http://a.org/en/4", None, "http://a.org/1", "http://b.org/" + "9" * 40])], "page_id long, url string")
+    labels = spark.createDataFrame([(1, 1, 1), (1, 1, 0), (2, 0, 0), (3, 1, 0), (4, None, None), (None, 1, 1)], "doc_id long, quality int, toxic int")
+    got = sorted((r.path, r.verdict) for r in addresses_of_labelled(pages, labels).collect())
+    assert got == [("/1", "block"), ("/3/", "allow"), ("/en/1", "block"), ("/en/2.html", "block")]
+
+
 def test_url_filter_edges(spark):
     rows = [(1, "https://spamfarm.example.org/en/1", 0), (2, None, 0), (None, "http://a.com/", 0), (4, "https://daily-news.example.org/" + "a" * 50_000, 0), (4, "http://x.net/es/1", 0), (4, "http://x.net/es/1", 0)]
     docs = spark.createDataFrame([("a daily",), (None,)], "text string")
