@@ -2,21 +2,26 @@
 
 from __future__ import annotations
 
+import datetime
+import functools
 import importlib.util
 import itertools
 import random
-from collections.abc import Callable
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.feature import SQLTransformer
 from pyspark.ml.regression import GBTRegressor
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerline.operators.history import latest
 from ledgerline.operators.models import preprocessor
+from ledgerline.operators.moments import matrix, product_sums, ridge, running_sums
+from ledgerline.operators.trees import Ensemble, Windows, boost_windows, ensemble_of, value_bins, vector
 from ledgerline.session import cut_lineage
 from ledgerline.sources import samples
 
@@ -89,50 +94,137 @@ def direct_forecast(model: PipelineModel, panel: DataFrame, keys: list[str], hor
     return scored.select(*keys, "month_start", F.col("median_price").alias("observed_price"), F.add_months("month_start", horizon).alias("forecast_month"), F.greatest(F.col("median_price") * (1 + F.col("change")), F.lit(0.0)).alias("predicted_price"), F.lit("direct").alias("forecast_method"))
 
 
-def recursive_forecast(model: PipelineModel, panel: DataFrame, keys: list[str], steps: int, checkpoint_every: int = 6) -> DataFrame:
+#: Columns that a predicted price replaces.
+_FED_BACK = ("median_price", "avg_price", "p25_price", "p75_price", "price_lag_1", "rolling_median_3")
+
+
+def recursive_forecast(model: PipelineModel | Ensemble, panel: DataFrame, keys: list[str], steps: int) -> DataFrame:
     """Month by month: each predicted price is fed back as price, quartiles, lag
     and rolling median, and into the index and change since the cohort's first
-    price; other features stay. The lineage is cut every few steps by
-    checkpoint()."""
-    panel = panel.withColumn("__key", F.struct(*keys))
-    state = latest(panel, "__key", F.desc("month_start")).drop("__key").withColumn("observed_price", F.col("median_price"))
-    base = state.columns
-    out = None
-    for step in range(1, steps + 1):
-        price = F.greatest(F.col("median_price") * (1 + F.col("change")), F.lit(0.0))
-        moved = model.transform(state).withColumn("__p", price)
-        feedback = {c: F.col("__p") for c in ("median_price", "avg_price", "p25_price", "p75_price", "price_lag_1", "rolling_median_3") if c in base}
-        index = F.try_divide("__p", F.try_divide("median_price", F.nullif(F.col("price_index"), F.lit(0.0)))) if "price_index" in base else None
-        if index is not None:
-            feedback |= {"price_index": index, **({"cumulative_change": index - 1} if "cumulative_change" in base else {})}
-        state = moved.withColumns(feedback | {"month_start": F.add_months("month_start", 1)})
-        state = state.withColumns({c: f for c, f in {"month": F.month("month_start"), "quarter": F.quarter("month_start"), "cohort_month_number": F.col("cohort_month_number") + 1, "cohort_age_months": F.col("cohort_age_months") + 1}.items() if c in base}).select(*base)
-        if step % checkpoint_every == 0:
-            state = cut_lineage(state)
-        rows = state.select(*keys, F.lit(step).alias("step"), F.col("month_start").alias("forecast_month"), F.col("median_price").alias("predicted_price"), (F.col("median_price") / F.nullif(F.col("observed_price"), F.lit(0.0)) - 1).alias("change_from_observed"))
-        out = rows if out is None else out.unionByName(rows)
-    return out
-
-
-def global_backtest(panel: DataFrame, keys: list[str], numeric: list[str], horizon: int, origins: list, least_months: int = 6, params: dict | None = None) -> DataFrame:
-    """Expanding rolling origins: train on rows whose target month is at or
-    before the origin, test at the origin on cohorts with enough history."""
-    seen = F.row_number().over(Window.partitionBy(*keys).orderBy("month_start"))
-    p = panel.withColumn("__seen", seen).persist()
+    price; other features stay. The fitted trees are arrays, so that all steps of
+    a cohort are one fold inside one Arrow pass over the last rows."""
+    trees = model if isinstance(model, Ensemble) else ensemble_of(model)
+    last = latest(panel.withColumn("__key", F.struct(*keys)), "__key", F.desc("month_start"))
+    used = list(dict.fromkeys([*trees.inputs, "median_price", *(c for c in ("price_index",) if c in panel.columns)]))
+    state = last.select(F.struct(*keys).alias("__key"), F.col("month_start").cast("date").alias("__month"), *[F.col(c).cast("double").alias(c) for c in used])
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            value = {c: batch.column(i + 2).to_numpy(zero_copy_only=False).astype(float) for i, c in enumerate(used)}
+            days = batch.column(1).to_numpy(zero_copy_only=False).astype("datetime64[M]")
+            observed, index = value["median_price"], value.get("price_index")
+            for step in range(1, steps + 1):
+                x = np.column_stack([value[c] for c in trees.inputs]) if trees.inputs else np.zeros((batch.num_rows, 0))
+                price = value["median_price"] * (1 + trees.predict(x))
+                price = np.where(price < 0, 0.0, price)
+                if index is not None:
+                    with np.errstate(divide="ignore", invalid="ignore"):
+                        base = value["median_price"] / np.where(index == 0, np.nan, index)
+                        index = price / np.where(base == 0, np.nan, base)
+                months = (days + step).astype("datetime64[D]")
+                number = months.astype("datetime64[M]").astype(int) % 12
+                moved = {c: price for c in _FED_BACK} | {"month": number + 1.0, "quarter": number // 3 + 1.0}
+                if index is not None:
+                    moved |= {"price_index": index, "cumulative_change": index - 1}
+                moved |= {c: value[c] + 1 for c in ("cohort_month_number", "cohort_age_months") if c in value}
+                value |= {c: v for c, v in moved.items() if c in value}
+                with np.errstate(divide="ignore", invalid="ignore"):
+                    change = price / np.where(observed == 0, np.nan, observed) - 1
+                steps_taken = pa.array(np.full(batch.num_rows, step, np.int32))
+                yield pa.RecordBatch.from_arrays([batch.column(0), steps_taken, pa.array(months), pa.array(price, from_pandas=True), pa.array(change, from_pandas=True)], ["__key", "step", "forecast_month", "predicted_price", "change_from_observed"])
+
+    kind = f"__key {dict(state.dtypes)['__key']}, step int, forecast_month date, predicted_price double, change_from_observed double"
+    return state.mapInArrow(run, kind).select(*[F.col("__key")[k].alias(k) for k in keys], "step", "forecast_month", "predicted_price", "change_from_observed")
+
+
+BACKTEST_FAMILIES = ("global", "global_linear")
+
+
+def global_backtest(panel: DataFrame, keys: list[str], numeric: list[str], horizon: int, origins: list, least_months: int = 6, families: tuple[str, ...] = BACKTEST_FAMILIES, rounds: int = 10, depth: int = 3, rate: float = 0.3, penalty: float = 1.0) -> DataFrame:
+    """Expanding rolling origins: trained on rows whose target month is at or
+    before the origin, tested at the origin on cohorts with enough history.
+
+    No origin is fitted on its own: boosted trees ("global") grow level by level
+    for all origins in one grouped pass each, linear models ("global_linear")
+    are solved from running sums of products. Origins with fewer than two
+    training rows give no rows; neither do linear test rows with a missing
+    input."""
     target, month, price = f"target_change_{horizon}m", f"target_month_{horizon}m", f"target_price_{horizon}m"
-    out = None
-    try:
-        for origin in origins:
-            train = p.where((F.col(month) <= F.lit(origin)) & F.col(target).isNotNull())
-            test = p.where((F.col("month_start") == F.lit(origin)) & (F.col("__seen") >= least_months) & F.col(target).isNotNull())
-            if train.limit(2).count() < 2:
-                continue
-            scored = fit_change_model(train, numeric, target, params=params).transform(test)
-            rows = scored.select(*keys, F.lit(origin).cast("date").alias("origin_month"), F.col(month).alias("forecast_month"), F.col("median_price").alias("naive"), F.col(price).alias("actual"), F.greatest(F.col("median_price") * (1 + F.col("change")), F.lit(0.0)).alias("predicted"), F.lit("global").alias("model_family"))
-            out = rows if out is None else out.unionByName(rows)
-        return cut_lineage(out) if out is not None else p.limit(0).select(*keys)
-    finally:
-        p.unpersist()
+    seen = F.row_number().over(Window.partitionBy(*keys).orderBy("month_start"))
+    columns = list(dict.fromkeys([*keys, "month_start", "median_price", *numeric, target, month, price]))
+    rows = cut_lineage(panel.select(*columns).withColumn("__seen", seen).where(F.col(target).isNotNull()).withColumns({"__at": F.unix_date(F.col("month_start").cast("date")).cast("long"), "__ends": F.unix_date(F.col(month).cast("date")).cast("long")}))
+    ats = [(o - datetime.date(1970, 1, 1)).days for o in origins]
+    test = rows.where(F.col("__at").isin(ats) & (F.col("__seen") >= least_months)) if ats else rows.limit(0)
+    parts = []
+    if "global" in families:
+        order = sorted(range(len(ats)), key=ats.__getitem__)
+        member = np.zeros((len(ats), len(ats)), bool)
+        for place, k in enumerate(order):
+            member[order[: place + 1], k] = True  # a group is the first origin at or after the target's month
+        group = F.array_position(F.array(*[F.lit(a).cast("long") for a in ats]), _first_origin(ats)) - 1
+        model = boost_windows(rows, vector(numeric), len(numeric), F.col(target), F.when(group >= 0, group), member, rounds, depth, rate) if ats else Windows(depth, np.zeros(0), [], [], [])
+        parts.append(_window_predictions(test, model, ats, numeric).withColumn("model_family", F.lit("global")))
+    if "global_linear" in families:
+        parts.append(linear_predictions(test, expanding_ridge(rows, numeric, target, ats, penalty), numeric).withColumn("model_family", F.lit("global_linear")))
+    out = functools.reduce(DataFrame.unionByName, parts)
+    predicted = F.greatest(F.col("median_price") * (1 + F.col("change")), F.lit(0.0))
+    return out.where("change is not null").select(*keys, F.col("month_start").cast("date").alias("origin_month"), F.col(month).alias("forecast_month"), F.col("median_price").alias("naive"), F.col(price).alias("actual"), predicted.alias("predicted"), "model_family")
+
+
+def _window_predictions(test: DataFrame, model: Windows, ats: list[int], numeric: list[str]) -> DataFrame:
+    """test with the change that its own origin's trees predict."""
+    place = {at: k for k, at in enumerate(ats)}
+    names = test.columns
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at = np.array([place[v] for v in batch.column(names.index("__at")).to_pylist()], np.int64).reshape(-1, 1)
+            x = np.column_stack([batch.column(names.index(c)).to_numpy(zero_copy_only=False).astype(float) for c in numeric])
+            change = model.predict(value_bins(x), at)[:, 0]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(change, from_pandas=True)], [*names, "change"])
+
+    doubles = test.select(*[F.col(c).cast("double").alias(c) if c in numeric else c for c in names])
+    return doubles.mapInArrow(run, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in doubles.schema) + ", change double")
+
+
+def _first_origin(ats: list[int], ends: str = "__ends") -> Column:
+    """The first origin at or after the month of a row's target; null without."""
+    return F.array_min(F.filter(F.array(*[F.lit(a).cast("long") for a in ats]), lambda a: a >= F.col(ends)))
+
+
+def expanding_sums(rows: DataFrame, numeric: list[str], target: str, ats: list[int], ends: str = "__ends") -> DataFrame:
+    """(origin, i, j, value): sums of products of 1, the inputs and the target
+    over the complete rows that end at or before each origin, by one pass over
+    the rows and running sums over the months."""
+    columns = [*numeric, target]
+    return running_sums(product_sums(rows, _first_origin(ats, ends), vector(columns), len(columns))).withColumnRenamed("g", "origin")
+
+
+def expanding_ridge(rows: DataFrame, numeric: list[str], target: str, ats: list[int], penalty: float) -> DataFrame:
+    """(origin, weights): intercept and weights of every origin. An origin before
+    which nothing new ended has the weights of the one before it."""
+    if not ats:
+        return rows.sparkSession.createDataFrame([], "origin long, weights array<double>")
+    size = len(numeric) + 2
+    lists = expanding_sums(rows, numeric, target, ats).groupBy("origin").agg(F.collect_list(F.struct("i", "j", "value")).alias("cells"))
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [matrix(((c["i"], c["j"], c["value"]) for c in cells), size) for cells in batch.column(1).to_pylist()]
+            weights = [ridge(m, penalty).tolist() if m[0, 0] >= 2 else None for m in found]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(weights, pa.list_(pa.float64()))], ["origin", "weights"])
+
+    solved = lists.mapInArrow(run, "origin long, weights array<double>")
+    every = rows.sparkSession.createDataFrame([(a,) for a in sorted(ats)], "origin long").join(solved, "origin", "left")
+    upto = Window.orderBy("origin").rowsBetween(Window.unboundedPreceding, 0)  # one row an origin
+    return every.select("origin", F.last("weights", True).over(upto).alias("weights"))
+
+
+def linear_predictions(test: DataFrame, weights: DataFrame, numeric: list[str]) -> DataFrame:
+    """test with the change that its origin's weights predict; the weights are
+    one row an origin."""
+    x = functools.reduce(lambda a, b: a + b, [F.col("weights")[i + 1] * F.col(c) for i, c in enumerate(numeric)], F.col("weights")[0])
+    return test.join(F.broadcast(weights.withColumnRenamed("origin", "__at")), "__at").withColumn("change", x).drop("weights")
 
 
 def drift(values: np.ndarray, n: int) -> np.ndarray:

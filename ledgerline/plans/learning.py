@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import datetime
 import uuid
 
 from pyspark.sql import functions as F
@@ -61,13 +62,36 @@ def m09(m):
 
 @query("t08_global_backtest")
 def t08(m):
-    """Expanding rolling origins over the cohort panel, and their metrics."""
+    """Expanding rolling origins over the cohort panel, and their metrics by model."""
     panel = _panel(m)
     origins = [r[0] for r in cohort.eligible_origins(panel, COHORT, "target_price_1m", 6).collect()]
     rows = forecast.global_backtest(panel, COHORT, NUMERIC, 1, sorted(origins))
     return kpi.kpi_scopes(rows, ["model_family"], COHORT)
 
 
+_T08_SUMS = """
+WITH h AS (SELECT canonical_make AS k, date_trunc('month', history_date)::DATE AS m, quantile_cont(price, 0.5) AS v, avg(price) AS a
+           FROM {price_history} p JOIN {identity} i ON p.vin = i.vin GROUP BY 1, 2),
+l AS (SELECT *, lead(m) OVER w AS ends, lead(v) OVER w / nullif(v, 0) - 1 AS y, lag(v) OVER w AS lag, row_number() OVER w AS n FROM h WINDOW w AS (PARTITION BY k ORDER BY m)),
+o AS (SELECT DISTINCT m AS origin FROM l WHERE n >= 6 AND ends IS NOT NULL)
+SELECT origin, count(*)::BIGINT AS n, round(avg(v), 4) AS price, round(avg(y), 8) AS change, round(avg(y * y), 8) AS change_2, round(avg(v * y), 4) AS price_change, round(avg(v * lag), 0) AS price_lag
+FROM o JOIN l ON l.ends <= o.origin WHERE y IS NOT NULL AND lag IS NOT NULL GROUP BY 1
+"""
+
+
+@query("t08_origin_sums", _T08_SUMS)
+def t08_sums(m):
+    """Means of products over every origin's training rows, from one pass and running sums."""
+    panel = _panel(m)
+    origins = sorted(r[0] for r in cohort.eligible_origins(panel, COHORT, "target_price_1m", 6).collect())
+    rows = panel.withColumn("__ends", F.unix_date(F.col("target_month_1m").cast("date")))
+    days = [(o - datetime.date(1970, 1, 1)).days for o in origins]
+    sums = forecast.expanding_sums(rows, ["median_price", "price_lag_1"], "target_change_1m", days)
+    cell = lambda i, j: F.sum(F.when((F.col("i") == i) & (F.col("j") == j), F.col("value")))
+    n = cell(0, 0)
+    return sums.groupBy(F.date_from_unix_date(F.col("origin").cast("int")).alias("origin")).agg(n.cast("long").alias("n"), *[F.round(cell(i, j) / n, d).alias(c) for c, i, j, d in (("price", 0, 1, 4), ("change", 0, 3, 8), ("change_2", 3, 3, 8), ("price_change", 1, 3, 4), ("price_lag", 1, 2, 0))])
+
+
 @query("t09_local_backtest")
 def t09(m):
     """Per-cohort forecasters at every origin, one task per cohort's series."""
