@@ -8,11 +8,13 @@ from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier
 from pyspark.ml.feature import Imputer, OneHotEncoder, StandardScaler, StringIndexer, TargetEncoder, VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRegressor
-from pyspark.sql import DataFrame
+from pyspark.ml.regression import GBTRegressor
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ledgerline.operators.encoders import feature_names, price_stages
 from ledgerline.operators.kpi import regression_metrics
+from ledgerline.operators.search import GRIDS, grouped_search
 
 HIGH_VALUE, CUTOFF, BLEND, LEAST_HIGH = 150_000, 0.35, 0.85, 50
 
@@ -36,45 +38,6 @@ def preprocessor(numeric: list[str], low: list[str] = (), high: list[str] = (),
     return stages
 
 
-def candidates(label: str = "log_label") -> dict[str, tuple]:
-    """Regressors by family with small grids of parameters."""
-    kw = {"featuresCol": "features", "labelCol": label, "predictionCol": "log_prediction"}
-    return {
-        "ridge": (LinearRegression(elasticNetParam=0.0, **kw), [{"regParam": r} for r in (0.01, 0.1)]),
-        "elastic_net": (LinearRegression(elasticNetParam=0.5, **kw), [{"regParam": r} for r in (0.001, 0.01)]),
-        "gbt": (GBTRegressor(seed=42, maxIter=20, **kw), [{"maxDepth": d} for d in (3, 5)]),
-        "random_forest": (RandomForestRegressor(seed=42, numTrees=20, **kw), [{"maxDepth": d} for d in (6, 9)]),
-    }
-
-
-def folds(df: DataFrame, key: str, n: int = 3) -> DataFrame:
-    """A fold per row, all rows of a key in one."""
-    return df.withColumn("fold", F.pmod(F.xxhash64(key), F.lit(n)).cast("int"))
-
-
-def search(train: DataFrame, stages: list, family: str, label: str, key: str, n_folds: int = 3):
-    """Grouped cross-validation over the family's grid on the log label; returns
-    (model fitted on all rows, best parameters, its error)."""
-    regressor, grid = candidates()[family]
-    data = folds(train.withColumn("label", F.col(label).cast("double")).withColumn("log_label", F.log1p(F.greatest(F.col(label).cast("double"), F.lit(0.0)))), key, n_folds)
-    data = data.persist()
-    try:
-        best = None
-        for params in grid:
-            errors = []
-            for k in range(n_folds):
-                fitted = Pipeline(stages=[*stages, regressor.copy({regressor.getParam(p): v for p, v in params.items()})]).fit(data.where(F.col("fold") != k))
-                errors.append(predict(fitted, data.where(F.col("fold") == k)).agg(F.avg(F.abs(F.col("prediction") - F.col("label")))).first()[0])
-            known = [e for e in errors if e is not None]
-            error = sum(known) / len(known) if known else float("inf")
-            if best is None or error < best[0]:
-                best = (error, params)
-        model = Pipeline(stages=[*stages, regressor.copy({regressor.getParam(p): v for p, v in best[1].items()})]).fit(data)
-        return model, best[1], best[0]
-    finally:
-        data.unpersist()
-
-
 def predict(model: PipelineModel, df: DataFrame) -> DataFrame:
     """Adds prediction: back from the logarithm, not below 0."""
     return model.transform(df).withColumn("prediction", F.greatest(F.expm1("log_prediction"), F.lit(0.0)))
@@ -105,7 +68,7 @@ class RoutedModel:
 def fit_routed(train: DataFrame, stages: list, label: str, threshold: float = HIGH_VALUE, least_high: int = LEAST_HIGH) -> RoutedModel:
     data = train.withColumns({"label": F.col(label).cast("double"), "log_label": F.log1p(F.greatest(F.col(label).cast("double"), F.lit(0.0))), "is_high": (F.col(label) > threshold).cast("double")}).persist()
     try:
-        regressor = candidates()["gbt"][0]
+        regressor = GBTRegressor(featuresCol="features", labelCol="log_label", predictionCol="log_prediction", seed=42, maxIter=20)
         fit = lambda rows: Pipeline(stages=[*stages, regressor]).fit(rows)
         counts = data.agg(F.count_if(F.col("is_high") == 1.0), F.count_if(F.col("is_high") == 0.0)).first()
         if counts[0] < least_high or counts[1] == 0:
@@ -121,22 +84,28 @@ def champion(reports: dict[str, float]) -> str:
     return min(reports, key=lambda k: (reports[k], k))
 
 
-def feature_weights(model: PipelineModel, sample: DataFrame, n: int = 20) -> list[tuple[str, float]]:
-    """The n features of greatest weight or importance, by absolute value."""
-    last = model.stages[-1]
-    values = last.featureImportances.toArray() if hasattr(last, "featureImportances") else last.coefficients.toArray()
-    meta = model.transform(sample.limit(1)).schema["features"].metadata.get("ml_attr", {}).get("attrs", {})
-    names = {a["idx"]: a.get("name", str(a["idx"])) for group in meta.values() for a in group}
-    ranked = sorted(((names.get(i, f"f{i}"), float(v)) for i, v in enumerate(values)), key=lambda kv: (-abs(kv[1]), kv[0]))
+def feature_weights(model: PipelineModel, n: int = 20) -> list[tuple[str, float, float]]:
+    """(name, weight or importance, its share of all absolute ones) of the n
+    inputs of greatest absolute value, by name on ties; of a fitted model as of
+    one that was saved and loaded."""
+    names, values = feature_names(model), model.stages[-1].importance()
+    values = values + [0.0] * (len(names) - len(values))
+    whole = sum(map(abs, values)) or 1.0
+    ranked = sorted(((name, float(v), abs(float(v)) / whole) for name, v in zip(names, values, strict=True)), key=lambda r: (-abs(r[1]), r[0]))
     return ranked[:n]
 
 
-def train_price_models(df: DataFrame, numeric: list[str], low: list[str], high: list[str], label: str, key: str, families: tuple[str, ...] = ("ridge", "gbt")) -> tuple[str, PipelineModel, DataFrame]:
+def train_price_models(df: DataFrame, numeric: list[str], low: list[str], high: list[str], label: str, key: str, families: tuple[str, ...] = tuple(GRIDS)) -> tuple[str, PipelineModel, DataFrame]:
     """Search each family, measure it on rows with part = 'test', and return the
     champion, its model and its scored test rows."""
     train, test = df.where("part = 'train'"), df.where("part = 'test'")
-    stages = preprocessor(numeric, low, high)
-    fitted = {f: search(train, stages, f, label, key)[0] for f in families}
-    errors = {f: predict(m, test).agg(*regression_metrics(label, "prediction")).first()["mae"] for f, m in fitted.items()}
+    found = grouped_search(train, price_stages(numeric, low, high), label, key, families)
+    errors = {f: predict(r.model, test).agg(*regression_metrics(label, "prediction")).first()["mae"] for f, r in found.items()}
     best = champion({f: e if e is not None else float("inf") for f, e in errors.items()})
-    return best, fitted[best], predict(fitted[best], test).select(*test.columns, "prediction")
+    return best, found[best].model, predict(found[best].model, test).select(*test.columns, "prediction")
+
+
+def score_filtered(model: PipelineModel, rows: DataFrame, where: Column | str = "true", order: str = "vin", most: int = 100) -> DataFrame:
+    """Predictions of at most so many rows that pass a filter, the first by order."""
+    asked = rows.where(where).orderBy(order, *[c for c in rows.columns if c != order and not dict(rows.dtypes)[c].startswith("map")]).limit(most)
+    return predict(model, asked).select(*rows.columns, "prediction")

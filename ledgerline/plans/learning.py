@@ -7,7 +7,7 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from ledgerline.operators import cohort, features, forecast, kpi, models
+from ledgerline.operators import artifacts, cohort, encoders, features, forecast, kpi, models, search
 from ledgerline.plans.registry import query
 from ledgerline.session import shared_folder
 from ledgerline.sources import samples
@@ -29,12 +29,49 @@ def _panel(m):
 
 @query("m01_m08_price_champion")
 def m08(m):
-    """Searches the two linear families on time-split listings; scored test rows of the best."""
+    """Searches four families on time-split listings; scored test rows of the best."""
     rows = _rows(m).withColumn("part", F.when(F.pmod(F.xxhash64("vin"), F.lit(5)) == 0, "test").otherwise("train"))
-    _, _, scored = models.train_price_models(rows, ["mileage", "canonical_year"], ["seller_type"], ["canonical_model"], "price", "vin", ("ridge", "elastic_net"))
+    _, _, scored = models.train_price_models(rows, ["mileage", "canonical_year"], ["seller_type"], ["canonical_model"], "price", "vin")
     return scored.select("vin", "seq", "price", F.round("prediction", 2).alias("prediction"))
 
 
+_M01 = """
+WITH l AS (SELECT seq, coalesce(source_name, 'UNKNOWN') AS v, coalesce(upper(title_desc), 'UNKNOWN') AS d, ln(1 + price) AS y, location_code FROM {listings}),
+c AS (SELECT v, count(*) AS n FROM l GROUP BY v),
+r AS (SELECT v, row_number() OVER (ORDER BY n DESC, v) AS place FROM c WHERE n >= 10),
+k AS (SELECT CASE WHEN (SELECT count(*) FROM c) > (SELECT count(*) FROM r) OR (SELECT count(*) FROM r) > 25 THEN 24 ELSE 25 END AS most),
+t AS (SELECT location_code, count(*) AS n, avg(y) AS mean FROM l GROUP BY 1),
+p AS (SELECT avg(y) AS prior FROM l)
+SELECT seq, CASE WHEN place <= most THEN v ELSE '(infrequent)' END AS slot, round(prior * (1 - 1 / (1 + exp((20 - n) / 10.0))) + mean / (1 + exp((20 - n) / 10.0)), 6) AS encoded
+FROM l LEFT JOIN r USING (v) JOIN t USING (location_code), k, p
+"""
+
+
+@query("m01_encodings", _M01)
+def m01(m):
+    """Slot of each listing's source and blended mean of its location."""
+    rows = m.listings.select("seq", "source_name", F.col("location_code"), F.log1p(F.col("price")).alias("log_label"))
+    hot = encoders.FrequentOneHot(inputCol="source_name", outputCol="hot").fit(rows)
+    mean = encoders.SigmoidTarget(inputCol="location_code", outputCol="encoded", labelCol="log_label").fit(rows)
+    names = F.array(*[F.lit(x.split("=", 1)[1]) for x in hot.slots()])
+    return mean.transform(rows).select("seq", F.get(names, hot.slot_of() - 1).alias("slot"), F.round("encoded", 6).alias("encoded"))
+
+
+@query("k12_m10_m12_saved_model")
+def saved(m):
+    """Saves the best linear model, loads it by name and scores at most 100 rows
+    of one make; the weights of the loaded one come along as text."""
+    rows = _rows(m)
+    found = search.grouped_search(rows, encoders.price_stages(["mileage", "canonical_year"], ["seller_type"], ["canonical_model"]), "price", "vin", ("ridge", "elastic_net"))
+    best = min(found.values(), key=lambda f: (f.error, f.family))
+    root = _folder(m.spark)
+    artifacts.save_model(root, "price", best.model, {"family": best.family, "error": best.error, **best.best})
+    model, facts = artifacts.load_model(m.spark, root, "price")
+    top = models.feature_weights(model, 3)
+    scored = models.score_filtered(model, rows.select("vin", "seq", "price", "mileage", "canonical_year", "seller_type", "canonical_model"), F.col("canonical_year") == 1990, "seq")
+    return scored.select("vin", "seq", "price", F.round("prediction", 2).alias("prediction"), F.lit(facts["family"]).alias("family"), F.lit(facts["version"]).alias("version"), F.lit(", ".join(n for n, _, _ in top)).alias("top_inputs"))
+
+
 @query("m02_routed_experts")
 def m02(m):
     """Experts for high and other prices behind a classifier."""

@@ -7,9 +7,11 @@ import math
 
 import numpy as np
 import pytest
+from pyspark.ml import Pipeline
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
-from ledgerline.operators import forecast, moments
+from ledgerline.operators import artifacts, encoders, forecast, models, moments, search
 from ledgerline.operators.trees import boost_windows, ensemble_of, value_bins, vector
 
 D = datetime.date
@@ -197,3 +199,120 @@ def test_recursive_forecast_equals_step_by_step(spark):
     flat = forecast.fit_change_model(panel.limit(1), ["median_price"], "target_change_1m")
     assert ensemble_of(flat).constant == pytest.approx(rows[0][-1]) or ensemble_of(flat).trees == []
     assert forecast.recursive_forecast(flat, panel, ["k"], 2).count() == 8
+
+
+def test_frequent_values_have_slots(spark):
+    rows = [(v, 0.0) for v, n in {"a": 30, "b": 12, "c": 12, "d": 9, None: 11}.items() for _ in range(n)]
+    df = spark.createDataFrame(rows, "v string, y double")
+    fit = lambda **p: encoders.FrequentOneHot(inputCol="v", outputCol="o", **p).fit(df)
+    assert fit().slots() == ["v=a", "v=b", "v=c", "v=UNKNOWN", "v=(infrequent)"]
+    assert fit(mostSlots=3).slots() == ["v=a", "v=b", "v=(infrequent)"]
+    assert fit(leastRows=1).slots() == ["v=a", "v=b", "v=c", "v=UNKNOWN", "v=d"]
+    assert fit(leastRows=1, mostSlots=5).slots()[-1] == "v=d" and fit(leastRows=1, mostSlots=4).slots() == ["v=a", "v=b", "v=c", "v=(infrequent)"]
+    new = spark.createDataFrame([("a",), ("d",), ("new",), (None,)], "v string")
+    got = fit().transform(new).select(vector_to_array("o")).collect()
+    assert [list(r[0]) for r in got] == [[1, 0, 0, 0, 0], [0, 0, 0, 0, 1], [0, 0, 0, 0, 1], [0, 0, 0, 1, 0]]
+    assert [sum(r[0]) for r in fit(leastRows=1).transform(new).select(vector_to_array("o")).collect()] == [1, 1, 0, 1]
+    assert encoders.FrequentOneHot(inputCol="v", outputCol="o").fit(df.limit(0)).transform(new).count() == 4
+
+
+def test_blended_means(spark):
+    df = spark.createDataFrame([("a", 1.0)] * 30 + [("b", 4.0)] * 2 + [(None, 2.0), ("c", None)], "v string, y double")
+    model = encoders.SigmoidTarget(inputCol="v", outputCol="e", labelCol="y").fit(df)
+    prior = (30 + 8 + 2) / 33
+    blend = lambda mean, n: prior * (1 - 1 / (1 + math.exp((20 - n) / 10))) + mean / (1 + math.exp((20 - n) / 10))
+    got = {r.v: r.e for r in model.transform(spark.createDataFrame([("a",), ("b",), (None,), ("c",), ("new",)], "v string")).collect()}
+    assert got == pytest.approx({"a": blend(1, 30), "b": blend(4, 2), None: blend(2, 1), "c": prior, "new": prior})
+
+
+@pytest.fixture(scope="module")
+def cars(spark):
+    r = np.random.default_rng(9)
+    rows = []
+    for i in range(400):
+        miles, kind, model = float(r.uniform(0, 1e5)), "ab"[i % 2], f"m{i % 7}"
+        rows.append((i // 2, miles if i % 13 else None, kind, model, float(np.exp(10 - miles / 1e5 + 0.3 * (kind == "a") + 0.1 * (i % 7) + 0.05 * r.normal()))))
+    return spark.createDataFrame([*rows, (999, 1.0, "a", "m1", None)], "vin long, miles double, kind string, model string, price double")
+
+
+def test_search_errors_equal_refitting(spark, cars):
+    stages = encoders.price_stages(["miles"], ["kind"], ["model"])
+    found = search.grouped_search(cars, stages, "price", "vin", ("ridge", "gbt"), most_sets=2)
+    rows = cars.where("price is not null").withColumns({"fold": F.pmod(F.xxhash64("vin"), F.lit(3)), "log_label": F.log1p("price")}).cache()
+    for family in ("ridge", "gbt"):
+        for params, error in found[family].errors:
+            own = []
+            for f in range(3):
+                fitted = Pipeline(stages=stages).fit(rows.where(F.col("fold") != f))
+                part = fitted.transform(rows).select("fold", "price", "log_label", vector_to_array("features").alias("x")).collect()
+                x, y, fold = np.array([p.x for p in part]), np.array([p.log_label for p in part]), np.array([p.fold for p in part])
+                train = fold != f
+                if family == "ridge":
+                    mean, std = x[train].mean(0), x[train].std(0)
+                    std = np.where(std < 1e-9, 1.0, std)
+                    z = (x - mean) / std
+                    w = np.linalg.solve(z[train].T @ z[train] + params["penalty"] * np.eye(x.shape[1]), z[train].T @ (y[train] - y[train].mean()))
+                    guess = y[train].mean() + z @ w
+                else:
+                    guess = _boosted(x[train], y[train], params)(x)
+                price = np.array([p.price for p in part])
+                own.append(np.sqrt(np.mean((np.maximum(np.expm1(guess[~train]), 0) - price[~train]) ** 2)))
+            assert error == pytest.approx(np.mean(own), rel=1e-6)
+        assert found[family].error == min(e for _, e in found[family].errors)
+
+
+def _boosted(x, y, params):
+    bins, trees, rest = value_bins(x), [], y - y.mean()
+    rate, least, l2 = params["rate"], params["least_rows"], params["l2"]
+
+    def grow(own, level):
+        s, n, best = rest[own].sum(), len(own), (0.0,)
+        if level == search.DEPTH:
+            return rate * s / (n + l2) if n else 0.0
+        for f in range(x.shape[1]):
+            for b in np.unique(bins[own, f]):
+                left = own[bins[own, f] <= b]
+                if least <= len(left) <= n - least:
+                    sl = rest[left].sum()
+                    gain = round(sl**2 / (len(left) + l2) + (s - sl) ** 2 / (n - len(left) + l2) - s**2 / (n + l2), 9)
+                    if gain > best[0]:
+                        best = (gain, f, b)
+        if best[0] <= 0:
+            return grow(own, search.DEPTH)
+        go = bins[own, best[1]] <= best[2]
+        return best[1], best[2], grow(own[go], level + 1), grow(own[~go], level + 1)
+
+    def leaf(node, row):
+        while isinstance(node, tuple):
+            node = node[2] if row[node[0]] <= node[1] else node[3]
+        return node
+
+    for _ in range(search.ROUNDS):
+        trees.append(grow(np.arange(len(y)), 0))
+        rest = rest - np.array([leaf(trees[-1], row) for row in bins])
+    return lambda q: np.array([y.mean() + sum(leaf(t, row) for t in trees) for row in value_bins(q)])
+
+
+def test_models_are_saved_listed_loaded_and_scored(spark, cars, tmp_path):
+    root = str(tmp_path)
+    assert artifacts.list_models(spark, root).count() == 0
+    found = search.grouped_search(cars, encoders.price_stages(["miles"], ["kind"], ["model"]), "price", "vin", ("elastic_net", "random_forest"), most_sets=1)
+    for k, family in enumerate(("elastic_net", "random_forest"), 1):
+        assert artifacts.save_model(root, "price", found[family].model, {"family": family, "error": found[family].error}) == k
+    with pytest.raises(ValueError):
+        artifacts.save_model(root, "price", found["elastic_net"].model, {}, version=1)
+    with pytest.raises(LookupError):
+        artifacts.load_model(spark, root, "other")
+    assert sorted((r.name, r.version) for r in artifacts.list_models(spark, root).collect()) == [("price", 1), ("price", 2)]
+    asked = cars.where("vin < 150")
+    for version, family in ((1, "elastic_net"), (None, "random_forest")):
+        model, facts = artifacts.load_model(spark, root, "price", version)
+        before, after = (sorted(map(repr, models.predict(x, asked).select("vin", "miles", "prediction").collect())) for x in (found[family].model, model))
+        assert before == after and facts["family"] == family
+        assert models.feature_weights(model) == models.feature_weights(found[family].model)
+        names = {n for n, _, _ in models.feature_weights(model)}
+        assert names == {"miles", "kind=a", "kind=b", "model (mean)"} and sum(s for _, _, s in models.feature_weights(model)) == pytest.approx(1)
+    scored = models.score_filtered(model, cars, "kind = 'a'", "vin", 20)
+    assert scored.count() == 20 and scored.where("kind != 'a' or prediction is null or vin > 40").count() == 0
+    whole = models.predict(model, cars.where("price is not null"))
+    assert whole.agg(F.corr("prediction", "price")).first()[0] > 0.8
