@@ -12,9 +12,11 @@ from pyspark.sql import functions as F
 from ledgerline.llm.common import materialize, prefix_sums
 
 #: Schema of the call that a plain exchange stands for: (tool, parameter, type, required).
-REPLY_SCHEMA = (("reply", "text", "string", True), ("reply", "turn", "integer", True))
+REPLY_SCHEMA = (("reply", "text", "string", True), ("reply", "turn", "integer", False))
 #: Turns that share a range when the records of a conversation are numbered.
 _TURNS = 1 << 10
+#: Where a null turn stands among turns, in comparisons only.
+_NO_TURN = -(1 << 49)
 #: Edges that the driver takes to peel the last of long chains.
 _REST = 1 << 16
 _CALLS = "conv_id long, turn long, call_id string, name string, arguments string, after array<string>"
@@ -111,8 +113,9 @@ def order_levels(calls: DataFrame, max_depth: int = 64) -> DataFrame:
     depends on itself or waits for a call that does: its level is null. After
     max_depth rounds a rest of at most _REST edges is peeled on the driver; a
     larger one goes on in rounds, however long its chains are."""
-    at = calls.select("key", "call_id", F.col("turn").alias("own"))
-    needs = calls.select("key", "call_id", "turn", F.explode("after").alias("need"))
+    turn = F.coalesce("turn", F.lit(_NO_TURN))
+    at = calls.select("key", "call_id", turn.alias("own"))
+    needs = calls.select("key", "call_id", turn.alias("turn"), F.explode("after").alias("need"))
     edges = needs.join(at.select("key", F.col("call_id").alias("need"), "own"), ["key", "need"]).select("key", "call_id", "need", (F.col("own") >= F.col("turn")).cast("int").alias("up"))
     edges = materialize(edges, "edges")
     unmet = materialize(edges.join(edges.where("up = 1").select("key").distinct(), "key", "left_semi"), "unmet")
@@ -167,13 +170,14 @@ def link_tool_calls(calls: DataFrame, results: DataFrame, messages: DataFrame, s
     `repeated_call`; of results, the earliest is linked, the others are
     `repeated_result`; a result without a call is an `orphan_result`. A null
     identifier links to nothing, a null conversation is one of its own, a null
-    turn comes first. valid: arguments fit the schema and there is no cycle.
+    turn comes first and stays null. valid: arguments fit the schema and there is no cycle.
     json is canonical, null fields are left out. Numbering runs over ranges of
-    turns, so a conversation of any length is spread over tasks. Empty tables
-    give no rows."""
+    turns, so a conversation of any length is spread over tasks. Repeated
+    rows are repeated calls or results, long texts stay whole, extra columns are
+    ignored. Empty tables give no rows."""
     key = F.coalesce(F.concat(F.lit("c"), F.col("conv_id").cast("string")), F.lit("n"))
-    c = validate(calls.select("conv_id", F.coalesce("turn", F.lit(-1)).alias("turn"), "call_id", "name", "arguments", F.coalesce("after", F.array().cast("array<string>")).alias("after")), schemas).withColumn("key", key)
-    r = results.select("conv_id", F.coalesce("turn", F.lit(-1)).alias("turn"), "call_id", "content").withColumn("key", key)
+    c = validate(calls.select("conv_id", "turn", "call_id", "name", "arguments", F.coalesce("after", F.array().cast("array<string>")).alias("after")), schemas).withColumn("key", key)
+    r = results.select("conv_id", "turn", "call_id", "content").withColumn("key", key)
     c = materialize(c.withColumn("tag", F.struct("turn", F.xxhash64("name", "arguments"))), "calls")
     r = materialize(r.withColumn("tag", F.struct("turn", F.xxhash64("content"))), "results")
 
@@ -209,9 +213,9 @@ def link_tool_calls(calls: DataFrame, results: DataFrame, messages: DataFrame, s
         said.alias("json"),
     )
     rest = r.where("kind != 'result'").select("conv_id", "key", "turn", "kind", "call_id", F.to_json(F.struct("call_id", "content", "turn")).alias("json"))
-    plain = messages.withColumn("key", key).select("conv_id", "key", F.coalesce("turn", F.lit(-1)).alias("turn"), F.lit("message").alias("kind"), F.lit(None).cast("string").alias("call_id"), F.to_json(F.struct("content", "role", "turn")).alias("json"))
+    plain = messages.withColumn("key", key).select("conv_id", "key", "turn", F.lit("message").alias("kind"), F.lit(None).cast("string").alias("call_id"), F.to_json(F.struct("content", "role", "turn")).alias("json"))
     others = rest.unionByName(plain).select("conv_id", "key", F.lit(0).cast("long").alias("level"), "turn", "kind", "call_id", F.lit(None).cast("string").alias("name"), F.lit(False).alias("linked"), F.lit(True).alias("valid"), F.lit("").alias("errors"), "json")
     records = as_calls.unionByName(others)
-    records = records.withColumn("range", F.col("level") * F.lit(1 << 40) + F.floor(F.col("turn") / _TURNS)).withColumn("one", F.lit(1)).withColumn("digest", F.xxhash64("json"))
+    records = records.withColumn("range", F.col("level") * F.lit(1 << 40) + F.floor(F.coalesce("turn", F.lit(_NO_TURN)) / _TURNS)).withColumn("one", F.lit(1)).withColumn("digest", F.xxhash64("json"))
     placed = prefix_sums(records, ["key"], "range", ["turn", "kind", "call_id", "digest"], {"seq": "one"})
     return placed.select("conv_id", F.col("seq").cast("long").alias("seq"), "turn", "kind", "call_id", "name", "linked", "valid", "errors", "json")

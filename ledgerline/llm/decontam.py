@@ -3,8 +3,8 @@
 An item of m characters may occur with at most k = floor(rate * m) edits. Cut
 into k + 1 pieces, at least one piece must occur unchanged, so exact piece hits
 (one Aho-Corasick pass over each whole text) find every candidate place, and
-Myers' bit-parallel algorithm gives the distance there. An item too short for
-edits to mean anything must occur as it is, in whole words."""
+Myers' bit-parallel algorithm gives the distance there. An item without a budget
+(under 1 / rate characters) must occur as it is, in whole words."""
 
 from __future__ import annotations
 
@@ -72,7 +72,7 @@ def myers(masks: dict[str, int], m: int, text: str) -> int:
 class Searcher:
     """Finds benchmark items in texts: items are (item_id, text) rows."""
 
-    def __init__(self, items: list[tuple[int, str]], rate: float, min_chars: int) -> None:
+    def __init__(self, items: list[tuple[int, str]], rate: float) -> None:
         import ahocorasick
 
         self.items = []
@@ -81,7 +81,7 @@ class Searcher:
             clean = normalise(text or "")
             if not clean:
                 continue
-            k = int(rate * len(clean)) if len(clean) >= min_chars else _WHOLE
+            k = int(rate * len(clean) + 1e-9) or _WHOLE
             for offset, piece in pieces(clean, max(k, 0)):
                 found[piece].append((len(self.items), offset))
             self.items.append((item_id, clean, k, alphabet_masks(clean)))
@@ -137,12 +137,12 @@ class Searcher:
 _searchers: dict[int, Searcher] = {}
 
 
-def _searcher(items: list[tuple[int, str]], rate: float, min_chars: int) -> Searcher:
+def _searcher(items: list[tuple[int, str]], rate: float) -> Searcher:
     """The searcher of a block, made once per worker; only the last is kept."""
-    key = hash((tuple(items), rate, min_chars))
+    key = hash((tuple(items), rate))
     if key not in _searchers:
         _searchers.clear()
-        _searchers[key] = Searcher(items, rate, min_chars)
+        _searchers[key] = Searcher(items, rate)
     found = _searchers[key]
     found.known.clear()
     return found
@@ -168,14 +168,14 @@ def _item_blocks(benchmark: DataFrame, id_col: str, text_col: str) -> Iterator[t
         yield some, not several and before is None
 
 
-def find_contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", rate: float = 0.08, min_chars: int = 20) -> DataFrame:
+def find_contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", rate: float = 0.08) -> DataFrame:
     """Rows (id_col, item_col, distance) for every document in which a benchmark
     item occurs with at most floor(rate * length) edits, over lower-cased words.
 
     Each whole text is read once per block of benchmark text; with several
-    blocks the hits of each are written before the next is fetched. An item of
-    fewer than `min_chars` characters after normalisation must occur unchanged
-    and as whole words. Null and empty texts and items match nothing. Repeated
+    blocks the hits of each are written before the next is fetched. An item whose
+    budget is 0 must occur unchanged and as whole words. Texts of any length are
+    searched whole. Null and empty texts and items match nothing. Repeated
     rows give repeated results, null ids are reported as null; extra columns are
     ignored; an empty table on either side gives none."""
     spark = docs.sparkSession
@@ -186,7 +186,7 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc
     for items, only in _item_blocks(benchmark, item_col, item_text_col):
 
         def run(batches: Iterable[pa.RecordBatch], items: list[tuple[int, str]] = items) -> Iterator[pa.RecordBatch]:
-            searcher = _searcher(items, rate, min_chars)
+            searcher = _searcher(items, rate)
             for part, texts in text_slices(batches, "text"):
                 rows = [(i.as_py(), *hit) for i, t in zip(part.column(0), texts, strict=True) for hit in searcher.search(t)]
                 yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], pa.int64()) for k in range(3)], [id_col, item_col, "distance"])
@@ -197,7 +197,7 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc
     return spark.createDataFrame([], schema) if out is None else out
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", rate: float = 0.08, min_chars: int = 20) -> DataFrame:
+def decontaminate(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", rate: float = 0.08) -> DataFrame:
     """The documents in which no benchmark item occurs (see find_contamination),
     all columns as they were: a narrow filter, so nothing is shuffled. With
     several blocks of items what each leaves is written before the next."""
@@ -205,7 +205,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, text_col: str = "text",
     for items, only in _item_blocks(benchmark, item_col, item_text_col):
 
         def run(batches: Iterable[pa.RecordBatch], items: list[tuple[int, str]] = items) -> Iterator[pa.RecordBatch]:
-            searcher = _searcher(items, rate, min_chars)
+            searcher = _searcher(items, rate)
             for part, texts in text_slices(batches, text_col):
                 yield part.filter(pa.array([not searcher.search(t) for t in texts], pa.bool_()))
 

@@ -8,9 +8,12 @@
 3. Nodes are shuffled on band hashes. A bucket contributes a star (each member
    to its smallest), never all its pairs; components of the stars hold every
    pair that shares a band.
-4. Each component is verified on full n-gram sets: components larger than
-   `block` are split into blocks, and each pair of blocks is a task of bounded
-   size which counts the links and returns a spanning forest of them.
+4. Pairs are verified on full n-gram sets inside their component or, where that
+   compares less (long chains of near neighbours), inside their buckets, of which
+   those of the same members count once and a pair only in the first that it
+   shares. Groups larger than `block` are split into blocks, and each pair of
+   blocks is a task of bounded size which counts the links and returns a spanning
+   forest of them.
 5. Components of the verified links are the classes.
 """
 
@@ -33,6 +36,8 @@ _CHUNK = 1 << 15
 _COLUMNS = 4096
 #: What tells documents apart, in their order: null ids last, then the text's hash.
 _KEY = ("none", "id", "words")
+#: What goes through the pass that makes a node's n-gram set.
+_CARRIED = ("node", "copies", "bands", "groups")
 
 
 def _key(id_col: str, text_col: str) -> list[Column]:
@@ -133,8 +138,8 @@ def _set_maker(n: int):
         for part, texts in text_slices(batches, "text"):
             lists, hashes = _word_lists(texts)
             sets = [shingles(w, n, h).tobytes() for w, h in zip(lists, hashes, strict=True)]
-            keep = [part.column(part.schema.get_field_index(c)) for c in ("node", "comp", "blocks", "copies")]
-            yield pa.RecordBatch.from_arrays([*keep, pa.array(sets, pa.binary())], ["node", "comp", "blocks", "copies", "grams"])
+            keep = [part.column(part.schema.get_field_index(c)) for c in _CARRIED]
+            yield pa.RecordBatch.from_arrays([*keep, pa.array(sets, pa.binary())], [*_CARRIED, "grams"])
 
     return trimmed(make)
 
@@ -165,6 +170,8 @@ def _verifier(threshold: float):
         node = table.column("node").to_numpy()
         copies = table.column("copies").to_numpy()
         block = table.column("block").to_numpy()
+        place = table.column("place")[0].as_py()
+        bands = np.array(table.column("bands").to_pylist(), np.int64) if place > 0 else None
         grams = [np.frombuffer(b, np.uint64) for b in table.column("grams").to_pylist()]
         one, two = np.flatnonzero(block == x), np.flatnonzero(block == y)
         sizes = np.array([len(g) for g in grams], np.float64)
@@ -187,6 +194,10 @@ def _verifier(threshold: float):
             if x == y:
                 np.fill_diagonal(near, False)
                 near = np.triu(near)
+            if place > 0:  # pairs that an earlier bucket has
+                i, j = np.nonzero(near)
+                seen = (bands[one[i], :place] == bands[two[j], :place]).any(axis=1)
+                near[i[seen], j[seen]] = False
             a, b = one[np.nonzero(near)[0]], two[np.nonzero(near)[1]]
             np.add.at(links, a, 1)
             np.add.at(links, b, 1)
@@ -241,22 +252,34 @@ def _classified(docs: DataFrame, id_col: str, text_col: str, n: int = 5, thresho
     with scratch():
         nodes = real.groupBy("fp1", "fp2").agg(F.min(F.struct(*_KEY)).alias("one"), F.count("*").alias("copies"), F.first("bands").alias("bands"))
         nodes = materialize(nodes.withColumn("node", F.col("fp1")), "nodes")
-        keyed = nodes.select("node", F.explode("bands").alias("band"))
-        hubs = keyed.groupBy("band").agg(F.min("node").alias("hub"), F.max("node").alias("far")).where("hub != far").select("band", "hub")
-        stars = keyed.join(hubs, "band").where("node != hub").select(F.col("node").alias("src"), F.col("hub").alias("dst"))
+        keyed = nodes.select("node", F.posexplode("bands").alias("place", "band"))
+        buckets = keyed.groupBy("band", "place").agg(F.min("node").alias("hub"), F.max("node").alias("far"), F.count("*").alias("size"), F.expr("bit_xor(xxhash64(node))").alias("x1"), F.expr("bit_xor(xxhash64(node, 1))").alias("x2"))
+        buckets = materialize(buckets.where("hub != far"), "buckets")
+        stars = keyed.join(buckets.select("band", "hub"), "band").where("node != hub").select(F.col("node").alias("src"), F.col("hub").alias("dst"))
         comps = materialize(connected_components(stars), "candidates")
 
-        sizes = comps.groupBy("root").agg(F.ceil(F.count("*") / block).alias("blocks"))
-        wanted = comps.join(sizes, "root").select("node", F.col("root").alias("comp"), "blocks")
-        wanted = wanted.join(nodes.select("node", "one.*", "copies"), "node")
+        # Buckets of the same members say the same pairs: the first of them counts.
+        distinct = buckets.groupBy("size", "x1", "x2").agg(F.min(F.struct("place", "band", "hub")).alias("b")).select("size", "b.*")
+        distinct = distinct.join(comps.withColumnRenamed("node", "hub"), "hub")
+        costs = distinct.groupBy("root").agg(F.sum(F.col("size") * F.col("size")).alias("by_bucket")).join(comps.groupBy("root").agg(F.count("*").alias("n")), "root")
+        costs = materialize(costs.select("root", "n", (F.col("by_bucket") < F.col("n") * F.col("n")).alias("split")), "costs")
+        whole = comps.join(costs.where("not split"), "root").select("node", F.col("root").alias("comp"), F.lit(-1).alias("place"), F.ceil(F.col("n") / block).alias("blocks"))
+        chosen = distinct.join(costs.where("split").select("root"), "root").select("band", F.ceil(F.col("size") / block).alias("blocks"))
+        parts = keyed.join(chosen, "band").select("node", F.col("band").alias("comp"), "place", "blocks")
+        # A node is in one component, or in one bucket for each band at most.
+        groups = whole.unionByName(parts).groupBy("node").agg(F.collect_list(F.struct("comp", "place", "blocks")).alias("groups"))
+        wanted = nodes.select("node", "one.*", "copies", "bands").join(groups, "node")
         texts = source.join(wanted, list(_KEY)).dropDuplicates(["node"])
-        grams = texts.select("node", "comp", "blocks", "copies", "text").mapInArrow(_set_maker(n), "node long, comp long, blocks long, copies long, grams binary")
+        grams = texts.select(*_CARRIED, "text").mapInArrow(_set_maker(n), "node long, copies long, bands array<long>, groups array<struct<comp: long, place: int, blocks: long>>, grams binary")
         dealt = (
-            grams.withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")))
+            grams.withColumn("group", F.explode("groups"))
+            .select("node", "copies", "bands", "grams", "group.*")
+            .withColumn("bands", F.when(F.col("place") > 0, F.slice("bands", F.lit(1), F.greatest("place", F.lit(0)))))
+            .withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")))
             .withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
-            .select("comp", F.least("block", "other").alias("x"), F.greatest("block", "other").alias("y"), "block", "node", "copies", "grams")
+            .select("comp", "place", F.least("block", "other").alias("x"), F.greatest("block", "other").alias("y"), "block", "node", "copies", "grams", "bands")
         )
-        found = materialize(dealt.groupBy("comp", "x", "y").applyInArrow(_verifier(threshold), "node long, links long, others long, top long"), "links")
+        found = materialize(dealt.groupBy("comp", "place", "x", "y").applyInArrow(_verifier(threshold), "node long, links long, others long, top long"), "links")
         counts = found.groupBy("node").agg(F.sum("links").alias("links"), F.sum("others").alias("others"))
         classes = connected_components(found.where("links > 0").select(F.col("node").alias("src"), F.col("top").alias("dst")))
         none = F.lit(0).cast("long")

@@ -37,19 +37,27 @@ def vocabulary(name: str) -> str:
 
 
 def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Totals for every context limit; null texts are empty, repeated rows and null
+    ids count, texts are encoded whole; no documents give no rows."""
     histogram = materialize(length_histogram(_table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.tiktoken")), "lengths")
     return suffix_sums(histogram)
 
 
 def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(doc_id, item_id, distance); nulls and empty texts match nothing, repeated
+    rows repeat, null ids stay null; an empty table gives no rows."""
     return find_contamination(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
 def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines with what stays of them, as dedup_lines() says of nulls, repeats, long
+    lines and empty tables."""
     return dedup_lines(_table(spark, sf_dir, "documents"), with_text=False)
 
 
 def op4_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the mix takes of each document; null texts have size 0, a null source is
+    one of its own, repeated rows are taken apart; no documents give no rows."""
     return mix(_table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
@@ -88,16 +96,22 @@ def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as read back from the files; null texts are the end id alone, null
+    ids come first, repeated rows stay; no documents give no rows."""
     path = shared_path(spark, "token-files")
     write_token_files(_table(spark, sf_dir, "documents"), path, vocabulary("word_bpe_49k.json"))
     return read_token_files(spark, path)
 
 
 def op7_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Class and links of every document; texts without words, null ones too, have
+    no links, repeated rows are copies; no documents give no rows."""
     return ngram_join(_table(spark, sf_dir, "documents"))
 
 
 def op8_chat_tools(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Linked records of all conversations; null turns come first and stay null, null
+    texts are left out of the JSON, repeated rows are kinds of their own."""
     return link_tool_calls(*tool_calls_and_exchanges(_table(spark, sf_dir, "conversations")), schema_table(spark))
 
 
@@ -128,11 +142,15 @@ FROM r
 
 
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Base counts and verdicts; null texts have no words and fail the base rules,
+    repeated rows and null ids are judged alike; no documents give no rows."""
     rules = quality_rules(_table(spark, sf_dir, "documents"), vocabulary("piece_bpe_32k.model"))
     return rules.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "chars_per_token", "byte_share", "evenness")
 
 
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Expected severity of every document; null and empty texts have no features,
+    repeated rows are scored alike; no documents give no rows."""
     docs = _table(spark, sf_dir, "documents")
     return score(docs, fit_on_labels(docs, _table(spark, sf_dir, "labels")))
 

@@ -10,7 +10,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from ledgerline.llm.chat_tools import exchanges, link_tool_calls, schema_table, tool_messages
+from ledgerline.llm.chat_tools import exchanges, link_tool_calls, schema_table, tool_calls_and_exchanges, tool_messages
 from ledgerline.llm.decontam import alphabet_masks, decontaminate, find_contamination, myers, normalise, pieces
 from ledgerline.llm.quality import quality_rules, repeated_words
 from ledgerline.llm.queries import op8_chat_tools, vocabulary
@@ -59,7 +59,7 @@ def test_contamination_matches_brute_force(spark):
         for i, x in items:
             p = normalise(x)
             n = substring_distance(p, normalise(t))
-            if n <= int(0.08 * len(p)):
+            if n <= int(0.08 * len(p)):  # no item here is so short that its budget is 0
                 want.add((d, i, n))
     assert {tuple(x) for x in find_contamination(df, bench).collect()} == want
     assert {x.doc_id for x in decontaminate(df, bench).collect()} == {d for d, _ in docs} - {d for d, _, _ in want}
@@ -75,18 +75,18 @@ def test_contamination_edges(spark, edge, empty):
 
 
 def test_short_items_and_blocks(spark, monkeypatch):
-    """Items under 20 characters count as whole words, unchanged; many blocks of
-    items give what one gives."""
+    """Items without a budget count as whole words, unchanged, those from 13
+    characters may have one edit; many blocks of items give what one gives."""
     import ledgerline.llm.decontam as d
 
-    items = [(1, "Nineteen chars, aha"), (2, "owl"), (3, "..."), (4, words(3, 20)), (5, words(4, 20))]
-    docs = [(1, "so: nineteen CHARS aha!"), (2, "nineteen chars ahab"), (3, "an owl"), (4, "owls howl"), (5, words(3, 20) + " owl"), (6, "x " + words(4, 20)), (7, None)]
+    items = [(1, "Nineteen chars, aha"), (2, "owl"), (3, "..."), (4, words(3, 20)), (5, words(4, 20)), (6, "quick brown foxes"), (7, "twelve chars")]
+    docs = [(1, "so: nineteen CHARS aha!"), (2, "nineteen chars ahab"), (3, "an owl"), (4, "owls howl"), (5, words(3, 20) + " owl"), (6, "x " + words(4, 20)), (7, None), (8, "a quick brown foxs"), (9, "quick brwn foxs"), (10, "twelve charm"), (11, "x twelve chars y")]
     df, bench = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
-    want = {(1, 1, 0), (3, 2, 0), (5, 2, 0), (5, 4, 0), (6, 5, 0)}
+    want = {(1, 1, 0), (2, 1, 0), (3, 2, 0), (5, 2, 0), (5, 4, 0), (6, 5, 0), (8, 6, 1), (11, 7, 0)}
     for size in (4_000_000, 10):
         monkeypatch.setattr(d, "BLOCK_CHARS", size)
         assert {tuple(x) for x in find_contamination(df, bench).collect()} == want
-        assert sorted(x.doc_id for x in decontaminate(df, bench).collect()) == [2, 4, 7]
+        assert sorted(x.doc_id for x in decontaminate(df, bench).collect()) == [4, 7, 9, 10]
 
 
 def brute_parts(url):
@@ -355,7 +355,7 @@ def test_tool_calls(spark):
     assert got["call", "c", 3].errors == "arguments are no object" and got["call", "d", 4].errors == "unknown tool"
     assert got["repeated_call", "a", 5].linked is False and ("repeated_result", "a", 9) in got and ("orphan_result", "zz", 9) in got
     assert "cyclic dependency" in got["call", "p", 6].errors and "cyclic dependency" in got["call", "q", 7].errors
-    assert got["call", None, -1].errors == "arguments are no object" and len(rows) == 11
+    assert got["call", None, None].errors == "arguments are no object" and len(rows) == 11
     assert sorted(r.seq for r in rows if r.conv_id == 1) == list(range(10))
     for r in rows:
         json.loads(r.json)
@@ -437,3 +437,12 @@ def test_ordinal_model_fits_the_likelihood():
 
 def feats(w):
     return {w} | {"^" + w[:n] for n in range(3, 10) if len(w) >= n}
+
+
+def test_null_turns_stay_null(spark):
+    turns = spark.createDataFrame([(1, None, "user", "x"), (1, -5, "user", "before"), (1, 0, "user", "q"), (1, 1, "assistant", "a"), (None, None, "system", None)], "conv_id long, turn long, role string, text string")
+    rows = link_tool_calls(*tool_calls_and_exchanges(turns), schema_table(spark)).collect()
+    got = {(r.conv_id, r.turn): r for r in rows}
+    assert len(rows) == 4 and got[1, None].seq == 0 and got[1, -5].seq == 1 and got[1, 0].seq == 2
+    assert got[1, None].valid and json.loads(got[1, None].json) == {"arguments": {"text": "x"}, "name": "reply"}
+    assert got[1, 0].linked and json.loads(got[None, None].json) == {"role": "system"}

@@ -72,6 +72,29 @@ def test_join_matches_brute_force(spark):
             assert got[i].n_links == len(others - {tuple(re.findall(r"\w+", texts[i].lower()))})
 
 
+def test_chain_of_near_neighbours(spark):
+    """Each text is near its neighbours only: links are counted once, whatever
+    the size of blocks."""
+    stream = words(77, 800).split()
+    texts = [" ".join(stream[i : i + 60]) for i in range(0, 700, 3)]
+    hub = words(78, 60).split()  # a tight group beside the chain, in component blocks
+    for k in range(30):
+        own = list(hub)
+        own[k] = "other"
+        texts.append(" ".join(own))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    sets = [grams(t) for t in texts]
+    near = [(i, j) for i, j in itertools.combinations(range(len(texts)), 2) if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])]
+    want = find_classes(len(texts), near)
+    links = [sum(i in p for p in near) for i in range(len(texts))]
+    for block in (256, 7):
+        got = {r.doc_id: r for r in ngram_join(docs, block=block).collect()}
+        found = sum(got[i].n_links for i in got)
+        assert found <= sum(links) and found >= 0.99 * sum(links)
+        assert all(got[i].n_links <= links[i] for i in got)
+        assert all(got[i].class_id == want[i] for i in got)
+
+
 def test_banding_reaches_its_recall():
     bands, rows = banding(0.8, 0.997)
     assert 1 - (1 - 0.8**rows) ** bands >= 0.997
