@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 from ledgerline.operators.history import latest
 from ledgerline.operators.models import preprocessor
 from ledgerline.operators.moments import matrix, product_sums, ridge, running_sums
+from ledgerline.operators.seasonal import seasonal_backtest
 from ledgerline.operators.trees import Ensemble, Windows, boost_windows, ensemble_of, value_bins, vector
 from ledgerline.session import cut_lineage
 from ledgerline.sources import samples
@@ -29,7 +30,7 @@ from ledgerline.sources import samples
 OPTIONAL_FAMILIES = {"sarimax": "statsmodels", "prophet": "prophet", "timesfm": "timesfm"}
 
 
-def parse_families(value: str, known: tuple[str, ...] = ("global", "drift", "seasonal_naive", *OPTIONAL_FAMILIES)) -> list[str]:
+def parse_families(value: str, known: tuple[str, ...] = ("global", "drift", "seasonal_naive", "seasonal_ar", *OPTIONAL_FAMILIES)) -> list[str]:
     """Comma-separated families, lower case, each once, in order; unknown ones raise."""
     names = list(dict.fromkeys(x.strip().lower() for x in value.split(",") if x.strip()))
     if bad := [n for n in names if n not in known]:
@@ -265,8 +266,8 @@ def run_families(series: DataFrame, keys: list[str], families: list[str], horizo
     """Backtest rows of the local families that can run, and why others can't."""
     rows, skipped = None, {}
     for f in families:
-        if f in LOCAL:
-            part = local_backtest(series, keys, f, horizon)
+        if f in LOCAL or f == "seasonal_ar":
+            part = local_backtest(series, keys, f, horizon) if f in LOCAL else seasonal_backtest(series, keys, horizon)
             rows = part if rows is None else rows.unionByName(part)
         elif f in OPTIONAL_FAMILIES:
             skipped[f] = "its library is not installed" if importlib.util.find_spec(OPTIONAL_FAMILIES[f]) is None else "no adapter is written for it"

@@ -5,9 +5,10 @@ from __future__ import annotations
 import datetime
 import uuid
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from ledgerline.operators import artifacts, cohort, encoders, features, forecast, kpi, models, search
+from ledgerline.operators import artifacts, cohort, encoders, features, forecast, kpi, models, search, seasonal
 from ledgerline.plans.registry import query
 from ledgerline.session import shared_folder
 from ledgerline.sources import samples
@@ -133,10 +134,38 @@ def t08_sums(m):
 def t09(m):
     """Per-cohort forecasters at every origin, one task per cohort's series."""
     series = cohort.calendar_series(_panel(m), COHORT)
-    rows, _ = forecast.run_families(series, COHORT, ["drift", "seasonal_naive", "prophet"], 3)
+    rows, _ = forecast.run_families(series, COHORT, ["drift", "seasonal_naive", "seasonal_ar", "prophet"], 3)
     return rows
 
 
+_M07 = """
+WITH h AS (SELECT canonical_make AS k, date_trunc('month', history_date)::DATE AS m, quantile_cont(price, 0.5) AS v FROM {price_history} p JOIN {identity} i ON p.vin = i.vin GROUP BY 1, 2),
+g AS (SELECT k, unnest(generate_series(min(m), max(m), INTERVAL 1 MONTH))::DATE AS m FROM h GROUP BY k),
+j AS (SELECT g.k, g.m, v, year(g.m) * 12 + month(g.m) AS a FROM g LEFT JOIN h ON g.k = h.k AND g.m = h.m),
+f AS (SELECT *, last_value(CASE WHEN v IS NOT NULL THEN {{'a': a, 'v': v}} END IGNORE NULLS) OVER (PARTITION BY k ORDER BY m) AS lo,
+             first_value(CASE WHEN v IS NOT NULL THEN {{'a': a, 'v': v}} END IGNORE NULLS) OVER (PARTITION BY k ORDER BY m ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS hi FROM j),
+y AS (SELECT k, m, coalesce(v, lo.v + (hi.v - lo.v) * (a - lo.a) / (hi.a - lo.a)) AS y FROM f),
+d AS (SELECT *, y - lag(y) OVER w AS d, row_number() OVER w AS n FROM y WINDOW w AS (PARTITION BY k ORDER BY m)),
+z AS (SELECT *, d - lag(d, 12) OVER w AS z FROM d WINDOW w AS (PARTITION BY k ORDER BY m)),
+l AS (SELECT *, lag(z) OVER w AS x, lag(z, 12) OVER w AS u FROM z WINDOW w AS (PARTITION BY k ORDER BY m)),
+c AS (SELECT k, var_pop(x) AS a, covar_pop(x, u) AS b, var_pop(u) AS c, covar_pop(x, z) AS p, covar_pop(u, z) AS q, avg(x) AS mx, avg(u) AS mu, avg(z) AS mz FROM l WHERE z IS NOT NULL AND x IS NOT NULL AND u IS NOT NULL GROUP BY k),
+w AS (SELECT *, (c * p - b * q) / (a * c - b * b) AS phi, (a * q - b * p) / (a * c - b * b) AS sphi FROM c),
+t AS (SELECT l.*, lag(z, 11) OVER o AS z12, lag(d, 11) OVER o AS d12, row_number() OVER (PARTITION BY k ORDER BY m DESC) AS back FROM l WINDOW o AS (PARTITION BY k ORDER BY m))
+SELECT t.k AS canonical_make, m AS month_start, n::BIGINT AS n_months, round(mz - phi * mx - sphi * mu, 3) AS intercept, round(phi, 6) AS phi, round(sphi, 6) AS seasonal_phi,
+       round(greatest(y + (mz - phi * mx - sphi * mu) + phi * z + sphi * z12 + d12, 0), 2) AS next_price
+FROM t JOIN w ON t.k = w.k WHERE back = 1
+""".replace("{{", "struct_pack(").replace("}}", ")").replace("'a': a, 'v': v", "a := a, v := v")
+
+
+@query("m07_seasonal_ar", _M07)
+def m07(m):
+    """Seasonal autoregression of every cohort at its last month, one step on."""
+    fitted = seasonal.seasonal_ar(cohort.calendar_series(_panel(m), COHORT), COHORT)
+    last = fitted.withColumn("__back", F.row_number().over(Window.partitionBy(*COHORT).orderBy(F.desc("month_start")))).where("__back = 1")
+    step = seasonal.forecast_ar(last, 1)[0]
+    return last.select(*COHORT, "month_start", "n_months", F.round("intercept", 3).alias("intercept"), F.round("phi", 6).alias("phi"), F.round("seasonal_phi", 6).alias("seasonal_phi"), F.round(step, 2).alias("next_price"))
+
+
 @query("t10_recursive_forecast")
 def t10(m):
     """Sixty months ahead, each step fed back into the next."""

@@ -11,7 +11,7 @@ from pyspark.ml import Pipeline
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
-from ledgerline.operators import artifacts, encoders, forecast, models, moments, search
+from ledgerline.operators import artifacts, encoders, forecast, models, moments, search, seasonal
 from ledgerline.operators.trees import boost_windows, ensemble_of, value_bins, vector
 
 D = datetime.date
@@ -316,3 +316,44 @@ def test_models_are_saved_listed_loaded_and_scored(spark, cars, tmp_path):
     assert scored.count() == 20 and scored.where("kind != 'a' or prediction is null or vin > 40").count() == 0
     whole = models.predict(model, cars.where("price is not null"))
     assert whole.agg(F.corr("prediction", "price")).first()[0] > 0.8
+
+
+def test_seasonal_autoregression_equals_least_squares(spark):
+    r = np.random.default_rng(3)
+    series, rows = {}, []
+    for k, n in {"long": 60, "mid": 20, "short": 4, "flat": 40}.items():
+        y = [50.0 if k == "flat" else float(200 + 10 * math.sin(i / 2) + 3 * i + r.normal() * 5) for i in range(n)]
+        series[k] = y
+        rows += [(k, month(i), v, i % 7 == 3, 1) for i, v in enumerate(y)]
+    df = spark.createDataFrame(rows, "k string, month_start date, median_price double, interpolated boolean, last_seen int")
+    fitted = seasonal.seasonal_ar(df, ["k"])
+    got = {(x.k, x.month_start): x for x in fitted.withColumn("next", seasonal.forecast_ar(fitted, 14)).collect()}
+    assert len(got) == len(rows)
+    for k, y in series.items():
+        for i in range(len(y)):
+            x, own = got[k, month(i)], np.array(y[: i + 1])
+            if i + 1 < 6:
+                assert x.reason == "too few months" and x.next is None
+                continue
+            d = np.diff(own)
+            z = d[12:] - d[:-12] if i + 1 >= 36 else d
+            lags = [z[11:-1], z[:-12]] if i + 1 >= 36 else [z[:-1]]
+            target = z[12:] if i + 1 >= 36 else z[1:]
+            if k == "flat":
+                assert x.reason == "lags do not vary"
+                continue
+            w = np.linalg.lstsq(np.column_stack([np.ones(len(target)), *lags]), target, rcond=None)[0]
+            assert x.intercept == pytest.approx(w[0], rel=1e-6, abs=1e-6) and x.phi == pytest.approx(w[1], rel=1e-6, abs=1e-7)
+            path = list(own)
+            for _ in range(14):
+                d = np.diff(path)
+                if i + 1 >= 36:
+                    z = d[12:] - d[:-12]
+                    path.append(path[-1] + w[0] + w[1] * z[-1] + w[2] * z[-12] + d[-12])
+                else:
+                    path.append(path[-1] + w[0] + w[1] * d[-1])
+            assert np.allclose(x.next, np.maximum(path[-14:], 0), rtol=1e-5)
+    back = forecast.run_families(df, ["k"], ["seasonal_ar", "prophet"], 2)
+    rows = back[0].collect()
+    assert set(back[1]) == {"prophet"} and {x.k for x in rows} == {"long", "mid"}
+    assert all(x.predicted == pytest.approx(got[x.k, x.origin_month].next[1]) and x.actual == series[x.k][(x.forecast_month.year - 2015) * 12 + x.forecast_month.month - 1] for x in rows)
