@@ -202,10 +202,10 @@ def t02(m):
     """Change detection with keyed state over micro-batches."""
     stream = m.spark.readStream.schema(m.events.schema).option("pathGlobFilter", "events.parquet").parquet(m.folder)
     rows = stream.select("user_id", "event_id", F.floor("value").cast("double").alias("price"), F.length("event_type").cast("double").alias("mileage"))
-    changed = changes.emit_changes_stream(rows, "user_id", "event_id", ("price", "mileage"))
     path = _folder(m.spark)
-    changed.writeStream.format("parquet").outputMode("append").option("path", f"{path}/out").option("checkpointLocation", f"{path}/state").trigger(availableNow=True).start().awaitTermination()
-    return m.spark.read.schema(changed.schema).parquet(f"{path}/out")
+    start = lambda: changes.emit_changes_stream(rows, "user_id", "event_id", ("price", "mileage"), path, f"{path}/state")
+    changes.append_until_idle(start, pause=0.0)
+    return m.spark.read.schema(rows.schema).parquet(f"{path}/out/*")
 
 
 def _folder(spark) -> str:

@@ -2,6 +2,13 @@
 
 from __future__ import annotations
 
+import csv
+import io
+import itertools
+import zipfile
+from collections.abc import Iterable, Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -30,10 +37,12 @@ def query(spark: SparkSession, sql: str, args: dict | None = None, **views: Data
 
 
 def read_catalog(spark: SparkSession, path: str) -> DataFrame:
-    """An official model catalog (CSV): null tokens read as null, unreadable
+    """An official model catalog (CSV, or CSV in a ZIP archive): null tokens read as null, unreadable
     values too, baseModel from model where it is missing, and normalised keys.
     id, year, make and model must be there; rows without them go."""
-    raw = spark.read.option("header", True).option("mode", "PERMISSIVE").csv(path)
+    zipped = path.lower().endswith(".zip")
+    raw = read_zip_csv(spark, path) if zipped else spark.read.option("header", True).option("mode", "PERMISSIVE").csv(path)
+    raw = raw.select(*[F.col(c).cast("string").alias(c) for c in raw.columns if not c.startswith("__")])
     missing = {"id", "year", "make", "model"} - set(raw.columns)
     if missing:
         raise ValueError(f"catalog lacks {sorted(missing)}")
@@ -43,6 +52,45 @@ def read_catalog(spark: SparkSession, path: str) -> DataFrame:
     return normalize_catalog(df.dropna(subset=["id", "year", "make", "model"]))
 
 
+def read_zip_csv(spark: SparkSession, path: str, infer_rows: int = 10_000, null_tokens: tuple[str, ...] = NULL_TOKENS) -> DataFrame:
+    """All CSV members of ZIP archives as one frame, with __member and __row.
+
+    Tasks stream the members of their archive; the header of the first member by
+    name gives the columns, and other members' columns are found by name. A
+    column is long or double if all values of the first infer_rows rows of each
+    member are, else a string; later values that do not fit are null, as are the
+    null tokens. Members without rows give none; an archive without CSV raises."""
+
+    def members(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for name, content in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                with zipfile.ZipFile(io.BytesIO(content.as_py())) as archive:
+                    for member in sorted(n for n in archive.namelist() if n.lower().endswith(".csv")):
+                        with archive.open(member) as raw:
+                            rows = csv.reader(io.TextIOWrapper(raw, "utf-8-sig", newline=""))
+                            header, some, start = next(rows, []), [], 0
+                            for row in itertools.chain(rows, [None]):
+                                if row:
+                                    some.append(dict(zip(header, row, strict=False)))
+                                if some and (row is None or len(some) >= 1000):
+                                    n = len(some)
+                                    yield pa.RecordBatch.from_arrays([pa.array([f"{name}/{member}"] * n), pa.array(range(start, start + n), pa.int64()), pa.array([list(r.items()) for r in some], pa.map_(pa.string(), pa.string()))], ["__member", "__row", "values"])
+                                    start, some = start + n, []
+                            if not start:
+                                yield pa.RecordBatch.from_arrays([pa.array([f"{name}/{member}"]), pa.array([-1], pa.int64()), pa.array([[(h, "") for h in header]], pa.map_(pa.string(), pa.string()))], ["__member", "__row", "values"])
+
+    files = spark.read.format("binaryFile").load(path).select("path", "content")
+    rows = files.mapInArrow(members, "__member string, __row long, values map<string, string>")
+    first = rows.orderBy("__member", "__row").select(F.map_keys("values")).first()
+    if first is None:
+        raise ValueError(f"no CSV in {path}")
+    value = lambda c: F.when(~F.col("values")[c].isin(*null_tokens), F.col("values")[c])
+    seen = rows.where(F.col("__row").between(0, infer_rows - 1))
+    bad = seen.agg(*[F.count_if(value(c).isNotNull() & value(c).try_cast(t).isNull()).alias(f"{i}{t}") for i, c in enumerate(first[0]) for t in ("long", "double")]).first()
+    kinds = ["long" if not bad[f"{i}long"] else "double" if not bad[f"{i}double"] else "string" for i in range(len(first[0]))]
+    return rows.where("__row >= 0").select("__member", "__row", *[value(c).try_cast(t).alias(c) for c, t in zip(first[0], kinds, strict=True)])
+
+
 def normalize_catalog(df: DataFrame) -> DataFrame:
     return df.withColumns({"normalized_make": text.normalize_vehicle(F.col("make")), "normalized_model": text.normalize_vehicle(F.col("model")), "normalized_base_model": text.normalize_vehicle(F.col("baseModel"))})
 
