@@ -89,25 +89,29 @@ def clean_comment(c: Column) -> Column:
 def chunks(c: Column, most: int = 45) -> Column:
     """Sentences packed greedily into chunks of at most `most` words; a longer
     sentence is cut after every `most` words, and its pieces stay apart from
-    their neighbours. One fold over the pieces. A blank text is one empty chunk,
-    a null or empty one has none."""
+    their neighbours. A blank text is one empty chunk, a null or empty one has
+    none. One fold over the pieces' numbers of words finds where chunks start;
+    each chunk is then one slice of the pieces, so the work is linear."""
     sentences = F.filter(F.split(c, r"(?<=[.!?])\s+|\n+"), lambda s: F.trim(s) != "")
 
     def cut(s: Column) -> Column:
         words = F.split(F.regexp_replace(s, r"^\s+|\s+$", ""), r"\s+")
         many = F.ceil(F.size(words) / most).cast("int")
-        return F.transform(F.sequence(F.lit(0), many - 1), lambda i: F.struct(F.slice(words, i * most + 1, F.lit(most)).alias("words"), (many > 1).alias("whole")))
-
-    state = F.struct(F.array().cast("array<string>").alias("done"), F.array().cast("array<string>").alias("open"))
-    shut = lambda acc: F.when(F.size(acc["open"]) > 0, F.array_append(acc["done"], F.array_join(acc["open"], " "))).otherwise(acc["done"])
+        return F.transform(F.sequence(F.lit(0), many - 1), lambda i: F.struct(F.array_join(F.slice(words, i * most + 1, F.lit(most)), " ").alias("text"), F.least(F.size(words) - i * most, F.lit(most)).alias("n"), (many > 1).alias("whole")))
 
     def step(acc: Column, p: Column) -> Column:
-        none = F.array().cast("array<string>")
-        fits = F.size(acc["open"]) + F.size(p["words"]) <= most
-        done = F.when(p["whole"], F.array_append(shut(acc), F.array_join(p["words"], " "))).when(fits, acc["done"]).otherwise(shut(acc))
-        return F.struct(done.alias("done"), F.when(p["whole"], none).when(fits, F.concat(acc["open"], p["words"])).otherwise(p["words"]).alias("open"))
-
-    found = F.aggregate(F.flatten(F.transform(sentences, cut)), state, step, shut)
+        starts = p["whole"] | (acc["open"] == 0) | (acc["open"] + p["n"] > most)
+        held = F.when(p["whole"], 0).when(starts, p["n"]).otherwise(acc["open"] + p["n"])
+        return F.struct(held.alias("open"), (acc["at"] + 1).alias("at"), F.when(starts, F.array_append(acc["starts"], acc["at"])).otherwise(acc["starts"]).alias("starts"))
+
+    def packed(pieces: Column) -> Column:
+        state = F.struct(F.lit(0).alias("open"), F.lit(1).alias("at"), F.array().cast("array<int>").alias("starts"))
+        starts = F.aggregate(pieces, state, step, lambda acc: F.array_append(acc["starts"], acc["at"]))
+        spans = F.transform(F.array(F.struct(starts.alias("s"), F.transform(pieces, lambda p: p["text"]).alias("t"))), lambda x: F.transform(F.sequence(F.lit(1), F.size(x["s"]) - 1), lambda i: F.array_join(F.slice(x["t"], F.element_at(x["s"], i), F.element_at(x["s"], i + 1) - F.element_at(x["s"], i)), " ")))
+        return spans[0]
+
+    # bound once: the pieces would be cut again for each of their uses
+    found = F.transform(F.array(F.flatten(F.transform(sentences, cut))), lambda p: F.when(F.size(p) > 0, packed(p)))[0]
     blank = F.when(F.coalesce(c, F.lit("")) == "", F.array().cast("array<string>")).otherwise(F.array(F.lit("")))
     return F.when(F.regexp_replace(F.coalesce(c, F.lit("")), r"\s+", "") == "", blank).otherwise(found)
 

@@ -124,22 +124,35 @@ def i02(m):
     return out.select("vin", "seq", "price", "canonical_year", "canonical_make", "canonical_model", "epa_vehicle_id", "epa_match_status")
 
 
-#: Titles with the trim and its source that the alias tables give.
-_TITLES = (
-    ("2018 Toyota Tacoma TRD Off-Road Premium", "Toyota", "Tacoma", 2018, "TRD_OFF_ROAD_PREMIUM", "title_alias"),
-    ("2021 Toyota Tacoma TRD Pro", "Toyota", "Tacoma", 2021, "TRD_PRO", "title_alias"),
-    ("2021 Ford Mustang Shelby GT500", "Ford", "Mustang", 2021, "GT500", "title_alias"),
-    ("2022 BMW M3 Competition xDrive", "BMW", "M3", 2022, "M3_COMPETITION_XDRIVE", "title_alias"),
-    ("2015 Mazda CX-5 Signature", "Mazda", "CX-5", 2015, "SIGNATURE", "title_remainder"),
-    ("2015 Mazda CX-5", "Mazda", "CX-5", 2015, "UNKNOWN_TRIM", "unresolved"),
+#: What parts are called here, by their number: make, model, words of the title.
+_CARS = (
+    ("Toyota", "Tacoma", "TRD Off-Road Premium"), ("Toyota", "Tacoma", "TRD Pro 4x4"), ("Ford", "Mustang", "Shelby GT500"), ("Ford", "Mustang", "Shelby GT350R Coupe"), ("BMW", "M3", "Competition xDrive"), ("BMW", "M3", "Competition"),
+    ("Mazda", "CX-5", "Signature"), ("Mazda", "CX-5", ""), ("Honda", "Pilot", "EX-L"), ("Ram", "1500", "Big Horn TRD Sport"), ("Ford", "F-150", "King Ranch"), ("Toyota", "Tundra", "TRD Off Road"),
+)
+_I04 = (
+    "WITH c(place, make, model, words) AS (VALUES " + ", ".join(f"({i}, '{a}', '{b}', '{w}')" for i, (a, b, w) in enumerate(_CARS)) + "), "
+    "a(mk, md, y0, y1, alias, name, rank) AS (VALUES " + ", ".join([f"('{a}', '{b}', {y}, {z}, '{p}', '{n}', 1)" for a, b, y, z, p, n in identity.SCOPED_ALIASES] + [f"(NULL, NULL, NULL, NULL, '{p}', '{n}', 2)" for p, n in identity.TRIM_ALIASES.items()]) + "), "
+    """
+l AS (SELECT p_partkey, 2001 + p_partkey % 31 AS year, make, model, trim(concat_ws(' ', 2001 + p_partkey % 31, make, model, words)) AS title FROM part JOIN c ON p_partkey % 12 = place),
+t AS (SELECT *, ' ' || trim(regexp_replace(upper(title), '[^A-Z0-9]+', ' ', 'g')) || ' ' AS said FROM l),
+h AS (SELECT t.*, name, row_number() OVER (PARTITION BY p_partkey ORDER BY rank, length(alias) DESC, alias) AS rn FROM t LEFT JOIN a ON contains(said, ' ' || alias || ' ') AND (rank = 2 OR (mk = upper(make) AND md = upper(model) AND year BETWEEN y0 AND y1)))
+SELECT p_partkey, title, CASE WHEN name IS NOT NULL THEN name WHEN model = 'CX-5' AND contains(title, 'Signature') THEN 'SIGNATURE' WHEN model = 'M3' THEN 'M3_COMPETITION' || CASE WHEN contains(title, 'xDrive') THEN '_XDRIVE' ELSE '' END ELSE 'UNKNOWN_TRIM' END AS canonical_trim,
+       CASE WHEN name IS NOT NULL THEN 'title_alias' WHEN model = 'CX-5' AND NOT contains(title, 'Signature') THEN 'unresolved' ELSE 'title_remainder' END AS canonical_trim_source,
+       CASE WHEN name IS NOT NULL THEN 'medium' WHEN model = 'CX-5' AND NOT contains(title, 'Signature') THEN 'unresolved' ELSE 'medium' END AS canonical_match_confidence
+FROM h WHERE rn = 1
+"""
 )
 
 
-@query("i04_i07_trim_aliases", "SELECT * FROM (VALUES " + ", ".join(f"('{t}', '{trim}', '{source}')" for t, _, _, _, trim, source in _TITLES) + ") v(title, canonical_trim, canonical_trim_source)")
+@query("i04_i07_trim_aliases", _I04)
 def i04(m):
-    """Aliases scoped by make, model and years, the remainder, and nothing."""
-    rows = m.spark.createDataFrame([r[:4] for r in _TITLES], "title string, make string, model string, year int").withColumn("trim", F.lit(None).cast("string"))
-    return identity.parse_titles(rows).select("title", "canonical_trim", "canonical_trim_source")
+    """Every part under one of twelve titles and a year: aliases scoped by make,
+    model and years, general ones, the remainder, and nothing; how sure each is."""
+    at = F.col("p_partkey") % len(_CARS)
+    pick = lambda i: F.array(*[F.lit(c[i]) for c in _CARS])[at.cast("int")]
+    year = (F.col("p_partkey") % 31 + 2001).cast("int")
+    rows = m.part.select("p_partkey", F.trim(F.concat_ws(" ", year, pick(0), pick(1), pick(2))).alias("title"), pick(0).alias("make"), pick(1).alias("model"), year.alias("year"), F.lit(None).cast("string").alias("trim"))
+    return identity.parse_titles(rows).select("p_partkey", "title", "canonical_trim", "canonical_trim_source", "canonical_match_confidence")
 
 
 _MONTHS = "SELECT canonical_make, date_trunc('month', history_date)::DATE AS month_start, median(price) AS median_price, avg(mileage) AS avg_mileage, count(*) AS volume FROM {price_history} JOIN {identity} USING (vin) GROUP BY 1, 2"

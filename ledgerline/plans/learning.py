@@ -130,21 +130,31 @@ def t08_sums(m):
     return sums.groupBy(F.date_from_unix_date(F.col("origin").cast("int")).alias("origin")).agg(n.cast("long").alias("n"), *[F.round(cell(i, j) / n, d).alias(c) for c, i, j, d in (("price", 0, 1, 4), ("change", 0, 3, 8), ("change_2", 3, 3, 8), ("price_change", 1, 3, 4), ("price_lag", 1, 2, 0))])
 
 
-@query("t09_local_backtest")
+_SERIES = """
+WITH h AS (SELECT canonical_make AS k, date_trunc('month', history_date)::DATE AS m, quantile_cont(price, 0.5) AS v FROM {price_history} p JOIN {identity} i ON p.vin = i.vin GROUP BY 1, 2),
+g AS (SELECT k, unnest(generate_series(min(m), max(m), INTERVAL 1 MONTH))::DATE AS m FROM h GROUP BY k),
+j AS (SELECT g.k, g.m, v, year(g.m) * 12 + month(g.m) AS a FROM g LEFT JOIN h ON g.k = h.k AND g.m = h.m),
+f AS (SELECT *, last_value(CASE WHEN v IS NOT NULL THEN struct_pack(a := a, v := v) END IGNORE NULLS) OVER (PARTITION BY k ORDER BY m) AS lo,
+             first_value(CASE WHEN v IS NOT NULL THEN struct_pack(a := a, v := v) END IGNORE NULLS) OVER (PARTITION BY k ORDER BY m ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS hi FROM j),
+y AS (SELECT k, m, v IS NOT NULL AS seen, coalesce(v, lo.v + (hi.v - lo.v) * (a - lo.a) / (hi.a - lo.a)) AS y FROM f)
+"""
+_T09 = _SERIES + """,
+n AS (SELECT *, row_number() OVER w AS n, first_value(y) OVER w AS y0, lag(y, 9) OVER w AS back, lead(y, 3) OVER w AS actual, lead(m, 3) OVER w AS later, lead(seen, 3) OVER w AS seen3 FROM y WINDOW w AS (PARTITION BY k ORDER BY m)),
+o AS (SELECT * FROM n WHERE n >= 6 AND seen AND seen3)
+SELECT k AS canonical_make, m AS origin_month, later AS forecast_month, y AS naive, actual, greatest(y + (y - y0) / (n - 1) * 3, 0) AS predicted, 'drift' AS model_family FROM o
+UNION ALL SELECT k, m, later, y, actual, CASE WHEN n >= 12 THEN back ELSE y END, 'seasonal_naive' FROM o
+"""
+
+
+@query("t09_local_backtest", _T09)
 def t09(m):
     """Per-cohort forecasters at every origin, one task per cohort's series."""
     series = cohort.calendar_series(_panel(m), COHORT)
-    rows, _ = forecast.run_families(series, COHORT, ["drift", "seasonal_naive", "seasonal_ar", "prophet"], 3)
+    rows, _ = forecast.run_families(series, COHORT, ["drift", "seasonal_naive", "prophet"], 3)
     return rows
 
 
-_M07 = """
-WITH h AS (SELECT canonical_make AS k, date_trunc('month', history_date)::DATE AS m, quantile_cont(price, 0.5) AS v FROM {price_history} p JOIN {identity} i ON p.vin = i.vin GROUP BY 1, 2),
-g AS (SELECT k, unnest(generate_series(min(m), max(m), INTERVAL 1 MONTH))::DATE AS m FROM h GROUP BY k),
-j AS (SELECT g.k, g.m, v, year(g.m) * 12 + month(g.m) AS a FROM g LEFT JOIN h ON g.k = h.k AND g.m = h.m),
-f AS (SELECT *, last_value(CASE WHEN v IS NOT NULL THEN {{'a': a, 'v': v}} END IGNORE NULLS) OVER (PARTITION BY k ORDER BY m) AS lo,
-             first_value(CASE WHEN v IS NOT NULL THEN {{'a': a, 'v': v}} END IGNORE NULLS) OVER (PARTITION BY k ORDER BY m ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS hi FROM j),
-y AS (SELECT k, m, coalesce(v, lo.v + (hi.v - lo.v) * (a - lo.a) / (hi.a - lo.a)) AS y FROM f),
+_M07 = _SERIES + """,
 d AS (SELECT *, y - lag(y) OVER w AS d, row_number() OVER w AS n FROM y WINDOW w AS (PARTITION BY k ORDER BY m)),
 z AS (SELECT *, d - lag(d, 12) OVER w AS z FROM d WINDOW w AS (PARTITION BY k ORDER BY m)),
 l AS (SELECT *, lag(z) OVER w AS x, lag(z, 12) OVER w AS u FROM z WINDOW w AS (PARTITION BY k ORDER BY m)),
@@ -154,7 +164,7 @@ t AS (SELECT l.*, lag(z, 11) OVER o AS z12, lag(d, 11) OVER o AS d12, row_number
 SELECT t.k AS canonical_make, m AS month_start, n::BIGINT AS n_months, round(mz - phi * mx - sphi * mu, 3) AS intercept, round(phi, 6) AS phi, round(sphi, 6) AS seasonal_phi,
        round(greatest(y + (mz - phi * mx - sphi * mu) + phi * z + sphi * z12 + d12, 0), 2) AS next_price
 FROM t JOIN w ON t.k = w.k WHERE back = 1
-""".replace("{{", "struct_pack(").replace("}}", ")").replace("'a': a, 'v': v", "a := a, v := v")
+"""
 
 
 @query("m07_seasonal_ar", _M07)

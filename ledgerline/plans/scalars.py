@@ -83,11 +83,10 @@ def f19(m):
     return m.part.select("p_partkey", text.transmission(style, speeds).alias("transmission"))
 
 
-@query("f21_formats", "SELECT o_orderkey, '$' || format('{{:,.0f}}', o_totalprice::DOUBLE) AS price, CASE WHEN o_orderkey % 4 = 0 THEN 'n/a' ELSE format('{{:,.1f}}', (o_orderkey % 100 / 100.0::DOUBLE) * 100) || '%' END AS share FROM orders WHERE o_totalprice - floor(o_totalprice) NOT BETWEEN 0.49 AND 0.51".replace("{{", "{").replace("}}", "}"))
+@query("f21_formats", "SELECT o_orderkey, '$' || format('{{:,.0f}}', o_totalprice::DOUBLE) AS price, CASE WHEN o_orderkey % 4 = 0 THEN 'n/a' ELSE format('{{:,.1f}}', (o_orderkey % 100 / 100.0::DOUBLE) * 100) || '%' END AS share FROM orders".replace("{{", "{").replace("}}", "}"))
 def f21(m):
     share = F.when(F.col("o_orderkey") % 4 != 0, (F.col("o_orderkey") % 100) / 100.0)
-    o = m.orders.where("o_totalprice - floor(o_totalprice) NOT BETWEEN 0.49 AND 0.51")
-    return o.select("o_orderkey", text.currency(F.col("o_totalprice")).alias("price"), text.percent(share).alias("share"))
+    return m.orders.select("o_orderkey", text.currency(F.col("o_totalprice")).alias("price"), text.percent(share).alias("share"))
 
 
 @query("f22_truthy", "SELECT o_orderkey, (o_orderstatus IN ('F'))::INT AS done FROM orders")
@@ -175,10 +174,9 @@ def f46(m):
     return m.identity.select("vin", numbers.year_bucket(F.col("canonical_year")).alias("bucket"))
 
 
-@query("f47_comment_weight", "SELECT doc_id, round((1 + log10(n_chars + 1)) * CASE WHEN len(regexp_split_to_array(trim(text), '\\s+')) >= 20 THEN 1.2 ELSE 1.0 END, 6) AS weight FROM documents WHERE trim(text) <> ''")
+@query("f47_comment_weight", "SELECT doc_id, round((1 + log10(n_chars + 1)) * CASE WHEN trim(text) <> '' AND len(regexp_split_to_array(trim(text), '\\s+')) >= 20 THEN 1.2 ELSE 1.0 END, 6) AS weight FROM documents")
 def f47(m):
-    d = m.documents.where("trim(text) <> ''")
-    return d.select("doc_id", F.round(numbers.comment_weight(F.col("n_chars"), text.word_count(F.col("text"))), 6).alias("weight"))
+    return m.documents.select("doc_id", F.round(numbers.comment_weight(F.col("n_chars"), text.word_count(F.col("text"))), 6).alias("weight"))
 
 
 @query("f48_aspect_score", "SELECT l_orderkey, l_linenumber, l_discount, l_tax, CASE WHEN greatest(l_discount * 8, l_tax * 8) >= 0.4 THEN round((l_discount * 8 - l_tax * 8) / (l_discount * 8 + l_tax * 8 + 1e-9), 6) END AS score FROM lineitem")

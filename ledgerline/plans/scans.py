@@ -44,9 +44,11 @@ def s17(m):
     return files.profile(m.price_history, "price").withColumn("avg_price", F.round("avg_price", 4))
 
 
-@query("s24_empty_relation", "SELECT NULL::BIGINT AS id, NULL::INTEGER AS year, NULL::VARCHAR AS make, NULL::VARCHAR AS model, NULL::VARCHAR AS \"baseModel\", NULL::VARCHAR AS normalized_make, NULL::VARCHAR AS normalized_model, NULL::VARCHAR AS normalized_base_model WHERE FALSE")
+@query("s24_empty_relation", "SELECT p_partkey AS id, (1990 + p_size % 5)::INT AS year, p_brand AS make, p_type AS model, NULL::VARCHAR AS \"baseModel\", NULL::VARCHAR AS normalized_make, NULL::VARCHAR AS normalized_model, NULL::VARCHAR AS normalized_base_model FROM part")
 def s24(m):
-    return files.empty_catalog(m.spark)
+    """The typed empty catalog gives its columns and types to rows that lack some."""
+    rows = m.part.select(F.col("p_partkey").alias("id"), (F.col("p_size") % 5 + 1990).cast("int").alias("year"), F.col("p_brand").alias("make"), F.col("p_type").alias("model"))
+    return files.empty_catalog(m.spark).unionByName(rows, allowMissingColumns=True)
 
 
 @query("p03_non_empty", "SELECT doc_id, n_chars FROM documents WHERE trim(text) <> '' AND trim(lang) <> ''")
