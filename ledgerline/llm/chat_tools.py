@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerline.llm.common import materialize, prefix_sums
+from ledgerline.llm.common import materialize, prefix_sums, scratch, shared_path
 
 #: Schema of the call that a plain exchange stands for: (tool, parameter, type, required).
 REPLY_SCHEMA = (("reply", "text", "string", True), ("reply", "turn", "integer", False))
@@ -113,6 +113,12 @@ def order_levels(calls: DataFrame, max_depth: int = 64) -> DataFrame:
     depends on itself or waits for a call that does: its level is null. After
     max_depth rounds a rest of at most _REST edges is peeled on the driver; a
     larger one goes on in rounds, however long its chains are."""
+    path = shared_path(calls.sparkSession, "call-levels")
+    with scratch():  # the tables of the rounds go with the last one
+        return materialize(_peeled(calls, max_depth), "call-levels", path)
+
+
+def _peeled(calls: DataFrame, max_depth: int) -> DataFrame:
     turn = F.coalesce("turn", F.lit(_NO_TURN))
     at = calls.select("key", "call_id", turn.alias("own"))
     needs = calls.select("key", "call_id", turn.alias("turn"), F.explode("after").alias("need"))

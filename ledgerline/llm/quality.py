@@ -183,5 +183,7 @@ def judge(measures: DataFrame, spread: float = 4.0, least_width: float = 0.01, m
 
 def quality_rules(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", **how) -> DataFrame:
     """Measures and verdict of every document, one row per input row (repeated
-    rows and null ids included; a null text has no words and fails)."""
+    rows and null ids included; a null text has no words and fails). Texts of any
+    length are measured whole, a null language goes by script, extra columns are
+    ignored; no documents give no rows."""
     return judge(materialize(measure(docs, model_path, id_col, text_col, lang_col), "measures"), **how)

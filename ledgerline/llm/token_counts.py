@@ -52,7 +52,9 @@ def with_lengths(docs: DataFrame, vocabulary: str, text_col: str = "text", keep:
 
 
 def length_histogram(docs: DataFrame, vocabulary: str, text_col: str = "text") -> DataFrame:
-    """Rows (length, n_docs), one per occurring length; an empty table gives none."""
+    """Rows (length, n_docs), one per occurring length; an empty table gives none.
+    Null and empty texts have length 0, repeated rows and null ids count, texts
+    of any length are encoded whole, extra columns are ignored."""
     return with_lengths(docs, vocabulary, text_col).groupBy("length").agg(F.count("*").alias("n_docs"))
 
 
@@ -61,7 +63,8 @@ def suffix_sums(histogram: DataFrame) -> DataFrame:
     with more than L tokens), and for L as context limit truncated_total, the
     tokens that are left, and lost_total, the tokens cut off; total_docs and
     total_tokens are those of the whole table, share_within the documents that
-    fit."""
+    fit. An empty histogram gives no rows; a length stands in it once, other
+    columns are ignored."""
     h = histogram.withColumn("__range", -F.floor(F.col("length") / RANGE)).withColumn("__order", -F.col("length")).withColumn("__tokens", F.col("length") * F.col("n_docs"))
     whole = h.agg(F.sum("n_docs").alias("total_docs"), F.sum("__tokens").alias("total_tokens"))
     s = prefix_sums(h, [], "__range", ["__order"], {"docs_longer": "n_docs", "tokens_longer": "__tokens"}).join(F.broadcast(whole))

@@ -167,7 +167,9 @@ def fit_on_labels(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", te
 def score(docs: DataFrame, model: OrdinalModel, id_col: str = "doc_id", text_col: str = "text", reject_at: float = 0.5) -> DataFrame:
     """(id_col, expected_severity, p_toxic, grade, rejected) of every document,
     one row per input row. rejected: P(grade >= 1) >= reject_at. Null and empty
-    texts have no features and get the severity of the thresholds alone."""
+    texts have no features and get the severity of the thresholds alone. Texts of
+    any length are scored whole, repeated rows and null ids alike; extra columns
+    are ignored; no documents give no rows."""
     source = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
     kind = source.schema["id"].dataType.simpleString()
     bound_arrow(docs.sparkSession)

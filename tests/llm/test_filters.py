@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from ledgerline.llm.chat_tools import exchanges, link_tool_calls, schema_table, tool_calls_and_exchanges, tool_messages
 from ledgerline.llm.decontam import alphabet_masks, decontaminate, find_contamination, myers, normalise, pieces
+from ledgerline.llm.mixing import mix
 from ledgerline.llm.quality import quality_rules, repeated_words
 from ledgerline.llm.queries import op8_chat_tools, vocabulary
 from ledgerline.llm.toxicity import OrdinalModel, drop_toxic, fit, fit_on_labels, score
@@ -446,3 +447,59 @@ def test_null_turns_stay_null(spark):
     assert len(rows) == 4 and got[1, None].seq == 0 and got[1, -5].seq == 1 and got[1, 0].seq == 2
     assert got[1, None].valid and json.loads(got[1, None].json) == {"arguments": {"text": "x"}, "name": "reply"}
     assert got[1, 0].linked and json.loads(got[None, None].json) == {"role": "system"}
+
+
+def test_quality_measures_and_fences_match_brute_force(spark):
+    """Fertility, byte share and entropy of each text by the library's pieces one
+    by one, quartiles and fences by numpy, verdicts from these; one text lies on
+    a fence itself."""
+    import sentencepiece
+
+    model = sentencepiece.SentencePieceProcessor(model_file=MODEL)
+    r = random.Random(8)
+    docs = []
+    for i in range(160):
+        lang = ["en", "de", None][i % 3]
+        text = words(1000 + i, r.randint(25, 90))
+        if i % 17 == 0:
+            text += " " + "☃𓀀 " * r.randint(5, 40)
+        if i % 23 == 0:
+            text = "same word " * 40 + str(i)
+        docs.append((i, text, lang))
+    docs += [(900, None, "en"), (901, "", None), (902, "привет мир " * 20, None), (903, docs[5][1], "en")]
+    rows = {x.doc_id: x for x in quality_rules(spark.createDataFrame(docs, "doc_id long, text string, lang string"), MODEL).collect()}
+    own = {}
+    for i, text, lang in docs:
+        text = text or ""
+        ids = model.encode(text)
+        counts = [ids.count(t) for t in set(ids)]
+        entropy = -sum(c / len(ids) * math.log(c / len(ids)) for c in counts) / math.log(len(ids)) if len(ids) > 1 else 1.0
+        byte = sum(model.is_byte(t) and model.id_to_piece(t) not in ("<0x0A>", "<0x0D>", "<0x09>", "<0x0B>", "<0x0C>") for t in ids)
+        band = f"lang:{lang}" if lang else "script:" + ("none" if not text else "cyrillic" if "привет" in text else "latin")
+        own[i] = (band, len(text) / len(ids) if ids else 0.0, byte / (len(ids) + 300) if ids else 0.0, entropy)
+        got = rows[i]
+        assert got.band.lower() == band and got.chars_per_token == pytest.approx(own[i][1]) and got.byte_share == pytest.approx(own[i][2]) and got.evenness == pytest.approx(own[i][3])
+    kept = 0
+    for i, (band, *measures) in own.items():
+        group = [m for j, (b, *m) in own.items() if b == band and not rows[j].base_failed]
+        inside = not rows[i].base_failed
+        for k, (low, high) in enumerate(((True, True), (False, True), (True, False))):
+            if not group or not inside:
+                continue
+            a, b = np.percentile([round(m[k], 4) for m in group], [25, 75])
+            width = b - a if b > a else 0.01
+            inside &= not (low and measures[k] < a - 4 * width - 1e-12) and not (high and measures[k] > b + 4 * width + 1e-12)
+        assert rows[i].kept == inside
+        kept += inside
+    assert 0 < kept < len(docs) - 3
+
+
+def test_ties_of_key_and_size_in_the_mix(spark):
+    """Rows alike in id and text share a key: together they take what the plan
+    gives, in any order."""
+    docs = spark.createDataFrame([(1, "a b c", "x")] * 5 + [(2, "d e", "y")] * 3, "doc_id long, text string, source string")
+    rows = mix(docs).collect()
+    assert len(rows) == 8 and sorted(map(repr, rows)) == sorted(map(repr, mix(docs.repartition(3)).collect()))
+    for source in (15, 6):
+        part = [x for x in rows if x.source_size == source]
+        assert sum(x.taken for x in part) == math.floor(part[0].target) and all(x.taken <= 3 * x.size for x in part)
