@@ -12,8 +12,32 @@ def mode_or_unknown(c: str):
     return F.coalesce(F.mode(v, True), F.lit("UNKNOWN"))
 
 
-def monthly(history: DataFrame, keys: list[str], day: str = "history_date", price: str = "price", mileage: str = "mileage", ident: str = "vin", modes: tuple[str, ...] = (), means: tuple[str, ...] = ()) -> DataFrame:
-    """One row per cohort and month: price statistics, volume, distinct keys."""
+#: What the whole panel takes besides prices: modes, means and medians by cohort.
+PANEL_MODES = ("body_class", "drive_type", "fuel_type", "electrification_level", "seller_type", "source_name")
+PANEL_MEANS = ("vehicle_age_months", "miles_per_year", "price_down", "sentiment_score", "sentiment_comment_count", "sentiment_video_count")
+PANEL_MEDIANS = ("engine_hp", "engine_cylinders", "total_recalls", "total_complaints")
+
+
+def panel_inputs(history: DataFrame, year: str = "model_year", day: str = "history_date", mileage: str = "mileage", trend: str = "trend") -> DataFrame:
+    """Adds vehicle_age_months (since January of the model year, not below 0),
+    miles_per_year (of a quarter at least) and price_down (1 where the trend
+    tells of a lower price, else 0; a null trend: 0). A missing count of comments
+    or videos is 0, as no comment is known."""
+    age = F.greatest(F.datediff(day, F.make_date(F.col(year), F.lit(1), F.lit(1))) / 30.4375, F.lit(0.0))
+    d = history.withColumn("vehicle_age_months", age)
+    d = d.withColumns({"miles_per_year": F.col(mileage) / F.greatest(F.col("vehicle_age_months") / 12, F.lit(0.25)), "price_down": F.coalesce(F.lower(trend), F.lit("")).rlike("down|drop|decrease").cast("int")})
+    return d.withColumns({c: F.coalesce(F.col(c), F.lit(0)) for c in ("sentiment_comment_count", "sentiment_video_count") if c in history.columns})
+
+
+def full_panel(history: DataFrame, keys: list[str], **columns: str) -> DataFrame:
+    """The monthly panel with all its statistics, of a history that has the
+    columns of PANEL_MODES and PANEL_MEDIANS and the sentiment of each row."""
+    return monthly(panel_inputs(history, **columns), keys, modes=PANEL_MODES, means=PANEL_MEANS, medians=PANEL_MEDIANS)
+
+
+def monthly(history: DataFrame, keys: list[str], day: str = "history_date", price: str = "price", mileage: str = "mileage", ident: str = "vin", modes: tuple[str, ...] = (), means: tuple[str, ...] = (), medians: tuple[str, ...] = ()) -> DataFrame:
+    """One row per cohort and month: price statistics, volume, distinct keys, and
+    the modes, means and medians that are asked for (mode_x, avg_x, median_x)."""
     found = history.groupBy(*keys, F.trunc(day, "month").alias("month_start")).agg(
         F.percentile(price, F.array(F.lit(0.5), F.lit(0.25), F.lit(0.75))).alias("__price"),
         F.avg(price).alias("avg_price"),
@@ -23,6 +47,7 @@ def monthly(history: DataFrame, keys: list[str], day: str = "history_date", pric
         F.count_distinct(ident).alias("unique_vins"),
         *[mode_or_unknown(m).alias(f"mode_{m}") for m in modes],
         *[F.avg(m).alias(f"avg_{m}") for m in means],
+        *[F.percentile(m, 0.5).alias(f"median_{m}") for m in medians],
     )
     at = {f"{name}_price": F.col("__price")[i] for i, name in enumerate(("median", "p25", "p75"))}
     return found.select(*keys, "month_start", at["median_price"].alias("median_price"), "avg_price", at["p25_price"].alias("p25_price"), at["p75_price"].alias("p75_price"), *found.columns[len(keys) + 3 :])

@@ -3,13 +3,11 @@ operators that the reports only use inside."""
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import functions as F
 
 from ledgerline.operators import cohort, features, identity
 from ledgerline.plans.registry import query
-from ledgerline.session import shared_folder
+from ledgerline.session import new_folder
 from ledgerline.sources import files, upserts
 
 COHORT = ["canonical_make"]
@@ -17,7 +15,7 @@ COHORT = ["canonical_make"]
 
 def _folder(m, name: str) -> str:
     """A new path in the folder that driver and executors share."""
-    return f"{shared_folder(m.spark)}/{name}-{uuid.uuid4().hex[:12]}"
+    return new_folder(m.spark, name)
 
 
 def _catalog(m):
@@ -195,6 +193,34 @@ def a03(m):
     return panel.select("canonical_make", "month_start", "median_price", F.round("avg_price", 4).alias("avg_price"), "p25_price", "p75_price", F.round("avg_mileage", 4).alias("avg_mileage"), "median_mileage", "volume", "unique_vins", F.round("avg_canonical_year", 6).alias("avg_canonical_year"), F.round("avg_base_price", 4).alias("avg_base_price"), "mode_trend", "mode_body_class")
 
 
+_HISTORY = """
+SELECT h.vin, history_date, price, mileage, canonical_make, canonical_year AS model_year, body_class, seq,
+  CASE WHEN trend = 'R' THEN 'Price drop' WHEN trend = 'N' THEN 'up' END AS trend,
+  CASE WHEN seq % 3 = 0 THEN 'fwd' WHEN seq % 3 = 1 THEN 'awd' END AS drive_type, CASE WHEN seq % 5 < 3 THEN 'gas' ELSE 'diesel ' END AS fuel_type, CASE WHEN seq % 4 = 0 THEN '' ELSE 'none' END AS electrification_level,
+  CASE WHEN mileage > 20000 THEN 'dealer' ELSE 'private' END AS seller_type, CASE WHEN price % 2 = 0 THEN 'site a' ELSE 'site b' END AS source_name,
+  CASE WHEN seq % 6 > 0 THEN CAST(seq % 100 AS DOUBLE) / 100 END AS sentiment_score, CASE WHEN seq % 2 = 0 THEN seq % 9 END AS sentiment_comment_count, CASE WHEN seq % 3 = 0 THEN seq % 4 END AS sentiment_video_count,
+  CASE WHEN seq % 7 > 0 THEN 100 + seq % 200 END AS engine_hp, 4 + seq % 3 * 2 AS engine_cylinders, seq % 5 AS total_recalls, seq % 11 AS total_complaints
+FROM {price_history} h JOIN {identity} i ON h.vin = i.vin
+"""
+_A03_FULL = "WITH h AS (" + _HISTORY + """),
+a AS (SELECT *, date_trunc('month', history_date)::DATE AS month_start, greatest(date_diff('day', make_date(model_year::BIGINT, 1, 1), history_date) / 30.4375, 0) AS age FROM h),
+""" + ",\n".join(f"m_{c} AS (SELECT canonical_make, month_start, v, row_number() OVER (PARTITION BY canonical_make, month_start ORDER BY (v IS NULL)::INT, count(*) DESC, v) AS rn FROM (SELECT canonical_make, month_start, nullif(upper(trim({c})), '') AS v FROM a) GROUP BY 1, 2, 3)" for c in cohort.PANEL_MODES) + """
+SELECT a.canonical_make, a.month_start, median(price) AS median_price, count(*) AS volume, """ + ", ".join(f"coalesce(max(m_{c}.v), 'UNKNOWN') AS mode_{c}" for c in cohort.PANEL_MODES) + """,
+  round(avg(age), 6) AS avg_vehicle_age_months, round(avg(mileage / greatest(age / 12, 0.25)), 4) AS avg_miles_per_year, round(avg(CASE WHEN regexp_matches(lower(coalesce(trend, '')), 'down|drop|decrease') THEN 1 ELSE 0 END), 6) AS avg_price_down,
+  round(avg(sentiment_score), 6) AS avg_sentiment_score, round(avg(coalesce(sentiment_comment_count, 0)), 6) AS avg_sentiment_comment_count, round(avg(coalesce(sentiment_video_count, 0)), 6) AS avg_sentiment_video_count,
+  median(engine_hp) AS median_engine_hp, median(engine_cylinders) AS median_engine_cylinders, median(total_recalls) AS median_total_recalls, median(total_complaints) AS median_total_complaints
+FROM a """ + " ".join(f"JOIN m_{c} ON m_{c}.canonical_make = a.canonical_make AND m_{c}.month_start = a.month_start AND m_{c}.rn = 1" for c in cohort.PANEL_MODES) + " GROUP BY 1, 2"
+
+
+@query("a03_full_panel", _A03_FULL)
+def a03_full(m):
+    """All statistics of the panel, over a history with its further columns."""
+    history = m.spark.sql(_HISTORY.replace("{price_history} h", "{h} h").replace("{identity} i", "{i} i"), h=m.price_history, i=m.identity)
+    panel = cohort.full_panel(history, COHORT)
+    rounded = {f"avg_{c}": 4 if c == "miles_per_year" else 6 for c in cohort.PANEL_MEANS}
+    return panel.select("canonical_make", "month_start", "median_price", "volume", *[f"mode_{c}" for c in cohort.PANEL_MODES], *[F.round(c, n).alias(c) for c, n in rounded.items()], *[f"median_{c}" for c in cohort.PANEL_MEDIANS])
+
+
 @query("p17_column_kinds", "SELECT * FROM (VALUES ('p_partkey', 'numeric'), ('p_size', 'numeric'), ('p_retailprice', 'numeric'), ('p_brand', 'low'), ('p_name', 'high')) v(name, kind) WHERE name <> 'p_brand' OR (SELECT count(DISTINCT p_brand) FROM part) <= 50")
 def p17(m):
     """Numeric columns, and texts with at most and with more than 50 values."""

@@ -3,14 +3,13 @@
 from __future__ import annotations
 
 import datetime
-import uuid
 
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ledgerline.operators import artifacts, cohort, encoders, features, forecast, kpi, models, search, seasonal
 from ledgerline.plans.registry import query
-from ledgerline.session import shared_folder
+from ledgerline.session import new_folder
 from ledgerline.sources import samples
 from ledgerline.streaming import changes
 
@@ -220,4 +219,4 @@ def t02(m):
 
 def _folder(spark) -> str:
     """A new folder that driver and executors share."""
-    return f"{shared_folder(spark)}/stream-{uuid.uuid4().hex[:12]}"
+    return new_folder(spark, "stream")

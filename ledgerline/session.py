@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -42,6 +44,27 @@ def shared_folder(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+_made: list[tuple[SparkSession, str]] = []
+
+
+def new_folder(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder, deleted when the driver's Python ends."""
+    path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex[:12]}"
+    _made.append((spark, path))
+    return path
+
+
+@atexit.register
+def _delete_folders() -> None:
+    for spark, path in _made:
+        try:
+            at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+        except Exception:  # the session may be gone; its folder goes with it
+            continue
+    _made.clear()
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """df.checkpoint() into the shared folder."""
     spark = df.sparkSession
