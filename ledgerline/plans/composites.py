@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ledgerline.functions import numbers, text
-from ledgerline.operators import cleaning, features, history, identity, kpi, outliers, sentiment, workqueue
+from ledgerline.operators import aspects, cleaning, features, history, identity, kpi, outliers, sentiment, workqueue
 from ledgerline.plans.registry import query
 from ledgerline.sources import samples, upserts
 
@@ -111,6 +111,18 @@ def x06(m):
     return m.comments.select("comment_id", *[c.alias(n) for n, c in sentiment.lexicon_scores(F.col("text")).items()])
 
 
+@query("x06_fitted_aspects")
+def x06_fitted(m):
+    """Aspects learnt from the labelled documents (good or poor, decent or toxic),
+    scored by chunks and put together for every document."""
+    known = m.documents.join(m.labels, "doc_id")
+    labelled = known.select("doc_id", "text", F.col("quality").alias("quality_positive"), (1 - F.col("quality")).alias("quality_negative"), (1 - F.col("toxic")).alias("tone_positive"), F.col("toxic").alias("tone_negative"))
+    cut = labelled.select("doc_id", F.explode(sentiment.chunks(F.col("text"))).alias("text"), *[c for c in labelled.columns if "_" in c and c != "doc_id"])
+    model = aspects.fit_aspects(cut, key="doc_id", aspects=("quality", "tone"))
+    scored = aspects.score_comments(m.documents.select("doc_id", "text"), model, "doc_id", aspects=("quality", "tone"))
+    return scored.select("doc_id", *[F.round(c, 6).alias(c) if dict(scored.dtypes)[c] == "double" else c for c in scored.columns if c != "doc_id"])
+
+
 _SCORED = "SELECT doc_id, d.source AS entity, DATE '2026-01-01' + CAST(doc_id % 90 AS INT) AS published_at, 1 + log10(n_chars + 1) AS weight, CASE WHEN doc_id % 5 = 0 THEN NULL ELSE l.quality - 0.5 END AS reliability_sentiment, CASE WHEN doc_id % 3 = 0 THEN NULL ELSE 0.5 - l.toxic END AS value_sentiment FROM documents d JOIN labels l USING (doc_id)"
 
 
