@@ -23,7 +23,7 @@ from ledgerline.session import cut_lineage
 
 SIDES = ("positive", "negative")
 #: Slots of words and of pairs; rows that a model is fitted on at most.
-SLOTS, MOST_ROWS = 1 << 15, 20_000
+SLOTS, MOST_ROWS = 1 << 13, 20_000
 
 
 def features(text_col: str = "text") -> list:
@@ -62,7 +62,7 @@ def weak_labels(chunks: DataFrame, text_col: str = "text", lexicon: dict[str, tu
 class AspectModel:
     """Shared feature stages, and a regression or the constant share of 1 for
     each label; held_out has rows, positives and the area under the curve of each
-    label on rows that the figures' fit did not see."""
+    label on rows that the fit did not see."""
 
     stages: PipelineModel
     scorers: dict[str, PipelineModel | float]
@@ -71,21 +71,21 @@ class AspectModel:
 
 def fit_aspects(labelled: DataFrame, text_col: str = "text", key: str | None = None, aspects: tuple[str, ...] = sentiment.ASPECTS, most_rows: int = MOST_ROWS, penalty: float = 0.01) -> AspectModel:
     """Fit on at most most_rows rows, chosen by a hash of the text. A fifth of
-    the keys (texts without one) is held out for the figures; the model itself
-    is then fitted on all of the sample. A label of one value only is that value."""
+    the keys (texts without one) is held out for the figures. A label of one
+    value only is that value."""
     names = [f"{a}_{s}" for a in aspects for s in SIDES]
     ident = F.xxhash64(F.coalesce(F.col(key).cast("string"), F.lit("")) if key else F.col(text_col))
     rows = labelled.where(F.col(text_col).isNotNull() & (F.greatest(*names).isNotNull())).select(text_col, *names, ident.alias("__id"))
     rows = rows.orderBy("__id", F.xxhash64(text_col)).limit(most_rows)
     stages = Pipeline(stages=features(text_col)).fit(rows)
-    # the limit leaves one partition; the fits share the rows among tasks
-    made = cut_lineage(stages.transform(rows.repartition(8, "__id")).select("__x", "__id", *names))
+    # the rows are few: a fit is many short jobs, each better with few tasks
+    made = cut_lineage(stages.transform(rows.repartition(2, "__id")).select("__x", "__id", *names)).persist()
     apart = F.pmod(F.col("__id"), F.lit(5)) == 0
     scorers: dict[str, PipelineModel | float] = {}
     held: dict[str, tuple[int, int, float | None]] = {}
     for name in names:
         own = made.where(F.col(name).isNotNull()).withColumn("label", F.col(name).cast("double"))
-        fit = lambda d, n=name: Pipeline(stages=[LogisticRegression(featuresCol="__x", labelCol="label", predictionCol=f"__{n}_y", probabilityCol=f"__{n}_p", rawPredictionCol=f"__{n}_r", regParam=penalty, maxIter=25)]).fit(d)
+        fit = lambda d, n=name: Pipeline(stages=[LogisticRegression(featuresCol="__x", labelCol="label", predictionCol=f"__{n}_y", probabilityCol=f"__{n}_p", rawPredictionCol=f"__{n}_r", regParam=penalty, maxIter=15)]).fit(d)
         seen = own.groupBy(apart.alias("a")).agg(F.count("*").alias("n"), F.sum("label").alias("s")).collect()
         parts = {r["a"]: (r["n"], r["s"]) for r in seen}
         total, ones = sum(n for n, _ in parts.values()), sum(s for _, s in parts.values())
@@ -93,9 +93,10 @@ def fit_aspects(labelled: DataFrame, text_col: str = "text", key: str | None = N
             scorers[name], held[name] = (ones / total if total else 0.0), (0, 0, None)
             continue
         both = [0 < s < n for n, s in (parts.get(True, (0, 0)), parts.get(False, (0, 0)))]
-        area = BinaryClassificationEvaluator(labelCol="label", rawPredictionCol=f"__{name}_r").evaluate(fit(own.where(~apart)).transform(own.where(apart))) if all(both) else None
-        held[name] = (*map(int, parts.get(True, (0, 0))), area)
-        scorers[name] = fit(own)
+        model = fit(own.where(~apart) if all(both) else own)
+        area = BinaryClassificationEvaluator(labelCol="label", rawPredictionCol=f"__{name}_r").evaluate(model.transform(own.where(apart))) if all(both) else None
+        held[name], scorers[name] = (*map(int, parts.get(True, (0, 0))), area), model
+    made.unpersist()
     return AspectModel(stages, scorers, held)
 
 
@@ -119,9 +120,4 @@ def score_comments(comments: DataFrame, model: AspectModel, key: str, text_col:
     """(key, mentioned, confidence and sentiment of each aspect): comments are
     cut into chunks, scored, and put together by comment_aspects()."""
     cut = comments.select(key, F.explode_outer(sentiment.chunks(F.col(text_col))).alias(text_col))
-    scored = score_chunks(cut, model, aspects)
-    parts = [sentiment.comment_aspects(scored, key, a) for a in aspects]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.join(p, key)
-    return out
+    return sentiment.comment_aspects(score_chunks(cut, model, aspects), key, *aspects)

@@ -130,12 +130,16 @@ def lexicon_scores(c: Column) -> dict[str, Column]:
     return out
 
 
-def comment_aspects(chunked: DataFrame, key: str, aspect: str) -> DataFrame:
+def comment_aspects(chunked: DataFrame, key: str, *aspects: str) -> DataFrame:
     """Chunk scores to comment scores: mentioned if any chunk is, the highest
-    confidence, the sentiment weighted by confidence."""
+    confidence, the sentiment weighted by confidence. All aspects are one pass."""
+    return chunked.groupBy(key).agg(*[c for a in aspects for c in _aspect_sums(a)])
+
+
+def _aspect_sums(aspect: str) -> list[Column]:
     s, conf = F.col(f"{aspect}_sentiment"), F.col(f"{aspect}_confidence")
     weight = F.when(s.isNotNull(), conf)
-    return chunked.groupBy(key).agg(F.max(F.col(f"{aspect}_mentioned")).alias(f"{aspect}_mentioned"), F.max(conf).alias(f"{aspect}_confidence"), F.try_divide(F.sum(s * weight), F.nullif(F.sum(weight), F.lit(0.0))).alias(f"{aspect}_sentiment"))
+    return [F.max(F.col(f"{aspect}_mentioned")).alias(f"{aspect}_mentioned"), F.max(conf).alias(f"{aspect}_confidence"), F.try_divide(F.sum(s * weight), F.nullif(F.sum(weight), F.lit(0.0))).alias(f"{aspect}_sentiment")]
 
 
 def apply_weights(df: DataFrame, likes: str = "like_count", words_of: str = "text") -> DataFrame:

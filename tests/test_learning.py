@@ -364,23 +364,24 @@ def test_aspects_are_learnt_from_cues_and_scored_by_chunks(spark):
     about = {"reliability_positive": "started every winter morning", "reliability_negative": "towed twice to the garage", "comfort_positive": "seats hug you on trips", "comfort_negative": "every bump hurts my back"}
     cue = {k: sentiment.LEXICON[k.split("_")[0]][k.endswith("negative")].split() for k in about}
     rows = []
-    for i in range(900):
+    for i in range(480):
         k = list(about)[i % 4]
         filler = " ".join(r.choice(["car", "it", "the", "was", "bought", "mine", "year"], 6))
         rows.append((i, f"{filler} {about[k]} {r.choice(cue[k])}"))
     df = spark.createDataFrame(rows, "id long, text string")
     weak = aspects.weak_labels(df)
     counts = weak.agg(F.sum("reliability_positive"), F.sum("reliability_negative"), F.count_if(F.col("value_positive") == 0)).first()
-    assert tuple(counts) == (225, 225, 900)
-    model = aspects.fit_aspects(weak)
-    assert all(area > 0.95 and n > 100 for name, (n, _, area) in model.held_out.items() if name in about)
+    assert tuple(counts) == (120, 120, 480)
+    which = ("reliability", "comfort", "value")
+    model = aspects.fit_aspects(weak, aspects=which)
+    assert all(area > 0.95 and n > 60 for name, (n, _, area) in model.held_out.items() if name in about)
     assert model.scorers["value_positive"] == 0.0
     asked = [(1, "my neighbour said it started every winter morning"), (2, "they had it towed twice to the garage."), (3, "seats hug you on trips. " + "filler word here. " * 30 + "towed twice to the garage"), (4, None), (5, ""), (2, "they had it towed twice to the garage.")]
-    got = {x.id: x for x in aspects.score_comments(spark.createDataFrame(asked, "id long, text string"), model, "id").collect()}
+    got = {x.id: x for x in aspects.score_comments(spark.createDataFrame(asked, "id long, text string"), model, "id", aspects=which).collect()}
     assert got[1].reliability_mentioned and got[1].reliability_sentiment > 0.3 and not got[1].comfort_mentioned
     assert got[2].reliability_sentiment < -0.3
     assert got[3].reliability_mentioned and got[3].comfort_mentioned and got[3].reliability_sentiment < 0 < got[3].comfort_sentiment
     assert not got[4].reliability_mentioned and got[4].reliability_sentiment is None and got[5].reliability_confidence == 0 and not got[1].value_mentioned
     cut = spark.createDataFrame(asked, "id long, text string").select("id", F.explode(sentiment.chunks(F.col("text"))).alias("text"))
-    scored = aspects.score_chunks(cut, model)
-    assert scored.columns[:2] == ["id", "text"] and scored.exceptAll(aspects.score_chunks(cut.repartition(2), model)).count() == 0
+    scored = aspects.score_chunks(cut, model, which)
+    assert scored.columns[:2] == ["id", "text"] and scored.exceptAll(aspects.score_chunks(cut.repartition(2), model, which)).count() == 0
