@@ -1,6 +1,6 @@
 from __future__ import annotations
 
-import re
+import itertools
 
 import numpy as np
 import pytest
@@ -8,9 +8,11 @@ from tokenizers import Tokenizer
 
 import corpus_pipeline as cp
 from ledgerline.llm import queries
-from ledgerline.llm.decontam import Searcher
+from ledgerline.llm.decontam import normalise
 from ledgerline.llm.toxicity import fit_on_labels
 from tests.llm.conftest import SCHEMA, row, words
+from tests.llm.test_filters import substring_distance
+from tests.llm.test_near_duplicates import find_classes, grams
 
 
 @pytest.fixture(scope="module")
@@ -18,6 +20,7 @@ def folder(spark, tmp_path_factory):
     path = str(tmp_path_factory.mktemp("pipe"))
     docs = [row(i, words(i, 40) + (" vileone grimsu awfulest" if i % 7 == 0 else ""), source="abc"[i % 3]) for i in range(120)]
     docs += [row(200 + i, words(i, 40)) for i in range(1, 4)]
+    docs += [row(210 + i, words(i, 40)[:-1] + "zq") for i in range(8, 11)]  # near copies
     docs += [row(300 + i, words(2000 + i, 30) + " " + words(77, 25), source="b") for i in range(3)]
     docs += [row(400, None), row(401, ""), row(None, words(5000, 30)), row(402, "two words", None, None)]
     spark.createDataFrame(docs, SCHEMA).write.parquet(f"{path}/documents.parquet")
@@ -32,13 +35,15 @@ def test_stages_match_brute_force(spark, folder):
     rows = docs.collect()
     kept = {"toxicity": {(r.doc_id, r.text) for r in rows if model.exceed(model.scores([r.text or ""]))[0, 0] < 0.5}}
     assert not any(r[0] is not None and r[0] % 7 == 0 and r[0] < 120 for r in kept["toxicity"])
-    firsts: dict = {}
-    for d, t in sorted(kept["toxicity"], key=lambda x: (x[0] is None, x[0] or 0)):
-        key = tuple(re.findall(r"\w+", (t or "").lower())) or (d, t)
-        firsts.setdefault(key if d is not None else (d, t), (d, t))
-    kept["near_duplicates"] = set(firsts.values())
-    searcher = Searcher([(1, words(77, 25))], 0.08, 20)
-    kept["decontamination"] = {(d, t) for d, t in kept["near_duplicates"] if not searcher.search(t or "")}
+    told = sorted(kept["toxicity"], key=lambda x: (x[0] is None, x[0] or 0))
+    sets = [grams(t) for _, t in told]
+    links = [(i, j) for i, j in itertools.combinations(range(len(told)), 2) if sets[i] and len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])]
+    roots = find_classes(len(told), links)
+    kept["near_duplicates"] = {x for i, x in enumerate(told) if roots[i] == i}
+    assert len(told) - len(kept["near_duplicates"]) >= 5
+    item = normalise(words(77, 25))
+    kept["decontamination"] = {(d, t) for d, t in kept["near_duplicates"] if substring_distance(item, normalise(t or "")) > int(0.08 * len(item))}
+    assert len(kept["near_duplicates"]) - len(kept["decontamination"]) == 3
     at = docs
     for name, stage in cp.STAGES[:-1]:
         at = stage(spark, at, folder)
@@ -66,5 +71,5 @@ def test_empty_documents(spark, folder):
 
 
 def test_queries_are_registered():
-    assert [n for n in sorted(queries.QUERIES, key=lambda x: int(x[2:].split("_")[0]))] and {int(n[2:].split("_")[0]) for n in queries.QUERIES} == set(range(1, 11))
+    assert [n for n in sorted(queries.QUERIES, key=lambda x: int(x[2:].split("_")[0]))] and {int(n[2:].split("_")[0]) for n in queries.QUERIES} == set(range(1, 14))
     assert set(queries.ORACLES) <= set(queries.QUERIES)
