@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -57,17 +59,26 @@ NON_TRIM_TOKENS = (
 )
 
 
+def once(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value), with value computed once; what a lambda names is computed anew
+    for each entry that it goes over."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def squeeze(c: Column) -> Column:
     """Upper case, anything but A-Z and 0-9 to one blank, trimmed."""
     return F.trim(F.regexp_replace(F.upper(c), "[^A-Z0-9]+", " "))
 
 
+def _known_trim(s: Column, fallback: str = "") -> Column:
+    """A squeezed text, or the fallback for null, empty and unknown ones."""
+    return F.when((s != "") & ~s.isin(*UNKNOWN_TRIM_VALUES), s).otherwise(F.lit(fallback))
+
+
 def normalize_trim(c: Column, fallback: str = "", keep_null: bool = False) -> Column:
     """squeeze(), or the fallback for empty and unknown values; nulls become
     the fallback too, or stay null for columns that mark absence (keep_null)."""
-    s = squeeze(c)
-    known = F.when((s != "") & ~s.isin(*UNKNOWN_TRIM_VALUES), s).otherwise(F.lit(fallback))
-    return F.when(c.isNull(), F.lit(None if keep_null else fallback)).otherwise(known)
+    return F.when(c.isNull(), F.lit(None if keep_null else fallback)).otherwise(_known_trim(squeeze(c), fallback))
 
 
 def normalize_vehicle(c: Column) -> Column:
@@ -115,11 +126,16 @@ def extract_clean_trim(make: Column, model: Column, year: Column, title: Column,
     else its first two words that are neither identity nor stop words, numbers
     or single characters, at most 40 characters; '' without any. Words are
     joined by underscores."""
-    text = normalize_trim(title)
-    known = F.get(F.filter(F.array(*map(F.lit, trims)), lambda t: has_phrase(text, t)), F.lit(0))
     own = F.split(F.concat_ws(" ", squeeze(make), squeeze(model), year.cast("string")), " ")
-    words = F.filter(F.split(text, " "), lambda w: (w != "") & ~F.array_contains(own, w) & ~w.isin(*stopwords) & ~w.rlike("^[0-9]+$") & (F.length(w) > 1))
-    return F.coalesce(F.replace(known, F.lit(" "), F.lit("_")), F.substring(F.array_join(F.slice(words, 1, 2), "_"), 1, 40))
+
+    def rest(text: Column) -> Column:
+        words = once(own, lambda o: F.filter(F.split(text, " "), lambda w: (F.length(w) > 1) & ~w.isin(*stopwords) & ~F.array_contains(o, w) & ~w.rlike("^[0-9]+$")))
+        return F.substring(F.array_join(F.slice(words, 1, 2), "_"), 1, 40)
+
+    def found(text: Column) -> Column:
+        return once(F.concat(F.lit(" "), text, F.lit(" ")), lambda padded: F.coalesce(*[F.when(padded.contains(f" {t} "), t.replace(" ", "_")) for t in trims], rest(text)))
+
+    return once(once(squeeze(title), lambda s: _known_trim(s)), found)
 
 
 def title_trim_proxy(title: Column, make: Column, model: Column, year: Column) -> Column:

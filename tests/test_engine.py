@@ -349,6 +349,12 @@ def test_older_title_rule(spark):
     assert [(r.t, r.got) for r in got] == [(r.t, r.want) for r in got]
 
 
+def test_titles_are_normalised_once_a_row(spark):
+    rows = spark.range(1).select(F.lit("2019 Toyota Tacoma TRD Off-Road").alias("t"), F.lit("Toyota").alias("make"), F.lit("Tacoma").alias("model"), F.lit(2019).alias("y"))
+    plan = rows.select(text.extract_clean_trim(F.col("make"), F.col("model"), F.col("y"), F.col("t")).alias("trim"))._jdf.queryExecution().analyzed().toString()
+    assert plan.count("upper(t#") == 1
+
+
 def test_backoff_waits_for_quota_only():
     waits, tries = [], iter([ValueError("quota"), ValueError("quota"), "done"])
 
