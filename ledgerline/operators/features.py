@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.functions import unwrap_udt
 
 from ledgerline.functions import numbers, text
+from ledgerline.session import cut_lineage
 
 #: Columns that hold the answer, or know it (fixed values).
 ANSWERS = ("price", "price_band", "log_price", "is_high_value", "target_price", "target_change")
@@ -67,10 +68,12 @@ def feature_space(train: DataFrame, stages: list, most_rows: int = 10_000, top:
     """Size of the vectors that the stages make of a training frame: fitted and
     measured on at most most_rows rows in a hash order, projected to all rows.
     A dense vector takes eight bytes a slot, a sparse one twelve an entry. Counts
-    of distinct texts are of the whole frame."""
+    of distinct texts are of the whole frame. The frame is written once, and so
+    is the sample, since the stages read it many times."""
+    train = cut_lineage(train)
     rows = train.count()
     texts = [c for c, t in train.dtypes if t == "string"]
-    sample = train if rows <= most_rows else train.orderBy(F.xxhash64(*train.columns)).limit(most_rows)
+    sample = train if rows <= most_rows else cut_lineage(train.orderBy(F.xxhash64(*train.columns)).limit(most_rows))
     made = Pipeline(stages=stages).fit(sample).transform(sample).select(unwrap_udt("features").alias("v"))
     sparse = F.col("v.type") == 0
     slots = F.when(sparse, F.col("v.size")).otherwise(F.size("v.values"))
