@@ -19,6 +19,8 @@ from ledgerline.operators.trees import Windows, value_bins
 from ledgerline.session import cut_lineage
 
 UNKNOWN = "UNKNOWN"
+#: Values up to which a table of means is broadcast, so that the rows stay where they are.
+MOST_BROADCAST = 100_000
 
 
 class _Stage(Params):
@@ -114,6 +116,8 @@ class SigmoidTargetModel(_Stage, Model, MLWritable, MLReadable):
     def _transform(self, dataset: DataFrame) -> DataFrame:
         out = self.getOrDefault("outputCol")
         found = self.table.select(F.col("value").alias("__value"), F.col("encoded").alias("__encoded"))
+        if not self.table.offset(MOST_BROADCAST).take(1):
+            found = F.broadcast(found)
         joined = dataset.withColumn("__value", self._value()).join(found, "__value", "left")
         return joined.withColumn(out, F.coalesce("__encoded", F.lit(self.getOrDefault("prior")))).drop("__value", "__encoded")
 
