@@ -10,13 +10,19 @@ def _ratio(a: Column, b: Column) -> Column:
     return F.try_divide(a, F.nullif(b, F.lit(0.0)))
 
 
+def _spread(c: Column) -> Column:
+    """Sum of squared deviations from the mean; doubles, as squares of whole
+    numbers' sums outgrow a long."""
+    return F.sum(c.cast("double") * c) - F.sum(c).cast("double") * F.sum(c) / F.count("*")
+
+
 def forecast_metrics(actual: str = "actual", predicted: str = "predicted", naive: str = "naive") -> list[Column]:
     """MAE, RMSE, bias, R2, WAPE, the naive forecast's MAE and WAPE, and skill;
     null where a denominator is 0."""
     e, n = F.col(predicted) - F.col(actual), F.col(naive) - F.col(actual)
     count = F.count("*")
     mae, naive_mae = F.avg(F.abs(e)), F.avg(F.abs(n))
-    spread = F.sum(F.col(actual) * F.col(actual)) - F.sum(actual) * F.sum(actual) / count
+    spread = _spread(F.col(actual))
     return [
         count.alias("n_rows"),
         mae.alias("mae"),
@@ -42,9 +48,9 @@ def kpi_scopes(rows: DataFrame, model: list[str], cohort: list[str], **names: st
 def regression_metrics(actual: str, predicted: str) -> list[Column]:
     """MAE, RMSE, RMSLE (negatives as 0), MAPE, R2."""
     a, p = F.col(actual), F.col(predicted)
-    e, count = p - a, F.count("*")
+    e = p - a
     log = F.log1p(F.greatest(p, F.lit(0.0))) - F.log1p(F.greatest(a, F.lit(0.0)))
-    return [F.avg(F.abs(e)).alias("mae"), F.sqrt(F.avg(e * e)).alias("rmse"), F.sqrt(F.avg(log * log)).alias("rmsle"), F.avg(F.abs(_ratio(e, a.cast("double")))).alias("mape"), (1 - _ratio(F.sum(e * e), F.sum(a * a) - F.sum(a) * F.sum(a) / count)).alias("r2")]
+    return [F.avg(F.abs(e)).alias("mae"), F.sqrt(F.avg(e * e)).alias("rmse"), F.sqrt(F.avg(log * log)).alias("rmsle"), F.avg(F.abs(_ratio(e, a.cast("double")))).alias("mape"), (1 - _ratio(F.sum(e * e), _spread(a))).alias("r2")]
 
 
 def segment_metrics(rows: DataFrame, segments: list[str], actual: str, predicted: str) -> DataFrame:

@@ -13,6 +13,8 @@ from pyspark.ml.feature import ImputerModel, SQLTransformer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ledgerline.session import cut_lineage
+
 #: Bins of an octave: a bin is 1.1 % wide. They depend on no data, so no window
 #: knows of later rows by them.
 _PER_OCTAVE = 64
@@ -148,13 +150,18 @@ def boost_windows(rows: DataFrame, x: Column, width: int, target: Column, group:
     the one of the least input and bin on ties. Only splits reach the driver, at
     most 2^depth for each window and tree. Missing values have a bin of their own
     below all numbers. Windows of fewer than two rows get no model; rows without
-    a target take no part. rows are read once a level, so they should be a table
-    or a checkpoint."""
+    a target take no part. rows are read once: rows of one group class whose
+    inputs all fall into the same bins are met by the same trees, so all levels
+    go over one row for each class and such vector of bins, with its count and
+    sum of targets. Groups with the same windows are one class."""
     n_windows = member.shape[1]
+    member, class_of = np.unique(member, axis=0, return_inverse=True)
     rate, least_rows, l2 = (np.broadcast_to(np.asarray(v, float), n_windows) for v in (rate, least_rows, l2))
-    data = rows.select(group.cast("int").alias("g"), target.cast("double").alias("y"), x.alias("x")).where("y is not null and g is not null")
+    asked = rows.select(group.cast("int").alias("g"), target.cast("double").alias("y"), x.alias("x")).where("y is not null and g is not null")
+    cells = asked.mapInArrow(_binned(class_of.reshape(-1), width), "g int, x array<bigint>, n double, y double")
+    data = cut_lineage(cells.groupBy("g", "x").agg(F.sum("n").alias("n"), F.sum("y").alias("y")))
     n, y = np.zeros(n_windows), np.zeros(n_windows)
-    for r in data.groupBy("g").agg(F.count("*").alias("n"), F.sum("y").alias("y")).collect():
+    for r in data.groupBy("g").agg(F.sum("n").alias("n"), F.sum("y").alias("y")).collect():
         n, y = n + member[r["g"]] * r["n"], y + member[r["g"]] * r["y"]
     model = Windows(depth, np.where(n >= 2, y / np.maximum(n, 1), np.nan), [], [], [])
     by_window = {"least": F.array(*map(F.lit, least_rows.tolist())), "l2": F.array(*map(F.lit, l2.tolist()))}
@@ -186,29 +193,60 @@ def boost_windows(rows: DataFrame, x: Column, width: int, target: Column, group:
     return model
 
 
+def _binned(class_of: np.ndarray, width: int):
+    """(g, x, n, y): count and sum of targets of a batch's rows by the class of
+    their group and the bins of their inputs."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keys = np.column_stack([class_of[batch.column(0).to_numpy()], value_bins(matrix_of(batch.column(2), width))])
+            found, at = np.unique(keys, axis=0, return_inverse=True)
+            n, y = np.bincount(at.reshape(-1), minlength=len(found)), np.bincount(at.reshape(-1), batch.column(1).to_numpy(), len(found))
+            bins = pa.ListArray.from_arrays(pa.array(np.arange(len(found) + 1, dtype=np.int32) * width), pa.array(found[:, 1:].reshape(-1)))
+            yield pa.RecordBatch.from_arrays([pa.array(found[:, 0].astype(np.int32)), bins, pa.array(n.astype(float)), pa.array(y)], ["g", "x", "n", "y"])
+
+    return run
+
+
 def _level_sums(model: Windows, member: np.ndarray, width: int, level: int):
-    """Sums of residuals of a task's rows by (window, node, input, bin)."""
+    """Sums of residuals of a task's cells by (window, node, input, bin)."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tree, fits = len(model.feature) - 1, ~np.isnan(model.base)
         names = ["w", "node", "input", "bin", "n", "s"]
-        step = max(1, (1 << 19) // max(1, len(fits)))
         for batch in batches:
-            for start in range(0, batch.num_rows, step):
-                part = batch.slice(start, step)
-                bins, y = value_bins(matrix_of(part.column(2), width)), part.column(1).to_numpy()
-                row, window = np.nonzero(member[part.column(0).to_numpy()] & fits[None, :])
-                windows = np.broadcast_to(np.arange(len(fits)), (len(y), len(fits)))
-                rest = (y[:, None] - model.predict(bins, windows))[row, window]
-                node = model.nodes(tree, bins, windows, level)[row, window]
-                for f in range(width):
-                    values, where = np.unique(bins[:, f], return_inverse=True)
-                    code = (window * (1 << level) + node - ((1 << level) - 1)) * len(values) + where.reshape(-1)[row]
-                    keys, at = np.unique(code, return_inverse=True)
-                    n, s = np.bincount(at.reshape(-1), minlength=len(keys)), np.bincount(at.reshape(-1), rest, len(keys))
-                    head, bin_ = np.divmod(keys, len(values))
-                    w, node_at = np.divmod(head, 1 << level)
-                    columns = [w.astype(np.int32), (node_at + (1 << level) - 1).astype(np.int32), np.full(len(keys), f, np.int32), values[bin_], n.astype(float), s]
-                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names)
+            groups = batch.column(0).to_numpy()
+            for g in np.unique(groups):
+                own = np.flatnonzero(member[g] & fits)
+                part = batch.filter(pa.array(groups == g))
+                step = max(1, (1 << 19) // max(1, len(own)))
+                for start in range(0, part.num_rows if len(own) else 0, step):
+                    yield sums(part.slice(start, step), own, tree, names)
+
+    def sums(part: pa.RecordBatch, own: np.ndarray, tree: int, names: list[str]) -> pa.RecordBatch:
+        bins = part.column(1).flatten().to_numpy().reshape(-1, width)
+        count, y = part.column(2).to_numpy(), part.column(3).to_numpy()
+        windows = np.broadcast_to(own, (len(y), len(own)))
+        rest = (y[:, None] - count[:, None] * model.predict(bins, windows)).reshape(-1)
+        node = model.nodes(tree, bins, windows, level) - ((1 << level) - 1)
+        head = (np.arange(len(own))[None, :] << level) + node
+        weight = np.repeat(count, len(own))
+        out: list[list[np.ndarray]] = [[] for _ in names]
+        for f in range(width):
+            values, where = np.unique(bins[:, f], return_inverse=True)
+            code = (head * len(values) + where.reshape(-1, 1)).reshape(-1)
+            size = (len(own) << level) * len(values)
+            if size <= 4 * len(code) + 4096:
+                n, s = np.bincount(code, weight, size), np.bincount(code, rest, size)
+                keys = np.flatnonzero(n)
+                n, s = n[keys], s[keys]
+            else:
+                keys, at = np.unique(code, return_inverse=True)
+                n, s = np.bincount(at.reshape(-1), weight, len(keys)), np.bincount(at.reshape(-1), rest, len(keys))
+            at_window, bin_ = np.divmod(keys, len(values))
+            w, node_at = np.divmod(at_window, 1 << level)
+            for column, c in zip(out, [own[w].astype(np.int32), (node_at + (1 << level) - 1).astype(np.int32), np.full(len(keys), f, np.int32), values[bin_], n, s], strict=True):
+                column.append(c)
+        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in out], names)
 
     return run

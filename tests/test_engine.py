@@ -355,6 +355,33 @@ def test_titles_are_normalised_once_a_row(spark):
     assert plan.count("upper(t#") == 1
 
 
+def test_catalog_lists_a_name_once(spark):
+    """Entries alike but for their ids are one entry of the index, with their number."""
+    catalog = spark.range(300).select(F.col("id"), F.lit(2020).alias("year"), F.lit("Ford").alias("make"), F.when(F.col("id") == 299, "F-150").otherwise("Mustang").alias("model"), F.lit("").alias("baseModel"))
+    models = identity.catalog_index(catalog).first()["__models"]
+    assert [(m["m"], m["id"], m["n"]) for m in models] == [("F 150", 299, 1), ("MUSTANG", 0, 299)]
+    rows = spark.createDataFrame([("2020 Ford Mustang GT", "Ford", "Mustang"), ("2020 Ford F-150", "Ford", None), ("2020 Ford Focus", "Ford", "Focus")], "title string, make string, model string").withColumns({"year": F.lit(2020), "trim": F.lit(None).cast("string")})
+    got = {r.title: (r.epa_vehicle_id, r.epa_match_status) for r in identity.parse_titles(rows, catalog).collect()}
+    assert got == {"2020 Ford Mustang GT": (0, "ambiguous_best"), "2020 Ford F-150": (299, "exact"), "2020 Ford Focus": (None, "none")}
+
+
+def test_metrics_of_large_whole_numbers(spark):
+    rows = spark.range(8).select((F.col("id") * 1_000_000_000).alias("a"), (F.col("id") * 1_000_000_000.0 + 1).alias("p"))
+    got = rows.agg(*kpi.regression_metrics("a", "p")).first()
+    assert got.mae == 1.0 and got.r2 == pytest.approx(1.0)
+    got = rows.withColumn("naive", F.col("a")).agg(*kpi.forecast_metrics("a", "p", "naive")).first()
+    assert got.mae == 1.0 and got.naive_mae == 0.0
+
+
+def test_panel_counts_keys_apart(spark):
+    """No buffer of a cohort's statistics is made for each of its keys."""
+    rows = spark.createDataFrame([("a", "x", dt.date(2020, 1, 3), 5, 1), (None, "x", dt.date(2020, 1, 9), 7, None), (None, "y", dt.date(2020, 1, 9), 9, 3), (None, None, dt.date(2020, 1, 9), 9, 3)], "k string, vin string, history_date date, price int, mileage int")
+    panel = cohort.monthly(rows, ["k"])
+    assert {r.k: (r.volume, r.unique_vins, r.median_price) for r in panel.collect()} == {"a": (1, 1, 5.0), None: (3, 2, 9.0)}
+    plan = panel._jdf.queryExecution().optimizedPlan().toString()
+    assert all("count(distinct" not in line and "Expand" not in line for line in plan.splitlines() if "percentile" in line)
+
+
 def test_backoff_waits_for_quota_only():
     waits, tries = [], iter([ValueError("quota"), ValueError("quota"), "done"])
 

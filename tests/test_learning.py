@@ -11,8 +11,9 @@ from pyspark.ml import Pipeline
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
-from ledgerline.operators import artifacts, aspects, encoders, forecast, models, moments, search, seasonal, sentiment
+from ledgerline.operators import artifacts, aspects, encoders, features, forecast, models, moments, search, seasonal, sentiment, trees
 from ledgerline.operators.trees import boost_windows, ensemble_of, value_bins, vector
+from ledgerline.session import cut_lineage
 
 D = datetime.date
 
@@ -132,6 +133,20 @@ def test_windows_with_their_own_parameters(spark, panel):
         assert np.allclose(model.predict(value_bins(x), np.full((len(x), 1), w))[:, 0], want, rtol=1e-9, atol=1e-12)
 
 
+def test_levels_read_one_row_for_like_rows(spark, panel, monkeypatch):
+    """Copies of rows make no more cells, and trees of copies equal plain fits."""
+    rows = panel.where("target_change_1m is not null")
+    many = rows.crossJoin(spark.range(20)).withColumn("g", F.pmod("id", F.lit(4)))
+    read = []
+    monkeypatch.setattr(trees, "cut_lineage", lambda df: read.append(cut_lineage(df)) or read[-1])
+    model = boost_windows(many, vector(NUMERIC), 3, F.col("target_change_1m"), F.col("g"), np.ones((4, 2), bool), 2, 2, 0.3, np.array([5.0, 40.0]))
+    assert sum(r.n for r in read[0].collect()) == many.count() and read[0].count() <= rows.count()
+    local = [r for r in rows.collect() for _ in range(20)]
+    x, y = matrix(local, NUMERIC), np.array([r.target_change_1m for r in local])
+    for w, least in enumerate((5, 40)):
+        assert np.allclose(model.predict(value_bins(x), np.full((len(x), 1), w))[:, 0], plain_boost(x, y, 2, 2, 0.3, least)(x), rtol=1e-9, atol=1e-12)
+
+
 def test_bins_keep_the_order_of_numbers():
     x = np.array([-1e9, -5.0, -1.0, -1e-3, 0.0, 1e-3, 0.5, 1.0, 1.02, 7.0, 1e9])
     bins = value_bins(x)
@@ -235,6 +250,33 @@ def cars(spark):
     return spark.createDataFrame([*rows, (999, 1.0, "a", "m1", None)], "vin long, miles double, kind string, model string, price double")
 
 
+def test_few_means_leave_rows_in_place(spark):
+    rows = spark.range(100).select((F.col("id") % 5).cast("string").alias("v"), F.col("id").cast("double").alias("y"))
+    made = encoders.SigmoidTarget(inputCol="v", outputCol="e", labelCol="y").fit(rows).transform(rows)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = made.select("v", "e")._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
+
+
+def test_feature_space_reads_its_frame_once(spark, monkeypatch):
+    kept = []
+    monkeypatch.setattr(features, "cut_lineage", lambda df: kept.append(cut_lineage(df)) or kept[-1])
+    rows = spark.range(500).select((F.col("id") % 7).cast("double").alias("a"), (F.col("id") % 3).cast("string").alias("b"), F.col("id").cast("double").alias("label"))
+    found = features.feature_space(rows, models.preprocessor(["a"], ["b"]), most_rows=100)
+    assert [k.count() for k in kept] == [500, 100] and found["profile_rows"] == 100 and found["training_rows"] == 500
+
+
+def test_panel_of_the_queries_is_written_once(spark):
+    from ledgerline.plans import learning
+    from ledgerline.views import Market
+
+    plan = learning._panel(Market(spark, "/root/testdata/sf0.001"))._jdf.queryExecution().optimizedPlan().toString()
+    assert "percentile" not in plan and "lineitem" not in plan and "LogicalRDD" in plan
+
+
 def test_search_errors_equal_refitting(spark, cars):
     stages = encoders.price_stages(["miles"], ["kind"], ["model"])
     found = search.grouped_search(cars, stages, "price", "vin", ("ridge", "gbt"), most_sets=2)
