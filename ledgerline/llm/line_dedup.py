@@ -4,7 +4,7 @@
    and written once, bucketed by the hash, so that no later step moves texts
    which it does not compare.
 2. A line's shingles are the runs of `width` characters from every character of
-   the lower-cased line. Their hashes are made 16 at a time as columns of one
+   the lower-cased line. Their hashes are made 32 at a time as columns of one
    row, minima of them under XOR permutations give the bands.
 3. Lines that share a band are compared exactly, by the Jaccard similarity of
    their full shingle sets: first each with its bucket's smallest line, then in
@@ -27,7 +27,7 @@ from ledgerline.llm.common import connected_components, materialize, scratch, sh
 #: Lines of a block in the exact comparison, on average.
 BLOCK = 64
 #: Shingles whose hashes are columns of one row, and shingles of a segment that is cut into such rows.
-_ROW, _SEGMENT = 16, 256
+_ROW, _SEGMENT = 32, 256
 #: Bands that are shuffled together.
 _BANDS = 4
 #: White space that does not count at a line's ends.
@@ -72,7 +72,7 @@ def _shingles(points: Column, width: int) -> Column:
 
 def shingle_hashes(line: Column, width: int = 5) -> Column:
     """Distinct hashes of the line's shingles: `width` characters from every one."""
-    return _once(_points(line), lambda p: F.array_distinct(F.transform(F.sequence(F.lit(0), _shingles(p, width) - 1), lambda i: F.xxhash64(F.substring(p, 4 * i + 1, F.lit(4 * width))))))
+    return F.array_distinct(_once(_points(line), lambda p: F.transform(F.sequence(F.lit(1), 4 * _shingles(p, width) - 3, F.lit(4)), lambda i: F.xxhash64(F.substring(p, i, F.lit(4 * width))))))
 
 
 def _signed(lines: DataFrame, key: str, minima: int, width: int) -> DataFrame:
@@ -124,21 +124,16 @@ def _near(a: Column, b: Column, threshold: Fraction) -> Column:
     return (d * F.size(a) >= n * F.size(b)) & (d * F.size(b) >= n * F.size(a)) & ((n + d) * F.size(F.array_intersect(a, b)) >= n * (F.size(a) + F.size(b)))
 
 
-def _reached(own: Column, others: Column, threshold: Fraction) -> Column:
-    """Distinct roots, other than its own, of the others that a member is near
-    to; a root that is reached needs no further comparison. Members are structs
-    (k1, root, grams)."""
-    start = F.array().cast("array<bigint>")
-    return F.aggregate(others, start, lambda acc, y: F.when((y["root"] == own["root"]) | F.array_contains(acc, y["root"]), acc).when(_near(own["grams"], y["grams"], threshold), F.array_append(acc, y["root"])).otherwise(acc))
-
-
 def _with_grams(members: Column, width: int) -> Column:
     return F.transform(members, lambda m: F.struct(m["k1"].alias("k1"), m["root"].alias("root"), shingle_hashes(m["line"], width).alias("grams")))
 
 
-def _edges(members: Column, others: Column) -> Column:
-    """(src, dst) of what the members reach in the others."""
-    return F.flatten(F.transform(members, lambda m: F.transform(others(m), lambda r: F.struct(m["root"].alias("src"), r.alias("dst")))))
+def _near_pairs(pairs: DataFrame, threshold: Fraction) -> DataFrame:
+    """(src, dst): roots of the pairs (a, b), structs (k1, root, grams), of two
+    components that are near. Pairs are rows, as Spark compiles the comparison of
+    rows but interprets one inside a lambda."""
+    apart = pairs.where(F.col("a.root") != F.col("b.root")).where(_near(F.col("a.grams"), F.col("b.grams"), threshold))
+    return apart.select(F.col("a.root").alias("src"), F.col("b.root").alias("dst"))
 
 
 def _star(pairs: DataFrame, lines: DataFrame, threshold: Fraction, width: int) -> DataFrame:
@@ -153,15 +148,21 @@ def _star(pairs: DataFrame, lines: DataFrame, threshold: Fraction, width: int) -
     return sets.select(F.explode(near).alias("src"), F.col("hub").alias("dst"))
 
 
-def _apart(keyed: DataFrame, links: DataFrame, least: int) -> tuple[DataFrame, DataFrame]:
+def _merged(classes: DataFrame, links: DataFrame) -> DataFrame:
+    """The components (node, root), joined by links between their roots: only the
+    roots that are linked go through union-find again."""
+    joined = materialize(connected_components(links), "merged")
+    old = classes.join(joined.toDF("root", "__root"), "root", "left").select("node", F.coalesce("__root", "root").alias("root"))
+    return old.unionByName(joined).distinct()  # a line that had no component yet is its own root
+
+
+def _apart(keyed: DataFrame, classes: DataFrame, least: int) -> DataFrame:
     """Of the buckets with at least `least` lines, of more than one component: the
-    lines (band, k1, root, top: the bucket's largest component, n: its lines) and
-    all components (node, root)."""
-    classes = materialize(connected_components(links), "components")
+    lines (band, k1, root, top: the bucket's largest component, n: its lines)."""
     rooted = keyed.join(classes.withColumnRenamed("node", "k1"), "k1", "left").withColumn("root", F.coalesce("root", "k1"))
     counted = rooted.groupBy("band", "root").agg(F.count("*").alias("n")).groupBy("band").agg(F.max(F.struct("n", "root"))["root"].alias("top"), F.sum("n").alias("n"), F.count("*").alias("roots"))
     open_ = counted.where((F.col("roots") > 1) & (F.col("n") >= least)).drop("roots")
-    return materialize(rooted.join(open_, "band"), "apart"), classes
+    return materialize(rooted.join(open_, "band"), "apart")
 
 
 def _blocks(apart: DataFrame, lines: DataFrame, threshold: Fraction, width: int) -> DataFrame:
@@ -170,12 +171,15 @@ def _blocks(apart: DataFrame, lines: DataFrame, threshold: Fraction, width: int)
     with every other block."""
     dealt = apart.withColumn("blocks", F.ceil(F.col("n") / BLOCK)).withColumn("block", F.pmod(F.xxhash64("k1"), F.col("blocks"))).join(lines.select("k1", "line"), "k1")
     member = F.struct("k1", "root", "line")
-    whole = materialize(dealt.groupBy("band", "block", "blocks").agg(F.collect_list(member).alias("members"), F.collect_list(F.when(F.col("root") != F.col("top"), member)).alias("strays")), "blocks")
-    inner = whole.select(_once(_with_grams(F.col("members"), width), lambda m: _edges(m, lambda own: _reached(own, m, threshold))).alias("edges"))
+    whole = materialize(dealt.groupBy("band", "block", "blocks", "top").agg(F.collect_list(member).alias("members"), F.collect_list(F.when(F.col("root") != F.col("top"), member)).alias("strays")), "blocks")
+    inner = whole.select(_with_grams(F.col("members"), width).alias("m")).select("m", F.posexplode_outer("m").alias("i", "a"))
+    inner = inner.select("a", F.explode_outer(F.slice("m", F.col("i") + 2, F.size("m"))).alias("b"))
     right = whole.select("band", F.col("block").alias("other"), F.col("members").alias("others"))
-    left = whole.where((F.col("blocks") > 1) & (F.size("strays") > 0)).select("band", "block", "strays", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("other")).where("other != block")
-    across = left.join(right, ["band", "other"]).select(_once(_with_grams(F.col("strays"), width), lambda s: _once(_with_grams(F.col("others"), width), lambda o: _edges(s, lambda own: _reached(own, o, threshold)))).alias("edges"))
-    return inner.unionByName(across).select(F.inline("edges"))
+    left = whole.where((F.col("blocks") > 1) & (F.size("strays") > 0)).select("band", "block", "top", "strays", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("other")).where("other != block")
+    sets = left.join(right, ["band", "other"]).select("top", (F.col("block") < F.col("other")).alias("first"), _with_grams(F.col("strays"), width).alias("s"), _with_grams(F.col("others"), width).alias("o"))
+    across = sets.select("top", "first", "o", F.explode_outer("s").alias("a")).select("top", "first", "a", F.explode_outer("o").alias("b"))
+    across = across.where(F.col("first") | (F.col("b.root") == F.col("top"))).select("a", "b")  # two strays meet once
+    return _near_pairs(inner.unionByName(across), threshold)
 
 
 def line_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, threshold: float = 0.8, minima: int = 60, rows: int = 6, bands: int = 16) -> DataFrame:
@@ -202,15 +206,17 @@ def line_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                 keyed = found if keyed is None else keyed.unionByName(found)
             pairs = keyed.where("k1 != hub").select(F.col("k1").alias("src"), "hub").distinct()
             links = materialize(_star(pairs, table, limit, width), "links")
-            apart, classes = _apart(keyed.select("k1", "band", "far"), links, 3)
+            classes = materialize(connected_components(links), "components")
+            apart = _apart(keyed.select("k1", "band", "far"), classes, 3)
             if not apart.isEmpty():
                 roots = apart.select(F.col("k1").alias("hub"), F.col("root").alias("far_root")).distinct()
                 pairs = apart.where("k1 != far").select(F.col("k1").alias("src"), F.col("far").alias("hub"), "root").join(roots, "hub").where("root != far_root").select("src", "hub").distinct()
-                links = materialize(links.unionByName(_star(pairs, table, limit, width)), "links")
-                apart, classes = _apart(apart.select("k1", "band", "far"), links, 4)
+                own, far = (apart.select(F.col("k1").alias(c), F.col("root").alias(f"{c}_root")).distinct() for c in ("src", "dst"))
+                found = _star(pairs, table, limit, width).join(own, "src").join(far, "dst")
+                classes = materialize(_merged(classes, found.select(F.col("src_root").alias("src"), F.col("dst_root").alias("dst"))), "components")
+                apart = _apart(apart.select("k1", "band", "far"), classes, 4)
             if not apart.isEmpty():
-                tops = classes.select(F.col("node").alias("src"), F.col("root").alias("dst"))
-                classes = connected_components(tops.unionByName(_blocks(apart, table, limit, width)))
+                classes = _merged(classes, _blocks(apart, table, limit, width))
             joined = table.select("k1", "k2", "n", "place").join(classes.withColumnRenamed("node", "k1"), "k1", "left").where("n > 1 or root is not null")
             joined = materialize(joined.withColumn("root", F.coalesce("root", "k1")), "classes")
         kept = joined.groupBy("root").agg(F.min("place").alias("keep"), F.count("*").alias("texts"))

@@ -167,6 +167,22 @@ def test_lines_match_brute_force(spark, monkeypatch):
         assert {k: x.dropped for k, x in got.items()} == wanted
 
 
+def test_components_grow_by_links_between_roots(spark):
+    """Components joined by later links are those of all links at once, and only
+    linked roots go through union-find again."""
+    first = [(1, 2), (2, 3), (10, 11), (20, 21), (30, 31)]
+    classes = connected_components(spark.createDataFrame(first, "src long, dst long"))
+    merged = line_dedup._merged(classes, spark.createDataFrame([(10, 1), (40, 20), (41, 40)], "src long, dst long"))
+    want = {1: 1, 2: 1, 3: 1, 10: 1, 11: 1, 20: 20, 21: 20, 40: 20, 41: 20, 30: 30, 31: 30}
+    assert sorted((x.node, x.root) for x in merged.collect()) == sorted(want.items())
+
+
+def test_a_pair_of_lines_is_compared_once(spark):
+    member = "struct<k1: long, root: long, grams: array<bigint>>"
+    pairs = spark.createDataFrame([((1, 1, [1, 2, 3, 4, 5]), (2, 2, [1, 2, 3, 4, 5])), ((1, 1, [1, 2, 3, 4]), (3, 3, [1, 2, 9, 8])), ((4, 1, [1, 2]), (5, 1, [1, 2]))], f"a {member}, b {member}")
+    assert [tuple(x) for x in line_dedup._near_pairs(pairs, line_dedup.Fraction(4, 5)).collect()] == [(1, 2)]
+
+
 def test_chains_within_a_bucket(spark, monkeypatch):
     """Lines that drift apart one change at a time: ends are far from the
     bucket's hubs, so all three comparisons are needed."""
