@@ -95,9 +95,11 @@ def chunks(c: Column, most: int = 45) -> Column:
     sentences = F.filter(F.split(c, r"(?<=[.!?])\s+|\n+"), lambda s: F.trim(s) != "")
 
     def cut(s: Column) -> Column:
-        words = F.split(F.regexp_replace(s, r"^\s+|\s+$", ""), r"\s+")
-        many = F.ceil(F.size(words) / most).cast("int")
-        return F.transform(F.sequence(F.lit(0), many - 1), lambda i: F.struct(F.array_join(F.slice(words, i * most + 1, F.lit(most)), " ").alias("text"), F.least(F.size(words) - i * most, F.lit(most)).alias("n"), (many > 1).alias("whole")))
+        def pieces(words: Column) -> Column:
+            return F.transform(F.sequence(F.lit(0), F.ceil(F.size(words) / most).cast("int") - 1), lambda i: F.struct(F.array_join(F.slice(words, i * most + 1, F.lit(most)), " ").alias("text"), F.least(F.size(words) - i * most, F.lit(most)).alias("n"), (F.size(words) > most).alias("whole")))
+
+        # bound once: a long sentence would be split again for each of its pieces
+        return text.once(F.split(F.regexp_replace(s, r"^\s+|\s+$", ""), r"\s+"), pieces)
 
     def step(acc: Column, p: Column) -> Column:
         starts = p["whole"] | (acc["open"] == 0) | (acc["open"] + p["n"] > most)

@@ -96,7 +96,8 @@ def f13(m):
 
 @query("f14_chunks")
 def f14(m):
-    return m.comments.select("comment_id", F.posexplode(sentiment.chunks(F.col("text"))).alias("chunk", "text"))
+    # the outer form: for the inner one Spark filters by the array's size first, and so cuts each text twice
+    return m.comments.select("comment_id", F.posexplode_outer(sentiment.chunks(F.col("text"))).alias("chunk", "text")).where("chunk is not null")
 
 
 _LEXICON_SQL = "WITH w AS (SELECT doc_id AS comment_id, regexp_split_to_array(lower(text), '[^a-z-]+') AS w FROM documents) SELECT comment_id, " + ", ".join(
@@ -117,7 +118,7 @@ def x06_fitted(m):
     scored by chunks and put together for every document."""
     known = m.documents.join(m.labels, "doc_id")
     labelled = known.select("doc_id", "text", F.col("quality").alias("quality_positive"), (1 - F.col("quality")).alias("quality_negative"), (1 - F.col("toxic")).alias("tone_positive"), F.col("toxic").alias("tone_negative"))
-    cut = labelled.select("doc_id", F.explode(sentiment.chunks(F.col("text"))).alias("text"), *[c for c in labelled.columns if "_" in c and c != "doc_id"])
+    cut = labelled.select("doc_id", F.explode_outer(sentiment.chunks(F.col("text"))).alias("text"), *[c for c in labelled.columns if "_" in c and c != "doc_id"]).where("text is not null")
     model = aspects.fit_aspects(cut, key="doc_id", aspects=("quality", "tone"))
     scored = aspects.score_comments(m.documents.select("doc_id", "text"), model, "doc_id", aspects=("quality", "tone"))
     return scored.select("doc_id", *[F.round(c, 6).alias(c) if dict(scored.dtypes)[c] == "double" else c for c in scored.columns if c != "doc_id"])

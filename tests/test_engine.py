@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ledgerline.functions import dates, nested, numbers, text
 from ledgerline.operators import cleaning, cohort, features, forecast, history, identity, kpi, models, outliers, sentiment, workqueue
+from ledgerline.plans import QUERIES
 from ledgerline.sources import files, samples, upserts
 
 D = dt.date
@@ -432,3 +433,15 @@ def test_feature_space_counts_slots(spark):
     found = features.feature_space(df, models.preprocessor(["x"], ["c"]), most_rows=25)
     assert found["profile_rows"] == 25 and found["training_rows"] == 50 and found["top_cardinality"] == [("c", 2)]
     assert found["width"] >= 3 and found["projected_mb"] == pytest.approx(2 * found["sample_mb"])
+
+
+def plan_of(df):
+    return df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_chunks_split_each_sentence_once(spark, tmp_path):
+    """One split into sentences and one into words, with no filter that repeats them."""
+    spark.createDataFrame([(1, "One two. Three", "a", 3, "en"), (2, None, "a", 0, "en"), (3, "", "a", 0, "en")], "doc_id long, text string, source string, n_chars int, lang string").write.parquet(str(tmp_path / "documents.parquet"))
+    found = QUERIES["f14_chunks"](spark, str(tmp_path))
+    assert plan_of(found).count("split(") == 2
+    assert [tuple(r) for r in found.collect()] == [(1, 0, "One two. Three")]
