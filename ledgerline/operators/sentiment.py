@@ -53,11 +53,12 @@ def vehicle_entity(title: Column) -> Column:
     with a mark, and passes over years and words of marks only."""
     year = F.nullif(F.regexp_extract(title, r"\b(19[89]\d|20[0-2]\d)\b", 1), F.lit(""))
     found = F.coalesce(*[F.when(title.rlike(rf"(?i)\b{m}\b"), F.struct(F.lit(m).alias("make"), F.regexp_extract(title, rf"(?is)\b{m}\b(.*)$", 1).alias("rest"))) for m in MAKES])
-    make, rest = found["make"], found["rest"]
     state = F.struct(F.array().cast("array<string>").alias("words"), F.lit(False).alias("done"))
 
     def step(acc: Column, raw: Column) -> Column:
-        word = F.regexp_replace(raw, r"""^[.,;:!?|()\-–—"'\[\]{}]+|[.,;:!?|()\-–—"'\[\]{}]+$""", "")
+        return text.once(F.regexp_replace(raw, r"""^[.,;:!?|()\-–—"'\[\]{}]+|[.,;:!?|()\-–—"'\[\]{}]+$""", ""), lambda word: after(acc, raw, word))
+
+    def after(acc: Column, raw: Column, word: Column) -> Column:
         skip = (word == "") | word.rlike(r"^(\d{4})$")
         starts, ends = raw.rlike(r"^[-|:/\\–—]"), raw.rlike(r"[-:|.?!–—]$")
         plain = (word == F.lower(word)) & (word != F.upper(word)) & ~word.rlike("[0-9-]")
@@ -65,12 +66,16 @@ def vehicle_entity(title: Column) -> Column:
         take = ~acc["done"] & ~stop & ~skip
         return F.struct(F.when(take, F.array_append(acc["words"], word)).otherwise(acc["words"]).alias("words"), (acc["done"] | stop | (take & ends)).alias("done"))
 
-    words = F.slice(F.aggregate(F.split(F.trim(rest), r"\s+"), state, step)["words"], 1, 3)
-    low = F.lower(make)
-    shown = F.concat(F.upper(F.substring(low, 1, 1)), F.substring(low, 2, 100))
-    for known, name in MAKE_NAMES.items():
-        shown = F.when(low == known, name).otherwise(shown)
-    return F.when(year.isNotNull() & make.isNotNull() & (F.size(words) > 0), F.concat_ws(" ", year, shown, F.array_join(words, " ")))
+    def named(f: Column) -> Column:
+        words = F.slice(F.aggregate(F.split(F.trim(f["rest"]), r"\s+"), state, step)["words"], 1, 3)
+        low = F.lower(f["make"])
+        shown = F.concat(F.upper(F.substring(low, 1, 1)), F.substring(low, 2, 100))
+        for known, name in MAKE_NAMES.items():
+            shown = F.when(low == known, name).otherwise(shown)
+        return text.once(words, lambda w: F.when(F.size(w) > 0, F.concat_ws(" ", year, shown, F.array_join(w, " "))))
+
+    # bound once: the makes would be sought again, and the words walked again, for each of their uses
+    return F.when(year.isNotNull(), text.once(found, named))
 
 
 def clean_comment(c: Column) -> Column:

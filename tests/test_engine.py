@@ -445,3 +445,10 @@ def test_chunks_split_each_sentence_once(spark, tmp_path):
     found = QUERIES["f14_chunks"](spark, str(tmp_path))
     assert plan_of(found).count("split(") == 2
     assert [tuple(r) for r in found.collect()] == [(1, 0, "One two. Three")]
+
+
+def test_entities_walk_the_words_once(spark):
+    rows = spark.createDataFrame([("2024 Toyota Camry Hybrid Review",), ("2024 Toyota",), ("Toyota Camry",), (None,)], "t string")
+    found = rows.select(sentiment.vehicle_entity(F.col("t")).alias("e"))
+    assert plan_of(found).count("aggregate(") == 1
+    assert [r.e for r in found.collect()] == ["2024 Toyota Camry Hybrid", None, None, None]
