@@ -461,3 +461,12 @@ def test_consensus_joins_no_rows(spark):
     found = identity.consensus(df, confidence="conf", trim="trim", keys=("trim",))
     assert "Join" not in plan_of(found)
     assert sorted(tuple(r) for r in found.collect()) == [(1, "A", "high", None, 11, 2, 4, 3, 2), (2, None, "x", None, 14, 1, 1, 1, 0)]
+
+
+def test_trees_read_few_partitions(spark, monkeypatch):
+    """What the driver gets of each level does not grow with the input's partitions."""
+    seen = []
+    monkeypatch.setattr(models, "Pipeline", lambda stages: type("Fit", (), {"fit": staticmethod(lambda df: seen.append(df.rdd.getNumPartitions()))}))
+    models.fit_routed(spark.range(0, 640, 1, 64).select(F.col("id").alias("price")), [], "price", threshold=300)
+    assert len(seen) == 4 and max(seen) <= 2 * spark.sparkContext.defaultParallelism
+    assert models.gathered(spark.range(0, 10, 1, 3)).rdd.getNumPartitions() == 3
