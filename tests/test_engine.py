@@ -383,6 +383,17 @@ def test_panel_counts_keys_apart(spark):
     assert all("count(distinct" not in line and "Expand" not in line for line in plan.splitlines() if "percentile" in line)
 
 
+def test_panel_means_of_scores_are_exact(spark):
+    """A mean that is a half of the sixth place is rounded up in any order of rows."""
+    cents = [73, 10, 62, 97, 33, 4, 0, 18, 84, 75, 60, 97, 94, 47, 40, 98, 2, 34, 62, 25, 93, 52, 68, 69, 87, 12, 24, 72, 70, 89, 93, 33]
+    day, none = F.lit("2020-01-03").cast("date"), F.lit(None).cast("string")
+    scores = [("a", c / 100) for c in cents] + [("b", c / 100) for c in sorted(cents)] + [("huge", 1e30), ("huge", 3e30), ("none", None)]
+    history = spark.createDataFrame(scores, "k string, sentiment_score double").coalesce(1).withColumns({"vin": F.lit("x"), "history_date": day, "price": F.lit(1), "mileage": F.lit(1), "model_year": F.lit(2020), "trend": none})
+    history = history.withColumns({c: none for c in cohort.PANEL_MODES} | {c: F.lit(1) for c in (*cohort.PANEL_MEDIANS, "sentiment_comment_count", "sentiment_video_count")})
+    got = {r.k: r.mean for r in cohort.full_panel(history, ["k"]).select("k", F.round("avg_sentiment_score", 6).alias("mean")).collect()}
+    assert got == {"a": 0.555313, "b": 0.555313, "huge": 2e30, "none": None}
+
+
 def test_backoff_waits_for_quota_only():
     waits, tries = [], iter([ValueError("quota"), ValueError("quota"), "done"])
 
