@@ -10,7 +10,8 @@
    their full shingle sets: first each with its bucket's smallest line, then in
    what is left apart each with the largest, then, in buckets that still hold
    lines of different components, all lines of different components, in blocks
-   of bounded size. A comparison returns the components it joins, never pairs.
+   of bounded size: by sketches first, which rule out most pairs and never a
+   near one. A comparison returns the components it joins, never pairs.
 4. Union-find over the links; each component keeps the line that comes first."""
 
 from __future__ import annotations
@@ -28,6 +29,8 @@ from ledgerline.llm.common import connected_components, materialize, scratch, sh
 BLOCK = 64
 #: Shingles whose hashes are columns of one row, and shingles of a segment that is cut into such rows.
 _ROW, _SEGMENT = 32, 256
+#: Words of 64 bits in the sketch of a set, a power of two.
+_WORDS = 16
 #: Bands that are shuffled together.
 _BANDS = 4
 #: White space that does not count at a line's ends.
@@ -124,12 +127,8 @@ def _near(a: Column, b: Column, threshold: Fraction) -> Column:
     return (d * F.size(a) >= n * F.size(b)) & (d * F.size(b) >= n * F.size(a)) & ((n + d) * F.size(F.array_intersect(a, b)) >= n * (F.size(a) + F.size(b)))
 
 
-def _with_grams(members: Column, width: int) -> Column:
-    return F.transform(members, lambda m: F.struct(m["k1"].alias("k1"), m["root"].alias("root"), shingle_hashes(m["line"], width).alias("grams")))
-
-
 def _near_pairs(pairs: DataFrame, threshold: Fraction) -> DataFrame:
-    """(src, dst): roots of the pairs (a, b), structs (k1, root, grams), of two
+    """(src, dst): roots of the pairs (a, b), structs (root, grams), of two
     components that are near. Pairs are rows, as Spark compiles the comparison of
     rows but interprets one inside a lambda."""
     apart = pairs.where(F.col("a.root") != F.col("b.root")).where(_near(F.col("a.grams"), F.col("b.grams"), threshold))
@@ -165,21 +164,47 @@ def _apart(keyed: DataFrame, classes: DataFrame, least: int) -> DataFrame:
     return materialize(rooted.join(open_, "band"), "apart")
 
 
-def _blocks(apart: DataFrame, lines: DataFrame, threshold: Fraction, width: int) -> DataFrame:
-    """Links between components of one bucket: lines are dealt to blocks, all of a
-    block compared, and then the lines outside the bucket's largest component
-    with every other block."""
-    dealt = apart.withColumn("blocks", F.ceil(F.col("n") / BLOCK)).withColumn("block", F.pmod(F.xxhash64("k1"), F.col("blocks"))).join(lines.select("k1", "line"), "k1")
-    member = F.struct("k1", "root", "line")
+def _sketch(grams: Column) -> Column:
+    """The set as bits: a hash flips one of 64 * _WORDS. Two sketches differ in no
+    more bits than the sets in hashes, so many differing bits rule a pair out."""
+    flip = lambda acc, g: acc.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), g.bitwiseAND(F.lit(63).cast("long")).cast("int")))
+    own = lambda w: F.filter(grams, lambda g: F.shiftright(g, 6).bitwiseAND(F.lit(_WORDS - 1).cast("long")) == w)
+    return F.transform(F.sequence(F.lit(0).cast("long"), F.lit(_WORDS - 1).cast("long")), lambda w: F.aggregate(own(w), F.lit(0).cast("long"), flip))
+
+
+def _may_be_near(a: Column, b: Column, threshold: Fraction) -> Column:
+    """False only where the sizes and sketches of a and b show that they are not near."""
+    n, d = threshold.numerator, threshold.denominator
+    sized = (d * a["size"] >= n * b["size"]) & (d * b["size"] >= n * a["size"])
+    differing = sum((F.bit_count(a["bits"][i].bitwiseXOR(b["bits"][i])) for i in range(1, _WORDS)), F.bit_count(a["bits"][0].bitwiseXOR(b["bits"][0])))
+    return sized & ((n + d) * differing <= (d - n) * (a["size"] + b["size"]))
+
+
+def _candidates(apart: DataFrame, lines: DataFrame, threshold: Fraction, width: int) -> DataFrame:
+    """The different pairs (src, dst) of one bucket and two components that may be
+    near: lines are dealt to blocks, and those outside the bucket's largest
+    component meet every block, by size and sketch alone. No text is moved, a line
+    is cut up once for all its buckets, and a pair of many buckets comes once."""
+    sketched = apart.select("k1").distinct().join(lines.select("k1", "line"), "k1").select("k1", _once(shingle_hashes(F.col("line"), width), lambda g: F.struct(F.size(g).alias("size"), _sketch(g).alias("bits"))).alias("own"))
+    sketched = materialize(sketched.select("k1", "own.*"), "sketches")
+    dealt = apart.withColumn("blocks", F.ceil(F.col("n") / BLOCK)).withColumn("block", F.pmod(F.xxhash64("k1"), F.col("blocks"))).join(sketched, "k1")
+    member = F.struct("k1", "root", "size", "bits")
     whole = materialize(dealt.groupBy("band", "block", "blocks", "top").agg(F.collect_list(member).alias("members"), F.collect_list(F.when(F.col("root") != F.col("top"), member)).alias("strays")), "blocks")
-    inner = whole.select(_with_grams(F.col("members"), width).alias("m")).select("m", F.posexplode_outer("m").alias("i", "a"))
-    inner = inner.select("a", F.explode_outer(F.slice("m", F.col("i") + 2, F.size("m"))).alias("b"))
     right = whole.select("band", F.col("block").alias("other"), F.col("members").alias("others"))
-    left = whole.where((F.col("blocks") > 1) & (F.size("strays") > 0)).select("band", "block", "top", "strays", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("other")).where("other != block")
-    sets = left.join(right, ["band", "other"]).select("top", (F.col("block") < F.col("other")).alias("first"), _with_grams(F.col("strays"), width).alias("s"), _with_grams(F.col("others"), width).alias("o"))
-    across = sets.select("top", "first", "o", F.explode_outer("s").alias("a")).select("top", "first", "a", F.explode_outer("o").alias("b"))
-    across = across.where(F.col("first") | (F.col("b.root") == F.col("top"))).select("a", "b")  # two strays meet once
-    return _near_pairs(inner.unionByName(across), threshold)
+    left = whole.where(F.size("strays") > 0).select("band", "block", "top", "strays", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("other"))
+    once = lambda a, b: (b["root"] == F.col("top")) | (F.col("block") < F.col("other")) | (F.col("block") == F.col("other")) & (a["k1"] < b["k1"])  # noqa: E731  two strays meet once
+    of = lambda a: F.transform(F.filter("others", lambda b: (a["root"] != b["root"]) & once(a, b) & _may_be_near(a, b, threshold)), lambda b: F.struct(F.least(a["k1"], b["k1"]).alias("src"), F.greatest(a["k1"], b["k1"]).alias("dst")))
+    return left.join(right, ["band", "other"]).select(F.explode(F.flatten(F.transform("strays", of))).alias("pair")).select("pair.*").distinct()
+
+
+def _blocks(apart: DataFrame, lines: DataFrame, threshold: Fraction, width: int) -> DataFrame:
+    """Links between components of one bucket: the candidates, compared in full."""
+    pairs = materialize(_candidates(apart, lines, threshold, width), "candidates")
+    known = apart.select("k1", "root").distinct().join(lines.select("k1", "line"), "k1")
+    side = lambda c, name: known.select(F.col("k1").alias(c), F.struct("k1", "root", "line").alias(name))
+    texts = pairs.join(side("src", "a"), "src").join(side("dst", "b"), "dst")
+    grams = lambda m: F.struct(F.col(f"{m}.root").alias("root"), shingle_hashes(F.col(f"{m}.line"), width).alias("grams")).alias(m)
+    return _near_pairs(texts.select(grams("a"), grams("b")), threshold)
 
 
 def line_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, threshold: float = 0.8, minima: int = 60, rows: int = 6, bands: int = 16) -> DataFrame:

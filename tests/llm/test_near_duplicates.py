@@ -183,6 +183,22 @@ def test_a_pair_of_lines_is_compared_once(spark):
     assert [tuple(x) for x in line_dedup._near_pairs(pairs, line_dedup.Fraction(4, 5)).collect()] == [(1, 2)]
 
 
+def test_candidates_of_a_bucket_are_few_and_lose_no_link(spark, monkeypatch):
+    """Far lines of a large bucket are ruled out before any pair is a row, near
+    ones never; a pair that shares many buckets comes once."""
+    monkeypatch.setattr(line_dedup, "BLOCK", 7)
+    pool = [words(5000 + i, 20) for i in range(60)]
+    pool += [x[: len(x) // 2] + "#" + x[len(x) // 2 + 1 :] for x in pool[:20]] + [x[:-3] for x in pool[10:40]] + ["abc", "abd", "x" * 70, "x" * 80]
+    rows = [(band, k, k, 0, len(pool)) for band in (1, 2, 3) for k in range(len(pool))]
+    apart = spark.createDataFrame(rows, "band long, k1 long, root long, top long, n long")
+    lines = spark.createDataFrame(list(enumerate(pool)), "k1 long, line string")
+    sets = [{x.lower()[i : i + 5] for i in range(max(1, len(x) - 4))} for x in pool]
+    near = {(i, j) for j in range(len(pool)) for i in range(j) if 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j])}
+    found = [tuple(x) for x in line_dedup._candidates(apart, lines, line_dedup.Fraction(4, 5), 5).collect()]
+    assert len(found) == len(set(found)) and near <= set(found) and len(found) < 2 * len(near) and len(near) > 40
+    assert {tuple(sorted(x)) for x in line_dedup._blocks(apart, lines, line_dedup.Fraction(4, 5), 5).collect()} == near
+
+
 def test_chains_within_a_bucket(spark, monkeypatch):
     """Lines that drift apart one change at a time: ends are far from the
     bucket's hubs, so all three comparisons are needed."""
