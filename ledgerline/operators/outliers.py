@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -63,17 +65,19 @@ def whole_stats(df: DataFrame, price: str) -> DataFrame:
 
 def contextual_stats(df: DataFrame, price: str, levels: tuple = LEVELS) -> DataFrame:
     """Adds ctx_n, ctx_med, ctx_q1, ctx_q3, ctx_level: of the first level with
-    enough prices, else of all. Groups with a null key match no row."""
-    found = []
-    for i, (keys, least) in enumerate(levels):
-        if not set(keys) <= set(df.columns):
-            continue
-        s = price_stats(df.dropna(subset=list(keys)), price, keys)
-        df = df.join(s.select(*keys, F.when(F.col("n") >= least, F.struct("n", "med", "q1", "q3", F.lit(i + 1).alias("level"))).alias(f"__ctx{i}")), list(keys), "left")
-        found.append(f"__ctx{i}")
+    enough prices, else of all. Groups with a null key match no row. The levels
+    meet in a table of the different keys, so that the rows are joined once."""
+    own = [(keys, least, i + 1) for i, (keys, least) in enumerate(levels) if set(keys) <= set(df.columns)]
+    every = list(dict.fromkeys(k for keys, _, _ in own for k in keys))
     whole = whole_stats(df, price).select(F.struct("n", "med", "q1", "q3", F.lit(0).alias("level")).alias("__whole"))
-    df = df.crossJoin(F.broadcast(whole)).withColumn("__ctx", F.coalesce(*found, F.col("__whole")))
-    return df.withColumns({f"ctx_{f}": F.col(f"__ctx.{f}") for f in ("n", "med", "q1", "q3", "level")}).drop("__ctx", "__whole", *found)
+    groups = df.select(*every).distinct() if every else df.sparkSession.range(1)
+    for keys, least, level in own:
+        s = price_stats(df.dropna(subset=list(keys)), price, keys)
+        groups = groups.join(s.select(*keys, F.when(F.col("n") >= least, F.struct("n", "med", "q1", "q3", F.lit(level).alias("level"))).alias(f"__ctx{level}")), list(keys), "left")
+    groups = groups.crossJoin(F.broadcast(whole)).select(*[F.col(k).alias(f"__{k}") for k in every], F.coalesce(*[f"__ctx{level}" for _, _, level in own], "__whole").alias("__ctx"))
+    same = [F.col(k).eqNullSafe(F.col(f"__{k}")) for k in every]
+    found = df.join(groups, reduce(lambda a, b: a & b, same)) if every else df.crossJoin(F.broadcast(groups))
+    return found.select(*df.columns, *[F.col(f"__ctx.{f}").alias(f"ctx_{f}") for f in ("n", "med", "q1", "q3", "level")])
 
 
 def flag_outliers(df: DataFrame, price: str, levels: tuple = LEVELS) -> DataFrame:

@@ -383,6 +383,27 @@ def test_panel_counts_keys_apart(spark):
     assert all("count(distinct" not in line and "Expand" not in line for line in plan.splitlines() if "percentile" in line)
 
 
+def test_rows_meet_their_price_context_once(spark):
+    """Levels are joined by key, rows once; null keys and prices keep their rows."""
+    rows = [(i, "A", "M" if i % 3 else None, 2000 + i % 2, "T" if i % 4 else None, 10_000 + 10 * i if i % 7 else None) for i in range(120)] + [(999, None, None, None, None, 5)]
+    df = spark.createDataFrame(rows, "vin long, canonical_make string, canonical_model string, canonical_year int, canonical_trim string, price int")
+    flagged = outliers.flag_outliers(df, "price")
+    got = {r.vin: r for r in flagged.collect()}
+    assert len(got) == 121 and flagged.columns[:6] == df.columns
+    for vin, *keys, _ in rows:
+        level = next((n for n, k in ((1, 4), (2, 3), (3, 2)) if None not in keys[:k]), 0)
+        inside = sorted(p for _, *other, p in rows if p is not None and (level == 0 or other[: 5 - level] == keys[: 5 - level]))
+        assert (got[vin].ctx_level, got[vin].ctx_n) == (level, len(inside))
+        assert got[vin].ctx_q1 == inside[int((len(inside) - 1) * 0.25 + 0.5)]
+
+    def joins(node):
+        children = [node.children().apply(i) for i in range(node.children().size())]
+        own = node.nodeName() == "Join" and "vin#" in node.output().toString()
+        return own + sum(map(joins, children))
+
+    assert joins(flagged._jdf.queryExecution().optimizedPlan()) == 1
+
+
 def test_listings_meet_their_context_without_its_texts(spark):
     """The join back is by hashes of the context, and nulls in other places make other contexts."""
     rows = [(1, "2020 Ford Focus SE", "Ford", None, 2020, None), (2, "2020 Ford Focus SE", None, "Ford", 2020, None), (3, None, "Ford", "Focus", None, "SE"), (4, "2020 Ford Focus SE", "Ford", None, 2020, None), (5, None, None, None, None, None), (6, "Ford", "Focus", None, None, "SE")]
