@@ -11,7 +11,9 @@
    what is left apart each with the largest, then, in buckets that still hold
    lines of different components, all lines of different components, in blocks
    of bounded size: by sketches first, which rule out most pairs and never a
-   near one. A comparison returns the components it joins, never pairs.
+   near one. In large buckets a line is first linked to the nearest one of a few
+   blocks, so that few pairs of a dense group are still of two components. A
+   comparison returns the components it joins, never pairs.
 4. Union-find over the links; each component keeps the line that comes first."""
 
 from __future__ import annotations
@@ -63,6 +65,12 @@ def _once(value: Column, use: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), use), F.lit(0))
 
 
+def _held(value: Column) -> Column:
+    """value as a column of its own: Spark does not move a generated one into each
+    of its uses, where it would be computed again."""
+    return F.explode(F.array(value))
+
+
 def _points(line: Column) -> Column:
     """The lower-cased line as four bytes a character."""
     return F.encode(F.lower(line), "UTF-32")
@@ -135,16 +143,23 @@ def _near_pairs(pairs: DataFrame, threshold: Fraction) -> DataFrame:
     return apart.select(F.col("a.root").alias("src"), F.col("b.root").alias("dst"))
 
 
+def _texts(some: DataFrame, lines: DataFrame, key: str) -> DataFrame:
+    """The rows of some with their lines: by hash, so that the texts of all lines
+    are neither moved nor sorted."""
+    return lines.select(key, "line").join(some.hint("shuffle_hash"), key)
+
+
 def _star(pairs: DataFrame, lines: DataFrame, threshold: Fraction, width: int) -> DataFrame:
     """The pairs (src, hub) that are near: a hub's text goes once to each block of
     about BLOCK lines that are compared with it, and is cut up once there."""
     blocks = pairs.groupBy("hub").agg(F.ceil(F.count("*") / BLOCK).alias("blocks"))
     dealt = pairs.join(blocks, "hub").select("src", "hub", F.pmod(F.xxhash64("src"), F.col("blocks")).alias("block"))
     hubs = blocks.select(F.col("hub").alias("src"), "hub", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("block"))
-    texts = dealt.unionByName(hubs).join(lines.select(F.col("k1").alias("src"), "line"), "src")
+    texts = _texts(dealt.unionByName(hubs), lines.withColumnRenamed("k1", "src"), "src")
     sets = texts.groupBy("hub", "block").agg(F.max(F.when(F.col("src") == F.col("hub"), F.col("line"))).alias("own"), F.collect_list(F.when(F.col("src") != F.col("hub"), F.struct("src", "line"))).alias("members"))
-    near = _once(shingle_hashes(F.col("own"), width), lambda g: F.transform(F.filter("members", lambda m: _once(shingle_hashes(m["line"], width), lambda own: _near(own, g, threshold))), lambda m: m["src"]))
-    return sets.select(F.explode(near).alias("src"), F.col("hub").alias("dst"))
+    own = sets.select("hub", "members", _held(shingle_hashes(F.col("own"), width)).alias("g")).select("hub", "g", F.explode("members").alias("m"))
+    rows = own.select("hub", "g", "m.src", _held(shingle_hashes(F.col("m.line"), width)).alias("grams"))
+    return rows.where(_near(F.col("grams"), F.col("g"), threshold)).select("src", F.col("hub").alias("dst"))
 
 
 def _merged(classes: DataFrame, links: DataFrame) -> DataFrame:
@@ -164,47 +179,69 @@ def _apart(keyed: DataFrame, classes: DataFrame, least: int) -> DataFrame:
     return materialize(rooted.join(open_, "band"), "apart")
 
 
-def _sketch(grams: Column) -> Column:
-    """The set as bits: a hash flips one of 64 * _WORDS. Two sketches differ in no
-    more bits than the sets in hashes, so many differing bits rule a pair out."""
-    flip = lambda acc, g: acc.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), g.bitwiseAND(F.lit(63).cast("long")).cast("int")))
-    own = lambda w: F.filter(grams, lambda g: F.shiftright(g, 6).bitwiseAND(F.lit(_WORDS - 1).cast("long")) == w)
-    return F.transform(F.sequence(F.lit(0).cast("long"), F.lit(_WORDS - 1).cast("long")), lambda w: F.aggregate(own(w), F.lit(0).cast("long"), flip))
+def _sketched(lines: DataFrame, width: int) -> DataFrame:
+    """(k1, size, bits) of lines: how many different hashes its set has, and the set
+    as bits: a hash flips one of 64 * _WORDS. Two sketches differ in no more bits
+    than the sets in hashes, so many differing bits rule a pair out. Hashes are
+    rows here, as Spark compiles what it does with rows."""
+    one = F.call_function("shiftleft", F.lit(1).cast("long"), F.col("g").bitwiseAND(F.lit(63).cast("long")).cast("int"))
+    word = F.shiftright("g", 6).bitwiseAND(F.lit(_WORDS - 1).cast("long"))
+    grams = lines.select("k1", F.explode(shingle_hashes(F.col("line"), width)).alias("g"))
+    words = grams.groupBy("k1").agg(F.count("*").cast("int").alias("size"), *[F.bit_xor(F.when(word == w, one).otherwise(F.lit(0).cast("long"))).alias(f"w{w}") for w in range(_WORDS)])
+    return words.select("k1", "size", F.array(*[f"w{w}" for w in range(_WORDS)]).alias("bits"))
+
+
+def _sketches(apart: DataFrame, lines: DataFrame, width: int) -> DataFrame:
+    """The sketches of the lines in apart, written once."""
+    return materialize(_sketched(_texts(apart.select("k1").distinct(), lines, "k1"), width), "sketches")
+
+
+def _differing(a: Column, b: Column) -> Column:
+    """In how many bits the sketches of a and b differ."""
+    return sum((F.bit_count(a["bits"][i].bitwiseXOR(b["bits"][i])) for i in range(1, _WORDS)), F.bit_count(a["bits"][0].bitwiseXOR(b["bits"][0])))
 
 
 def _may_be_near(a: Column, b: Column, threshold: Fraction) -> Column:
     """False only where the sizes and sketches of a and b show that they are not near."""
     n, d = threshold.numerator, threshold.denominator
     sized = (d * a["size"] >= n * b["size"]) & (d * b["size"] >= n * a["size"])
-    differing = sum((F.bit_count(a["bits"][i].bitwiseXOR(b["bits"][i])) for i in range(1, _WORDS)), F.bit_count(a["bits"][0].bitwiseXOR(b["bits"][0])))
-    return sized & ((n + d) * differing <= (d - n) * (a["size"] + b["size"]))
+    return sized & ((n + d) * _differing(a, b) <= (d - n) * (a["size"] + b["size"]))
 
 
-def _candidates(apart: DataFrame, lines: DataFrame, threshold: Fraction, width: int) -> DataFrame:
+def _candidates(apart: DataFrame, lines: DataFrame, threshold: Fraction, width: int, thin: bool = False, sketches: DataFrame | None = None) -> DataFrame:
     """The different pairs (src, dst) of one bucket and two components that may be
     near: lines are dealt to blocks, and those outside the bucket's largest
     component meet every block, by size and sketch alone. No text is moved, a line
-    is cut up once for all its buckets, and a pair of many buckets comes once."""
-    sketched = apart.select("k1").distinct().join(lines.select("k1", "line"), "k1").select("k1", _once(shingle_hashes(F.col("line"), width), lambda g: F.struct(F.size(g).alias("size"), _sketch(g).alias("bits"))).alias("own"))
-    sketched = materialize(sketched.select("k1", "own.*"), "sketches")
-    dealt = apart.withColumn("blocks", F.ceil(F.col("n") / BLOCK)).withColumn("block", F.pmod(F.xxhash64("k1"), F.col("blocks"))).join(sketched, "k1")
-    member = F.struct("k1", "root", "size", "bits")
+    is cut up once for all its buckets, and a pair of many buckets is made in the
+    first of them only. Thin: such a line meets its own block and those 1, 2, 4, ...
+    after it, and makes one pair with each at most, of the sketches that differ least."""
+    sketches = _sketches(apart, lines, width) if sketches is None else sketches
+    own = sketches.join(apart.groupBy("k1").agg(F.array_sort(F.collect_set("band")).alias("bands")), "k1")
+    dealt = apart.withColumn("blocks", F.ceil(F.col("n") / BLOCK)).withColumn("block", F.pmod(F.xxhash64("k1"), F.col("blocks"))).join(own, "k1")
+    member = F.struct("k1", "root", "size", "bits", "bands")
     whole = materialize(dealt.groupBy("band", "block", "blocks", "top").agg(F.collect_list(member).alias("members"), F.collect_list(F.when(F.col("root") != F.col("top"), member)).alias("strays")), "blocks")
     right = whole.select("band", F.col("block").alias("other"), F.col("members").alias("others"))
-    left = whole.where(F.size("strays") > 0).select("band", "block", "top", "strays", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("other"))
+    apart_by = F.transform(F.sequence(F.lit(0), F.floor(F.log2("blocks")).cast("int")), lambda i: F.call_function("shiftleft", F.lit(1).cast("long"), i))
+    meets = F.array_distinct(F.concat(F.array("block"), F.transform(apart_by, lambda x: (F.col("block") + x) % F.col("blocks")))) if thin else F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)
+    left = whole.where(F.size("strays") > 0).select("band", "block", "top", "strays", F.explode(meets).alias("other"))
     once = lambda a, b: (b["root"] == F.col("top")) | (F.col("block") < F.col("other")) | (F.col("block") == F.col("other")) & (a["k1"] < b["k1"])  # noqa: E731  two strays meet once
-    of = lambda a: F.transform(F.filter("others", lambda b: (a["root"] != b["root"]) & once(a, b) & _may_be_near(a, b, threshold)), lambda b: F.struct(F.least(a["k1"], b["k1"]).alias("src"), F.greatest(a["k1"], b["k1"]).alias("dst")))
-    return left.join(right, ["band", "other"]).select(F.explode(F.flatten(F.transform("strays", of))).alias("pair")).select("pair.*").distinct()
+    first = lambda a, b: F.get(F.array_intersect(a["bands"], b["bands"]), F.lit(0)) == F.col("band")
+    may = lambda a: F.filter("others", lambda b: (a["root"] != b["root"]) & (F.lit(True) if thin else once(a, b)) & _may_be_near(a, b, threshold) & first(a, b))
+    pair = lambda a, b: F.struct(F.least(a["k1"], b["k1"]).alias("src"), F.greatest(a["k1"], b["k1"]).alias("dst"))
+    least = lambda a: F.array_compact(F.array(F.array_min(F.transform(may(a), lambda b: F.struct(_differing(a, b).alias("bits"), pair(a, b).alias("pair"))))["pair"]))
+    of = least if thin else lambda a: F.transform(may(a), lambda b: pair(a, b))
+    found = left.join(right, ["band", "other"]).select(F.explode(F.flatten(F.transform("strays", of))).alias("pair")).select("pair.*")
+    return found.distinct() if thin else found  # two lines may each be the other's nearest
 
 
-def _blocks(apart: DataFrame, lines: DataFrame, threshold: Fraction, width: int) -> DataFrame:
+def _blocks(apart: DataFrame, lines: DataFrame, threshold: Fraction, width: int, thin: bool = False, sketches: DataFrame | None = None) -> DataFrame:
     """Links between components of one bucket: the candidates, compared in full."""
-    pairs = materialize(_candidates(apart, lines, threshold, width), "candidates")
-    known = apart.select("k1", "root").distinct().join(lines.select("k1", "line"), "k1")
+    pairs = materialize(_candidates(apart, lines, threshold, width, thin, sketches), "candidates")
+    known = _texts(apart.select("k1", "root").distinct(), lines, "k1")
     side = lambda c, name: known.select(F.col("k1").alias(c), F.struct("k1", "root", "line").alias(name))
     texts = pairs.join(side("src", "a"), "src").join(side("dst", "b"), "dst")
-    grams = lambda m: F.struct(F.col(f"{m}.root").alias("root"), shingle_hashes(F.col(f"{m}.line"), width).alias("grams")).alias(m)
-    return _near_pairs(texts.select(grams("a"), grams("b")), threshold)
+    grams = lambda m: _held(F.struct(F.col(f"{m}.root").alias("root"), shingle_hashes(F.col(f"{m}.line"), width).alias("grams"))).alias(m)
+    return _near_pairs(texts.select(grams("a"), "b").select("a", grams("b")), threshold)
 
 
 def line_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, threshold: float = 0.8, minima: int = 60, rows: int = 6, bands: int = 16) -> DataFrame:
@@ -222,12 +259,12 @@ def line_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         with _bucketed(one, "k1", "lines") as table:
             design = band_rows(minima, rows, bands)
             signed = _signed(table, "k1", minima, width)
-            signed = materialize(signed.select("k1", F.array(*[F.xxhash64(F.lit(b), *[f"m{i}" for i in own]) for b, own in enumerate(design)]).alias("bands")), "bands")
+            signed = materialize(signed.select("k1", *[F.xxhash64(F.lit(b), *[f"m{i}" for i in own]).alias(f"b{b}") for b, own in enumerate(design)]), "bands")
             keyed = None
             for at_band in range(0, bands, _BANDS):
-                some = signed.select("k1", F.explode(F.slice("bands", at_band + 1, _BANDS)).alias("band"))
+                some = signed.select("k1", F.explode(F.array(*[f"b{b}" for b in range(at_band, min(bands, at_band + _BANDS))])).alias("band"))
                 hubs = some.groupBy("band").agg(F.min("k1").alias("hub"), F.max("k1").alias("far")).where("hub != far")
-                found = materialize(some.join(hubs, "band"), "buckets")
+                found = materialize(some.join(hubs.hint("shuffle_hash"), "band"), "buckets")  # the many rows need no sort
                 keyed = found if keyed is None else keyed.unionByName(found)
             pairs = keyed.where("k1 != hub").select(F.col("k1").alias("src"), "hub").distinct()
             links = materialize(_star(pairs, table, limit, width), "links")
@@ -240,9 +277,14 @@ def line_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                 found = _star(pairs, table, limit, width).join(own, "src").join(far, "dst")
                 classes = materialize(_merged(classes, found.select(F.col("src_root").alias("src"), F.col("dst_root").alias("dst"))), "components")
                 apart = _apart(apart.select("k1", "band", "far"), classes, 4)
+            sketches, large = None, apart.where(F.col("n") > BLOCK)
+            if not large.isEmpty():  # in a large bucket a few links a line first, else each pair of a dense group would be a row
+                sketches = _sketches(apart, table, width)
+                classes = materialize(_merged(classes, _blocks(large, table, limit, width, True, sketches)), "components")
+                apart = _apart(apart.select("k1", "band"), classes, 4)
             if not apart.isEmpty():
-                classes = _merged(classes, _blocks(apart, table, limit, width))
-            joined = table.select("k1", "k2", "n", "place").join(classes.withColumnRenamed("node", "k1"), "k1", "left").where("n > 1 or root is not null")
+                classes = _merged(classes, _blocks(apart, table, limit, width, False, sketches))
+            joined = table.select("k1", "k2", "n", "place").join(classes.withColumnRenamed("node", "k1").hint("shuffle_hash"), "k1", "left").where("n > 1 or root is not null")
             joined = materialize(joined.withColumn("root", F.coalesce("root", "k1")), "classes")
         kept = joined.groupBy("root").agg(F.min("place").alias("keep"), F.count("*").alias("texts"))
         found = joined.join(kept, "root").select("k1", "k2", "n", "keep", (F.col("texts") > 1).alias("links"))

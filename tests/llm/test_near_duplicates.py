@@ -199,6 +199,45 @@ def test_candidates_of_a_bucket_are_few_and_lose_no_link(spark, monkeypatch):
     assert {tuple(sorted(x)) for x in line_dedup._blocks(apart, lines, line_dedup.Fraction(4, 5), 5).collect()} == near
 
 
+def test_a_dense_group_makes_few_rows(spark, monkeypatch):
+    """Lines that are all near each other, none linked yet, in several buckets: a few
+    pairs a line are enough to join them, and no pair is made for each bucket."""
+    monkeypatch.setattr(line_dedup, "BLOCK", 7)
+    base = words(61, 60)
+    pool = [base[: 3 * k] + "#" + base[3 * k + 1 :] for k in range(60)]
+    apart = spark.createDataFrame([(band, k, k, -1, len(pool)) for band in (1, 2, 3) for k in range(len(pool))], "band long, k1 long, root long, top long, n long")
+    lines = spark.createDataFrame(list(enumerate(pool)), "k1 long, line string")
+    every = line_dedup._candidates(apart, lines, line_dedup.Fraction(4, 5), 5)
+    assert every.count() == len(pool) * (len(pool) - 1) // 2
+    thin = line_dedup._candidates(apart, lines, line_dedup.Fraction(4, 5), 5, thin=True)
+    assert thin.count() <= 5 * len(pool)  # of 9 blocks at most 5 are met
+    links = line_dedup._blocks(apart, lines, line_dedup.Fraction(4, 5), 5, thin=True)
+    assert connected_components(links).select("root").distinct().count() <= 3
+
+
+def test_pairs_compared_in_full_grow_with_the_lines(spark, monkeypatch):
+    """Dense groups share buckets whose hubs are of two of them: of the others few
+    pairs are rows, and the lines of each are one class."""
+    monkeypatch.setattr(line_dedup, "BLOCK", 8)
+    compared = []
+
+    def counted(*args, was=line_dedup._candidates, **how):
+        pairs = line_dedup.materialize(was(*args, **how), "counted")
+        compared.append(pairs.count())
+        return pairs
+
+    monkeypatch.setattr(line_dedup, "_candidates", counted)
+    common, lines = words(62, 25)[:120], []
+    for g in range(8):
+        own = words(700 + g, 12)[:40]
+        lines += [common + own[:k] + "#" + own[k + 1 :] for k in range(40)]
+    docs = list(enumerate(lines))
+    got = {x.doc_id: x.dropped for x in dedup_lines(spark.createDataFrame(docs, "doc_id long, text string"), with_text=False, minima=4, rows=1, bands=4).collect()}
+    want = brute_lines(docs)
+    assert {(d, lines[d]): x for d, x in got.items() if x} == want and len(want) == len(lines) - 8
+    assert sum(compared) <= 5 * len(lines), compared
+
+
 def test_chains_within_a_bucket(spark, monkeypatch):
     """Lines that drift apart one change at a time: ends are far from the
     bucket's hubs, so all three comparisons are needed."""
