@@ -64,16 +64,17 @@ def column_kinds(df: DataFrame, most: int = 50, forced: tuple[str, ...] = FORCED
     return {"numeric": numeric, "low": [c for c in texts if c not in high], "high": high}
 
 
-def feature_space(train: DataFrame, stages: list, most_rows: int = 10_000, top: int = 25) -> dict:
-    """Size of the vectors that the stages make of a training frame: fitted and
-    measured on at most most_rows rows in a hash order, projected to all rows.
-    A dense vector takes eight bytes a slot, a sparse one twelve an entry. Counts
-    of distinct texts are of the whole frame. The frame is written once, and so
-    is the sample, since the stages read it many times."""
+def feature_space(train: DataFrame, stages: list, most_rows: int | None = None, top: int = 25) -> dict:
+    """Size of the vectors that the stages make of a training frame, fitted and
+    measured on all its rows. A caller who gives most_rows gets both on that many
+    rows in a hash order, projected to all. A dense vector takes eight bytes a
+    slot, a sparse one twelve an entry. Counts of distinct texts are of the whole
+    frame. The frame is written once, and so is such a sample, since the stages
+    read it many times."""
     train = cut_lineage(train)
     rows = train.count()
     texts = [c for c, t in train.dtypes if t == "string"]
-    sample = train if rows <= most_rows else cut_lineage(train.orderBy(F.xxhash64(*train.columns)).limit(most_rows))
+    sample = train if most_rows is None or rows <= most_rows else cut_lineage(train.orderBy(F.xxhash64(*train.columns)).limit(most_rows))
     made = Pipeline(stages=stages).fit(sample).transform(sample).select(unwrap_udt("features").alias("v"))
     sparse = F.col("v.type") == 0
     slots = F.when(sparse, F.col("v.size")).otherwise(F.size("v.values"))

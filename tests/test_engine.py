@@ -480,6 +480,15 @@ def test_feature_space_counts_slots(spark):
     assert found["width"] >= 3 and found["projected_mb"] == pytest.approx(2 * found["sample_mb"])
 
 
+def test_feature_space_measures_all_rows(spark):
+    """A value of one row among more than 10,000 has its slot, and nothing is projected."""
+    df = spark.range(12_000).select(F.col("id").cast("double").alias("x"), F.when(F.col("id") < 6_000, F.col("id")).otherwise(0).cast("string").alias("c"))
+    found = features.feature_space(df, models.preprocessor(["x"], ["c"]))
+    assert found["profile_rows"] == found["training_rows"] == 12_000 and found["top_cardinality"] == [("c", 6_000)]
+    assert found["width"] == 1 + 6_000 + 1 and found["nonzero_entries"] == 2 * 12_000 - 1
+    assert found["projected_mb"] == found["sample_mb"] > 0
+
+
 def plan_of(df):
     return df._jdf.queryExecution().optimizedPlan().toString()
 
