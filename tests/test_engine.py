@@ -524,3 +524,26 @@ def test_trees_read_few_partitions(spark, monkeypatch):
     models.fit_routed(spark.range(0, 640, 1, 64).select(F.col("id").alias("price")), [], "price", threshold=300)
     assert len(seen) == 4 and max(seen) <= 2 * spark.sparkContext.defaultParallelism
     assert models.gathered(spark.range(0, 10, 1, 3)).rdd.getNumPartitions() == 3
+
+
+def test_trees_grow_over_counted_vectors(spark, monkeypatch):
+    """Each fit reads one row for each different vector (and class); the models predict as those fitted on all rows."""
+    seen = []
+    for kind in (models.GBTRegressor, models.GBTClassifier):
+        fit = kind._fit
+        monkeypatch.setattr(kind, "_fit", lambda self, df, fit=fit: seen.append(df.count()) or fit(self, df))
+    drawn = lambda seed, n: F.pmod(F.xxhash64("id", F.lit(seed)), F.lit(n)).cast("double")
+    df = spark.range(3_000).select("id", F.when(drawn(1, 41) > 0, drawn(1, 41)).alias("x"), drawn(2, 5).alias("z"), drawn(3, 90).alias("e"))
+    df = df.select("id", "x", "z", (200 + 90 * F.sqrt(F.coalesce("x", F.lit(9.0))) + 17 * F.col("z") * F.sin("x") + F.col("e")).alias("price")).fillna(400.0, ["price"])
+    stages = models.preprocessor(["x", "z"])
+    routed = models.fit_routed(df, stages, "price", threshold=500)
+    assert len(seen) == 4 and max(seen) <= 2 * 41 * 5
+    rows = df.withColumns({"label": F.col("price").cast("double"), "log_label": F.log1p(F.col("price").cast("double")), "is_high": (F.col("price") > 500).cast("double")}).coalesce(1).cache()
+    regressor = models.GBTRegressor(featuresCol="features", labelCol="log_label", predictionCol="log_prediction", seed=42, maxIter=20)
+    fit = lambda own: models.Pipeline(stages=[*stages, regressor]).fit(own)
+    gate = models.Pipeline(stages=[*stages, models.GBTClassifier(labelCol="is_high", featuresCol="features", maxIter=10, seed=42)]).fit(rows)
+    plain = models.RoutedModel(fit(rows), gate, fit(rows.where("is_high = 0")), fit(rows.where("is_high = 1")))
+    want = {r["id"]: r["prediction"] for r in plain.predict(df).collect()}
+    got = {r["id"]: r["prediction"] for r in routed.predict(df).collect()}
+    assert len(got) == 3_000 and all(got[k] == pytest.approx(want[k], rel=1e-6) for k in want)
+    assert max(seen[4:]) > 1_000
