@@ -10,6 +10,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 from pyspark.ml import Pipeline, PipelineModel
+from pyspark.ml.feature import Imputer
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -60,18 +61,19 @@ def grouped_search(train: DataFrame, stages: list, label: str, key: str, familie
     products over it, whatever their number; trees of all candidates and folds
     grow together, one pass a level. One last pass takes the errors of all. A
     null label is left out; without rows there is an error. An input that is
-    missing even after the stages leaves its row out of linear models."""
+    missing even after the stages leaves its row out of linear models. A fold whose
+    other folds have no rows, or no value for a median, takes no part."""
     rows = train.where(F.col(label).isNotNull()).withColumns({"label": F.greatest(F.col(label).cast("double"), F.lit(0.0)), "fold": F.pmod(F.xxhash64(key), F.lit(n_folds)).cast("int"), "bucket": F.pmod(F.xxhash64(*[F.col(c).cast("string") for c in train.columns if not dict(train.dtypes)[c].startswith("map")], F.lit(seed)), F.lit(BUCKETS)).cast("int")})
     rows = cut_lineage(rows.withColumn("log_label", F.log1p("label")))
     fitted, parts = [], []
-    for f in range(n_folds + 1):  # the last one: all rows
+    for f in [*_folds(rows, stages, n_folds), n_folds]:  # the last one: all rows
         own = Pipeline(stages=stages).fit(rows.where(F.col("fold") != f))
         fitted.append(own)
         parts.append(own.transform(rows).select(F.lit(f).alias("part"), (F.col("fold") == f).alias("valid"), "bucket", "label", "log_label", vector_to_array("features").alias("x")))
     data = parts[0]
-    for i, part in enumerate(parts[1:], 1):
+    for part in parts[1:]:
         # Folds may have different slots: a vector is only met by its own part's model.
-        data = data.unionByName(part.withColumn("part", F.lit(i)))
+        data = data.unionByName(part)
     widths = [len(feature_names(m)) for m in fitted]
     width = max(widths)
     padded = F.concat("x", F.array_repeat(F.lit(0.0), F.lit(width) - F.size("x")))
@@ -106,6 +108,16 @@ def grouped_search(train: DataFrame, stages: list, label: str, key: str, familie
     return out
 
 
+def _folds(rows: DataFrame, stages: list, n_folds: int) -> list[int]:
+    """Folds with rows for whose model the other folds have rows, and a value for
+    every median."""
+    known = lambda c: F.count_if(F.col(c).isNotNull() & ~F.isnan(F.col(c).cast("double")))
+    medians = [c for s in stages if isinstance(s, Imputer) for c in s.getInputCols()]
+    seen = {r[0]: r[1:] for r in rows.groupBy("fold").agg(F.count("*"), *map(known, medians)).collect()}
+    rest = {f: [n for k, n in seen.items() if k != f] for f in range(n_folds) if f in seen}
+    return [f for f, others in rest.items() if others and all(map(sum, zip(*others, strict=True)))]
+
+
 def _grow(data: DataFrame, width: int, n_folds: int, sets: list[dict], family: str, seed: int) -> tuple[Windows, dict[tuple[int, int], list[int]]]:
     """Trees of all sets and parts, and the windows of each."""
     trees = TREES if family == "random_forest" else 1

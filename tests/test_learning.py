@@ -427,3 +427,28 @@ def test_aspects_are_learnt_from_cues_and_scored_by_chunks(spark):
     cut = spark.createDataFrame(asked, "id long, text string").select("id", F.explode(sentiment.chunks(F.col("text"))).alias("text"))
     scored = aspects.score_chunks(cut, model, which)
     assert scored.columns[:2] == ["id", "text"] and scored.exceptAll(aspects.score_chunks(cut.repartition(2), model, which)).count() == 0
+
+
+def test_champion_is_trained_and_tested_by_time(spark, monkeypatch):
+    """Test rows begin at the cut, training rows lie before it and share no key with them."""
+    from ledgerline.plans import learning
+    from ledgerline.views import Market
+
+    given = []
+    monkeypatch.setattr(learning.models, "train_price_models", lambda df, *a: given.append(df) or (None, None, df.withColumn("prediction", F.lit(0.0))))
+    m = Market(spark, "/root/testdata/sf0.01")
+    learning.m08(m)
+    days = [((r.vin, r.seq, r.price), (r.loaddate - D(1970, 1, 1)).days) for r in m.listings.select("vin", "seq", "price", "loaddate").collect()]
+    cut = np.quantile([d for _, d in days], 0.8)
+    rows = [(tuple(r)[:3], r.part) for r in given[0].where("part is not null").select("vin", "seq", "price", "part").collect()]
+    train, test = (sorted(k for k, part in rows if part == p) for p in ("train", "test"))
+    late = {k[0] for k in test}
+    assert test == sorted(k for k, d in days if d >= cut)
+    assert len(train) >= 100 and train == sorted(k for k, d in days if d < cut and k[0] not in late)
+
+
+def test_search_leaves_out_folds_without_training_rows(spark):
+    rows = spark.range(60).select(F.lit("one").alias("vin"), (F.col("id") % 9).cast("double").alias("x"), (100 + 7 * (F.col("id") % 9)).alias("price"))
+    found = search.grouped_search(rows, encoders.price_stages(["x"], [], []), "price", "vin", ("ridge", "gbt"), most_sets=2)
+    assert all(math.isinf(e) for f in found.values() for _, e in f.errors)
+    assert models.predict(found["gbt"].model, rows).where("abs(prediction - price) > 20").count() == 0
