@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from ledgerline.operators.encoders import LinearScore, TreeScore, feature_names
 from ledgerline.operators.moments import elastic_net, matrix, product_sums, ridge
 from ledgerline.operators.trees import Windows, boost_windows, matrix_of, value_bins
-from ledgerline.session import cut_lineage
+from ledgerline.session import shuffles_dropped, written
 
 #: What each family's candidates are drawn from.
 GRIDS: dict[str, dict[str, tuple]] = {
@@ -57,19 +57,23 @@ def grouped_search(train: DataFrame, stages: list, label: str, key: str, familie
 
     All rows of a key are in one fold. The stages are fitted for each fold on the
     other folds' rows, and on all rows for the final model; what they make is one
-    table of tagged vectors. Linear candidates are solved from one pass of sums of
-    products over it, whatever their number; trees of all candidates and folds
-    grow together, one pass a level. One last pass takes the errors of all. A
+    table of tagged vectors, packed by columns. Linear candidates are solved from
+    one pass of sums of products over it, whatever their number; trees of all
+    candidates and folds grow together, one pass a level. One last pass takes the
+    errors of all. Of the rows, only the columns that the stages read are kept. A
     null label is left out; without rows there is an error. An input that is
     missing even after the stages leaves its row out of linear models. A fold whose
     other folds have no rows, or no value for a median, takes no part."""
     rows = train.where(F.col(label).isNotNull()).withColumns({"label": F.greatest(F.col(label).cast("double"), F.lit(0.0)), "fold": F.pmod(F.xxhash64(key), F.lit(n_folds)).cast("int"), "bucket": F.pmod(F.xxhash64(*[F.col(c).cast("string") for c in train.columns if not dict(train.dtypes)[c].startswith("map")], F.lit(seed)), F.lit(BUCKETS)).cast("int")})
-    rows = cut_lineage(rows.withColumn("log_label", F.log1p("label")))
+    asked = [_inputs(s) for s in stages]
+    if None not in asked:
+        rows = rows.select(*[c for c in train.columns if c not in ("label", "fold", "bucket") and any(c in a for a in asked)], "label", "fold", "bucket")
+    rows = written(rows).withColumn("log_label", F.log1p("label"))
     fitted, parts = [], []
     for f in [*_folds(rows, stages, n_folds), n_folds]:  # the last one: all rows
         own = Pipeline(stages=stages).fit(rows.where(F.col("fold") != f))
         fitted.append(own)
-        parts.append(own.transform(rows).select(F.lit(f).alias("part"), (F.col("fold") == f).alias("valid"), "bucket", "label", "log_label", vector_to_array("features").alias("x")))
+        parts.append(own.transform(rows).select(F.lit(f).alias("part"), (F.col("fold") == f).alias("valid"), "bucket", "label", vector_to_array("features").alias("x")))
     data = parts[0]
     for part in parts[1:]:
         # Folds may have different slots: a vector is only met by its own part's model.
@@ -77,23 +81,23 @@ def grouped_search(train: DataFrame, stages: list, label: str, key: str, familie
     widths = [len(feature_names(m)) for m in fitted]
     width = max(widths)
     padded = F.concat("x", F.array_repeat(F.lit(0.0), F.lit(width) - F.size("x")))
-    data = cut_lineage(data.withColumn("x", padded))
+    data = written(data.withColumn("x", padded)).withColumn("log_label", F.log1p("label"))
 
     sets = {f: parameter_sets(f, most_sets, seed) for f in families}
     scorers: list[tuple[str, int, int, object]] = []  # family, set, part, (weights | (trees, windows))
-    if linear := [f for f in ("ridge", "elastic_net") if f in families]:
-        cells = product_sums(data.where("not valid"), F.col("part"), F.concat("x", F.array("log_label")), width + 1).groupBy("g").agg(F.collect_list(F.struct("i", "j", "value")).alias("cells"))
-        for r in cells.collect():  # one matrix a fold
-            m = matrix(((c["i"], c["j"], c["value"]) for c in r["cells"]), width + 2)
-            for f in linear:
-                for k, p in enumerate(sets[f]):
-                    scorers.append((f, k, r["g"], ridge(m, **p) if f == "ridge" else elastic_net(m, **p)))
-    for f in ("gbt", "random_forest"):
-        if f in families:
-            model, windows = _grow(data, width, n_folds, sets[f], f, seed)
-            scorers += [(f, k, part, (model, windows[k, part])) for k in range(len(sets[f])) for part in range(n_folds + 1)]
-
-    errors = {(r["scorer"], r["part"]): (r["e"] / r["n"]) ** 0.5 for r in _errors(data.where("valid"), scorers, width).collect() if r["n"]}
+    with shuffles_dropped(train.sparkSession):
+        if linear := [f for f in ("ridge", "elastic_net") if f in families]:
+            cells = product_sums(data.where("not valid"), F.col("part"), F.concat("x", F.array("log_label")), width + 1).groupBy("g").agg(F.collect_list(F.struct("i", "j", "value")).alias("cells"))
+            for r in cells.collect():  # one matrix a fold
+                m = matrix(((c["i"], c["j"], c["value"]) for c in r["cells"]), width + 2)
+                for f in linear:
+                    for k, p in enumerate(sets[f]):
+                        scorers.append((f, k, r["g"], ridge(m, **p) if f == "ridge" else elastic_net(m, **p)))
+        for f in ("gbt", "random_forest"):
+            if f in families:
+                model, windows = _grow(data, width, n_folds, sets[f], f, seed)
+                scorers += [(f, k, part, (model, windows[k, part])) for k in range(len(sets[f])) for part in range(n_folds + 1)]
+        errors = {(r["scorer"], r["part"]): (r["e"] / r["n"]) ** 0.5 for r in _errors(data.where("valid"), scorers, width).collect() if r["n"]}
     out = {}
     for f in families:
         own = []
@@ -108,6 +112,12 @@ def grouped_search(train: DataFrame, stages: list, label: str, key: str, familie
     return out
 
 
+def _inputs(stage) -> set[str] | None:
+    """Columns that a stage reads; None if it doesn't name them."""
+    named = [stage.getOrDefault(p) for p in ("inputCol", "inputCols", "labelCol") if stage.hasParam(p) and stage.isDefined(stage.getParam(p))]
+    return {c for v in named for c in ([v] if isinstance(v, str) else v)} or None
+
+
 def _folds(rows: DataFrame, stages: list, n_folds: int) -> list[int]:
     """Folds with rows for whose model the other folds have rows, and a value for
     every median."""

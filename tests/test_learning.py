@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import datetime
 import math
+import pathlib
 
 import numpy as np
 import pytest
@@ -13,7 +14,7 @@ from pyspark.sql import functions as F
 
 from ledgerline.operators import artifacts, aspects, encoders, features, forecast, models, moments, search, seasonal, sentiment, trees
 from ledgerline.operators.trees import boost_windows, ensemble_of, value_bins, vector
-from ledgerline.session import cut_lineage
+from ledgerline.session import cut_lineage, shared_folder
 
 D = datetime.date
 
@@ -452,3 +453,25 @@ def test_search_leaves_out_folds_without_training_rows(spark):
     found = search.grouped_search(rows, encoders.price_stages(["x"], [], []), "price", "vin", ("ridge", "gbt"), most_sets=2)
     assert all(math.isinf(e) for f in found.values() for _, e in f.errors)
     assert models.predict(found["gbt"].model, rows).where("abs(prediction - price) > 20").count() == 0
+
+
+def test_search_writes_only_what_its_stages_read(spark):
+    """Columns that no stage reads are not written: here 512 KB of texts that hardly pack."""
+    folder = pathlib.Path(shared_folder(spark).removeprefix("file:"))
+    size = lambda: sum(p.stat().st_size for p in folder.rglob("*") if p.is_file())
+    title = F.concat(*[F.sha2(F.concat_ws("-", F.lit(i), "id"), 256) for i in range(4)])
+    rows = spark.range(0, 2_000, 1, 2).select(F.col("id").alias("vin"), (F.col("id") % 9).cast("double").alias("x"), (100 + 7 * (F.col("id") % 9)).alias("price"), title.alias("title"))
+    before = size()
+    found = search.grouped_search(rows, encoders.price_stages(["x"], [], []), "price", "vin", ("ridge",))
+    assert size() - before < 150_000 and found["ridge"].error < 20
+
+
+def test_champion_reads_joined_rows_once(spark, monkeypatch):
+    """Search and errors get a table of the columns that they use, not the joins."""
+    from ledgerline.plans import learning
+    from ledgerline.views import Market
+
+    given = []
+    monkeypatch.setattr(learning.models, "train_price_models", lambda df, *a: given.append(df) or (None, None, df.withColumn("prediction", F.lit(0.0))))
+    learning.m08(Market(spark, "/root/testdata/sf0.001"))
+    assert "Join" not in given[0]._jdf.queryExecution().optimizedPlan().toString() and "title" not in given[0].columns
